@@ -5,10 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid
+from . import bpe, chat_format, exact_dedup, langid
 from ._common import table
 
 
+#: The tokenizer file of op6; the folder of public vocabulary files is a parameter of the session.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(spark: SparkSession, name: str = TOKENIZER) -> str:
+    folder = spark.conf.get("spark.tallyloom.tokenizers", None)
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    return chat_format.digests(chat_format.format_conversations(rows.unionByName(own)))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -28,5 +48,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op8_language_id": op8_language_id}
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path(spark)
+    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return done.select(
+        "doc_id",
+        (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {"op1_chat_format": op1_chat_format, "op6_bpe": op6_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_language_id": op8_language_id}
 ORACLES = {"op4_exact_dedup": OP4_SQL}
