@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, langid
+from . import bpe, brown_lm, chat_format, exact_dedup, langid
 from ._common import table
 
 
@@ -59,5 +59,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op6_bpe": op6_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_language_id": op8_language_id}
+def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = langid.held_out(docs, 10)
+    model = brown_lm.fit(docs.where(~out & F.col("doc_id").isNotNull()).select("text"))
+    return brown_lm.score(docs.withColumn("held_out", out), model, ("doc_id", "held_out"))
+
+
+QUERIES = {"op9_brown_lm": op9_brown_lm, "op1_chat_format": op1_chat_format, "op6_bpe": op6_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_language_id": op8_language_id}
 ORACLES = {"op4_exact_dedup": OP4_SQL}
