@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown_lm, chat_format, exact_dedup, langid
+from . import bpe, brown_lm, chat_format, exact_dedup, langid, pii
 from ._common import table
 
 
@@ -66,5 +66,20 @@ def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.score(docs.withColumn("held_out", out), model, ("doc_id", "held_out"))
 
 
-QUERIES = {"op9_brown_lm": op9_brown_lm, "op1_chat_format": op1_chat_format, "op6_bpe": op6_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_language_id": op8_language_id}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs)).select("doc_id", "pii")
+    base = F.filter("pii", lambda s: s["base"])
+    of_kind = lambda k: lambda s: s["kind"] == F.lit(k)
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter(base, of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("pii")).alias("spans"),
+        F.size(F.filter("pii", lambda s: ~s["base"])).cast("long").alias("n_added"),
+    )
+
+
+QUERIES = {"op10_pii": op10_pii, "op9_brown_lm": op9_brown_lm, "op1_chat_format": op1_chat_format, "op6_bpe": op6_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_language_id": op8_language_id}
 ORACLES = {"op4_exact_dedup": OP4_SQL}
