@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown_lm, chat_format, exact_dedup, langid, pii
+from . import bpe, brown_lm, chat_format, dart_minhash, exact_dedup, langid, pii
 from ._common import table
 
 
@@ -81,5 +81,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op10_pii": op10_pii, "op9_brown_lm": op9_brown_lm, "op1_chat_format": op1_chat_format, "op6_bpe": op6_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_language_id": op8_language_id}
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op7_minhash": op7_minhash, "op10_pii": op10_pii, "op9_brown_lm": op9_brown_lm, "op1_chat_format": op1_chat_format, "op6_bpe": op6_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_language_id": op8_language_id}
 ORACLES = {"op4_exact_dedup": OP4_SQL}
