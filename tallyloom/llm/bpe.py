@@ -16,16 +16,22 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ._common import pieces
 
 #: Words remembered in a Python worker before it begins anew; characters of text taken at once.
-REMEMBER, BLOCK = 400_000, 1 << 20
+REMEMBER, BLOCK = 250_000, 1 << 19
+#: Bytes of input in a batch of results.
+SLICE = 1 << 20
 #: Fragments beyond so many bytes are merged one by one.
 LONG = 48
 TABLE_BITS, NONE = 19, 1 << 30
@@ -243,25 +249,28 @@ def tokenizer(path: str) -> Tokenizer:
     return _LOADED[path]
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", to: str = "token_ids") -> DataFrame:
-    """docs with the packed ids of text_col."""
+def _map(docs: DataFrame, column: Column, to: str, kind: T.DataType, work: Callable[[list], list]) -> DataFrame:
+    """docs with the column to, made from column by work, a bounded slice of rows at a time; all else passes through."""
+    source = docs.drop(to).withColumn(to, column)
+    at = source.columns.index(to)
+    schema = T.StructType([*source.schema.fields[:at], T.StructField(to, kind)])
 
-    @F.pandas_udf("binary")
-    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = tokenizer(path)
-        for texts in batches:
-            yield pd.Series(own.encode_all(texts.tolist()), dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(at)
+            edges = np.r_[0, np.cumsum(np.maximum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False), 64))]
+            for a, b in pieces(edges, SLICE):
+                made = work(values.slice(a, b - a).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:at], pa.array(made, pa.binary() if isinstance(kind, T.BinaryType) else pa.string())], schema.names)
 
-    return docs.withColumn(to, packed(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return source.mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, path: str, ids_col: str = "token_ids", to: str = "decoded") -> DataFrame:
-    """encoded with the text that ids_col decodes to; null ids are none."""
+def encode(docs: DataFrame, path: str, text_col: str = "text", to: str = "token_ids") -> DataFrame:
+    """docs with the packed ids of text_col."""
+    return _map(docs, F.coalesce(F.col(text_col).cast("string"), F.lit("")), to, T.BinaryType(), lambda texts: tokenizer(path).encode_all(texts))
 
-    @F.pandas_udf("string")
-    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = tokenizer(path)
-        for ids in batches:
-            yield pd.Series([own.decode(bytes(x)) for x in ids], dtype=object)
 
-    return encoded.withColumn(to, text(F.coalesce(ids_col, F.lit(b""))))
+def decode(encoded: DataFrame, path: str, ids_col: str = "token_ids", to: str = "decoded") -> DataFrame:
+    """encoded with the text that ids_col decodes to; null ids are none."""
+    return _map(encoded, F.coalesce(ids_col, F.lit(b"")), to, T.StringType(), lambda ids: [tokenizer(path).decode(x) for x in ids])
