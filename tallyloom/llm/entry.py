@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown_lm, chat_format, dart_minhash, exact_dedup, langid, pii
+from . import bpe, brown_lm, chat_format, dart_minhash, decontaminate, exact_dedup, langid, line_dedup, pii
 from ._common import table
 
 
@@ -85,5 +85,23 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_minhash": op7_minhash, "op10_pii": op10_pii, "op9_brown_lm": op9_brown_lm, "op1_chat_format": op1_chat_format, "op6_bpe": op6_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_language_id": op8_language_id}
-ORACLES = {"op4_exact_dedup": OP4_SQL}
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_boilerplate(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, source FROM documents),
+     r AS (SELECT doc_id, source, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i, unnest(string_split(t, chr(10))) AS l FROM d),
+     b AS (SELECT trim(l, ' ' || chr(9) || chr(13)) AS k FROM r WHERE trim(l, ' ' || chr(9) || chr(13)) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}),
+     m AS (SELECT r.doc_id, r.i, r.l, b.k IS NOT NULL AS gone FROM r LEFT JOIN b ON trim(r.l, ' ' || chr(9) || chr(13)) = b.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text
+FROM m GROUP BY doc_id
+"""
+
+
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_line_dedup": op3_line_dedup, "op7_minhash": op7_minhash, "op10_pii": op10_pii, "op9_brown_lm": op9_brown_lm, "op1_chat_format": op1_chat_format, "op6_bpe": op6_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_language_id": op8_language_id}
+ORACLES = {"op3_line_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL}
