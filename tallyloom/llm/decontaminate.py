@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ._common import drop_ids, materialize, small
 
-WINDOW, LEAST, COVERED = 8, 5, 0.5
+WINDOW, LEAST, COVERED = 8, 5, 0.5  # WINDOW is 8 at most: windows are made of parts of 1, 2 and 4
 #: Share of an item's slots that must map one value to one value.
 CONSISTENT = 0.9
 
@@ -34,72 +34,95 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), r"\s+"), lambda w: F.btrim(w, F.lit(SIGNS)) != "")
 
 
-def values(found: Column) -> Column:
-    """The words without signs at their ends, lower-cased."""
-    return F.transform(found, lambda w: F.lower(F.btrim(w, F.lit(SIGNS))))
-
-
-def template(found: Column, plain: Column) -> Column:
+def _token(rows: DataFrame) -> Column:
     """The token of each word: a placeholder for a number, unit or name, else the word's value."""
 
     def token(value: Column, i: Column) -> Column:
-        first, before = F.left(value, F.lit(1)), F.element_at(found, F.greatest(i, F.lit(1)))
-        word = F.btrim(F.element_at(found, i + 1), F.lit(SIGNS))
-        after_number = (i > 0) & F.left(F.element_at(plain, F.greatest(i, F.lit(1))), F.lit(1)).between("0", "9")
-        is_name = (i > 0) & (F.left(word, F.lit(1)) != first) & ~F.right(before, F.lit(1)).isin(".", "!", "?", ":")
-        return F.when(first.between("0", "9"), F.lit(NUMBER)).when(value.isin(*UNITS) & after_number, F.lit(UNIT)).when(is_name, F.lit(NAME)).otherwise(value)
-
-    return F.transform(plain, token)
+        first, at = F.left(value, F.lit(1)), F.greatest(i, F.lit(1))
+        after_number = (i > 0) & F.left(F.element_at("value", at), F.lit(1)).between("0", "9")
+        return (
+            F.when(first.between("0", "9"), F.lit(NUMBER))
+            .when(value.isin(*UNITS) & after_number, F.lit(UNIT))
+            .when((F.element_at("_tl_bare", i + 1) == value) | (i == 0) | F.element_at("_tl_stop", at), value)
+            .when(F.left(F.element_at("_tl_bare", i + 1), F.lit(1)) != first, F.lit(NAME))
+            .otherwise(value)
+        )
 
-
-def _windows(tokens: Column, size: int) -> Column:
-    """(place, hash) of each window of so many tokens."""
-    hashed = F.transform(tokens, lambda t: F.xxhash64(t))
-    n = F.size(tokens) - size + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("place"), F.xxhash64(F.slice(hashed, i, size), F.lit(size)).alias("hash"))))
+    return F.transform("value", token)
 
 
 def _tokens(rows: DataFrame) -> DataFrame:
-    """rows with the arrays value and token; each step is made once and read often."""
-    return rows.withColumn("_tl_word", words(F.col("text"))).withColumn("value", values(F.col("_tl_word"))).withColumn("token", template(F.col("_tl_word"), F.col("value"))).drop("_tl_word")
+    """rows (with text) and the arrays value (words in lower case, without signs at their ends) and token."""
+    rows = rows.withColumn("_tl_word", words(F.col("text")))
+    rows = rows.withColumns({"_tl_bare": F.transform("_tl_word", lambda w: F.btrim(w, F.lit(SIGNS))), "_tl_stop": F.transform("_tl_word", lambda w: F.right(w, F.lit(1)).isin(".", "!", "?", ":"))})
+    rows = rows.withColumn("value", F.transform("_tl_bare", lambda w: F.lower(w)))
+    return rows.withColumn("token", _token(rows)).drop("_tl_word", "_tl_bare", "_tl_stop")
+
+
+def _hashes(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """rows with an array window_N of hashes for each size N, one for each place. A name that a window begins with counts as a word: whether it is one depends on what stands before.
+
+    Hashes of 2, 4, ... tokens are made from two neighbours' hashes, each in a column of its own, so every step is one pass over the array.
+    """
+    join = lambda x, y: F.xxhash64(x, y)
+    shifted = lambda c, by: F.slice(c, by + 1, F.greatest(F.size(c) - by, F.lit(0)))
+    rows = rows.withColumns({"_tl_1": F.transform("token", lambda t: F.xxhash64(t)), "_tl_first": F.zip_with("token", "value", lambda t, v: F.xxhash64(F.when(t == NAME, v).otherwise(t)))})
+    for power in (1, 2):
+        rows = rows.withColumn(f"_tl_{2 * power}", F.zip_with(f"_tl_{power}", shifted(F.col(f"_tl_{power}"), power), join))
+    for size in sizes:
+        # the first token, then the binary parts of what follows it
+        rows, at = rows.withColumn("_tl_sum", F.col("_tl_first")), 1
+        for power in (4, 2, 1):
+            if (size - 1) & power:
+                rows = rows.withColumn("_tl_sum", F.zip_with("_tl_sum", shifted(F.col(f"_tl_{power}"), at), join))
+                at += power
+        rows = rows.withColumn(f"window_{size}", F.slice("_tl_sum", 1, F.greatest(F.size("_tl_sum") - size + 1, F.lit(0)))).drop("_tl_sum")
+    return rows.drop("_tl_first", "_tl_1", "_tl_2", "_tl_4")
+
+
+def _places(rows: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
+    """keys, place (from 1), size and hash of every window. Only hashes are exploded: a row never carries its text's arrays along."""
+    rows = _hashes(rows, sizes)
+    out = None
+    for size in sizes:
+        # outer: else a filter on the array's size is inferred and pushed below, with all steps written into it
+        some = rows.select(*keys, F.posexplode_outer(f"window_{size}").alias("place", "hash")).where("hash IS NOT NULL")
+        some = some.select(*keys, (F.col("place") + 1).alias("place"), F.lit(size).alias("size"), F.xxhash64("hash", F.lit(size)).alias("hash"))
+        out = some if out is None else out.unionAll(some)
+    return out
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, coverage, n_slots, verbatim, for each document and item that it contains."""
-    own = _tokens(items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")))
-    own = own.where(F.size("token") >= LEAST).select("item_id", "value", "token", F.least(F.size("token"), F.lit(WINDOW)).alias("size"))
-    sizes = sorted(r["size"] for r in own.select("size").distinct().collect())
-    is_slot = lambda t: t.isin(NUMBER, NAME, UNIT)
-    parts = None
-    for size in sizes or [WINDOW]:
-        some = own.where(F.col("size") == size).select("item_id", "value", "token", F.explode(_windows(F.col("token"), size)).alias("w"))
-        some = some.select("item_id", F.col("w.place").alias("item_place"), F.col("w.hash").alias("hash"), F.slice("value", F.col("w.place"), size).alias("item_value"), F.slice("token", F.col("w.place"), size).alias("item_token"))
-        parts = some if parts is None else parts.unionAll(some)
-    windows = materialize(parts.where(F.size(F.filter("item_token", is_slot)) * 2 <= F.size("item_token")), "windows")
+    own = _tokens(items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))).where(F.size("token") >= LEAST)
+    own = materialize(own.select("item_id", "value", "token", F.least(F.size("token"), F.lit(WINDOW)).alias("least")), "items")
+    sizes = sorted(r["least"] for r in own.select("least").distinct().collect()) or [WINDOW]
+    slots = own.select("item_id", F.posexplode_outer(F.arrays_zip("token", "value")).alias("at", "z")).where(F.col("z.token").isin(NUMBER, NAME, UNIT))
+    slots = materialize(slots.select("item_id", (F.col("at") + 1).alias("at"), F.col("z.value").alias("item_value")).distinct(), "slots")
+    windows = _places(own, ["item_id", "least"], sizes).where("size = least").drop("least").distinct()
+    slotted = windows.select("item_id", "place", "size", F.explode(F.sequence("place", F.col("place") + F.col("size") - 1)).alias("at")).join(slots.select("item_id", "at").distinct(), ["item_id", "at"])
+    slotted = slotted.groupBy("item_id", "place", "size").agg(F.count(F.lit(1)).alias("n"))
+    windows = windows.join(slotted.where("n * 2 > size"), ["item_id", "place", "size"], "left_anti")
+    windows = materialize(windows.select("item_id", F.col("place").alias("item_place"), "size", "hash"), "windows")
     total = windows.groupBy("item_id").agg(F.countDistinct("item_place").alias("n_windows"))
 
-    read = _tokens(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    made = F.flatten(F.array(*[F.coalesce(_windows(F.col("token"), size), F.array().cast("array<struct<place:int,hash:bigint>>")) for size in sizes or [WINDOW]]))
-    seen = read.select("doc_id", "value", F.explode(made).alias("w")).select("doc_id", "value", F.col("w.place").alias("place"), F.col("w.hash").alias("hash"))
-    hits = seen.join(small(windows), "hash").select(
-        "doc_id",
-        "item_id",
-        "item_place",
-        (F.col("place") - F.col("item_place")).alias("shift"),
-        F.transform(
-            F.filter(F.arrays_zip("item_token", "item_value", F.slice("value", F.col("place"), F.size("item_token")).alias("value")), lambda z: is_slot(z["item_token"])),
-            lambda z: F.struct(z["item_value"].alias("item_value"), z["value"].alias("value")),
-        ).alias("slots"),
-    )
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    read = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    seen = _places(_tokens(read), ["doc_id", "row"], sizes).drop("size")
+    hits = seen.join(small(windows), "hash").select("doc_id", "row", "item_id", "item_place", "size", (F.col("place") - F.col("item_place")).alias("shift"))
     hits = materialize(hits, "hits")
-    aligned = ["doc_id", "item_id", "shift"]
-    slots = hits.select(*aligned, F.explode("slots").alias("s")).select(*aligned, "s.item_value", "s.value").distinct()
-    slots = slots.groupBy(*aligned, "item_value").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("item_value") == F.col("value")).alias("same"))
-    slots = slots.groupBy(*aligned).agg(F.count(F.lit(1)).alias("n_slots"), F.avg((F.col("n") == 1).cast("double")).alias("consistent"), F.min("same").alias("same"))
+
+    # what stands in the document where an item has a slot
+    aligned = ["row", "item_id", "shift"]
+    asked = hits.select(*aligned, F.explode(F.sequence("item_place", F.col("item_place") + F.col("size") - 1)).alias("at")).distinct()
+    asked = materialize(asked.join(slots, ["item_id", "at"]).withColumn("place", F.col("at") + F.col("shift")), "asked")
+    some = read.join(small(materialize(asked.select("row").distinct(), "rows")), "row", "left_semi")
+    some = _tokens(some).select("row", F.posexplode_outer("value").alias("place", "value")).select("row", (F.col("place") + 1).alias("place"), "value").distinct()
+    filled = asked.join(some, ["row", "place"]).groupBy(*aligned, "item_value").agg(F.count_distinct("value").alias("n"), F.min(F.col("item_value") == F.col("value")).alias("same"))
+    filled = filled.groupBy(*aligned).agg(F.count(F.lit(1)).alias("n_slots"), F.avg((F.col("n") == 1).cast("double")).alias("consistent"), F.min("same").alias("same"))
     # a text that was cut or enlarged inside an item has several alignments: their windows add up
-    match = [F.col(f"h.{c}").eqNullSafe(F.col(f"s.{c}")) for c in aligned]
-    good = hits.alias("h").join(slots.alias("s"), match[0] & match[1] & match[2], "left").where(F.coalesce("consistent", F.lit(1.0)) >= CONSISTENT)
-    found = good.groupBy("h.doc_id", "h.item_id").agg(F.countDistinct("h.item_place").alias("n_matched"), F.coalesce(F.max("n_slots"), F.lit(0)).cast("long").alias("n_slots"), F.min(F.coalesce("same", F.lit(True))).alias("verbatim"))
+    good = hits.join(filled, aligned, "left").where(F.coalesce("consistent", F.lit(1.0)) >= CONSISTENT)
+    found = good.groupBy("doc_id", "item_id").agg(F.countDistinct("item_place").alias("n_matched"), F.coalesce(F.max("n_slots"), F.lit(0)).cast("long").alias("n_slots"), F.min(F.coalesce("same", F.lit(True))).alias("verbatim"))
     return found.join(total, "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= COVERED).select("doc_id", "item_id", "n_windows", "n_matched", "coverage", "n_slots", "verbatim")
 
 

@@ -39,7 +39,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """Of each row: doc_id, n_lines, n_removed, and text without boilerplate lines."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(site_col).cast("string").alias("site"))
-    lines = rows.select("doc_id", "text", "site", F.explode(F.split("text", "\n")).alias("row")).where(F.btrim("row", F.lit(" \t\r")) != "")
+    lines = rows.select("doc_id", "text", "site", F.explode_outer(F.split("text", "\n")).alias("row")).where(F.btrim("row", F.lit(" \t\r")) != "")
     gone = small(materialize(boilerplate(lines.select(_key(F.col("row")).alias("line"), "site"), min_sites), "boilerplate"))
     hits = lines.select("doc_id", F.xxhash64("text").alias("fp"), _key(F.col("row")).alias("line")).join(gone, "line")
     hits = hits.groupBy("doc_id", "fp").agg(F.collect_set("line").alias("gone"))
