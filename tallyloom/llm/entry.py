@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown_lm, chat_format, dart_minhash, decontaminate, exact_dedup, langid, line_dedup, pii
+from . import bpe, brown_lm, chat_format, dart_minhash, decontaminate, exact_dedup, html_extract, langid, line_dedup, pii
 from ._common import table
 
 
@@ -103,5 +103,9 @@ FROM m GROUP BY doc_id
 """
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_line_dedup": op3_line_dedup, "op7_minhash": op7_minhash, "op10_pii": op10_pii, "op9_brown_lm": op9_brown_lm, "op1_chat_format": op1_chat_format, "op6_bpe": op6_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_language_id": op8_language_id}
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {"op5_html_extract": op5_html_extract, "op2_decontaminate": op2_decontaminate, "op3_line_dedup": op3_line_dedup, "op7_minhash": op7_minhash, "op10_pii": op10_pii, "op9_brown_lm": op9_brown_lm, "op1_chat_format": op1_chat_format, "op6_bpe": op6_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_language_id": op8_language_id}
 ORACLES = {"op3_line_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL}
