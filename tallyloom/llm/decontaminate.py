@@ -1,6 +1,6 @@
 """Benchmark decontamination by template windows, with DataFrame functions only.
 
-Words of texts and benchmark items become template tokens: numbers, names (capitalised within a sentence) and units
+Words of texts and benchmark items become template tokens: numbers, names (capitalised within a sentence, not in capitals) and units
 turn into typed placeholders. Windows of WINDOW tokens of the items are hashed and joined with the documents' windows as
 these are made, so document windows are not shuffled. Matches that lie on one alignment of item and document are
 gathered, and their slots are checked: an item's value in a slot must always stand for the same document value. So a
@@ -34,6 +34,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), r"\s+"), lambda w: F.btrim(w, F.lit(SIGNS)) != "")
 
 
+def _is_name(bare: Column, value: Column) -> Column:
+    """Capitalised, and not written in capitals: a text in capitals has no names that could be told."""
+    return (F.length(bare) > 1) & (F.left(bare, F.lit(1)) != F.left(value, F.lit(1))) & (F.substring(bare, 2, 1 << 30) == F.substring(value, 2, 1 << 30))
+
+
 def _token(rows: DataFrame) -> Column:
     """The token of each word: a placeholder for a number, unit or name, else the word's value."""
 
@@ -44,7 +49,7 @@ def _token(rows: DataFrame) -> Column:
             F.when(first.between("0", "9"), F.lit(NUMBER))
             .when(value.isin(*UNITS) & after_number, F.lit(UNIT))
             .when((F.element_at("_tl_bare", i + 1) == value) | (i == 0) | F.element_at("_tl_stop", at), value)
-            .when(F.left(F.element_at("_tl_bare", i + 1), F.lit(1)) != first, F.lit(NAME))
+            .when(_is_name(F.element_at("_tl_bare", i + 1), value), F.lit(NAME))
             .otherwise(value)
         )
 

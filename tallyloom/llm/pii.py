@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
 SURE, ROUNDS, DAMP = 0.9, 30, 0.3
+#: Least log potential with which equal tokens hold the same kind; what counts say comes on top.
+CONSISTENT = 3.0
 
 # What the patterns are made of.
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -159,9 +161,9 @@ class Field:
         prior = unary.sum(0) / unary.sum()
         odds = lambda m: np.log((m + m.T) / (m + m.T).sum() / np.outer(prior, prior)).clip(-4, 4)
         self.chain = odds(chain)
-        # repeated tokens agree on any kind; what the patterns missed in one of them is no evidence against it
-        same = np.trace(skip) / skip.sum()
-        self.skip = np.where(np.eye(LABELS, dtype=bool), np.log(1 + same), 0.0) + odds(skip).clip(0) * np.eye(LABELS)
+        # what the patterns missed in one of two equal tokens is no evidence against it, so disagreement is not learned
+        self.skip = np.eye(LABELS) * (CONSISTENT + odds(skip).clip(0))
+        self.skip[0, 0] = 0.0
         self.skip[0, 1:] = self.skip[1:, 0] = -1.0
 
     def marginals(self, unary: np.ndarray, edges: list[tuple[int, int, bool]]) -> np.ndarray:
