@@ -29,6 +29,18 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(rows.unionByName(own)))
 
 
+OP1_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+     e AS (SELECT *, regexp_replace(r, '<(\\*)\|', '<\\\1|', 'g') AS er, regexp_replace(t, '<(\\*)\|', '<\\\1|', 'g') AS et FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn NULLS FIRST, r, t)) AS turns_sha256,
+       CAST(sum(CASE WHEN r = 'assistant' THEN length(t) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN r = 'assistant' THEN t ELSE '' END, '' ORDER BY turn NULLS FIRST, r, t), '')) AS loss_sha256,
+       CAST(sum(12 + length(er) + 1 + length(et) + 11) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -89,6 +101,45 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+_SIGNS = decontaminate.SIGNS.replace("'", "''")
+
+
+def _tokens_sql(x: str, key: str, rows: str) -> str:
+    return f"""
+ w{x} AS (SELECT {key} AS id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: trim(w, '{_SIGNS}') <> '') AS ws FROM {rows}),
+ v{x} AS (SELECT id, ws, list_transform(ws, lambda w: trim(w, '{_SIGNS}')) AS bare FROM w{x}),
+ t{x} AS (SELECT id, i, lower(b) AS value, CASE WHEN lower(b)[1] BETWEEN '0' AND '9' THEN '<number>'
+    WHEN i > 1 AND lower(b) IN {decontaminate.UNITS} AND lower(bare[i - 1])[1] BETWEEN '0' AND '9' THEN '<unit>'
+    WHEN b = lower(b) OR i = 1 OR right(ws[i - 1], 1) IN ('.', '!', '?', ':') THEN lower(b)
+    WHEN length(b) > 1 AND b[1] <> lower(b)[1] AND substr(b, 2) = substr(lower(b), 2) THEN '<name>' ELSE lower(b) END AS token
+    FROM (SELECT id, ws, bare, unnest(range(1, len(bare) + 1)) AS i, unnest(bare) AS b FROM v{x}) x),
+ l{x} AS (SELECT id, list(token ORDER BY i) AS ts, list(value ORDER BY i) AS vs FROM t{x} GROUP BY id)"""
+
+
+_WINDOW = "array_to_string(list_concat([CASE WHEN ts[p] = '<name>' THEN vs[p] ELSE ts[p] END], ts[p + 1 : p + k - 1]), ' ')"
+_IS_SLOT = "IN ('<number>', '<name>', '<unit>')"
+OP2_SQL = (
+    "WITH"
+    + _tokens_sql("i", "item_id", "benchmark")
+    + ","
+    + _tokens_sql("d", "doc_id", "documents")
+    + f"""
+, iw AS (SELECT id AS item_id, p, k, {_WINDOW} AS h FROM (SELECT *, least(len(ts), {decontaminate.WINDOW}) AS k, unnest(range(1, len(ts) - least(len(ts), {decontaminate.WINDOW}) + 2)) AS p FROM li WHERE len(ts) >= {decontaminate.LEAST}) x
+         WHERE len(list_filter(ts[p : p + k - 1], lambda t: t {_IS_SLOT})) * 2 <= k),
+  n AS (SELECT item_id, count(*) AS n_windows FROM iw GROUP BY 1),
+  dw AS (SELECT id AS doc_id, p, k, {_WINDOW} AS h FROM (SELECT l.*, s.k, unnest(range(1, len(ts) - s.k + 2)) AS p FROM ld l, (SELECT DISTINCT k FROM iw) s) x),
+  hit AS (SELECT d.doc_id, i.item_id, i.p, i.k, d.p - i.p AS shift FROM dw d JOIN iw i ON d.k = i.k AND d.h = i.h),
+  a AS (SELECT DISTINCT doc_id, item_id, shift, unnest(range(p, p + k)) AS i FROM hit),
+  s AS (SELECT a.doc_id, a.item_id, a.shift, ti.value AS iv, count(DISTINCT td.value) AS c, min(CASE WHEN ti.value = td.value THEN 1 ELSE 0 END) AS same
+        FROM a JOIN ti ON ti.id = a.item_id AND ti.i = a.i AND ti.token {_IS_SLOT} JOIN td ON td.id = a.doc_id AND td.i = a.i + a.shift GROUP BY ALL),
+  f AS (SELECT doc_id, item_id, shift, count(*) AS n_slots, avg(CASE WHEN c = 1 THEN 1.0 ELSE 0 END) AS ok, min(same) AS same FROM s GROUP BY ALL),
+  m AS (SELECT h.doc_id, h.item_id, count(DISTINCT h.p) AS n_matched, coalesce(max(f.n_slots), 0) AS n_slots, min(coalesce(f.same, 1)) = 1 AS verbatim
+        FROM hit h LEFT JOIN f ON f.doc_id = h.doc_id AND f.item_id = h.item_id AND f.shift = h.shift WHERE coalesce(f.ok, 1) >= {decontaminate.CONSISTENT} GROUP BY ALL)
+SELECT m.doc_id, m.item_id, n_windows, n_matched, n_matched / CAST(n_windows AS DOUBLE) AS coverage, n_slots, verbatim FROM m JOIN n ON m.item_id = n.item_id WHERE n_matched / CAST(n_windows AS DOUBLE) >= {decontaminate.COVERED}
+"""
+)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_boilerplate(table(spark, sf_dir, "documents"))
 
@@ -108,4 +159,4 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_html_extract": op5_html_extract, "op2_decontaminate": op2_decontaminate, "op3_line_dedup": op3_line_dedup, "op7_minhash": op7_minhash, "op10_pii": op10_pii, "op9_brown_lm": op9_brown_lm, "op1_chat_format": op1_chat_format, "op6_bpe": op6_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_language_id": op8_language_id}
-ORACLES = {"op3_line_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op2_decontaminate": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL}
