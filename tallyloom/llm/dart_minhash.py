@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import drop_ids, materialize, mix, pieces, small, utf8
@@ -216,6 +216,33 @@ def _jaccard(pairs: DataFrame) -> DataFrame:
     return pairs.select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
+def _beside_hub(pairs: DataFrame) -> DataFrame:
+    """Of pairs (u, v, text_u, text_v) with a hub v: hub, node, n (shingles of the node), common (of them in the hub), extra (the others)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: OrderedDict = OrderedDict()
+        for batch in batches:
+            n, common, extra = [], [], []
+            for i in range(batch.num_rows):
+                sets = []
+                for node, text in ((batch.column(1)[i].as_py(), batch.column(3)[i]), (None, batch.column(2)[i])):
+                    if node is None or node not in held:
+                        raw = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+                        found = shingles(raw, np.array([0, len(raw)]))[0]
+                        if node is not None:
+                            held[node] = found
+                            if len(held) > 64:
+                                held.popitem(last=False)
+                    sets.append(found if node is None else held[node])
+                more = np.setdiff1d(sets[1], sets[0], assume_unique=True)
+                n.append(len(sets[1]))
+                common.append(len(sets[1]) - len(more))
+                extra.append(more.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(n, pa.int32()), pa.array(common, pa.int32()), pa.array(extra, pa.list_(pa.int64()))], ["hub", "node", "n", "common", "extra"])
+
+    return pairs.select("u", "v", "text_u", "text_v").mapInArrow(run, "hub long, node long, n int, common int, extra array<long>")
+
+
 def _agreeing(pairs: DataFrame) -> DataFrame:
     """Of pairs (u, v, short_u, short_v), those whose signatures agree on AGREE of the coordinates."""
 
@@ -243,8 +270,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = materialize(hubs, "hubs")
     star = materialize(members.join(hubs, "band").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "stars")
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        """Exact comparison; texts are fetched for the nodes that occur in pairs."""
+    def with_texts(pairs: DataFrame) -> DataFrame:
+        """pairs with text_u and text_v; texts are fetched for the nodes that occur in pairs."""
         asked = materialize(pairs.select("u").unionAll(pairs.select("v")).distinct().join(nodes.select(F.col("node").alias("u"), "fp"), "u"), "asked")
         own = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         read = docs.select(own.alias("text")).withColumn("fp", F.xxhash64("text"))
@@ -252,24 +279,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts = materialize(asked.join(texts, "fp").select(F.col("u").alias("node"), "text"), "texts")
         for end in ("u", "v"):
             pairs = pairs.join(texts.toDF(end, f"text_{end}"), end)
-        return _jaccard(pairs)
+        return pairs
 
-    links = materialize(similar(star), "links")
+    links = materialize(_jaccard(with_texts(star)), "links")
     found = components(links)
 
-    # nodes of a bucket that are not in its hub's component, against all other components there
+    # buckets with nodes outside their hub's component. Two nodes that share no shingle but the hub's can only be similar
+    # if both lie mostly within the hub and are smaller; all others must meet in a shingle that the hub has not
     rooted = members.select("band", "node").join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     main = hubs.join(found, hubs["hub"] == found["node"], "left").select("band", "hub", F.coalesce("root", "hub").alias("main"))
     rooted = rooted.join(main, "band")
-    mixed = rooted.where("root <> main").select("band").distinct()
-    rooted = materialize(rooted.join(mixed, "band", "left_semi"), "mixed")
-    apart = rooted.where("root <> main").select("band", F.col("node").alias("u"), F.col("root").alias("root_u"))
-    every = rooted.select("band", F.col("node").alias("v"), F.col("root").alias("root_v"), F.col("hub"), "main")
-    rest = apart.join(every, "band").where("root_u <> root_v AND v <> hub AND (root_v = main OR u < v)").select("u", "v").distinct()
+    mixed = rooted.where("root <> main").select("hub").distinct()
+    rooted = materialize(rooted.where("node <> hub").select("hub", "node", "root", "main").distinct().join(mixed, "hub", "left_semi"), "mixed")
+    beside = _beside_hub(with_texts(rooted.select(F.col("node").alias("u"), F.col("hub").alias("v"))))
+    beside = materialize(beside.join(rooted, ["hub", "node"]), "beside")
+    wanted = (F.col("u.root") != F.col("u.main")) & (F.col("u.root") != F.col("v.root")) & ((F.col("v.root") == F.col("v.main")) | (F.col("u.node") < F.col("v.node")))
+    ends = [F.col("u.node").alias("u"), F.col("v.node").alias("v")]
+    # they must share so many of them that one is among the rarest of each: the prefix filter, by size steps of the other
+    step = lambda n: F.floor(F.log(n) * 20).cast("int")
+    extra = beside.select("hub", "node", "root", "main", "n", F.explode("extra").alias("at"))
+    rare = extra.join(extra.groupBy("hub", "at").agg(F.count(F.lit(1)).alias("often")), ["hub", "at"])
+    rare = rare.withColumn("rank", F.row_number().over(Window.partitionBy("hub", "node").orderBy("often", "at"))).where(f"rank <= {1 - SIMILAR} * n + 1")
+    rare = materialize(rare.drop("often").withColumn("size", step(F.col("n"))), "rare")
+    share = SIMILAR / (1 + SIMILAR)
+    reach = rare.where("root <> main").withColumn("size", F.explode(F.sequence(step(F.col("n") * SIMILAR), step((F.col("n") - F.col("rank") + 1) / share - F.col("n")))))
+    shared = share * (F.col("u.n") + F.col("v.n"))
+    near = (F.col("u.rank") <= F.col("u.n") - shared + 1) & (F.col("v.rank") <= F.col("v.n") - shared + 1)
+    rest = reach.alias("u").join(rare.alias("v"), (F.col("u.hub") == F.col("v.hub")) & (F.col("u.at") == F.col("v.at")) & (F.col("u.size") == F.col("v.size")) & near & wanted).select(*ends)
+    # of nodes mostly within the hub: from the least to the largest size that can be similar
+    step = lambda n: F.floor(F.log(n) * 100).cast("int")
+    within = beside.drop("extra").where(f"common >= {SIMILAR} * n")
+    most = F.col("common") * (1 + 1 / SIMILAR) - F.col("n")
+    least = F.col("n") * SIMILAR
+    reach = within.where(f"root <> main AND common * {1 + 1 / SIMILAR} - n >= {SIMILAR} * n").withColumn("at", F.explode(F.sequence(step(least), step(most))))
+    both = F.least("u.common", "v.common")
+    inner = reach.alias("u").join(within.withColumn("at", step(F.col("n"))).alias("v"), (F.col("u.hub") == F.col("v.hub")) & (F.col("u.at") == F.col("v.at")) & wanted & (both >= SIMILAR * (F.col("u.n") + F.col("v.n") - both))).select(*ends)
+    rest = rest.unionAll(inner).distinct()
     for end in ("u", "v"):
         rest = rest.join(nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("short").alias(f"short_{end}")), end)
     rest = materialize(_agreeing(rest.where(f"least(n_u, n_v) >= {SIMILAR} * greatest(n_u, n_v)")), "rest")
-    more = materialize(similar(rest), "links")
+    more = materialize(_jaccard(with_texts(rest)), "links")
     if more.limit(1).count():
         found = components(links.unionAll(more))
 
