@@ -71,10 +71,12 @@ def km_by_class_voltage(spark, sf_dir):
     return survival.km_summary(_timed(spark, sf_dir), ["resource_class", "voltage_level"], 30)
 
 
-@query(_km("resource_class") + ' SELECT "group", CAST(t AS BIGINT) AS t, n_at_risk, events, round(s, 6) AS s, round(lo, 6) AS s_lower, round(hi, 6) AS s_upper FROM k', "app")
+@query(_km("resource_class") + ' SELECT "group", CAST(t AS BIGINT) AS t, n_at_risk, events, floor(s * 1e9 + 0.5) / 1e9 AS s, floor(lo * 1e9 + 0.5) / 1e9 AS s_lower, floor(hi * 1e9 + 0.5) / 1e9 AS s_upper FROM k', "app")
 def km_table(spark, sf_dir):
     t = survival.km_table(_timed(spark, sf_dir), ["resource_class"])
-    return t.select("group", F.col("t").cast("long"), F.col("n_at_risk").cast("long"), F.col("events").cast("long"), F.round("S", 6).alias("s"), F.round("S_lower", 6).alias("s_lower"), F.round("S_upper", 6).alias("s_upper"))
+    # engines round ties in their own ways
+    near = lambda c: F.floor(F.col(c) * 1e9 + 0.5) / 1e9
+    return t.select("group", F.col("t").cast("long"), F.col("n_at_risk").cast("long"), F.col("events").cast("long"), near("S").alias("s"), near("S_lower").alias("s_lower"), near("S_upper").alias("s_upper"))
 
 
 @query(_TIMED + " SELECT publisher, resource_class, count(*) AS n, quantile_cont(CAST(time_days AS DOUBLE), 0.25) AS q25, quantile_cont(CAST(time_days AS DOUBLE), 0.5) AS median, quantile_cont(CAST(time_days AS DOUBLE), 0.75) AS q75 FROM t WHERE event = 1 GROUP BY 1, 2 HAVING count(*) >= 30", "app")
