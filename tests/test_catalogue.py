@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from tallyloom.plans import queries as register
+from tallyloom.plans import source_queries  # noqa: F401  adds its queries to the catalogue
 
 DATA = "/root/testdata/sf0.001"
 

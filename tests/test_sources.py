@@ -75,3 +75,14 @@ def test_streams(spark, tmp_path):
     q = streams.watch_editions(stream, base, str(tmp_path / "out"), str(tmp_path / "state"))
     assert q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).first()["status_changes"] == 0
+
+
+def test_street_lists(spark, tmp_path):
+    from tallyloom.sources import publishers
+
+    texts = {"a": '["Polna", "Leśna"]', "b": '{"ulice": [{"nazwa": "Polna", "lat": 1.5, "lon": 2.5}]}', "c": '{"streets": {"Polna": {"lat": 1.5, "lon": 2.5}, "Leśna": null}}'}
+    got = {}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+        got[name] = sorted(tuple(r) for r in publishers.street_list(spark, str(tmp_path / f"{name}.json")).collect())
+    assert got["a"] == [("Leśna", None, None), ("Polna", None, None)] and got["b"] == [("Polna", 1.5, 2.5)] and got["c"] == [("Leśna", None, None), ("Polna", 1.5, 2.5)]
