@@ -323,7 +323,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = components(links.unionAll(more))
 
     own = signed.select("doc_id", "node").join(found, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    classes = own.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).where("class_size > 1")
+    # a table of its own: the join then has a plain exchange on each side, and a class with very many rows can be split
+    classes = materialize(own.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).where("class_size > 1"), "classes")
     joined = own.join(classes, "root", "left")
     class_id = F.coalesce("class_id", "doc_id")
     return joined.select("doc_id", class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
