@@ -18,10 +18,9 @@ from tallyloom.llm.entry import tokenizer_path
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language; those without any letter (`und`) go. An ambiguous one stays: it is in one of two languages."""
     model = langid.fit(docs.where(~langid.held_out(docs, 5) & F.col("doc_id").isNotNull()))
-    whole = docs.select(F.struct("*").alias("_tl_doc"), F.col("text"))
     if not model.languages:
-        return whole.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select("_tl_doc.*")
-    return langid.identify(whole, model).where(F.col("lang_pred") != "und").select("_tl_doc.*")
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return langid.identify(docs, model, prefix="_tl_").where(F.col("_tl_lang_pred") != "und").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +41,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, packed token ids, and what they and their decoding amount to."""
     path = tokenizer_path(spark)
-    done = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path), path)
+    done = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path).drop("text"), path)
     return done.select("doc_id", "token_ids", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -15,10 +15,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import pieces, utf8
 
@@ -133,19 +133,27 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     return Model(languages, counts)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score and ambiguous added (columns of those names are replaced)."""
-
-    def predict(texts: pd.Series, letters: pd.Series) -> pd.DataFrame:
-        best, score, lead = model.decode(model.margins(*utf8(pa.array(texts, pa.large_string(), from_pandas=True)))) if model.languages else (np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts)))
-        ok = letters.to_numpy(bool) & bool(model.languages)
-        names = np.array([*model.languages, "und"], object)
-        return pd.DataFrame({"lang_pred": names[np.where(ok, best, len(model.languages))], "score": np.where(ok, score, 0.0), "ambiguous": ok & (lead < AMBIGUOUS)})
-
-    udf = F.pandas_udf(predict, "lang_pred string, score double, ambiguous boolean")
+def identify(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """docs with lang_pred, score and ambiguous added, their names begun with prefix (columns of those names are replaced). A batch is read where it lies, without a copy of its texts as Python strings."""
+    names = [f"{prefix}{c}" for c in ("lang_pred", "score", "ambiguous")]
     text = F.col(text_col).cast("string")
-    said = docs.withColumn("_tl_said", udf(text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False))))
-    return said.withColumns({c: F.col(f"_tl_said.{c}") for c in ("lang_pred", "score", "ambiguous")}).drop("_tl_said")
+    source = docs.withColumns({"_tl_letters": F.coalesce(text.rlike(r"\p{L}"), F.lit(False)), "_tl_text": text}).drop(*names)
+    if text_col not in names and dict(docs.dtypes)[text_col] == "string":
+        source = source.drop("_tl_text")
+    at, letters = source.columns.index("_tl_text" if "_tl_text" in source.columns else text_col), source.columns.index("_tl_letters")
+    own = [i for i, c in enumerate(source.columns) if c not in ("_tl_letters", "_tl_text")]
+    schema = T.StructType([source.schema.fields[i] for i in own] + [T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)])
+    words = pa.array([*model.languages, "und"], pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            best, score, lead = model.decode(model.margins(*utf8(batch.column(at)))) if model.languages else (np.zeros(n, int), np.zeros(n), np.zeros(n))
+            ok = batch.column(letters).to_numpy(zero_copy_only=False) & bool(model.languages)
+            said = [words.take(pa.array(np.where(ok, best, len(model.languages)))), pa.array(np.where(ok, score, 0.0)), pa.array(ok & (lead < AMBIGUOUS))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), *said], schema.names)
+
+    return source.mapInArrow(run, schema)
 
 
 def held_out(docs: DataFrame, parts: int, id_col: str = "doc_id") -> F.Column:
