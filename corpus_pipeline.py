@@ -41,7 +41,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, packed token ids, and what they and their decoding amount to."""
     path = tokenizer_path(spark)
-    done = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    done = bpe.encode_decode(docs.select("doc_id", "text"), path)
     return done.select("doc_id", "token_ids", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -12,6 +12,7 @@ tokenizers library with add_special_tokens=False; other columns of the input pas
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import re
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from ._common import pieces
 
 #: Words remembered in a Python worker before it begins anew; characters of text taken at once.
-REMEMBER, BLOCK = 250_000, 1 << 19
+REMEMBER, BLOCK = 50_000, 1 << 19
 #: Bytes of input in a batch of results.
 SLICE = 1 << 20
 #: Fragments beyond so many bytes are merged one by one.
@@ -52,26 +53,35 @@ class Tokenizer:
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         self.suffix = said["model"]["end_of_word_suffix"] or ""
-        self.ids: dict[str, int] = said["model"]["vocab"]
+        ids: dict[str, int] = said["model"]["vocab"]
         pairs = [p if isinstance(p, list) else p.split(" ") for p in said["model"]["merges"]]
-        #: (left, right) of ids: rank
-        self.ranks = {(self.ids[a], self.ids[b]): rank for rank, (a, b) in enumerate(pairs)}
-        self.made = np.array([self.ids[a + b] for a, b in pairs] or [0], np.int32)
-        self.tables = self._tables(np.array(list(self.ranks), np.int64).reshape(-1, 2))
+        self.merges = np.array([(ids[a], ids[b]) for a, b in pairs], np.int64).reshape(-1, 2)
+        self.made = np.array([ids[a + b] for a, b in pairs] or [0], np.int32)
+        self.tables = self._tables(self.merges)
         self.special = {x["content"]: x["id"] for x in said["added_tokens"]}
-        self.token = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
+        self.token = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
         self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         byte = {c: b for b, c in _CHARACTER.items()}
         self.inside = np.zeros((256, 256), bool)
-        for token in self.ids:
+        for token in ids:
             own = [byte[c] for c in token.removesuffix(self.suffix)]
             self.inside[own[:-1], own[1:]] = True
-        self.first = np.array([self.ids[_CHARACTER[b]] for b in range(256)], np.int32)
-        self.final = np.array([self.ids[_CHARACTER[b] + self.suffix] for b in range(256)], np.int32)
+        self.first = np.array([ids[_CHARACTER[b]] for b in range(256)], np.int32)
+        self.final = np.array([ids[_CHARACTER[b] + self.suffix] for b in range(256)], np.int32)
         #: remembered words and the special strings, with their packed ids
         self.fixed = {x: np.array([i], "<u4").tobytes() for x, i in self.special.items()}
         self.words = dict(self.fixed)
 
+    def forget(self) -> None:
+        """Drop the remembered words: an idle worker keeps the vocabulary only."""
+        self.words = dict(self.fixed)
+        pa.default_memory_pool().release_unused()
+
+    @functools.cached_property
+    def ranks(self) -> dict[tuple[int, int], int]:
+        """The ranks by pair, for long fragments only."""
+        return {(a, b): rank for rank, (a, b) in enumerate(self.merges.tolist())}
+
     @staticmethod
     def _slots(keys: np.ndarray, turn: int) -> np.ndarray:
         odd = (0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * turn) % (1 << 64)
@@ -132,7 +142,8 @@ class Tokenizer:
         if ends:
             ids[-1] = int(self.final[fragment[-1]])
         after, before = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
-        queue = [(self.ranks[p], i, p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in self.ranks]
+        ranks = self.ranks
+        queue = [(ranks[p], i, p) for i, p in enumerate(zip(ids, ids[1:], strict=False)) if p in ranks]
         heapq.heapify(queue)
         while queue:
             rank, i, pair = heapq.heappop(queue)
@@ -144,8 +155,8 @@ class Tokenizer:
             if after[j] >= 0:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (p := (ids[a], ids[b])) in self.ranks:
-                    heapq.heappush(queue, (self.ranks[p], a, p))
+                if a >= 0 and b >= 0 and (p := (ids[a], ids[b])) in ranks:
+                    heapq.heappush(queue, (ranks[p], a, p))
         return [x for x in ids if x is not None]
 
     def fragments(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -249,28 +260,41 @@ def tokenizer(path: str) -> Tokenizer:
     return _LOADED[path]
 
 
-def _map(docs: DataFrame, column: Column, to: str, kind: T.DataType, work: Callable[[list], list]) -> DataFrame:
-    """docs with the column to, made from column by work, a bounded slice of rows at a time; all else passes through."""
-    source = docs.drop(to).withColumn(to, column)
-    at = source.columns.index(to)
-    schema = T.StructType([*source.schema.fields[:at], T.StructField(to, kind)])
+def _map(docs: DataFrame, path: str, column: Column, made: dict[str, T.DataType], work: Callable[[Tokenizer, list], list[list]]) -> DataFrame:
+    """docs with the columns made, from column by work, a bounded slice of rows at a time; all else passes through."""
+    source = docs.drop(*made).withColumn("_tl_in", column)
+    at = len(source.columns) - 1
+    schema = T.StructType([*source.schema.fields[:at], *(T.StructField(n, t) for n, t in made.items())])
+    kinds = [pa.binary() if isinstance(t, T.BinaryType) else pa.string() for t in made.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = tokenizer(path)
         for batch in batches:
             values = batch.column(at)
             edges = np.r_[0, np.cumsum(np.maximum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False), 64))]
             for a, b in pieces(edges, SLICE):
-                made = work(values.slice(a, b - a).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:at], pa.array(made, pa.binary() if isinstance(kind, T.BinaryType) else pa.string())], schema.names)
+                out = work(own, values.slice(a, b - a).to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:at], *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], schema.names)
+        own.forget()
 
     return source.mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", to: str = "token_ids") -> DataFrame:
     """docs with the packed ids of text_col."""
-    return _map(docs, F.coalesce(F.col(text_col).cast("string"), F.lit("")), to, T.BinaryType(), lambda texts: tokenizer(path).encode_all(texts))
+    return _map(docs, path, F.coalesce(F.col(text_col).cast("string"), F.lit("")), {to: T.BinaryType()}, lambda own, texts: [own.encode_all(texts)])
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "token_ids", to: str = "decoded") -> DataFrame:
     """encoded with the text that ids_col decodes to; null ids are none."""
-    return _map(encoded, F.coalesce(ids_col, F.lit(b"")), to, T.StringType(), lambda ids: [tokenizer(path).decode(x) for x in ids])
+    return _map(encoded, path, F.coalesce(ids_col, F.lit(b"")), {to: T.StringType()}, lambda own, ids: [[own.decode(x) for x in ids]])
+
+
+def encode_decode(docs: DataFrame, path: str, text_col: str = "text", to: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+    """encode() and then decode() of its ids, in one pass over the rows and by one Python worker."""
+
+    def work(own: Tokenizer, texts: list) -> list[list]:
+        ids = own.encode_all(texts)
+        return [ids, [own.decode(x) for x in ids]]
+
+    return _map(docs, path, F.coalesce(F.col(text_col).cast("string"), F.lit("")), {to: T.BinaryType(), decoded: T.StringType()}, work)
