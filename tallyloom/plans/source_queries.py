@@ -11,22 +11,24 @@ from ..sources import publishers, registers
 from .queries import _ASSIGN, _assigned, _load, _pick, _read, query
 from .views import view
 
-_K = F.col("o_orderkey")
+def _k() -> F.Column:
+    """The order key; made in a query, as columns need a session."""
+    return F.col("o_orderkey")
 
 
 @query(" SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderdate AS DATE) END AS as_at, CAST(o_orderdate AS DATE) AS in_name, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS DOUBLE) + 0.5 END AS kva, CASE WHEN o_orderkey % 4 < 2 THEN '110 kV' END AS tag FROM orders", "base")
 def document_values(spark, sf_dir):
     day = F.date_format("o_orderdate", "d.MM.yyyy")
-    title = F.when(_K % 3 == 0, "stan na jutro").when(_K % 3 == 1, F.concat(F.lit("Wykaz, stan na dzień "), day, F.lit(" r."))).otherwise(F.concat(F.lit("STAN NA "), day))
-    note = F.when(_K % 2 == 0, F.concat(F.lit("limit = "), _K.cast("string"), F.lit(".5 kVA"))).otherwise("no limit")
-    return _read(spark, sf_dir, "orders").select(_K.alias("k"), D.as_at(title).alias("as_at"), D.date_in_name(F.concat(F.lit("dir/list_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit(".pdf"))).alias("in_name"), D.stated_kva(note).alias("kva"), D.voltage_tag(F.when(_K % 4 < 2, "rozdzielnia 110kV A").otherwise("none")).alias("tag"))
+    title = F.when(_k() % 3 == 0, "stan na jutro").when(_k() % 3 == 1, F.concat(F.lit("Wykaz, stan na dzień "), day, F.lit(" r."))).otherwise(F.concat(F.lit("STAN NA "), day))
+    note = F.when(_k() % 2 == 0, F.concat(F.lit("limit = "), _k().cast("string"), F.lit(".5 kVA"))).otherwise("no limit")
+    return _read(spark, sf_dir, "orders").select(_k().alias("k"), D.as_at(title).alias("as_at"), D.date_in_name(F.concat(F.lit("dir/list_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit(".pdf"))).alias("in_name"), D.stated_kva(note).alias("kva"), D.voltage_tag(F.when(_k() % 4 < 2, "rozdzielnia 110kV A").otherwise("none")).alias("tag"))
 
 
 @query(" SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders", "base")
 def written_date(spark, sf_dir):
     month = F.element_at(F.array(*[F.lit(m) for m in ("stycznia", "lutego", "marca", "kwietnia", "maja", "czerwca", "lipca", "sierpnia", "września", "października", "listopada", "grudnia")]), F.month("o_orderdate"))
     text = F.concat(F.lit("Aktualizacja: "), F.dayofmonth("o_orderdate").cast("string"), F.lit(" "), month, F.lit(" "), F.year("o_orderdate").cast("string"))
-    return _read(spark, sf_dir, "orders").select(_K.alias("k"), D.written_date(text).alias("d"))
+    return _read(spark, sf_dir, "orders").select(_k().alias("k"), D.written_date(text).alias("d"))
 
 
 @query(" SELECT 'st' || s_suppkey || '|' || CASE s_suppkey % 2 WHEN 0 THEN '110' ELSE '15kV' END AS node_id, CASE s_suppkey % 2 WHEN 0 THEN '110 kV' ELSE '15 kV' END AS voltage_level, s_suppkey % 3 = 0 AS constraint_flag, CAST(s_suppkey % 3 AS DOUBLE) AS free_slots FROM supplier WHERE s_suppkey % 10 > 0", "base")
@@ -56,15 +58,15 @@ def wide_rows(spark, sf_dir):
 
 @query(" SELECT 'pub:item:' || o_orderkey || '.' AS application_id, 'WIND' AS resource_class, CAST(o_orderkey AS DOUBLE) AS capacity_injected, CAST(o_orderdate AS DATE) AS date_application FROM orders WHERE o_orderkey % 4 > 0", "base")
 def listed_rows(spark, sf_dir):
-    cells = F.array(F.when(_K % 4 > 0, F.concat(_K.cast("string"), F.lit("."))).otherwise("Lp."), F.lit(" "), F.lit("x"), F.lit("FW"), _K.cast("string"), F.date_format("o_orderdate", "dd.MM.yyyy"))
-    rows = _read(spark, sf_dir, "orders").select(cells.alias("cells"), F.lit("d").alias("source_document"), _K.alias("_seq"))
+    cells = F.array(F.when(_k() % 4 > 0, F.concat(_k().cast("string"), F.lit("."))).otherwise("Lp."), F.lit(" "), F.lit("x"), F.lit("FW"), _k().cast("string"), F.date_format("o_orderdate", "dd.MM.yyyy"))
+    rows = _read(spark, sf_dir, "orders").select(cells.alias("cells"), F.lit("d").alias("source_document"), _k().alias("_seq"))
     return publishers.listed_rows(rows, {"application_id": 1, "location_text": 2, "resource_class": 3, "capacity_injected": 4, "date_application": 5}, "pub", "PL").select("application_id", "resource_class", "capacity_injected", "date_application")
 
 
 @query(""", x AS (SELECT o_orderkey // 1000 AS doc, o_orderkey AS seq, CASE WHEN o_orderkey % 50 = 1 THEN 'a' WHEN o_orderkey % 50 = 26 THEN 'b' END AS h FROM orders), y AS (SELECT *, last_value(h IGNORE NULLS) OVER (PARTITION BY doc ORDER BY seq) AS section FROM x) SELECT doc, section, count(*) AS n FROM y WHERE h IS NULL GROUP BY 1, 2""", "base")
 def sections(spark, sf_dir):
-    text = F.when(_K % 50 == 1, "1. Wnioski").when(_K % 50 == 26, "2. Stacje").otherwise("row")
-    lines = _read(spark, sf_dir, "orders").select(F.floor(_K / 1000).alias("doc"), _K.alias("seq"), text.alias("text"))
+    text = F.when(_k() % 50 == 1, "1. Wnioski").when(_k() % 50 == 26, "2. Stacje").otherwise("row")
+    lines = _read(spark, sf_dir, "orders").select(F.floor(_k() / 1000).alias("doc"), _k().alias("seq"), text.alias("text"))
     return publishers.sections(lines, {"a": r"^1\.", "b": r"^2\."}, ("doc",)).groupBy("doc", "section").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -83,7 +85,7 @@ def node_tables(spark, sf_dir):
 
 @query(" SELECT o_orderkey AS application_id, CASE o_orderkey % 3 WHEN 0 THEN 'WIND' WHEN 1 THEN 'LOAD' ELSE 'PV' END AS resource_class, CASE WHEN o_orderkey % 2 = 0 THEN 'REFUSED' ELSE 'UNDER_REVIEW' END AS process_status, o_totalprice AS capacity_withdrawn FROM orders", "base")
 def legacy_translate(spark, sf_dir):
-    old = _read(spark, sf_dir, "orders").select(_K.alias("id_wniosku"), _pick(("FW", "ODB", "PV")).alias("klasa_zasobu"), _pick(("ODMOWA", "W_ANALIZIE")).alias("status_procesu"), F.col("o_totalprice").alias("moc_pobierana"))
+    old = _read(spark, sf_dir, "orders").select(_k().alias("id_wniosku"), _pick(("FW", "ODB", "PV")).alias("klasa_zasobu"), _pick(("ODMOWA", "W_ANALIZIE")).alias("status_procesu"), F.col("o_totalprice").alias("moc_pobierana"))
     return legacy.translate(old)
 
 
