@@ -30,6 +30,8 @@ from ._common import drop_ids, materialize, mix, pieces, small, utf8
 from .components import components
 
 WORDS, SIMILAR = 5, 0.8
+#: SIMILAR as a fraction: bounds in whole numbers keep pairs of exactly that similarity.
+PART, WHOLE = 4, 5
 #: Bands and coordinates in each: two texts with similarity 0.8 miss all bands once in 20,000 times.
 BANDS, ROWS = 25, 5
 #: Signature agreement below this rules out SIMILAR (six standard deviations).
@@ -299,21 +301,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     step = lambda n: F.floor(F.log(n) * 20).cast("int")
     extra = beside.select("hub", "node", "root", "main", "n", F.explode("extra").alias("at"))
     rare = extra.join(extra.groupBy("hub", "at").agg(F.count(F.lit(1)).alias("often")), ["hub", "at"])
-    rare = rare.withColumn("rank", F.row_number().over(Window.partitionBy("hub", "node").orderBy("often", "at"))).where(f"rank <= {1 - SIMILAR} * n + 1")
+    rare = rare.withColumn("rank", F.row_number().over(Window.partitionBy("hub", "node").orderBy("often", "at"))).where(f"{WHOLE} * (rank - 1) <= {WHOLE - PART} * n")
     rare = materialize(rare.drop("often").withColumn("size", step(F.col("n"))), "rare")
-    share = SIMILAR / (1 + SIMILAR)
-    reach = rare.where("root <> main").withColumn("size", F.explode(F.sequence(step(F.col("n") * SIMILAR), step((F.col("n") - F.col("rank") + 1) / share - F.col("n")))))
-    shared = share * (F.col("u.n") + F.col("v.n"))
-    near = (F.col("u.rank") <= F.col("u.n") - shared + 1) & (F.col("v.rank") <= F.col("v.n") - shared + 1)
+    least = F.expr(f"({PART} * n + {WHOLE - 1}) div {WHOLE}")
+    most = lambda common: F.expr(f"{PART + WHOLE} * ({common}) div {PART} - n")
+    reach = rare.where("root <> main").withColumn("size", F.explode(F.sequence(step(least), step(most("n - rank + 1")))))
+    enough = lambda end: (PART + WHOLE) * (F.col(f"{end}.n") - F.col(f"{end}.rank") + 1) >= PART * (F.col("u.n") + F.col("v.n"))
+    near = enough("u") & enough("v")
     rest = reach.alias("u").join(rare.alias("v"), (F.col("u.hub") == F.col("v.hub")) & (F.col("u.at") == F.col("v.at")) & (F.col("u.size") == F.col("v.size")) & near & wanted).select(*ends)
     # of nodes mostly within the hub: from the least to the largest size that can be similar
     step = lambda n: F.floor(F.log(n) * 100).cast("int")
-    within = beside.drop("extra").where(f"common >= {SIMILAR} * n")
-    most = F.col("common") * (1 + 1 / SIMILAR) - F.col("n")
-    least = F.col("n") * SIMILAR
-    reach = within.where(f"root <> main AND common * {1 + 1 / SIMILAR} - n >= {SIMILAR} * n").withColumn("at", F.explode(F.sequence(step(least), step(most))))
+    within = beside.drop("extra").where(f"{WHOLE} * common >= {PART} * n")
+    reach = within.where("root <> main").withColumn("at", F.explode(F.sequence(step(least), step(most("common")))))
     both = F.least("u.common", "v.common")
-    inner = reach.alias("u").join(within.withColumn("at", step(F.col("n"))).alias("v"), (F.col("u.hub") == F.col("v.hub")) & (F.col("u.at") == F.col("v.at")) & wanted & (both >= SIMILAR * (F.col("u.n") + F.col("v.n") - both))).select(*ends)
+    inner = reach.alias("u").join(within.withColumn("at", step(F.col("n"))).alias("v"), (F.col("u.hub") == F.col("v.hub")) & (F.col("u.at") == F.col("v.at")) & wanted & (WHOLE * both >= PART * (F.col("u.n") + F.col("v.n") - both))).select(*ends)
     rest = rest.unionAll(inner).distinct()
     for end in ("u", "v"):
         rest = rest.join(nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("short").alias(f"short_{end}")), end)

@@ -164,6 +164,19 @@ def test_near_classes(spark, sample):
     assert dart_minhash.near_duplicates(docs(spark, rows[:1]).limit(0)).count() == 0
 
 
+def test_similarity_of_exactly_four_fifths_outside_the_hub(spark, monkeypatch):
+    # all nodes in one bucket: a copy cut to 28 of 35 shingles is compared with its source only outside the hub's component
+    sign = dart_minhash.sign
+    monkeypatch.setattr(dart_minhash, "sign", lambda *a, **b: sign(*a, **b).withColumn("bands", F.array(F.lit(1).cast("long"))))
+    rows = []
+    for k in range(12):
+        n = 5 * (k % 6 + 6)  # shingles
+        own = [f"w{k}x{i}" for i in range(n + 4)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[: n // 5 * 4 + 4]))]
+    got = Counter((r["doc_id"], r["class_id"]) for r in dart_minhash.near_duplicates(docs(spark, rows)).collect())
+    assert got == brute_classes(rows) == Counter((i, i - i % 2) for i, _ in rows)
+
+
 def test_components(spark):
     draw = random.Random(8)
     links = [(draw.randint(1, 60), draw.randint(1, 60)) for _ in range(35)] + [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(201, 260)]
