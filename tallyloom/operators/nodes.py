@@ -9,8 +9,6 @@ from ..functions.canonical import station_name
 
 ACTIVE = ("APPLICATION_FILED", "APPLICATION_INCOMPLETE", "UNDER_REVIEW", "CONDITIONS_ISSUED", "AGREEMENT_IN_FORCE")
 LINE = r"(?iU)\b(w\s+lini(i|ach)|relacj(i|a)|odczep\s+z\s+lini)"
-#: Words of a station's name at most in the containment join.
-MOST_WORDS = 8
 
 
 def station_map(nodes: DataFrame, separator: str | None = ",") -> DataFrame:
@@ -23,12 +21,11 @@ def station_map(nodes: DataFrame, separator: str | None = ",") -> DataFrame:
 def assign(apps: DataFrame, stations: DataFrame, strict: bool = False) -> DataFrame:
     """apps with group, group_name and group_match: EXACT, EXTENDED, LINE, AMBIGUOUS or NONE.
 
-    Containment is an equi-join too: the name's runs of words are exploded, up to the longest station name. Distinct
+    Containment is an equi-join too: the name's runs of words are exploded, of each length that a station name has. Distinct
     descriptions are matched once. A station in two groups whose nodes have the same name goes to the first group,
     unless strict.
     """
-    longest = stations.agg(F.max(F.size(F.split("station_norm", " ")))).first()[0] or 1
-    size = min(longest, MOST_WORDS)
+    sizes = sorted(r[0] for r in stations.select(F.size(F.split("station_norm", " "))).distinct().collect()) or [1]
     texts = apps.select("location_text").distinct().withColumn("_tl_norm", station_name(F.col("location_text")))
     open_texts = texts.where((F.col("_tl_norm") != "") & ~F.coalesce(F.col("location_text").rlike(LINE), F.lit(False)))
 
@@ -42,7 +39,7 @@ def assign(apps: DataFrame, stations: DataFrame, strict: bool = False) -> DataFr
 
     exact = groups(open_texts.join(stations, F.col("_tl_norm") == F.col("station_norm")))
     rest = open_texts.join(exact.select("location_text"), "location_text", "left_anti").withColumn("_tl_words", F.split("_tl_norm", " "))
-    runs = rest.withColumn("_tl_from", F.explode(F.sequence(F.lit(1), F.size("_tl_words")))).withColumn("_tl_size", F.explode(F.sequence(F.lit(1), F.least(F.lit(size), F.size("_tl_words") - F.col("_tl_from") + 1))))
+    runs = rest.withColumn("_tl_from", F.explode(F.sequence(F.lit(1), F.size("_tl_words")))).withColumn("_tl_size", F.explode(F.array(*map(F.lit, sizes)))).where("_tl_from + _tl_size <= size(_tl_words) + 1")
     runs = runs.select("location_text", F.array_join(F.slice("_tl_words", F.col("_tl_from"), F.col("_tl_size")), " ").alias("_tl_run")).distinct()
     extended = groups(runs.join(stations, F.col("_tl_run") == F.col("station_norm")))
     found = exact.withColumn("_tl_how", F.lit("EXACT")).unionByName(extended.withColumn("_tl_how", F.lit("EXTENDED")))

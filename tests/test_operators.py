@@ -101,6 +101,14 @@ def test_assignment(spark):
     assert got == {"GPZ Alfa": ("EXACT", 1), "przy stacji Alfa 110": ("EXTENDED", 1), "Beta": ("AMBIGUOUS", None), "w linii Alfa - Beta": ("LINE", None), "Gamma": ("NONE", None), None: ("NONE", None)}
 
 
+def test_long_station_names_are_contained(spark):
+    long = "Zakład Wodociągów i Kanalizacji w Nowym Mieście nad Rzeką Małą Stację"
+    stations = nodes.station_map(spark.createDataFrame([(1, "N1", long, 1), (2, "N2", "Beta", 2)], "_group_no int, node_name string, location_text string, _seq long"))
+    apps = spark.createDataFrame([(f"przy {long} od strony drogi",), ("obok Beta 110",)], "location_text string")
+    got = {r["location_text"]: (r["group_match"], r["group"]) for r in nodes.assign(apps, stations).collect()}
+    assert got == {f"przy {long} od strony drogi": ("EXTENDED", 1), "obok Beta 110": ("EXTENDED", 2)}
+
+
 def test_same_node_name_hides_ambiguity_unless_strict(spark):
     stations = nodes.station_map(spark.createDataFrame([(1, "N", "Beta", 1), (2, "N", "Beta", 2)], "_group_no int, node_name string, location_text string, _seq long"))
     apps = spark.createDataFrame([("Beta",)], "location_text string")
