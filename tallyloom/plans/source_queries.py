@@ -51,8 +51,8 @@ def heat_map(spark, sf_dir):
 @query(" SELECT 'N00' || s_suppkey AS node_id, 1000.0 * (1000 + s_suppkey) + 500 AS capacity_available, DATE '2025-08-01' AS date_published FROM supplier WHERE s_suppkey % 5 > 0", "base")
 def wide_rows(spark, sf_dir):
     k = F.col("s_suppkey")
-    cells = F.concat(F.array(F.concat(F.lit("N00"), k.cast("string")), F.lit("n"), F.lit("p"), F.lit("66"), F.concat(F.lit("1."), F.lpad(k.cast("string"), 3, "0"), F.lit(",5")), F.lit("0,5")), F.array_repeat(F.lit(""), 23))
-    rows = _read(spark, sf_dir, "supplier").where("s_suppkey < 1000").select(F.when(k % 5 > 0, cells).otherwise(F.slice(cells, 1, 20)).alias("cells"), F.lit("list_2025-08-01.pdf").alias("source_document"), k.alias("_seq"))
+    cells = F.concat(F.array(F.concat(F.lit("N00"), k.cast("string")), F.lit("n"), F.lit("p"), F.lit("66"), F.concat(F.replace(F.format_number(k + 1000, 0), F.lit(","), F.lit(".")), F.lit(",5")), F.lit("0,5")), F.array_repeat(F.lit(""), 23))
+    rows = _read(spark, sf_dir, "supplier").select(F.when(k % 5 > 0, cells).otherwise(F.slice(cells, 1, 20)).alias("cells"), F.lit("list_2025-08-01.pdf").alias("source_document"), k.alias("_seq"))
     return publishers.wide_rows(rows, "p", "ES").select("node_id", "capacity_available", "date_published")
 
 

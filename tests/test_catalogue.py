@@ -38,6 +38,16 @@ def test_same_as_sql(spark, oracle, name):
     assert canonical(register.QUERIES[name](spark, DATA).toPandas()) == canonical(oracle.execute(register.ORACLES[name]).df())
 
 
+def test_wide_rows_of_a_larger_table(spark, tmp_path):
+    keys = [1, 999, 1000, 1001, 8_999, 9_001, 1_234_567]
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM read_parquet('{tmp_path}/supplier.parquet/*.parquet')")
+    want = con.execute("SELECT 'N00' || s_suppkey AS node_id, 1000.0 * (1000 + s_suppkey) + 500 AS capacity_available FROM supplier WHERE s_suppkey % 5 > 0").df()
+    got = register.QUERIES["wide_rows"](spark, str(tmp_path)).select("node_id", "capacity_available").toPandas()
+    assert len(got) == 6 and canonical(got) == canonical(want)
+
+
 @pytest.mark.parametrize("name", sorted(set(register.QUERIES) - set(register.ORACLES)))
 def test_rows_only(spark, name):
     assert register.QUERIES[name](spark, DATA).count() > 0
