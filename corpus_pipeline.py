@@ -1,8 +1,8 @@
 """A corpus pipeline over documents: language ID, exact and near deduplication, decontamination, encoding.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the docs of
-the next one. All stages but the last return the columns of documents. A row is dropped by its doc_id, so rows with a
-null doc_id pass the stages that compare documents.
+the next one. All stages but the last return the columns of documents. Rows are dropped by their own id and text, so
+a repeated doc_id takes no other text along, and rows with a null doc_id are compared too.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the largest doc_id."""
-    return exact_dedup.keep_distinct(docs)
+    """Of equal texts, one row with the largest doc_id."""
+    return exact_dedup.keep_distinct(docs, one=True)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

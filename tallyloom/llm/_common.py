@@ -41,12 +41,6 @@ def small(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
-def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows whose id is in ids (one column, any name). Rows with a null id stay: nothing can name them."""
-    gone = materialize(ids.toDF("_tl_id").where("_tl_id IS NOT NULL").distinct(), "dropped")
-    return docs.join(small(gone), docs[id_col] == gone["_tl_id"], "left_anti")
-
-
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets into them; null is empty."""
     if isinstance(column, pa.ChunkedArray):

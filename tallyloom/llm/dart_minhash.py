@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import drop_ids, materialize, mix, pieces, small, utf8
+from ._common import materialize, mix, pieces, small, utf8
 from .components import components
 
 WORDS, SIMILAR = 5, 0.8
@@ -163,9 +163,14 @@ def bands_of(signatures: np.ndarray) -> np.ndarray:
     return mix(h + np.arange(BANDS, dtype=np.uint64) * np.uint64(_BASE)).view(np.int64)
 
 
+def _second(text: str) -> Column:
+    """A second hash of the text: rows are told by both."""
+    return F.xxhash64(F.lit(1), text)
+
+
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weighted: bool = False) -> DataFrame:
-    """Of each row: doc_id, fp (of the text), node (of the shingle set; null without shingles), n (shingles), bands, and one byte of each coordinate. weighted: elements weigh as often as they occur."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("fp"), "text")
+    """Of each row: doc_id, fp and fp2 (hashes of the text), node (of the shingle set; null without shingles), n (shingles), bands, and one byte of each coordinate. weighted: elements weigh as often as they occur."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("fp"), "text", _second("text").alias("fp2"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,11 +188,11 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight
                 short = (signatures & np.uint64(255)).astype(np.uint8).tobytes()
                 width = BANDS * ROWS
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(node, mask=none), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(edges, pa.array(bands_of(signatures).ravel())), pa.array([short[i : i + width] for i in range(0, len(short), width)], pa.binary())],
-                    ["doc_id", "fp", "node", "n", "bands", "short"],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), batch.column(3).slice(a, b - a), pa.array(node, mask=none), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(edges, pa.array(bands_of(signatures).ravel())), pa.array([short[i : i + width] for i in range(0, len(short), width)], pa.binary())],
+                    ["doc_id", "fp", "fp2", "node", "n", "bands", "short"],
                 )
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, fp long, node long, n int, bands array<long>, short binary")
+    return rows.mapInArrow(run, f"doc_id {id_type}, fp long, fp2 long, node long, n int, bands array<long>, short binary")
 
 
 def _jaccard(pairs: DataFrame) -> DataFrame:
@@ -257,8 +262,8 @@ def _agreeing(pairs: DataFrame) -> DataFrame:
     return pairs.select("u", "v", "short_u", "short_v").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, class_id (least doc_id of the class), class_size, and whether it is the one that stays."""
+def _rooted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of docs: doc_id, fp, fp2, root (of its class; null without shingles)."""
     signed = materialize(sign(docs, id_col, text_col), "signatures")
     nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("short").alias("short"))
     nodes = materialize(nodes, "nodes")
@@ -323,7 +328,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if more.limit(1).count():
         found = components(links.unionAll(more))
 
-    own = signed.select("doc_id", "node").join(found, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
+    return signed.select("doc_id", "fp", "fp2", "node").join(found, "node", "left").select("doc_id", "fp", "fp2", F.coalesce("root", "node").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, class_id (least doc_id of the class), class_size, and whether it is the one that stays."""
+    own = _rooted(docs, id_col, text_col).select("doc_id", "root")
     # a table of its own: the join then has a plain exchange on each side, and a class with very many rows can be split
     classes = materialize(own.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).where("class_size > 1"), "classes")
     joined = own.join(classes, "root", "left")
@@ -332,5 +342,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, with one row of each class of near-duplicates."""
-    return drop_ids(docs, near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select("doc_id"), id_col)
+    """docs, all columns, with one row of each class of near-duplicates: one with the least doc_id, nulls aside."""
+    own = materialize(_rooted(docs, id_col, text_col).where("root IS NOT NULL"), "rooted")
+    best = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "fp2")).alias("best"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    best = materialize(best.select("root", F.col("best.doc_id").alias("_tl_id"), F.col("best.fp").alias("_tl_fp"), F.col("best.fp2").alias("_tl_fp2")), "best")
+    text = ["_tl_fp", "_tl_fp2"]
+    classed = materialize(own.select("root", "fp", "fp2").distinct().join(best.select("root"), "root", "left_semi").select(F.col("fp").alias("_tl_fp"), F.col("fp2").alias("_tl_fp2")), "classed")
+    rows = docs.withColumn("_tl_text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumns({"_tl_fp": F.xxhash64("_tl_text"), "_tl_fp2": _second("_tl_text")})
+    alone = rows.join(small(classed), text, "left_anti").select(*docs.columns)
+    # of equal rows, with the same id and text, one
+    kept = rows.withColumn("_tl_id", F.col(id_col)).alias("d").join(small(best.drop("root")).alias("b"), (F.col("d._tl_fp") == F.col("b._tl_fp")) & (F.col("d._tl_fp2") == F.col("b._tl_fp2")) & F.col("d._tl_id").eqNullSafe(F.col("b._tl_id")), "left_semi")
+    kept = kept.groupBy(*text).agg(F.first(F.struct(*docs.columns)).alias("_tl_row"))
+    return alone.unionByName(kept.select("_tl_row.*"))

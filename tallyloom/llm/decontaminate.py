@@ -8,8 +8,8 @@ question whose numbers or names were replaced is still found, and a chance match
 contains an item if COVERED of its windows match.
 
 Cases: null text has no windows; an item of fewer than WINDOW words has one window of all of them, of fewer than LEAST
-none; windows with more than half placeholders are not used; rows that share a doc_id count as one document; items that
-share an id as one item; empty tables give no row.
+none; windows with more than half placeholders are not used; rows that share a doc_id count as one document, but
+keep_clean judges each row; items that share an id as one item; empty tables give no row.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_ids, materialize, small
+from ._common import materialize, small
 
 WINDOW, LEAST, COVERED = 8, 5, 0.5  # WINDOW is 8 at most: windows are made of parts of 1, 2 and 4
 #: Share of an item's slots that must map one value to one value.
@@ -97,8 +97,13 @@ def _places(rows: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
     return out
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, n_windows, n_matched, coverage, n_slots, verbatim, for each document and item that it contains."""
+def _row(id_col: str, text_col: str) -> Column:
+    """The key of a row: equal rows have one key, and rows that share no more than the id have keys of their own."""
+    return F.xxhash64(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", by: str = "doc_id") -> DataFrame:
+    """doc_id, item_id, n_windows, n_matched, coverage, n_slots, verbatim, for each document and item that it contains. by: what counts as one document, doc_id or row (the key of a row, then in place of doc_id)."""
     own = _tokens(items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))).where(F.size("token") >= LEAST)
     own = materialize(own.select("item_id", "value", "token", F.least(F.size("token"), F.lit(WINDOW)).alias("least")), "items")
     sizes = sorted(r["least"] for r in own.select("least").distinct().collect()) or [WINDOW]
@@ -112,7 +117,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     total = windows.groupBy("item_id").agg(F.countDistinct("item_place").alias("n_windows"))
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    read = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    read = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), _row(id_col, text_col).alias("row"))
     seen = _places(_tokens(read), ["doc_id", "row"], sizes).drop("size")
     hits = seen.join(small(windows), "hash").select("doc_id", "row", "item_id", "item_place", "size", (F.col("place") - F.col("item_place")).alias("shift"))
     hits = materialize(hits, "hits")
@@ -127,10 +132,11 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     filled = filled.groupBy(*aligned).agg(F.count(F.lit(1)).alias("n_slots"), F.avg((F.col("n") == 1).cast("double")).alias("consistent"), F.min("same").alias("same"))
     # a text that was cut or enlarged inside an item has several alignments: their windows add up
     good = hits.join(filled, aligned, "left").where(F.coalesce("consistent", F.lit(1.0)) >= CONSISTENT)
-    found = good.groupBy("doc_id", "item_id").agg(F.countDistinct("item_place").alias("n_matched"), F.coalesce(F.max("n_slots"), F.lit(0)).cast("long").alias("n_slots"), F.min(F.coalesce("same", F.lit(True))).alias("verbatim"))
-    return found.join(total, "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= COVERED).select("doc_id", "item_id", "n_windows", "n_matched", "coverage", "n_slots", "verbatim")
+    found = good.groupBy(by, "item_id").agg(F.countDistinct("item_place").alias("n_matched"), F.coalesce(F.max("n_slots"), F.lit(0)).cast("long").alias("n_slots"), F.min(F.coalesce("same", F.lit(True))).alias("verbatim"))
+    return found.join(total, "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= COVERED).select(by, "item_id", "n_windows", "n_matched", "coverage", "n_slots", "verbatim")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, without those that contain an item."""
-    return drop_ids(docs, leaks(docs, items, id_col, text_col).select("doc_id"), id_col)
+    """docs, all columns, without the rows that contain an item; a row is judged by its own text, whatever its id."""
+    gone = materialize(leaks(docs, items, id_col, text_col, by="row").select(F.col("row").alias("_tl_row")).distinct(), "dropped")
+    return docs.withColumn("_tl_row", _row(id_col, text_col)).join(small(gone), "_tl_row", "left_anti").select(*docs.columns)

@@ -5,8 +5,9 @@ fingerprint space. The filters of a range meet in one group, which holds one ent
 (a text with a third of all rows is one entry for each partition), and merge losslessly by their sorted remainders.
 Fingerprints with a count above one go to byte verification: their rows are grouped by the text itself.
 
-Cases: null text counts as empty; rows that share doc_id and text count as copies and stay together; a null doc_id is
-kept only if its whole group has none; an empty table gives an empty result; only the two named columns are read.
+Cases: null text counts as empty; rows that share doc_id and text count as copies and stay together, unless one row
+is asked for; a null doc_id is kept only if its whole group has none; an empty table gives an empty result; only the
+two named columns are read.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_ids, materialize, small
+from ._common import materialize, small
 
 #: Quotient bits within a range; what remains of the 64 bits is the stored remainder.
 QUOTIENT_BITS = 10
@@ -126,6 +127,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, without the copies that exact_dedup drops."""
-    return drop_ids(docs, exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select("doc_id"), id_col)
+def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", one: bool = False) -> DataFrame:
+    """docs, all columns, with the rows of each text that have its largest doc_id; one: with one row of them."""
+    rows = docs.withColumn("_tl_text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumn("_tl_fp", F.xxhash64("_tl_text"))
+    again = small(materialize(repeated_fingerprints(rows.select("_tl_fp")).select("_tl_fp"), "fingerprints"))
+    alone = rows.join(again, "_tl_fp", "left_anti").select(*docs.columns)
+    groups = rows.join(again, "_tl_fp", "left_semi").groupBy("_tl_fp", "_tl_text")
+    if one:
+        # the order's struct is never null, so rows without an id count too
+        return alone.unionByName(groups.agg(F.max_by(F.struct(*docs.columns), F.struct(id_col)).alias("_tl_row")).select("_tl_row.*"))
+    best = groups.agg(F.max(id_col).alias("_tl_keep")).select(F.col("_tl_fp").alias("_tl_of"), F.sha2("_tl_text", 256).alias("_tl_sha"), "_tl_keep")
+    best = small(materialize(best, "best"))
+    same = (F.col("_tl_fp") == F.col("_tl_of")) & (F.sha2("_tl_text", 256) == F.col("_tl_sha")) & rows[id_col].eqNullSafe(F.col("_tl_keep"))
+    return alone.unionByName(rows.join(best, same, "left_semi").select(*docs.columns))

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from tallyloom.llm import entry
+from tallyloom.llm import decontaminate, entry
 
 from .test_ops import brute_classes
 
@@ -36,6 +36,19 @@ def test_pipeline(spark):
         assert got[i]["n_tokens"] == len(ids) and got[i]["decoded_sha256"] == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_rows_are_dropped_not_ids(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(60)) for w in "xyz")
+    near, item = one + " end", "Plain words without any slot stand here in a row for all of us."
+    table = lambda *rows: spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, k int")
+    left = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    exact = table((1, one), (2, one), (1, two), (3, three), (3, three), (None, two), (None, near), (None, near), (4, None), (5, ""))
+    assert left(corpus_pipeline.exact(spark, exact, "")) == sorted([(2, one), (1, two), (3, three), (None, near), (5, "")], key=str)
+    alike = table((1, one), (2, near), (2, two), (3, three), (3, three), (None, one), (None, two), (6, None), (6, None), (None, near + " it"))
+    assert left(corpus_pipeline.near(spark, alike, "")) == sorted([(1, one), (2, two), (3, three), (6, None), (6, None)], key=str)
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert left(decontaminate.keep_clean(table((1, item), (1, one), (None, "So: " + item), (None, two), (2, None)), items)) == sorted([(1, one), (None, two), (2, None)], key=str)
+
+
 @pytest.mark.parametrize("name", sorted(entry.ORACLES))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
