@@ -3,7 +3,8 @@
 Four patterns give the base spans of a text. A conditional random field over the tokens that hold a digit or `@` then
 finds what the patterns miss: neighbours share a chain potential, and tokens with the same text, however far apart,
 share a skip potential (each with the one before it, so the edges grow with the tokens). Tokens of base spans are
-evidence; loopy belief propagation carries their labels to the rest. A token is added only if it is linked to
+evidence, and where the digits of a card or phone are written in groups, the run of groups is one token, whatever parts
+them; loopy belief propagation carries their labels to the rest. A token is added only if it is linked to
 evidence and its marginal is high. The potentials are fitted piecewise: log odds from counts of shapes, neighbouring
 pairs and repeated pairs over all texts, with the base spans as labels.
 
@@ -38,6 +39,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[A-Za-z0-9.%+@()_-]*[0-9@][A-Za-z0-9.%+@()_-]*")
 _DIGIT = re.compile("[0-9]")
+_GROUP = re.compile("[0-9]+")
 _JOIN = re.compile(r"[\x20().-]{0,3}")
 
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("base", T.BooleanType())]))
@@ -84,21 +86,62 @@ def shape(token: str) -> str:
     return re.sub("[A-Za-z]+", "a", re.sub("[0-9]+", lambda m: f"{min(m.end() - m.start(), 20)}d", token))[:40]
 
 
+def _written(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, digits) of runs of whole digit groups with all digits of a card or phone among the base spans; runs do not overlap."""
+    known = {"".join(_GROUP.findall(text[a:b])) for a, label, b in base if KINDS[label - 1] in ("card", "phone")}
+    if not known:
+        return []
+    sizes, taken = sorted({len(d) for d in known}, reverse=True), sorted((a, b) for a, label, b in base if KINDS[label - 1] in ("email", "ip"))
+    groups = [(m.start(), m.end()) for m in _GROUP.finditer(text)]
+    out, i, at = [], 0, 0
+    while i < len(groups):
+        # the digits from group i on, as far as a known number may reach, and the groups' ends among them
+        digits, ends, j = "", {}, i
+        while j < len(groups) and (j == i or _JOIN.fullmatch(text, groups[j - 1][1], groups[j][0])) and len(digits) + groups[j][1] - groups[j][0] <= sizes[0]:
+            digits += text[groups[j][0] : groups[j][1]]
+            ends[len(digits)] = j
+            j += 1
+        last = next((ends[n] for n in sizes if n in ends and digits[:n] in known), None)
+        if last is None:
+            i += 1
+            continue
+        start, end = groups[i][0], groups[last][1]
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        if at == len(taken) or taken[at][0] >= end:
+            out.append((start - (start > 0 and text[start - 1] == "+"), end, "".join(text[a:b] for a, b in groups[i : last + 1])))
+        i = last + 1
+    return out
+
+
 def nodes(text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[int], list[str]]:
     """The candidate tokens' spans, their labels by the base spans (0: in none), and the keys by which tokens repeat ("": none)."""
     spans, labels, keys, i = [], [], [], 0
+    found, w = _written(text, base), 0
     base = sorted(base, key=lambda s: (s[0], -s[2]))
+    pieces = []
     for m in _TOKEN.finditer(text):
-        token = m[0].strip(".()-_%")
+        # what of the token is in no run of groups
+        at = m.start()
+        while w < len(found) and found[w][0] < m.end():
+            pieces.append((at, found[w][0], ""))
+            pieces.append(found[w])
+            at, w = found[w][1], w + 1
+        if w and at < found[w - 1][1]:
+            at = found[w - 1][1]
+        pieces.append((at, m.end(), ""))
+    for start, end, key in pieces:
+        token = text[start:end] if key else text[start:end].strip(".()-_%")
         if not token or not ("@" in token or _DIGIT.search(token)):
             continue
-        start = m.start() + m[0].find(token)
+        start += text[start:end].find(token)
         end = start + len(token)
         while i < len(base) and base[i][2] <= start:
             i += 1
         label = base[i][1] if i < len(base) and base[i][0] < end else 0
         digits = "".join(c for c in token if c.isdigit())
-        key = token.lower() if "@" in token or token.count(".") == 3 else digits if len(digits) >= 7 and len(digits) >= len(token) - 3 else ""
+        if not key:
+            key = token.lower() if "@" in token or token.count(".") == 3 else digits if len(digits) >= 7 and len(digits) >= len(token) - 3 else ""
         spans.append((start, end))
         labels.append(label)
         keys.append(key)

@@ -302,6 +302,18 @@ def test_repeated_token_is_found(spark):
     assert got[0] == [("card", True), ("card", False)] and got[5] == got[6] == got[7] == got[8] == []
 
 
+def test_spaced_numbers_are_linked(spark):
+    phone, card = "+1 415 555 2671", "4111 1111 1111 1111"
+    text = f"call {phone} today, or 1 415 555 2671, or 14155552671, or 1-(415)-555-2671; pay {card} or 4111.1111.1111.1111 soon; room 415 555"
+    spans, _, keys = pii.nodes(text, pii.base_spans(text))
+    assert [text[a:b] for (a, b), k in zip(spans, keys, strict=True) if k == "14155552671"] == [phone, "1 415 555 2671", "14155552671", "1-(415)-555-2671"]
+    assert [text[a:b] for (a, b), k in zip(spans, keys, strict=True) if k == "4111111111111111"] == [card, "4111.1111.1111.1111"]
+    assert spans == sorted(spans) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    rows = [(1, text)] + [(10 + i, f"ring +1 415 555 {2000 + i} then, or +1 415 555 {2000 + i}; card {card}, or {card}") for i in range(40)]
+    got = {r["doc_id"]: r["pii"] for r in pii.find(docs(spark, rows), pii.fit(docs(spark, rows))).collect()}[1]
+    assert [(s["kind"], text[s["start"] : s["end"]]) for s in got if not s["base"]] == [("phone", "1 415 555 2671"), ("phone", "14155552671"), ("phone", "1-(415)-555-2671"), ("card", "4111.1111.1111.1111")]
+
+
 # ------------------------------------------------------------------ pages
 
 
