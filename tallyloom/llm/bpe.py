@@ -27,12 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import pieces
+from ._common import batched, pieces, release
 
 #: Words remembered in a Python worker before it begins anew; characters of text taken at once.
-REMEMBER, BLOCK = 50_000, 1 << 19
+REMEMBER, BLOCK = 50_000, 1 << 17
+#: Ids decoded at once.
+IDS = 1 << 15
 #: Bytes of input in a batch of results.
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Fragments beyond so many bytes are merged one by one.
 LONG = 48
 TABLE_BITS, NONE = 19, 1 << 30
@@ -75,7 +77,7 @@ class Tokenizer:
     def forget(self) -> None:
         """Drop the remembered words: an idle worker keeps the vocabulary only."""
         self.words = dict(self.fixed)
-        pa.default_memory_pool().release_unused()
+        release()
 
     @functools.cached_property
     def ranks(self) -> dict[tuple[int, int], int]:
@@ -247,7 +249,8 @@ class Tokenizer:
 
     def decode(self, packed: bytes) -> str:
         """Tokens joined by a space, as a tokenizer file without a decoder says."""
-        return " ".join(map(self.token.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        ids = np.frombuffer(packed, "<u4")
+        return " ".join(" ".join(map(self.token.__getitem__, ids[i : i + IDS].tolist())) for i in range(0, len(ids), IDS))
 
 
 _LOADED: dict[str, Tokenizer] = {}
@@ -277,7 +280,7 @@ def _map(docs: DataFrame, path: str, column: Column, made: dict[str, T.DataType]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[:at], *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], schema.names)
         own.forget()
 
-    return source.mapInArrow(run, schema)
+    return batched(source).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", to: str = "token_ids") -> DataFrame:

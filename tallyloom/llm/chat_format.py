@@ -2,11 +2,11 @@ r"""Chat formatting by columnar byte assembly.
 
 A turn becomes `<|im_start|>role\ntext<|im_end|>\n`. Inside texts and roles every `<`, backslashes, `|` gets one more
 backslash before the bar, so no control string can occur there and taking that backslash away restores the text.
-Whole Arrow batches are assembled at once: segment lengths, their running sums and scatter indices are numpy arrays,
+Slices of Arrow batches are assembled at once: segment lengths, their running sums and scatter indices are numpy arrays,
 and headers and contents are copied into one preallocated buffer.
 
 Rows are dealt by ranges of (conv_id, turn), so a conversation with a third of all turns is formatted by many tasks.
-The result has one row for each stretch of a conversation within a batch, ordered by (part, seq).
+The result has one row for each stretch of a conversation within a slice, ordered by (part, seq).
 
 Cases: null text or role is empty; turns with the same number come in the order of role and text, null turns first;
 rows with a null conv_id form one conversation; an empty table gives no row; only the four named columns are read.
@@ -25,12 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pieces, utf8
+from ._common import batched, pieces, release, utf8, utf8_lengths
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 _CONST = np.frombuffer((START + "\n" + END).encode(), np.uint8)
 #: Rows whose text is longer are copied as slices, without indices.
-LONG = 1 << 20
+LONG = 1 << 18
+#: Bytes of turns assembled at once; a longer turn has a slice of its own.
+SLICE = 1 << 20
 SEGMENT = "conv_id long, part int, seq long, n_turns int, formatted string, loss_spans array<struct<start:long,end:long>>"
 
 
@@ -51,7 +53,7 @@ def _unescape_role(role: str) -> str:
 
 
 def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The formatted bytes of all rows, the offset of each row in them, and where each row's text begins."""
+    """The formatted bytes of all rows, the offset of each row in them, and the code points before each of the five segments of a row, and before the end."""
     role, role_at = utf8(roles)
     text, text_at = utf8(texts)
     lengths = np.stack([np.full(len(roles), len(START)), np.diff(role_at), np.ones(len(roles), np.int64), np.diff(text_at), np.full(len(roles), len(END))], 1).astype(np.int64)
@@ -70,7 +72,9 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray,
                 out[t : t + n] = joined[s : s + n]
         else:
             out[row_at[a] : row_at[b]] = joined[np.repeat(source - to, size) + np.arange(row_at[a], row_at[b])]
-    return out, row_at, starts[3::5]
+    # code points by segment, then their running sum; an empty segment has none
+    points = np.add.reduceat((out & 0xC0) != 0x80, starts[:-1], dtype=np.int64) if len(out) else np.zeros(0, np.int64)
+    return out, row_at, np.r_[0, np.cumsum(np.where(lengths.ravel() > 0, points, 0))]
 
 
 def format_conversations(rows: DataFrame, loss_role: str = "assistant") -> DataFrame:
@@ -81,31 +85,36 @@ def format_conversations(rows: DataFrame, loss_role: str = "assistant") -> DataF
         for batch in batches:
             if not batch.num_rows:
                 continue
-            conv, role = batch.column(0), batch.column(1).dictionary_encode()
-            names = role.dictionary.to_pylist()
-            lossy = np.array([x == loss_role for x in names])[role.indices.to_numpy(zero_copy_only=False)]
-            escaped = pa.array([_escape_role(x) for x in names], pa.string())
-            out, row_at, text_at = assemble(escape(escaped.take(role.indices)), escape(batch.column(2)))
-            known, ids = conv.is_valid().to_numpy(zero_copy_only=False), conv.fill_null(0).to_numpy(zero_copy_only=False)
-            first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (known[1:] != known[:-1])])
-            last = np.r_[first[1:], len(ids)]
-            points = np.r_[0, np.cumsum((out & 0xC0) != 0x80)]
-            begin = np.flatnonzero(lossy)
-            s, e = points[text_at[begin]], points[row_at[begin + 1] - len(END)]
-            own = points[row_at[first]][np.searchsorted(first, begin, "right") - 1]
-            spans = pa.StructArray.from_arrays([pa.array(s - own), pa.array(e - own)], ["start", "end"])
-            edges = np.searchsorted(begin, np.r_[first, len(ids)]).astype(np.int32)
-            text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(row_at[np.r_[first, len(ids)]].astype(np.int64)), pa.py_buffer(out)])
-            yield pa.RecordBatch.from_arrays(
-                [conv.take(pa.array(first)), pa.array(np.full(len(first), part, np.int32)), pa.array(np.arange(seq, seq + len(first))), pa.array((last - first).astype(np.int32)), text.cast(pa.binary()).cast(pa.string()), pa.ListArray.from_arrays(pa.array(edges), spans)],
-                ["conv_id", "part", "seq", "n_turns", "formatted", "loss_spans"],
-            )
-            seq += len(first)
+            sizes = np.r_[0, np.cumsum(utf8_lengths(batch.column(1)) + utf8_lengths(batch.column(2)) + 64)]
+            for a, b in pieces(sizes, SLICE):
+                yield stretches(batch.slice(a, b - a), part, seq)
+                seq += b - a
+        release()
+
+    def stretches(batch: pa.RecordBatch, part: int, seq: int) -> pa.RecordBatch:
+        conv, role = batch.column(0), batch.column(1).dictionary_encode()
+        names = role.dictionary.to_pylist()
+        lossy = np.array([x == loss_role for x in names])[role.indices.to_numpy(zero_copy_only=False)]
+        escaped = pa.array([_escape_role(x) for x in names], pa.string())
+        out, row_at, points = assemble(escape(escaped.take(role.indices)), escape(batch.column(2)))
+        known, ids = conv.is_valid().to_numpy(zero_copy_only=False), conv.fill_null(0).to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (known[1:] != known[:-1])])
+        last = np.r_[first[1:], len(ids)]
+        begin = np.flatnonzero(lossy)
+        s, e = points[5 * begin + 3], points[5 * begin + 4]
+        own = points[5 * first][np.searchsorted(first, begin, "right") - 1]
+        spans = pa.StructArray.from_arrays([pa.array(s - own), pa.array(e - own)], ["start", "end"])
+        edges = np.searchsorted(begin, np.r_[first, len(ids)]).astype(np.int32)
+        text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(row_at[np.r_[first, len(ids)]].astype(np.int64)), pa.py_buffer(out)])
+        return pa.RecordBatch.from_arrays(
+            [conv.take(pa.array(first)), pa.array(np.full(len(first), part, np.int32)), pa.array(np.arange(seq, seq + len(first))), pa.array((last - first).astype(np.int32)), text.cast(pa.binary()).cast(pa.string()), pa.ListArray.from_arrays(pa.array(edges), spans)],
+            ["conv_id", "part", "seq", "n_turns", "formatted", "loss_spans"],
+        )
 
     turn = F.col("turn").cast("long")
     text = rows.select(F.col("conv_id").cast("long"), turn.alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = text.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(form, SEGMENT)
+    return batched(dealt.select("conv_id", "role", "text")).mapInArrow(form, SEGMENT)
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
@@ -118,7 +127,7 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 
 
 def digests(segments: DataFrame) -> DataFrame:
-    """What can be read back from the stretches, by conversation. A task holds one stretch and two hash states at a time."""
+    """What can be read back from the stretches, by conversation. A hash of all turns is read in order, so one task reads a conversation; it holds one batch of stretches and two hash states at a time."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, done = None, None, []
@@ -154,4 +163,4 @@ def digests(segments: DataFrame) -> DataFrame:
             yield flush()
 
     dealt = segments.repartition("conv_id").sortWithinPartitions("conv_id", "part", "seq")
-    return dealt.select("conv_id", "formatted", "loss_spans").mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return batched(dealt.select("conv_id", "formatted", "loss_spans")).mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

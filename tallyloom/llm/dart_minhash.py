@@ -1,12 +1,14 @@
 """Near-duplicate classes by DartMinHash signatures.
 
-A text is the set of its shingles of five words. Hashed darts fall on the plane of weight and rank of each element, one
+A text is the multiset of its shingles of five words: a shingle weighs as often as it occurs, and the similarity is the
+weighted Jaccard index, the sum of the lesser weights over that of the greater ones. Hashed darts fall on the plane of weight and rank of each element, one
 for each unit of area; those below the element's weight hit it. Every dart belongs to one signature coordinate, and the
 hit of lowest rank is that coordinate's value. Darts come in the order of their ranks, up to a rank where about
 k (ln k + 2) of them hit the text; where a coordinate is still empty, the rank is doubled. Texts that agree on a whole
-band of coordinates are candidates, and exact Jaccard similarity decides.
+band of coordinates are candidates, and the exact similarity decides, with the k-th occurrence of a shingle as an
+element of its own: on these the weighted index is the plain one.
 
-Equal shingle sets are one node. In a band's bucket each node is compared with the hub, the node with the most
+Equal multisets are one node. In a band's bucket each node is compared with the hub, the node with the most
 neighbours over all bands; components of the links found are then known, and what remains in a bucket outside the hub's
 component is compared with every node of another component, after a signature test. So a group of n copies costs n
 comparisons, and no link between candidates is lost: only pairs that are connected anyway are skipped.
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, mix, pieces, small, utf8
+from ._common import batched, materialize, mix, pieces, release, small, utf8
 from .components import components
 
 WORDS, SIMILAR = 5, 0.8
@@ -36,7 +38,7 @@ PART, WHOLE = 4, 5
 BANDS, ROWS = 25, 5
 #: Signature agreement below this rules out SIMILAR (six standard deviations).
 AGREE = 0.58
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 #: Lower-cases ASCII letters; 0 is what parts words.
 _FOLD = np.array([b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 0 for b in range(256)], np.uint64)
@@ -92,6 +94,15 @@ def shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return s[first], row[first], np.diff(np.r_[first, len(s)])
 
 
+def occurrences(text: str) -> np.ndarray:
+    """The elements of a text's multiset, in order: hashes of each shingle and the number of the occurrence."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    s, _, count = shingles(raw, np.array([0, len(raw)]))
+    s = np.repeat(s, count)
+    at = np.arange(len(s)) - np.repeat(np.cumsum(count) - count, count)
+    return np.unique(mix(s + at.astype(np.uint64) * np.uint64(_BASE)))
+
+
 def _uniform(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
@@ -168,8 +179,8 @@ def _second(text: str) -> Column:
     return F.xxhash64(F.lit(1), text)
 
 
-def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weighted: bool = False) -> DataFrame:
-    """Of each row: doc_id, fp and fp2 (hashes of the text), node (of the shingle set; null without shingles), n (shingles), bands, and one byte of each coordinate. weighted: elements weigh as often as they occur."""
+def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each row: doc_id, fp and fp2 (hashes of the text), node (of the multiset; null without shingles), n (shingles, repeated ones too), bands, and one byte of each coordinate."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("fp"), "text", _second("text").alias("fp2"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
@@ -178,10 +189,10 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight
             data, at = utf8(batch.column(2))
             for a, b in pieces(at, PIECE):
                 s, row, count = shingles(data[at[a] : at[b]], at[a : b + 1] - at[a])
-                signatures = darts(s, row, count.astype(np.float64) if weighted else np.ones(len(s)), b - a, BANDS * ROWS)
-                n = np.bincount(row, minlength=b - a)
+                signatures = darts(s, row, count.astype(np.float64), b - a, BANDS * ROWS)
+                n = np.bincount(row, count, b - a).astype(np.int64)
                 node = np.zeros(b - a, np.uint64)
-                np.add.at(node, row, mix(s + np.uint64(_ODD[3])))
+                np.add.at(node, row, mix(mix(s + np.uint64(_ODD[3])) + count.astype(np.uint64)))
                 node = mix(node ^ n.astype(np.uint64)).view(np.int64)
                 none = n == 0
                 edges = pa.array(np.arange(0, (b - a + 1) * BANDS, BANDS, dtype=np.int32))
@@ -191,8 +202,9 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), batch.column(3).slice(a, b - a), pa.array(node, mask=none), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(edges, pa.array(bands_of(signatures).ravel())), pa.array([short[i : i + width] for i in range(0, len(short), width)], pa.binary())],
                     ["doc_id", "fp", "fp2", "node", "n", "bands", "short"],
                 )
+        release()
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, fp long, fp2 long, node long, n int, bands array<long>, short binary")
+    return batched(rows).mapInArrow(run, f"doc_id {id_type}, fp long, fp2 long, node long, n int, bands array<long>, short binary")
 
 
 def _jaccard(pairs: DataFrame) -> DataFrame:
@@ -203,8 +215,7 @@ def _jaccard(pairs: DataFrame) -> DataFrame:
 
         def of(node, text):
             if node not in held:
-                raw = np.frombuffer((text or "").encode(), np.uint8)
-                held[node] = shingles(raw, np.array([0, len(raw)]))[0]
+                held[node] = occurrences(text or "")
                 if len(held) > 64:
                     held.popitem(last=False)
             held.move_to_end(node)
@@ -234,8 +245,7 @@ def _beside_hub(pairs: DataFrame) -> DataFrame:
                 sets = []
                 for node, text in ((batch.column(1)[i].as_py(), batch.column(3)[i]), (None, batch.column(2)[i])):
                     if node is None or node not in held:
-                        raw = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-                        found = shingles(raw, np.array([0, len(raw)]))[0]
+                        found = occurrences(text.as_py() or "")
                         if node is not None:
                             held[node] = found
                             if len(held) > 64:

@@ -1,15 +1,20 @@
 """Benchmark decontamination by template windows, with DataFrame functions only.
 
-Words of texts and benchmark items become template tokens: numbers, names (capitalised within a sentence, not in capitals) and units
-turn into typed placeholders. Windows of WINDOW tokens of the items are hashed and joined with the documents' windows as
-these are made, so document windows are not shuffled. Matches that lie on one alignment of item and document are
-gathered, and their slots are checked: an item's value in a slot must always stand for the same document value. So a
-question whose numbers or names were replaced is still found, and a chance match of templates is not. A document
-contains an item if COVERED of its windows match.
-
-Cases: null text has no windows; an item of fewer than WINDOW words has one window of all of them, of fewer than LEAST
-none; windows with more than half placeholders are not used; rows that share a doc_id count as one document, but
-keep_clean judges each row; items that share an id as one item; empty tables give no row.
+Words of texts and benchmark items become template tokens: numbers (digits or number words), names (capitalised within a
+sentence, not in capitals) and units turn into typed placeholders. Windows of WINDOW tokens of the items are hashed and
+joined with the documents' windows as these are made, so document windows are not shuffled. Matches that lie on one
+alignment of item and document are gathered, and their slots are checked: an item's value in a slot must always stand for
+the same document value. So a question whose numbers or names were replaced is still found, and a chance match of
+templates is not. A document contains an item if COVERED of its windows match, or a passage of VERBATIM words word by word.
+
+Which words are names depends on capitals and on where sentences end. An item is therefore hashed in three readings: as
+written, without names (as in a copy in small letters), and with names at the starts of sentences too (as in a copy
+without stops). A window with more than half placeholders says too little: it is compared by its values. An item of
+fewer than LEAST words is found only where it is a whole document.
+
+Cases: null text has no windows; an item of fewer than WINDOW words has one window of all of them; an item without a
+word is never found; rows that share a doc_id count as one document, but keep_clean judges each row; items that share an
+id as one item; empty tables give no row.
 """
 
 from __future__ import annotations
@@ -19,13 +24,15 @@ from pyspark.sql import functions as F
 
 from ._common import materialize, small
 
-WINDOW, LEAST, COVERED = 8, 5, 0.5  # WINDOW is 8 at most: windows are made of parts of 1, 2 and 4
+WINDOW, LEAST, COVERED, VERBATIM = 8, 5, 0.5, 25  # WINDOW is 8 at most: windows are made of parts of 1, 2 and 4
 #: Share of an item's slots that must map one value to one value.
 CONSISTENT = 0.9
 
 # Signs that are no part of a word, units, placeholders.
 SIGNS = ".,;:!?\"'`()[]{}<>|*#$%&~^_=+/\\-"
 UNITS = ("km", "m", "cm", "mm", "kg", "g", "mg", "t", "l", "ml", "s", "ms", "min", "h", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "miles", "feet", "inches", "pounds", "ounces", "dollars", "euros", "cents", "percent", "degrees", "meters", "metres", "kilometers", "kilograms", "grams", "liters", "litres", "watts", "kw", "kwh", "volts")
+#: "one" is left out: it is more often a pronoun.
+NUMBERS = ("zero", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion")
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 
 
@@ -39,16 +46,20 @@ def _is_name(bare: Column, value: Column) -> Column:
     return (F.length(bare) > 1) & (F.left(bare, F.lit(1)) != F.left(value, F.lit(1))) & (F.substring(bare, 2, 1 << 30) == F.substring(value, 2, 1 << 30))
 
 
-def _token(rows: DataFrame) -> Column:
-    """The token of each word: a placeholder for a number, unit or name, else the word's value."""
+def _is_number(value: Column) -> Column:
+    return F.left(value, F.lit(1)).between("0", "9") | value.isin(*NUMBERS)
+
+
+def _token(loose: bool) -> Column:
+    """The token of each word: a placeholder for a number, unit or name, else the word's value. loose: a sentence may begin with a name."""
 
     def token(value: Column, i: Column) -> Column:
-        first, at = F.left(value, F.lit(1)), F.greatest(i, F.lit(1))
-        after_number = (i > 0) & F.left(F.element_at("value", at), F.lit(1)).between("0", "9")
+        at = F.greatest(i, F.lit(1))
+        same = F.element_at("_tl_bare", i + 1) == value
         return (
-            F.when(first.between("0", "9"), F.lit(NUMBER))
-            .when(value.isin(*UNITS) & after_number, F.lit(UNIT))
-            .when((F.element_at("_tl_bare", i + 1) == value) | (i == 0) | F.element_at("_tl_stop", at), value)
+            F.when(_is_number(value), F.lit(NUMBER))
+            .when(value.isin(*UNITS) & (i > 0) & _is_number(F.element_at("value", at)), F.lit(UNIT))
+            .when(same if loose else same | (i == 0) | F.element_at("_tl_stop", at), value)
             .when(_is_name(F.element_at("_tl_bare", i + 1), value), F.lit(NAME))
             .otherwise(value)
         )
@@ -56,22 +67,23 @@ def _token(rows: DataFrame) -> Column:
     return F.transform("value", token)
 
 
-def _tokens(rows: DataFrame) -> DataFrame:
-    """rows (with text) and the arrays value (words in lower case, without signs at their ends) and token."""
+def _tokens(rows: DataFrame, loose: bool = False) -> DataFrame:
+    """rows (with text) and the arrays value (words in lower case, without signs at their ends) and token; loose: and the array loose."""
     rows = rows.withColumn("_tl_word", words(F.col("text")))
     rows = rows.withColumns({"_tl_bare": F.transform("_tl_word", lambda w: F.btrim(w, F.lit(SIGNS))), "_tl_stop": F.transform("_tl_word", lambda w: F.right(w, F.lit(1)).isin(".", "!", "?", ":"))})
-    rows = rows.withColumn("value", F.transform("_tl_bare", lambda w: F.lower(w)))
-    return rows.withColumn("token", _token(rows)).drop("_tl_word", "_tl_bare", "_tl_stop")
+    rows = rows.withColumn("value", F.transform("_tl_bare", lambda w: F.lower(w))).withColumn("token", _token(False))
+    return (rows.withColumn("loose", _token(True)) if loose else rows).drop("_tl_word", "_tl_bare", "_tl_stop")
 
 
-def _hashes(rows: DataFrame, sizes: list[int]) -> DataFrame:
-    """rows with an array window_N of hashes for each size N, one for each place. A name that a window begins with counts as a word: whether it is one depends on what stands before.
+def _hashes(rows: DataFrame, sizes: list[int], of: str, to: str) -> DataFrame:
+    """rows with an array {to}{N} of hashes of the windows of array of, for each size N, one for each place. A name that a window begins with counts as a word: whether it is one depends on what stands before.
 
     Hashes of 2, 4, ... tokens are made from two neighbours' hashes, each in a column of its own, so every step is one pass over the array.
     """
     join = lambda x, y: F.xxhash64(x, y)
     shifted = lambda c, by: F.slice(c, by + 1, F.greatest(F.size(c) - by, F.lit(0)))
-    rows = rows.withColumns({"_tl_1": F.transform("token", lambda t: F.xxhash64(t)), "_tl_first": F.zip_with("token", "value", lambda t, v: F.xxhash64(F.when(t == NAME, v).otherwise(t)))})
+    first = F.transform(of, lambda t: F.xxhash64(t)) if of == "value" else F.zip_with(of, "value", lambda t, v: F.xxhash64(F.when(t == NAME, v).otherwise(t)))
+    rows = rows.withColumns({"_tl_1": F.transform(of, lambda t: F.xxhash64(t)), "_tl_first": first})
     for power in (1, 2):
         rows = rows.withColumn(f"_tl_{2 * power}", F.zip_with(f"_tl_{power}", shifted(F.col(f"_tl_{power}"), power), join))
     for size in sizes:
@@ -81,20 +93,40 @@ def _hashes(rows: DataFrame, sizes: list[int]) -> DataFrame:
             if (size - 1) & power:
                 rows = rows.withColumn("_tl_sum", F.zip_with("_tl_sum", shifted(F.col(f"_tl_{power}"), at), join))
                 at += power
-        rows = rows.withColumn(f"window_{size}", F.slice("_tl_sum", 1, F.greatest(F.size("_tl_sum") - size + 1, F.lit(0)))).drop("_tl_sum")
+        rows = rows.withColumn(f"{to}{size}", F.slice("_tl_sum", 1, F.greatest(F.size("_tl_sum") - size + 1, F.lit(0)))).drop("_tl_sum")
     return rows.drop("_tl_first", "_tl_1", "_tl_2", "_tl_4")
 
 
-def _places(rows: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
-    """keys, place (from 1), size and hash of every window. Only hashes are exploded: a row never carries its text's arrays along."""
-    rows = _hashes(rows, sizes)
-    out = None
-    for size in sizes:
-        # outer: else a filter on the array's size is inferred and pushed below, with all steps written into it
-        some = rows.select(*keys, F.posexplode_outer(f"window_{size}").alias("place", "hash")).where("hash IS NOT NULL")
-        some = some.select(*keys, (F.col("place") + 1).alias("place"), F.lit(size).alias("size"), F.xxhash64("hash", F.lit(size)).alias("hash"))
-        out = some if out is None else out.unionAll(some)
-    return out
+def _whole() -> Column:
+    """An array with the hash of all words of a text that has fewer than LEAST."""
+    return F.when(F.size("value").between(1, LEAST - 1), F.array(F.xxhash64(F.array_join("value", " "), F.lit("whole"))))
+
+
+def _places(rows: DataFrame, keys: list[str], sizes: list[int], plain: list[int], whole: bool, of: str = "token") -> DataFrame:
+    """keys, place (from 1), size, kind (0: template, 1: values, 2: whole text) and hash of every window: templates of the sizes, values of the sizes plain. Only hashes are exploded: a row never carries its text's arrays along, and it is read once."""
+    rows = _hashes(rows, sizes, of, "_tl_t")
+    if plain:
+        rows = _hashes(rows, plain, "value", "_tl_v")
+    lists = [(f"_tl_t{n}", n, 0) for n in sizes] + [(f"_tl_v{n}", n, 1) for n in plain]
+    window = lambda n, kind: lambda h, i: F.struct((i + 1).alias("place"), F.lit(n).alias("size"), F.lit(kind).alias("kind"), F.xxhash64(h, F.lit(n), F.lit(kind)).alias("hash"))
+    each = [F.transform(c, window(n, kind)) for c, n, kind in lists]
+    if whole:
+        each.append(F.coalesce(F.transform(_whole(), lambda h: F.struct(F.lit(1).alias("place"), F.size("value").alias("size"), F.lit(2).alias("kind"), h.alias("hash"))), F.array().cast("array<struct<place:int,size:int,kind:int,hash:bigint>>")))
+    # outer: else a filter on the array's size is inferred and pushed below, with all steps written into it
+    return rows.select(*keys, F.explode_outer(each[0] if len(each) == 1 else F.concat(*each)).alias("w")).where("w IS NOT NULL").select(*keys, "w.*")
+
+
+def _item_windows(own: DataFrame, sizes: list[int]) -> DataFrame:
+    """item_id, item_place, size, kind, hash of the windows by which an item (item_id, least, value, token, loose) is found, in its three readings."""
+    bare = F.zip_with("token", "value", lambda t, v: F.when(t == NAME, v).otherwise(t))
+    readings = F.array(F.struct(F.lit(1).alias("no"), F.col("token").alias("as")), F.struct(F.lit(2).alias("no"), bare.alias("as")), F.struct(F.lit(3).alias("no"), F.col("loose").alias("as")))
+    read = own.select("item_id", "least", "value", F.explode(readings).alias("r")).select("item_id", "least", "value", F.col("r.no").alias("no"), F.col("r.as").alias("token"))
+    flags = F.transform("token", lambda t: t.isin(NUMBER, NAME, UNIT))
+    made = _places(read.withColumn("flags", flags), ["item_id", "least", "no", "flags"], sizes, sizes, True)
+    heavy = F.size(F.filter(F.slice("flags", F.col("place"), F.col("size")), lambda x: x)) * 2 > F.col("size")
+    # a name that a window begins with is compared as a word, but still counts as a slot here
+    chosen = ((F.col("kind") == 0) & ~heavy) | ((F.col("kind") == 1) & (F.col("no") == 1) & heavy) | ((F.col("kind") == 2) & (F.col("no") == 1))
+    return made.where((F.col("size") == F.col("least")) & ((F.col("least") >= LEAST) == (F.col("kind") < 2)) & chosen).select("item_id", F.col("place").alias("item_place"), "size", "kind", "hash").distinct()
 
 
 def _row(id_col: str, text_col: str) -> Column:
@@ -104,22 +136,20 @@ def _row(id_col: str, text_col: str) -> Column:
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", by: str = "doc_id") -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, coverage, n_slots, verbatim, for each document and item that it contains. by: what counts as one document, doc_id or row (the key of a row, then in place of doc_id)."""
-    own = _tokens(items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))).where(F.size("token") >= LEAST)
-    own = materialize(own.select("item_id", "value", "token", F.least(F.size("token"), F.lit(WINDOW)).alias("least")), "items")
-    sizes = sorted(r["least"] for r in own.select("least").distinct().collect()) or [WINDOW]
+    own = _tokens(items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")), loose=True).where(F.size("token") > 0)
+    own = materialize(own.select("item_id", "value", "token", "loose", F.least(F.size("token"), F.lit(WINDOW)).alias("least")), "items")
     slots = own.select("item_id", F.posexplode_outer(F.arrays_zip("token", "value")).alias("at", "z")).where(F.col("z.token").isin(NUMBER, NAME, UNIT))
     slots = materialize(slots.select("item_id", (F.col("at") + 1).alias("at"), F.col("z.value").alias("item_value")).distinct(), "slots")
-    windows = _places(own, ["item_id", "least"], sizes).where("size = least").drop("least").distinct()
-    slotted = windows.select("item_id", "place", "size", F.explode(F.sequence("place", F.col("place") + F.col("size") - 1)).alias("at")).join(slots.select("item_id", "at").distinct(), ["item_id", "at"])
-    slotted = slotted.groupBy("item_id", "place", "size").agg(F.count(F.lit(1)).alias("n"))
-    windows = windows.join(slotted.where("n * 2 > size"), ["item_id", "place", "size"], "left_anti")
-    windows = materialize(windows.select("item_id", F.col("place").alias("item_place"), "size", "hash"), "windows")
+    windows = materialize(_item_windows(own, list(range(LEAST, WINDOW + 1))), "windows")
     total = windows.groupBy("item_id").agg(F.countDistinct("item_place").alias("n_windows"))
+    # at most one for each size and kind
+    used = [(r["kind"], r["size"]) for r in windows.select("kind", "size").distinct().collect()]
+    sizes, plain, whole = sorted(n for k, n in used if k == 0), sorted(n for k, n in used if k == 1), any(k == 2 for k, _ in used)
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     read = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), _row(id_col, text_col).alias("row"))
-    seen = _places(_tokens(read), ["doc_id", "row"], sizes).drop("size")
-    hits = seen.join(small(windows), "hash").select("doc_id", "row", "item_id", "item_place", "size", (F.col("place") - F.col("item_place")).alias("shift"))
+    seen = _places(_tokens(read), ["doc_id", "row"], sizes or [WINDOW], plain, whole).drop("size", "kind")
+    hits = seen.join(small(windows), "hash").select("doc_id", "row", "item_id", "item_place", "size", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
     hits = materialize(hits, "hits")
 
     # what stands in the document where an item has a slot
@@ -132,8 +162,11 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     filled = filled.groupBy(*aligned).agg(F.count(F.lit(1)).alias("n_slots"), F.avg((F.col("n") == 1).cast("double")).alias("consistent"), F.min("same").alias("same"))
     # a text that was cut or enlarged inside an item has several alignments: their windows add up
     good = hits.join(filled, aligned, "left").where(F.coalesce("consistent", F.lit(1.0)) >= CONSISTENT)
-    found = good.groupBy(by, "item_id").agg(F.countDistinct("item_place").alias("n_matched"), F.coalesce(F.max("n_slots"), F.lit(0)).cast("long").alias("n_slots"), F.min(F.coalesce("same", F.lit(True))).alias("verbatim"))
-    return found.join(total, "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= COVERED).select(by, "item_id", "n_windows", "n_matched", "coverage", "n_slots", "verbatim")
+    each = good.groupBy("doc_id", *aligned, "n_slots", "same").agg(F.collect_set("item_place").alias("places"))
+    run = F.max(F.when(F.coalesce("same", F.lit(True)), F.size("places")).otherwise(0))
+    found = each.groupBy(by, "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"), F.coalesce(F.max("n_slots"), F.lit(0)).cast("long").alias("n_slots"), F.min(F.coalesce("same", F.lit(True))).alias("verbatim"), run.alias("run"))
+    found = found.join(total, "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
+    return found.where((F.col("coverage") >= COVERED) | (F.col("run") > VERBATIM - WINDOW)).select(by, "item_id", "n_windows", "n_matched", "coverage", "n_slots", "verbatim")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -104,19 +104,25 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SIGNS = decontaminate.SIGNS.replace("'", "''")
 
 
+def _number_sql(x: str) -> str:
+    return f"({x}[1] BETWEEN '0' AND '9' OR {x} IN {decontaminate.NUMBERS})"
+
+
 def _tokens_sql(x: str, key: str, rows: str) -> str:
+    token = lambda starts: f"""CASE WHEN {_number_sql("lower(b)")} THEN '<number>'
+    WHEN i > 1 AND lower(b) IN {decontaminate.UNITS} AND {_number_sql("lower(bare[i - 1])")} THEN '<unit>'
+    WHEN b = lower(b) {starts} THEN lower(b)
+    WHEN length(b) > 1 AND b[1] <> lower(b)[1] AND substr(b, 2) = substr(lower(b), 2) THEN '<name>' ELSE lower(b) END"""
     return f"""
  w{x} AS (SELECT {key} AS id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: trim(w, '{_SIGNS}') <> '') AS ws FROM {rows}),
  v{x} AS (SELECT id, ws, list_transform(ws, lambda w: trim(w, '{_SIGNS}')) AS bare FROM w{x}),
- t{x} AS (SELECT id, i, lower(b) AS value, CASE WHEN lower(b)[1] BETWEEN '0' AND '9' THEN '<number>'
-    WHEN i > 1 AND lower(b) IN {decontaminate.UNITS} AND lower(bare[i - 1])[1] BETWEEN '0' AND '9' THEN '<unit>'
-    WHEN b = lower(b) OR i = 1 OR right(ws[i - 1], 1) IN ('.', '!', '?', ':') THEN lower(b)
-    WHEN length(b) > 1 AND b[1] <> lower(b)[1] AND substr(b, 2) = substr(lower(b), 2) THEN '<name>' ELSE lower(b) END AS token
+ t{x} AS (SELECT id, i, lower(b) AS value, {token("OR i = 1 OR right(ws[i - 1], 1) IN ('.', '!', '?', ':')")} AS token, {token("")} AS loose
     FROM (SELECT id, ws, bare, unnest(range(1, len(bare) + 1)) AS i, unnest(bare) AS b FROM v{x}) x),
- l{x} AS (SELECT id, list(token ORDER BY i) AS ts, list(value ORDER BY i) AS vs FROM t{x} GROUP BY id)"""
+ l{x} AS (SELECT id, list(token ORDER BY i) AS ts, list(value ORDER BY i) AS vs, list(loose ORDER BY i) AS ls FROM t{x} GROUP BY id)"""
 
 
 _WINDOW = "array_to_string(list_concat([CASE WHEN ts[p] = '<name>' THEN vs[p] ELSE ts[p] END], ts[p + 1 : p + k - 1]), ' ')"
+_VALUES = "array_to_string(vs[p : p + k - 1], ' ')"
 _IS_SLOT = "IN ('<number>', '<name>', '<unit>')"
 OP2_SQL = (
     "WITH"
@@ -124,18 +130,27 @@ OP2_SQL = (
     + ","
     + _tokens_sql("d", "doc_id", "documents")
     + f"""
-, iw AS (SELECT id AS item_id, p, k, {_WINDOW} AS h FROM (SELECT *, least(len(ts), {decontaminate.WINDOW}) AS k, unnest(range(1, len(ts) - least(len(ts), {decontaminate.WINDOW}) + 2)) AS p FROM li WHERE len(ts) >= {decontaminate.LEAST}) x
-         WHERE len(list_filter(ts[p : p + k - 1], lambda t: t {_IS_SLOT})) * 2 <= k),
-  n AS (SELECT item_id, count(*) AS n_windows FROM iw GROUP BY 1),
-  dw AS (SELECT id AS doc_id, p, k, {_WINDOW} AS h FROM (SELECT l.*, s.k, unnest(range(1, len(ts) - s.k + 2)) AS p FROM ld l, (SELECT DISTINCT k FROM iw) s) x),
-  hit AS (SELECT d.doc_id, i.item_id, i.p, i.k, d.p - i.p AS shift FROM dw d JOIN iw i ON d.k = i.k AND d.h = i.h),
+, ip AS (SELECT *, least(len(ts), {decontaminate.WINDOW}) AS k, unnest(range(1, len(ts) - least(len(ts), {decontaminate.WINDOW}) + 2)) AS p FROM li),
+  ir AS (SELECT id, k, p, vs, ts, 1 AS no FROM ip UNION ALL SELECT id, k, p, vs, list_transform(ts, lambda t, j: CASE WHEN t = '<name>' THEN vs[j] ELSE t END), 2 FROM ip UNION ALL SELECT id, k, p, vs, ls, 3 FROM ip),
+  iz AS (SELECT *, len(list_filter(ts[p : p + k - 1], lambda t: t {_IS_SLOT})) * 2 > k AS heavy FROM ir),
+  iw AS (SELECT DISTINCT id AS item_id, p, k, 0 AS kind, {_WINDOW} AS h FROM iz WHERE k >= {decontaminate.LEAST} AND NOT heavy
+         UNION SELECT id, p, k, 1, {_VALUES} FROM iz WHERE k >= {decontaminate.LEAST} AND heavy AND no = 1
+         UNION SELECT id, 1, k, 2, array_to_string(vs, ' ') FROM iz WHERE k < {decontaminate.LEAST} AND no = 1),
+  n AS (SELECT item_id, count(DISTINCT p) AS n_windows FROM iw GROUP BY 1),
+  dp AS (SELECT l.*, s.k, unnest(range(1, len(ts) - s.k + 2)) AS p FROM ld l, (SELECT DISTINCT k FROM iw WHERE kind < 2) s),
+  dw AS (SELECT id AS doc_id, p, k, 0 AS kind, {_WINDOW} AS h FROM dp UNION ALL SELECT id, p, k, 1, {_VALUES} FROM dp
+         UNION ALL SELECT id, 1, len(vs), 2, array_to_string(vs, ' ') FROM ld WHERE len(vs) < {decontaminate.LEAST}),
+  hit AS (SELECT DISTINCT d.doc_id, i.item_id, i.p, i.k, d.p - i.p AS shift FROM dw d JOIN iw i ON d.k = i.k AND d.kind = i.kind AND d.h = i.h),
   a AS (SELECT DISTINCT doc_id, item_id, shift, unnest(range(p, p + k)) AS i FROM hit),
   s AS (SELECT a.doc_id, a.item_id, a.shift, ti.value AS iv, count(DISTINCT td.value) AS c, min(CASE WHEN ti.value = td.value THEN 1 ELSE 0 END) AS same
         FROM a JOIN ti ON ti.id = a.item_id AND ti.i = a.i AND ti.token {_IS_SLOT} JOIN td ON td.id = a.doc_id AND td.i = a.i + a.shift GROUP BY ALL),
   f AS (SELECT doc_id, item_id, shift, count(*) AS n_slots, avg(CASE WHEN c = 1 THEN 1.0 ELSE 0 END) AS ok, min(same) AS same FROM s GROUP BY ALL),
-  m AS (SELECT h.doc_id, h.item_id, count(DISTINCT h.p) AS n_matched, coalesce(max(f.n_slots), 0) AS n_slots, min(coalesce(f.same, 1)) = 1 AS verbatim
-        FROM hit h LEFT JOIN f ON f.doc_id = h.doc_id AND f.item_id = h.item_id AND f.shift = h.shift WHERE coalesce(f.ok, 1) >= {decontaminate.CONSISTENT} GROUP BY ALL)
-SELECT m.doc_id, m.item_id, n_windows, n_matched, n_matched / CAST(n_windows AS DOUBLE) AS coverage, n_slots, verbatim FROM m JOIN n ON m.item_id = n.item_id WHERE n_matched / CAST(n_windows AS DOUBLE) >= {decontaminate.COVERED}
+  g AS (SELECT h.*, f.n_slots, coalesce(f.same, 1) AS same FROM hit h LEFT JOIN f ON f.doc_id = h.doc_id AND f.item_id = h.item_id AND f.shift = h.shift WHERE coalesce(f.ok, 1) >= {decontaminate.CONSISTENT}),
+  r AS (SELECT doc_id, item_id, max(c) AS run FROM (SELECT doc_id, item_id, shift, CASE WHEN min(same) = 1 THEN count(DISTINCT p) ELSE 0 END AS c FROM g GROUP BY ALL) GROUP BY ALL),
+  m AS (SELECT doc_id, item_id, count(DISTINCT p) AS n_matched, coalesce(max(n_slots), 0) AS n_slots, min(same) = 1 AS verbatim FROM g GROUP BY ALL)
+SELECT m.doc_id, m.item_id, n_windows, n_matched, n_matched / CAST(n_windows AS DOUBLE) AS coverage, n_slots, verbatim
+FROM m JOIN n ON m.item_id = n.item_id JOIN r ON r.doc_id = m.doc_id AND r.item_id = m.item_id
+WHERE n_matched / CAST(n_windows AS DOUBLE) >= {decontaminate.COVERED} OR run > {decontaminate.VERBATIM - decontaminate.WINDOW}
 """
 )
 

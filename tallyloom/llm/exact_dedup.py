@@ -20,29 +20,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, small
+from ._common import batched, materialize, release, small
 
-#: Quotient bits within a range; what remains of the 64 bits is the stored remainder.
-QUOTIENT_BITS = 10
+#: Fingerprints of all rows that fall into one range, which one task merges: the ranges follow from the number of rows.
+RANGE_ROWS = 500_000
 #: The most fingerprints a partition gathers before it writes its filter and begins another.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 
-def build_filter(fingerprints: np.ndarray, range_bits: int, counts: np.ndarray | None = None) -> dict[int, bytes]:
-    """Counting quotient filters of uint64 fingerprints by range: occupied bits by quotient, run-end bits by slot, then sorted remainders and their counts."""
-    if counts is None:
-        slots, counts = np.unique(fingerprints, return_counts=True)
-    else:
-        slots = fingerprints
-    rest = 64 - range_bits
-    ranges = (slots >> np.uint64(rest)).astype(np.int64) if range_bits else np.zeros(len(slots), np.int64)
+def quotient_bits(range_bits: int) -> int:
+    """Quotient bits within a range; what remains of the 64 bits is the stored remainder. The finer the ranges, the fewer: a block's bit map stays small beside its entries."""
+    return max(3, min(10, 20 - range_bits))
+
+
+def range_bits(n: int) -> int:
+    """So many leading bits that a range has about RANGE_ROWS of n fingerprints, and 16 ranges at least."""
+    return max(4, min(40, (-(-n // RANGE_ROWS) - 1).bit_length()))
+
+
+def build_filter(fingerprints: np.ndarray, bits: int) -> dict[int, bytes]:
+    """Counting quotient filters of uint64 fingerprints by range (their first bits): occupied bits by quotient, run-end bits by slot, then sorted remainders and their counts."""
+    slots, counts = np.unique(fingerprints, return_counts=True)
+    rest, q = 64 - bits, quotient_bits(bits)
+    ranges = (slots >> np.uint64(rest)).astype(np.int64) if bits else np.zeros(len(slots), np.int64)
     edges = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]]) if len(slots) else np.zeros(0, np.int64)
-    shift = np.uint64(rest - QUOTIENT_BITS)
+    shift = np.uint64(rest - q)
     out = {}
     for a, b in zip(edges, np.r_[edges[1:], len(slots)], strict=True):
         part = slots[a:b] & np.uint64((1 << rest) - 1)
         quotients = (part >> shift).astype(np.int64)
-        occupied = np.zeros(1 << QUOTIENT_BITS, bool)
+        occupied = np.zeros(1 << q, bool)
         occupied[quotients] = True
         run_end = np.r_[quotients[1:] != quotients[:-1], True]
         remainders = part & np.uint64((1 << int(shift)) - 1)
@@ -50,23 +57,23 @@ def build_filter(fingerprints: np.ndarray, range_bits: int, counts: np.ndarray |
     return out
 
 
-def read_filter(block: bytes, at_range: int, range_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def read_filter(block: bytes, at_range: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted fingerprints of a filter and their counts."""
-    n, rest = int(np.frombuffer(block, np.int64, 1)[0]), 64 - range_bits
+    n, rest, q = int(np.frombuffer(block, np.int64, 1)[0]), 64 - bits, quotient_bits(bits)
     at = 8
-    occupied = np.flatnonzero(np.unpackbits(np.frombuffer(block, np.uint8, (1 << QUOTIENT_BITS) // 8, at)))
-    at += (1 << QUOTIENT_BITS) // 8
+    occupied = np.flatnonzero(np.unpackbits(np.frombuffer(block, np.uint8, (1 << q) // 8, at)))
+    at += (1 << q) // 8
     run_end = np.unpackbits(np.frombuffer(block, np.uint8, (n + 7) // 8, at), count=n)
     at += (n + 7) // 8
     remainders, counts = np.frombuffer(block, np.uint64, n, at), np.frombuffer(block, np.int64, n, at + 8 * n)
     quotients = occupied[np.cumsum(run_end) - run_end].astype(np.uint64)
-    top = np.uint64(at_range << rest if range_bits else 0)
-    return top | (quotients << np.uint64(rest - QUOTIENT_BITS)) | remainders, counts
+    top = np.uint64(at_range << rest if bits else 0)
+    return top | (quotients << np.uint64(rest - q)) | remainders, counts
 
 
-def merge_filters(blocks: list[bytes], at_range: int, range_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def merge_filters(blocks: list[bytes], at_range: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """One sorted run of fingerprints with the sums of their counts; nothing is lost or guessed."""
-    read = [read_filter(b, at_range, range_bits) for b in blocks]
+    read = [read_filter(b, at_range, bits) for b in blocks]
     slots, counts = np.concatenate([r[0] for r in read]), np.concatenate([r[1] for r in read])
     order = np.argsort(slots, kind="stable")
     slots, counts = slots[order], counts[order]
@@ -75,14 +82,13 @@ def merge_filters(blocks: list[bytes], at_range: int, range_bits: int) -> tuple[
 
 
 def repeated_fingerprints(rows: DataFrame) -> DataFrame:
-    """Of rows (one column _tl_fp), the fingerprints that occur more than once: _tl_fp, _tl_n."""
-    wanted = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    bits = max(4, min(16, (wanted - 1).bit_length()))
+    """Of rows (one column _tl_fp), the fingerprints that occur more than once: _tl_fp, _tl_n. The rows are counted first, for the number of ranges."""
+    bits = range_bits(rows.count())
 
     def partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def blocks(got):
             made = build_filter(np.concatenate(got), bits)
-            return pa.RecordBatch.from_pydict({"_tl_range": pa.array(list(made), pa.int32()), "_tl_block": pa.array(list(made.values()), pa.binary())})
+            return pa.RecordBatch.from_pydict({"_tl_range": pa.array(list(made), pa.int64()), "_tl_block": pa.array(list(made.values()), pa.binary())})
 
         held, n = [], 0
         for batch in batches:
@@ -93,13 +99,14 @@ def repeated_fingerprints(rows: DataFrame) -> DataFrame:
                 held, n = [], 0
         if n:
             yield blocks(held)
+        release()
 
     def merged(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         slots, counts = merge_filters(list(group["_tl_block"]), int(key[0]), bits)
         again = counts > 1
         return pd.DataFrame({"_tl_fp": slots[again].view(np.int64), "_tl_n": counts[again]})
 
-    filters = rows.mapInArrow(partition, "_tl_range int, _tl_block binary")
+    filters = batched(rows).mapInArrow(partition, "_tl_range long, _tl_block binary")
     return filters.groupBy("_tl_range").applyInPandas(merged, "_tl_fp long, _tl_n long")
 
 

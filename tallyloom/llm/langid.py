@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import pieces, utf8
+from ._common import batched, pieces, release, utf8
 
 BUCKETS = 1 << 15
 ORDERS = (2, 3)
@@ -124,9 +124,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
         for name, n in seen.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(at), pa.string()), "bucket": pa.array(at, pa.int32()), "n": pa.array(n[at], pa.int64())})
+        release()
 
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string"), F.col(lang_col).cast("string"))
-    sums = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = batched(rows).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(sums["lang"].unique())
     counts = np.zeros((len(languages), BUCKETS))
     counts[np.searchsorted(languages, sums["lang"]) if languages else [], sums["bucket"]] = sums["n"]
@@ -152,8 +153,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", prefix: str
             ok = batch.column(letters).to_numpy(zero_copy_only=False) & bool(model.languages)
             said = [words.take(pa.array(np.where(ok, best, len(model.languages)))), pa.array(np.where(ok, score, 0.0)), pa.array(ok & (lead < AMBIGUOUS))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in own), *said], schema.names)
+        release()
 
-    return source.mapInArrow(run, schema)
+    return batched(source).mapInArrow(run, schema)
 
 
 def held_out(docs: DataFrame, parts: int, id_col: str = "doc_id") -> F.Column:

@@ -37,7 +37,8 @@ def test_filters_merge_without_loss():
     parts = [rng.integers(0, 1 << 63, 500, dtype=np.uint64) for _ in range(3)]
     parts[1][:100] = parts[0][:100]
     want = Counter(np.concatenate(parts).tolist())
-    for bits in (0, 4, 9):
+    assert [exact_dedup.range_bits(n) for n in (0, 10**6, 16 * 500_000 + 1, 10**11)] == [4, 4, 5, 18]
+    for bits in (0, 4, 9, 18, 40):
         blocks = defaultdict(list)
         for p in parts:
             for k, b in exact_dedup.build_filter(p, bits).items():
@@ -132,7 +133,7 @@ def brute_classes(rows):
 
     def sh(t):
         w = re.findall(rb"[a-z0-9\x80-\xff]+", (t or "").translate(low).encode())
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
     sets = [(i, sh(t)) for i, t in rows]
     root = list(range(len(rows)))
@@ -140,7 +141,7 @@ def brute_classes(rows):
     for x in range(len(rows)):
         for y in range(x):
             a, b = sets[x][1], sets[y][1]
-            if a and b and len(a & b) >= 0.8 * len(a | b):
+            if a and b and (a & b).total() >= 0.8 * (a | b).total():
                 root[max(find(x), find(y))] = min(find(x), find(y))
     least = defaultdict(list)
     for x, (i, _) in enumerate(sets):
@@ -158,6 +159,8 @@ def test_near_classes(spark, sample):
         for _ in range(draw.randint(0, 4)):
             copy[draw.randrange(len(copy))] = draw.choice(words)
         rows.append((10_000 + k, " ".join(copy[: draw.choice([120, 120, 100, 90])])))
+    for k in range(12):  # a passage that is repeated more or less often: the weights tell
+        rows.append((15_000 + k, " ".join(base[:40] * (k + 1))))
     rows += [(20_001, None), (20_002, ""), (20_003, "One two."), (20_004, "one TWO"), (None, "one two"), (20_005, LONG), (20_006, LONG), (20_007, "a b c d e"), (20_007, "A b c d e!")]
     got = Counter((r["doc_id"], r["class_id"]) for r in dart_minhash.near_duplicates(docs(spark, rows)).collect())
     assert got == brute_classes(rows)
@@ -192,18 +195,25 @@ def test_components(spark):
 
 
 def test_leaks(spark):
-    items = spark.createDataFrame([(1, "If a train leaves Paris at 60 km per hour and runs for 3 hours, how far will the train of Anna be from Paris?"), (2, "Plain words without any slot stand here in a row for all of us."), (3, "too short"), (4, None), (5, "one two three four five")], "item_id long, text string")
+    train = "If a train leaves Paris at 60 km per hour and runs for 3 hours, how far will the train of Anna be from Paris?"
+    plain = "Plain words without any slot stand here in a row for all of us."
+    sums = "What is 12 + 7 - 3 * 4 and 17 km + 20 km?"
+    long = ". ".join(f"Alpha{i} stands by beta{i} and gamma{i} at delta{i}" for i in range(14)) + "."
+    run = " ".join(long.split()[20:45])
+    items = spark.createDataFrame([(1, train), (2, plain), (3, "Too short"), (4, None), (5, "one two three four five"), (6, sums), (7, long), (8, "+ -")], "item_id long, text string")
     rows = [
-        (1, "Intro. If a train leaves Paris at 60 km per hour and runs for 3 hours, how far will the train of Anna be from Paris? End."),
-        (2, "If a train leaves London at 75 km per hour and runs for 5 hours, how far will the train of Maria be from London?"),
+        (1, f"Intro. {train} End."),
+        (2, "If a train leaves London at 75 km per hour and runs for five hours, how far will the train of Maria be from London?"),
         (3, "If a train leaves London at 75 km per hour and runs for 5 hours, how far will the train of Maria be from Oslo?"),
         (4, "PLAIN WORDS without any slot\nstand here in a row for all of us"),
-        (5, None), (6, ""), (7, "nothing of it " * 30), (8, "say one two three four five now"), (None, "Plain words without any slot stand here in a row for all of us."), (9, LONG),
+        (5, None), (6, ""), (7, "nothing of it " * 30), (8, "say one two three four five now"), (None, plain), (9, LONG),
+        (10, f"asked: {sums}"), (11, "What is 13 + 8 - 5 * 9 and 4 km + 21 km?"), (12, "too  short."), (13, "it is too short"),
+        (14, train.lower()), (15, long.replace(".", "")), (16, f"said {run} and no more"), (17, "said " + " ".join(run.split()[:20])), (18, train.upper()),
     ]
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(docs(spark, rows), items).collect()}
-    assert set(got) == {(1, 1), (2, 1), (4, 2), (8, 5), (None, 2)}
-    assert got[1, 1]["verbatim"] and not got[2, 1]["verbatim"] and got[2, 1]["n_slots"] > 0 and got[4, 2]["coverage"] == 1.0
-    assert sorted(r[0] for r in decontaminate.keep_clean(docs(spark, rows), items).collect() if r[0]) == [3, 5, 6, 7, 9]
+    assert set(got) == {(1, 1), (2, 1), (4, 2), (8, 5), (None, 2), (10, 6), (12, 3), (14, 1), (15, 7), (16, 7), (18, 1)}
+    assert got[1, 1]["verbatim"] and not got[2, 1]["verbatim"] and got[2, 1]["n_slots"] > 0 and got[4, 2]["coverage"] == got[14, 1]["coverage"] == got[18, 1]["coverage"] == got[15, 7]["coverage"] == 1.0
+    assert sorted(r[0] for r in decontaminate.keep_clean(docs(spark, rows), items).collect() if r[0]) == [3, 5, 6, 7, 9, 11, 13, 17]
     assert decontaminate.leaks(docs(spark, rows).limit(0), items).count() == 0 == decontaminate.leaks(docs(spark, rows), items.limit(0)).count()
 
 
