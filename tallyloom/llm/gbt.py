@@ -1,4 +1,7 @@
-"""Gradient-boosted trees for a binary label, on histograms of feature quantiles."""
+"""Gradient-boosted trees for a binary label, on histograms of feature quantiles.
+
+Cases: labels that are all equal give that label; a constant feature is never split; fit needs a row, predict none.
+"""
 
 from __future__ import annotations
 
@@ -19,7 +22,7 @@ class Boosted:
         self.feature = np.zeros((self.trees, inner), np.int64)
         self.threshold = np.full((self.trees, inner), np.inf)
         self.leaf = np.zeros((self.trees, inner + 1))
-        share = y.mean()
+        share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
         self.start = np.log(share / (1 - share))
         score = np.full(len(y), self.start)
         for t in range(self.trees):

@@ -6,10 +6,15 @@ Hierarchical decoding then labels the whole page at once: the most likely labell
 node is dropped as well, so ancestors and descendants never contradict each other. The trees are trained on pages that
 training_pages() makes up with known labels; nothing of the table is used.
 
+Text that stands beside block elements, and text directly in the body, is a node of its own (an anonymous block, as
+browsers lay it out), so it is judged like any other block.
+
 The text of a kept node's blocks is joined in page order by two line feeds; white space in a block is one space.
 
-Cases: null or empty html gives an empty text; unclosed and stray tags are mended as browsers do; scripts, styles, the
-head, comments and templates are never text; other columns of the input pass through.
+Cases: null or empty html gives an empty text; unclosed and stray tags are mended as browsers do, and a tag that the
+page's end cuts off is no text; a page is read once from start to end, however malformed; scripts, styles, the head,
+comments and templates are never text; repeated rows are each extracted; a column named as the result is replaced, all
+other columns of the input pass through.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import functools
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +42,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea iframe svg title select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr input button".split())
 PARAGRAPH = frozenset(("p",))
-GROUPS = [("article", "main"), ("nav", "menu"), ("header",), ("footer",), ("aside",), ("form", "fieldset", "dialog"), ("ul", "ol", "dl"), ("li", "dt", "dd"), ("p", "blockquote", "pre"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("table", "thead", "tbody", "tr", "td", "th"), ("figure", "figcaption", "details", "summary"), ("head",)]
+ANONYMOUS = "#text"
+GROUPS = [("article", "main"), ("nav", "menu"), ("header",), ("footer",), ("aside",), ("form", "fieldset", "dialog"), ("ul", "ol", "dl"), ("li", "dt", "dd"), ("p", "blockquote", "pre"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("table", "thead", "tbody", "tr", "td", "th"), ("figure", "figcaption", "details", "summary"), ("head",), (ANONYMOUS,)]
 WORDS = [
     ("article", "content", "main", "post", "entry", "story", "body", "text", "prose"),
     ("nav", "navigation", "menu", "navbar", "breadcrumb", "breadcrumbs", "topbar", "toc", "pagination", "pager"),
@@ -53,12 +60,43 @@ _GROUP = {t: i for i, g in enumerate(GROUPS) for t in g}
 _WORD = {w: i for i, g in enumerate(WORDS) for w in g}
 #: Start tags that end an open element of the second set.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th")}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+#: What may follow `<`, and the rest of a tag: quotes count after an equals sign. Nothing is tried twice, so a page costs linear time.
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+")
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 FEATURES = len(GROUPS) + 2 * len(WORDS) + len(GROUPS) + 14
 
 
+def tags(source: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, whether it closes, name in lower case, attributes) of the tags of source; comments and declarations come without a name. A caller may send the place to go on from."""
+    at = source.find("<")
+    while at >= 0:
+        end, closes, name, rest = at + 1, False, "", ""
+        if m := _NAME.match(source, at + 1):
+            r = _REST.match(source, m.end())
+            end = r.end() + 1 if r.end() < len(source) else len(source)
+            # a tag that never ends is dropped with what follows
+            if r.end() < len(source):
+                closes, name, rest = bool(m[1]), m[2].lower(), r[0]
+        elif source.startswith("<!--", at):
+            end = source.find("-->", at + 4) + 3
+            end = end if end > 2 else len(source)
+        elif source[at + 1 : at + 2] in ("!", "?", "/") and at + 1 < len(source):
+            end = source.find(">", at) + 1 or len(source)
+        else:
+            at = source.find("<", at + 1)
+            continue
+        to = yield at, end, closes, name, rest
+        at = source.find("<", end if to is None else to)
+
+
+def _raw_end(source: str, name: str, at: int) -> int:
+    """Where the content of a raw element ends, its end tag included."""
+    m = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
+    return (source.find(">", m.end()) + 1 or len(source)) if m else len(source)
+
+
 class Page:
     """Block elements of a page in order, and the runs of text in them."""
 
@@ -69,64 +107,67 @@ class Page:
         #: (node, text, of which characters in links)
         self.runs: list[tuple[int, str, int]] = []
         stack: list[tuple[str, int]] = [("body", 0)]
+        opened: Counter = Counter()
         held: list[str] = []
-        linked, links = 0, 0
+        #: the last node that had begun when a run ended
+        before: list[int] = []
+        linked = 0
 
         def close_run():
             nonlocal linked
             if held:
                 text = " ".join(html.unescape("".join(held)).split())
                 if text:
-                    self.runs.append((stack_block(), text, min(linked, len(text))))
+                    self.runs.append((stack[-1][1], text, min(linked, len(text))))
+                    before.append(len(self.tag) - 1)
                 held.clear()
             linked = 0
 
-        def stack_block():
-            return stack[-1][1]
-
         def pop_to(depth: int):
-            nonlocal links
             if any(t not in INLINE for t, _ in stack[depth:]):
                 close_run()
-            links -= sum(t == "a" for t, _ in stack[depth:])
+            for t, _ in stack[depth:]:
+                opened[t] -= 1
             del stack[depth:]
 
-        at = 0
-        m = _TAG.search(source)
-        while m:
-            if m.start() > at:
-                held.append(source[at : m.start()])
-                if links > 0:
-                    linked += m.start() - at
-            at = m.end()
-            name = (m[2] or "").lower()
+        def push(name: str, node: int):
+            stack.append((name, node))
+            opened[name] += 1
+
+        at, scan = 0, tags(source)
+        found = next(scan, None)
+        while found:
+            start, end, closes, name, rest = found
+            if start > at:
+                held.append(source[at:start])
+                if opened["a"] > 0:
+                    linked += start - at
+            at, to = end, None
             if not name:
                 pass
-            elif m[1]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == name:
-                        pop_to(depth)
-                        break
-                    if name in INLINE and stack[depth][0] not in INLINE:
-                        break
-                else:
-                    if name in PARAGRAPH:
-                        close_run()
+            elif closes:
+                if opened[name] > 0:
+                    for depth in range(len(stack) - 1, 0, -1):
+                        if stack[depth][0] == name:
+                            pop_to(depth)
+                            break
+                        if name in INLINE and stack[depth][0] not in INLINE:
+                            break
+                elif name in PARAGRAPH:
+                    close_run()
             elif name in RAW:
-                end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
+                at = to = _raw_end(source, name, end)
                 held.append(" ")
             elif name == "br" or name in ("img", "input", "wbr"):
                 held.append(" ")
             elif name in INLINE:
-                stack.append((name, stack_block()))
-                links += name == "a"
+                push(name, stack[-1][1])
             elif name in ("html", "body"):
                 pass
             else:
                 # a block ends an open paragraph, and what its name ends
                 over = ("p", *_ENDS.get(name, ()))
-                for depth in range(len(stack) - 1, 0, -1):
+                for depth in range(len(stack) - 1, 0, -1) if any(opened[x] > 0 for x in over) else ():
                     if stack[depth][0] in over:
                         pop_to(depth)
                         break
@@ -135,13 +176,35 @@ class Page:
                 close_run()
                 if name not in VOID:
                     self.tag.append(name)
-                    self.parent.append(stack_block())
-                    self.attrs.append(m[3])
-                    stack.append((name, len(self.tag) - 1))
-            m = _TAG.search(source, at)
+                    self.parent.append(stack[-1][1])
+                    self.attrs.append(rest)
+                    push(name, len(self.tag) - 1)
+            try:
+                found = next(scan) if to is None else scan.send(to)
+            except StopIteration:
+                found = None
         if at < len(source):
             held.append(source[at:])
         close_run()
+        self._anonymous(before)
+
+    def _anonymous(self, before: list[int]) -> None:
+        """Give the runs of the root, and of nodes with block children, nodes of their own: numbered in page order, so a parent comes first."""
+        inner = set(self.parent) | {0}
+        if not any(node in inner for node, _, _ in self.runs):
+            return
+        order = [(i, 0, i) for i in range(len(self.tag))] + [(before[k], 1 + k, -1 - k) for k, run in enumerate(self.runs) if run[0] in inner]
+        order.sort()
+        number = {old: new for new, (_, _, old) in enumerate(order)}
+        tag, parent, attrs, made = [], [], [], []
+        for _, _, old in order:
+            node = old if old >= 0 else self.runs[-1 - old][0]
+            tag.append(self.tag[old] if old >= 0 else ANONYMOUS)
+            parent.append(number[node] if old < 0 else number[self.parent[old]] if old else -1)
+            attrs.append(self.attrs[old] if old >= 0 else "")
+        for k, (node, text, linked) in enumerate(self.runs):
+            made.append((number[-1 - k] if node in inner else number[node], text, linked))
+        self.tag, self.parent, self.attrs, self.runs = tag, parent, attrs, made
 
     def features(self) -> np.ndarray:
         n = len(self.tag)
@@ -184,7 +247,7 @@ class Page:
         return np.hstack([kind, words, over_kind, over_words, np.stack(dense, 1)])
 
     def decode(self, p: np.ndarray) -> np.ndarray:
-        """Which nodes are kept, in the likeliest labelling without a kept node below a dropped one. The root is kept."""
+        """Which nodes are kept, in the likeliest labelling without a kept node below a dropped one. The root holds no text of its own and is kept."""
         n = len(p)
         weight = np.ones(n)
         for node, text, _ in self.runs:
@@ -228,6 +291,10 @@ def training_pages(n: int, seed: int) -> Iterator[tuple[str, list[str]]]:
         inner = "".join(f"<li><a href='#'>{words(1, 4)}</a></li>" if kind == "ul" else f"<a href='#'>{words(1, 4)}</a> " for _ in range(k))
         return f"<{kind}>{inner}</{kind}>"
 
+    def bare():
+        """Text without an element that is no main text: skip links, a line of links, a copyright line."""
+        return draw.choice([f"<a href='#{words(1, 1)}'>{words(2, 4)}</a>", " | ".join(f"<a href='/{words(1, 1)}'>{words(1, 2)}</a>" for _ in range(draw.randint(2, 6))), " | ".join(words(1, 3) for _ in range(draw.randint(2, 5))), f"&copy; {words(1, 3)} {words(2, 5)}.", f"Copyright {draw.randint(1995, 2030)} {words(1, 4)}", words(1, 4)])
+
     def junk(where):
         """A block that is no main text; where: page or article."""
         kind = draw.choice(["nav", "header", "footer", "aside", "ad", "notice", "comments", "share", "form"] if where == "page" else ["ad", "aside", "share", "notice", "form"])
@@ -237,7 +304,7 @@ def training_pages(n: int, seed: int) -> Iterator[tuple[str, list[str]]]:
             inner = f"<h1>{words(1, 5)}</h1>" * draw.randint(0, 1) + f"<p>{passage(2)}</p>" * draw.randint(0, 1) + links(draw.randint(1, 6))
             return f"<header{name(2)}>{inner}</header>" if draw.random() < 0.6 else f"<div{name(2, 0)}>{inner}</div>"
         if kind == "footer":
-            inner = draw.choice([f"&copy; {words(1, 3)} &middot; {passage(2)}", f"<p>{passage(3)}</p>" + links(draw.randint(1, 6))])
+            inner = draw.choice([f"&copy; {words(1, 3)} &middot; {passage(2)}", f"<p>{passage(3)}</p>" + links(draw.randint(1, 6)), f"<p>{bare()}</p>", bare(), f"<p>{bare()}</p><p>{bare()}</p>", f"<p>{passage(1)}</p>"])
             return f"<footer{name(3)}>{inner}</footer>" if draw.random() < 0.7 else f"<div{name(3, 0)}>{inner}</div>"
         if kind == "aside":
             inner = f"<h3>{words(1, 4)}</h3>" * draw.randint(0, 1) + draw.choice([links(draw.randint(2, 8)), f"<p>{passage(3)}</p>", passage(2)])
@@ -264,7 +331,15 @@ def training_pages(n: int, seed: int) -> Iterator[tuple[str, list[str]]]:
         body = [block("h1", words(2, 12))] if draw.random() < 0.8 else []
         for _ in range(draw.choice([1, 2, 3, 5, 8, 14, 30])):
             r = draw.random()
-            if r < 0.7:
+            if r < 0.06:
+                # bare text between blocks
+                text = draw.choice([passage(5), sentence()])
+                if body and not body[-1].endswith(">"):
+                    text = blocks.pop() + " " + text
+                    body.pop()
+                blocks.append(text)
+                body.append(text)
+            elif r < 0.7:
                 body.append(block("p", draw.choice([passage(8), passage(3), sentence(1, 6), words(1, 3)])))
             elif r < 0.78:
                 body.append(block(draw.choice(["h2", "h3"]), words(1, 8)))
@@ -279,15 +354,17 @@ def training_pages(n: int, seed: int) -> Iterator[tuple[str, list[str]]]:
             else:
                 body.append(junk("article"))
         if draw.random() < 0.25:
-            body.insert(draw.randint(1, len(body)), junk("article"))
+            body.insert(draw.choice([0, len(body)]), junk("article"))
         tag, attr = draw.choice([("article", ""), ("article", ""), ("article", name(0)), ("main", ""), ("div", name(0, 0)), ("div", name(0, 0)), ("section", name(0, 0)), ("div", "")])
-        inner = f"<{tag}{attr}>{''.join(body)}</{tag}>"
+        inner = "".join(body)
+        inner = f"<{tag}{attr}>{inner}</{tag}>" if draw.random() < 0.93 else f"<hr>{inner}<hr>"
         if draw.random() < 0.3:
             inner = f"<{(t := draw.choice(['main', 'div', 'section']))}{name(0)}>{inner}{junk('page') * (draw.random() < 0.3)}</{t}>"
         before, after = "".join(junk("page") for _ in range(draw.randint(0, 4))), "".join(junk("page") for _ in range(draw.randint(0, 4)))
         if draw.random() < 0.2:
             inner = f"<div{name(draw.randint(0, 4), 0.7)[:0]} id='wrap'>{before}{inner}{after}</div>"
             before = after = ""
+        before, after = bare() * (draw.random() < 0.15) + before + "<hr>" * (not before), "<hr>" * (not after) + after + bare() * (draw.random() < 0.15)
         yield f"<html><head><title>{words(2, 5)}</title></head><body>{before}{inner}{after}</body></html>", blocks
 
 
