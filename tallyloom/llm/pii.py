@@ -1,21 +1,29 @@
 """Personal data by fixed patterns and a skip-chain conditional random field.
 
-Four patterns give the base spans of a text. A conditional random field over the tokens that hold a digit or `@` then
-finds what the patterns miss: neighbours share a chain potential, and tokens with the same text, however far apart,
-share a skip potential (each with the one before it, so the edges grow with the tokens). Tokens of base spans are
-evidence, and where the digits of a card or phone are written in groups, the run of groups is one token, whatever parts
-them; loopy belief propagation carries their labels to the rest. A token is added only if it is linked to
-evidence and its marginal is high. The potentials are fitted piecewise: log odds from counts of shapes, neighbouring
-pairs and repeated pairs over all texts, with the base spans as labels.
+Four patterns give the base spans of a text. A conditional random field over its candidate tokens then finds what the
+patterns miss. Candidates hold a digit or `@`, are the name before the `@` of an address found, or are runs of digit
+groups with the digits of a card or phone found (of a phone also its last ones), whatever parts the groups. Neighbours
+share a chain potential. Tokens that are repeated or similar, however far apart, share a skip potential: equal tokens,
+numbers with the same last seven digits or with one digit changed, an address and its name. Each token is linked to the
+one before it under each of its keys, so the edges grow with the tokens. Base spans are evidence, and loopy belief
+propagation carries their labels to the rest. A token is added if the marginal of a kind is SURE or more.
+
+The weights are trained by pseudo-likelihood, with base spans as labels and a Gaussian prior that holds linked tokens
+together; a token without a kind that is linked to one with a kind is no example, since the patterns may have missed it.
+Features leave out what the patterns hang on, as a leading plus, so other writings can be told. The training rows are a
+bounded sample: the SAMPLE texts of least hash among those with 1 to MOST candidates.
 
 Cases: null text is empty; a long run of digits or of address characters costs linear time; repeated rows are each
-scanned; without any base span the field adds nothing; other columns of the input pass through.
+scanned; where a token could be added that overlaps a base span, the base span alone stays; without candidates there is
+no span; a column named as the result is replaced, all others pass through; an empty table gives no row.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +32,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import batched, release
+
 #: Order of kinds where spans start together; label 0 is "none".
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
 SURE, ROUNDS, DAMP = 0.9, 30, 0.3
-#: Least log potential with which equal tokens hold the same kind; what counts say comes on top.
-CONSISTENT = 3.0
+#: Texts to train on, the most candidates that such a text has, hashed features.
+SAMPLE, MOST, FEATURES = 4_000, 200, 4096
+CHAIN, EQUAL, SIMILAR = 0, 1, 2
+#: Prior means of the log potentials with which linked tokens hold the same kind; precisions of the priors of the weights, and of the potentials for each text of the sample.
+CONSISTENT, PRECISION, FIRM = (0.0, 5.0, 4.0), 1.0, 0.1
+LEAST_DIGITS = 7
 
 # What the patterns are made of.
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -40,6 +54,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[A-Za-z0-9.%+@()_-]*[0-9@][A-Za-z0-9.%+@()_-]*")
 _DIGIT = re.compile("[0-9]")
 _GROUP = re.compile("[0-9]+")
+_WORD = re.compile(r"[^\W\d_]+")
 _JOIN = re.compile(r"[\x20().-]{0,3}")
 
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("base", T.BooleanType())]))
@@ -87,8 +102,12 @@ def shape(token: str) -> str:
 
 
 def _written(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
-    """(start, end, digits) of runs of whole digit groups with all digits of a card or phone among the base spans; runs do not overlap."""
-    known = {"".join(_GROUP.findall(text[a:b])) for a, label, b in base if KINDS[label - 1] in ("card", "phone")}
+    """(start, end, digits) of runs of whole digit groups with all digits of a card or phone among the base spans, or with LEAST_DIGITS or more of a phone's last ones; runs do not overlap."""
+    known = set()
+    for a, label, b in base:
+        if KINDS[label - 1] in ("card", "phone"):
+            digits = "".join(_GROUP.findall(text[a:b]))
+            known |= {digits[i:] for i in range(max(1, len(digits) - LEAST_DIGITS + 1) if KINDS[label - 1] == "phone" else 1)}
     if not known:
         return []
     sizes, taken = sorted({len(d) for d in known}, reverse=True), sorted((a, b) for a, label, b in base if KINDS[label - 1] in ("email", "ip"))
@@ -114,11 +133,17 @@ def _written(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
     return out
 
 
+def _names(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Where the name before the `@` of an address among the base spans stands alone, without digits."""
+    names = {text[a:b].partition("@")[0].lower() for a, label, b in base if label == 1}
+    names = {n for n in names if len(n) >= 4 and not _DIGIT.search(n)}
+    return [m.span() for m in re.finditer(r"[A-Za-z._%+-]+", text) if m[0].lower().strip(".") in names and text[m.end() : m.end() + 1] != "@"] if names else []
+
+
 def nodes(text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[int], list[str]]:
     """The candidate tokens' spans, their labels by the base spans (0: in none), and the keys by which tokens repeat ("": none)."""
     spans, labels, keys, i = [], [], [], 0
     found, w = _written(text, base), 0
-    base = sorted(base, key=lambda s: (s[0], -s[2]))
     pieces = []
     for m in _TOKEN.finditer(text):
         # what of the token is in no run of groups
@@ -130,9 +155,12 @@ def nodes(text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int,
         if w and at < found[w - 1][1]:
             at = found[w - 1][1]
         pieces.append((at, m.end(), ""))
+    if names := _names(text, base):
+        pieces = sorted([*pieces, *((a, b, "name") for a, b in names)])
+    base = sorted(base, key=lambda s: (s[0], -s[2]))
     for start, end, key in pieces:
-        token = text[start:end] if key else text[start:end].strip(".()-_%")
-        if not token or not ("@" in token or _DIGIT.search(token)):
+        token = text[start:end] if key.isdigit() else text[start:end].strip(".()-_%")
+        if not token or not (key or "@" in token or _DIGIT.search(token)) or spans and start < spans[-1][1]:
             continue
         start += text[start:end].find(token)
         end = start + len(token)
@@ -140,83 +168,134 @@ def nodes(text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int,
             i += 1
         label = base[i][1] if i < len(base) and base[i][0] < end else 0
         digits = "".join(c for c in token if c.isdigit())
-        if not key:
-            key = token.lower() if "@" in token or token.count(".") == 3 else digits if len(digits) >= 7 and len(digits) >= len(token) - 3 else ""
+        if not key or key == "name":
+            key = token.lower() if key or "@" in token or token.count(".") == 3 else digits if len(digits) >= LEAST_DIGITS and len(digits) >= len(token) - 3 else ""
         spans.append((start, end))
         labels.append(label)
         keys.append(key)
     return spans, labels, keys
 
 
-def _edges(text: str, spans: list, keys: list[str]) -> list[tuple[int, int, bool]]:
-    """(earlier, later, skip): close neighbours, and each token with the one before it of the same key."""
+def _near(a: str, b: str) -> bool:
+    """Digits of one length with one place changed."""
+    return len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+
+
+def _edges(text: str, spans: list, keys: list[str]) -> list[tuple[int, int, int]]:
+    """(earlier, later, kind): close neighbours, and each token with the one before it of the same key or of a similar one."""
     out, last = [], {}
     for i, (span, key) in enumerate(zip(spans, keys, strict=True)):
         if i and _JOIN.fullmatch(text, spans[i - 1][1], span[0]):
-            out.append((i - 1, i, False))
-        if key:
-            if key in last:
-                out.append((last[key], i, True))
-            last[key] = i
+            out.append((i - 1, i, CHAIN))
+        if not key:
+            continue
+        also = [("name", key.partition("@")[0])]
+        if key.isdigit():
+            half = len(key) // 2
+            # one changed digit leaves one half as it was
+            also = [("end", key[-LEAST_DIGITS:])] + [("half", len(key), key[:half]), ("other half", len(key), key[half:])] * (len(key) >= 10)
+        seen = set()
+        if key in last:
+            out.append((last[key], i, EQUAL))
+            seen.add(last[key])
+        for k in also:
+            j = last.get(k)
+            if j is not None and j not in seen and keys[j] != key and (k[0] in ("end", "name") or _near(keys[j], key)):
+                out.append((j, i, SIMILAR))
+                seen.add(j)
+            last[k] = i
+        last[key] = i
     return out
 
 
-def count_features(texts: DataFrame) -> dict[tuple[str, str], int]:
-    """Of all texts: how often a shape has a label, and how often the ends of chain and skip edges have two labels. Shapes are kept in SHAPES hashed buckets, so the table is bounded."""
+def features(text: str, start: int, end: int) -> list[int]:
+    """Hashed features of a token: its shape and number of digits, whether check digits or parts fit, the word before. Always as many."""
+    token = text[start:end]
+    digits = "".join(c for c in token if c.isdigit())
+    before = _WORD.findall(text, max(0, start - 24), start)
+    parts = token.split(".")
+    said = (
+        "bias",
+        "shape " + shape(token.lstrip("+")),
+        f"digits {min(len(digits), 20)}",
+        f"card {12 <= len(digits) <= 19 and luhn(digits)} {len(digits) == len(token)}",
+        f"address {len(parts) == 4 and all(x.isdigit() and len(x) <= 3 and int(x) <= 255 for x in parts)} {'@' in token and '.' in token.partition('@')[2]}",
+        "before " + (before[-1].lower()[:12] if before else ""),
+    )
+    return [zlib.crc32(x.encode()) % FEATURES for x in said]
+
+
+def training_sample(texts: DataFrame, size: int = SAMPLE) -> list[tuple]:
+    """(features, labels, edges) of the size texts of least hash among those with 1 to MOST candidates; repeated texts are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
         for batch in batches:
+            rows = []
             for text in batch.column(0):
                 text = text.as_py()
                 if not text or not ("@" in text or _DIGIT.search(text)):
                     continue
                 spans, labels, keys = nodes(text, base_spans(text))
-                seen.update(("shape", bucket(text[a:b]), label) for (a, b), label in zip(spans, labels, strict=True))
-                seen.update(("skip" if skip else "chain", labels[i], labels[j]) for i, j, skip in _edges(text, spans, keys))
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()), pa.array([k[2] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["what", "a", "b", "n"])
-
-    sums = texts.mapInArrow(run, "what string, a int, b int, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
-    return {(r["what"], r["a"], r["b"]): r["n"] for r in sums.collect()}
-
-
-SHAPES = 4096
+                if 0 < len(spans) <= MOST:
+                    rows.append((hashlib.sha256(text.encode()).digest()[:16], json.dumps([[features(text, a, b) for a, b in spans], labels, _edges(text, spans, keys)])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())], ["h", "nodes"])
 
-
-def bucket(token: str) -> int:
-    import zlib
-
-    return zlib.crc32(shape(token).encode()) % SHAPES
+    found = batched(texts).mapInArrow(run, "h binary, nodes string").groupBy("h").agg(F.first("nodes").alias("nodes"))
+    return [tuple(json.loads(r["nodes"])) for r in found.orderBy("h").limit(size).collect()]
 
 
 class Field:
-    """Unary potentials by shape bucket, and two matrices of edge potentials (logarithms)."""
-
-    def __init__(self, counts: dict):
-        unary = np.full((SHAPES, LABELS), 0.1)
-        chain, skip = np.full((LABELS, LABELS), 0.5), np.full((LABELS, LABELS), 0.5)
-        for (what, a, b), n in counts.items():
-            if what == "shape":
-                unary[a, b] += n
-            else:
-                (chain if what == "chain" else skip)[a, b] += n
-        self.unary = np.log(unary / unary.sum(1, keepdims=True))
-        prior = unary.sum(0) / unary.sum()
-        odds = lambda m: np.log((m + m.T) / (m + m.T).sum() / np.outer(prior, prior)).clip(-4, 4)
-        self.chain = odds(chain)
-        # what the patterns missed in one of two equal tokens is no evidence against it, so disagreement is not learned
-        self.skip = np.eye(LABELS) * (CONSISTENT + odds(skip).clip(0))
-        self.skip[0, 0] = 0.0
-        self.skip[0, 1:] = self.skip[1:, 0] = -1.0
-
-    def marginals(self, unary: np.ndarray, edges: list[tuple[int, int, bool]]) -> np.ndarray:
+    """Weights of features by label, and matrices of edge potentials (logarithms): chain, equal, similar."""
+
+    def __init__(self, sample: list[tuple], steps: int = 80, rate: float = 0.3):
+        self.weights = np.zeros((FEATURES, LABELS))
+        self.prior = np.stack([np.eye(LABELS) * c for c in CONSISTENT])
+        # two tokens without a kind say nothing of each other
+        self.prior[:, 0, 0] = 0.0
+        self.links = self.prior.copy()
+        if sample:
+            self._train(sample, steps, rate)
+
+    def _train(self, sample: list[tuple], steps: int, rate: float) -> None:
+        """Most likely labels of each token, given those of its neighbours (pseudo-likelihood), by Adam."""
+        first = np.cumsum([0] + [len(x[1]) for x in sample])
+        f, y = np.array([v for x in sample for v in x[0]]), np.array([v for x in sample for v in x[1]])
+        e = np.array([(i + a, j + a, k) for a, x in zip(first, sample, strict=False) for i, j, k in x[2]] or np.zeros((0, 3)), np.int64)
+        # each end sees the other one's label; chain matrices are read from both sides
+        to, of, kind, turned = np.r_[e[:, 0], e[:, 1]], np.r_[e[:, 1], e[:, 0]], np.r_[e[:, 2], e[:, 2]], np.arange(2 * len(e)) < len(e)
+        # whether a token without a kind that is linked to one with a kind was missed is not known: it is no example
+        told = np.ones(len(y), bool)
+        told[to[(kind != CHAIN) & (y[to] == 0) & (y[of] > 0)]] = False
+        on = told[to] & told[of]
+        to, of, kind, turned = to[on], of[on], kind[on], turned[on]
+        state = [np.zeros_like(x) for x in (self.weights, self.weights, self.links, self.links)]
+        for t in range(1, steps + 1):
+            logit = self.weights[f].sum(1)
+            table = np.where(turned[:, None, None], self.links[kind].transpose(0, 2, 1), self.links[kind])
+            np.add.at(logit, to, table[np.arange(len(to)), y[of]])
+            p = np.exp(logit - logit.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            p[np.arange(len(y)), y] -= 1
+            p[~told] = 0.0
+            g_weights, g_links = PRECISION * self.weights, (1 + len(sample) * FIRM) * (self.links - self.prior)
+            np.add.at(g_weights, f.ravel(), np.repeat(p, f.shape[1], 0))
+            straight, back = np.zeros_like(self.links), np.zeros_like(self.links)
+            np.add.at(straight, (kind[~turned], y[of[~turned]]), p[to[~turned]])
+            np.add.at(back, (kind[turned], y[of[turned]]), p[to[turned]])
+            g_links += straight + back.transpose(0, 2, 1)
+            for x, g, m, v in ((self.weights, g_weights, *state[:2]), (self.links, g_links, *state[2:])):
+                m += 0.1 * (g - m)
+                v += 0.01 * (g * g - v)
+                x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+
+    def marginals(self, unary: np.ndarray, edges: list[tuple[int, int, int]]) -> np.ndarray:
         """Loopy sum-product over the edges; log potentials in, probabilities out. All messages are sent together."""
         if not edges:
             b = np.exp(unary - unary.max(1, keepdims=True))
             return b / b.sum(1, keepdims=True)
-        i, j, s = (np.array(x) for x in zip(*edges, strict=True))
+        i, j, k = (np.array(x) for x in zip(*edges, strict=True))
         source, target = np.r_[i, j], np.r_[j, i]
-        table = np.exp(np.where(np.r_[s, s][:, None, None], self.skip, np.concatenate((np.broadcast_to(self.chain, (len(i), LABELS, LABELS)), np.broadcast_to(self.chain.T, (len(i), LABELS, LABELS))))))
+        table = np.exp(np.concatenate((self.links[k], self.links[k].transpose(0, 2, 1))))
         back = np.r_[np.arange(len(i)) + len(i), np.arange(len(i))]
         m = np.zeros((len(source), LABELS))
         for _ in range(ROUNDS):
@@ -225,9 +304,10 @@ class Field:
             out = belief[source] - m[back]
             new = np.log(np.einsum("el,elk->ek", np.exp(out - out.max(1, keepdims=True)), table))
             new = (1 - DAMP) * (new - new.max(1, keepdims=True)) + DAMP * m
-            if np.abs(new - m).max() < 1e-4:
-                break
+            done = np.abs(new - m).max() < 1e-4
             m = new
+            if done:
+                break
         belief = unary.copy()
         np.add.at(belief, target, m)
         b = np.exp(belief - belief.max(1, keepdims=True))
@@ -235,24 +315,20 @@ class Field:
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """(start, label, end) of what the field adds to the base spans."""
-        if not base:
-            return []
         spans, labels, keys = nodes(text, base)
-        evidence = {k for k, label in zip(keys, labels, strict=True) if k and label}
-        wanted = [i for i, (k, label) in enumerate(zip(keys, labels, strict=True)) if k in evidence and not label]
-        if not wanted:
+        if not spans or all(labels):
             return []
-        unary = np.array([self.unary[bucket(text[a:b])] for a, b in spans])
+        unary = self.weights[np.array([features(text, a, b) for a, b in spans])].sum(1)
         known = np.array(labels) > 0
         unary[known] = -30.0
         unary[known, np.array(labels)[known]] = 0.0
         p = self.marginals(unary, _edges(text, spans, keys))
-        return [(spans[i][0], int(p[i, 1:].argmax()) + 1, spans[i][1]) for i in wanted if 1 - p[i, 0] >= SURE]
+        return [(spans[i][0], int(p[i, 1:].argmax()) + 1, spans[i][1]) for i in np.flatnonzero(~known & (p[:, 1:].max(1) >= SURE))]
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Field:
-    """The potentials, from every row of docs."""
-    return Field(count_features(docs.select(F.col(text_col).cast("string"))))
+    """The field, trained on a bounded sample of docs."""
+    return Field(training_sample(docs.select(F.col(text_col).cast("string"))))
 
 
 def find(docs: DataFrame, field: Field, text_col: str = "text", to: str = "pii") -> DataFrame:
@@ -273,5 +349,6 @@ def find(docs: DataFrame, field: Field, text_col: str = "text", to: str = "pii")
                 found = sorted([(s, k, e, True) for s, k, e in base] + [(s, k, e, False) for s, k, e in field.added(text, base)])
                 out.append([{"kind": KINDS[k - 1], "start": s, "end": e, "base": b} for s, k, e, b in found])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, kind)], schema.names)
+        release()
 
-    return source.mapInArrow(run, schema)
+    return batched(source).mapInArrow(run, schema)

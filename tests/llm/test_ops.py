@@ -1,7 +1,9 @@
 """The text operators against brute force on small fixtures, with the awkward cases."""
 
 import hashlib
+import itertools
 import math
+import time
 import random
 import re
 import zlib
@@ -324,6 +326,49 @@ def test_spaced_numbers_are_linked(spark):
     assert [(s["kind"], text[s["start"] : s["end"]]) for s in got if not s["base"]] == [("phone", "1 415 555 2671"), ("phone", "14155552671"), ("phone", "1-(415)-555-2671"), ("card", "4111.1111.1111.1111")]
 
 
+def test_similar_tokens_are_linked():
+    phone, mail = "+1 415 555 2671", "anna.smith@example.org"
+    text = f"ring {phone}, later 555-2671; typed 1 415 555 2672; write {mail} and ask for anna.smith; not 999 1234"
+    spans, labels, keys = pii.nodes(text, pii.base_spans(text))
+    at = {text[a:b]: i for i, (a, b) in enumerate(spans)}
+    kinds = {(i, j): k for i, j, k in pii._edges(text, spans, keys)}
+    assert kinds[at[phone], at["555-2671"]] == pii.SIMILAR and kinds[at[mail], at["anna.smith"]] == pii.SIMILAR
+    assert pii._near("14155552671", "14155552672") and not pii._near("14155552671", "14155552682")
+    numbers = "card 4111 1111 1111 1111, then 4111111111111112"
+    spans, _, keys = pii.nodes(numbers, pii.base_spans(numbers))
+    assert [k for _, _, k in pii._edges(numbers, spans, keys)] == [pii.SIMILAR]
+
+
+def test_marginals_equal_enumeration():
+    rng = np.random.default_rng(9)
+    field = pii.Field([])
+    field.links = rng.normal(0, 1, field.links.shape)
+    for edges in ([], [(0, 1, 0), (1, 2, 1), (1, 3, 2)]):  # without loops the messages are exact
+        unary = rng.normal(0, 1, (4, pii.LABELS))
+        want = np.zeros_like(unary)
+        for y in itertools.product(range(pii.LABELS), repeat=4):
+            weight = math.exp(sum(unary[i, y[i]] for i in range(4)) + sum(field.links[k, y[i], y[j]] for i, j, k in edges))
+            for i in range(4):
+                want[i, y[i]] += weight
+        assert np.allclose(field.marginals(unary, edges), want / want.sum(1, keepdims=True), atol=1e-3)
+    # messages change labels: a token that looks like none takes the kind of its repetitions
+    field, unary = pii.Field([]), np.full((3, pii.LABELS), -30.0)
+    unary[[0, 2], 3], unary[1] = 0.0, [1.0, -1.0, -1.0, -1.0, -1.0]
+    assert field.marginals(unary, [])[1].argmax() == 0 and field.marginals(unary, [(0, 1, pii.EQUAL), (1, 2, pii.EQUAL)])[1].argmax() == 3
+
+
+def test_pii_cases(spark):
+    card = "4539578763621486"
+    rows = [(1, f"pay {card} now"), (1, f"pay {card} now"), (2, "9" * 100_000 + " " + "a@b.cc " * 20_000), (3, None), (None, "x 10.0.0.1 y")]
+    frame = docs(spark, rows).withColumn("pii", F.lit("old"))
+    field = pii.fit(frame)
+    got = pii.find(frame, field)
+    assert got.columns == [c for c in frame.columns if c != "pii"] + ["pii"] and field.weights.any()
+    rows = [(r["doc_id"], [(s["kind"], s["base"]) for s in r["pii"]]) for r in got.collect()]
+    assert sorted(rows, key=str) == sorted([(1, [("card", True)])] * 2 + [(2, [("email", True)] * 20_000), (3, []), (None, [("ip", True)])], key=str)
+    assert pii.find(frame.limit(0), field).count() == 0 and pii.find(frame, pii.fit(frame.limit(0))).count() == 5
+
+
 # ------------------------------------------------------------------ pages
 
 
@@ -334,6 +379,50 @@ def test_html(spark):
     assert got[1] == "Head\n\nOne & two three.\n\nFour." and got[2] == got[3] == ""
 
 
+def test_html_cases(spark):
+    body = "<body>Skip to content | Login<nav><ul><li><a href='/'>Home</a></li><li><a href='/x'>News</a></li></ul></nav><article><h1>Title of it</h1><p>First passage of the article, with some words in it. And more words follow here.</p><p>Second passage, also rather long. It ends here.</p></article>Copyright 2020 all rights reserved</body>"
+    text = "Title of it\n\nFirst passage of the article, with some words in it. And more words follow here.\n\nSecond passage, also rather long. It ends here."
+    plain = "This is a plain page without any element, with sentences. It goes on, and on."
+    long = "<article>" + "".join(f"<p>Passage {i} of a long page, with words.</p>" for i in range(5000)) + "</article>"
+    rows = [(1, body, "old"), (1, body, "old"), (2, plain, "old"), (3, "<p>One passage of text here, with words in it.</p><p>Two more sentences stand here. They end before the page is cut. <a hre", None), (4, long, None), (None, "<a " * 5, None)]
+    pages = spark.createDataFrame(rows, "page_id long, html string, text string")
+    got = html_extract.extract(pages)
+    assert got.columns == ["page_id", "html", "text"]
+    found = [(r["page_id"], r["text"]) for r in got.collect()]
+    want = [(1, text), (1, text), (2, plain), (3, "One passage of text here, with words in it.\n\nTwo more sentences stand here. They end before the page is cut."), (4, "\n\n".join(f"Passage {i} of a long page, with words." for i in range(5000))), (None, "")]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+def test_malformed_pages_cost_linear_time():
+    for piece in ("<a ", '<a "', "<!", "</", "<a ='", "<script ", "<!-- ", "&lt;<", '<a href="', "<b>", "</x>"):
+        began = time.time()
+        html_extract.Page(piece * (1_000_000 // len(piece)))
+        assert time.time() - began < 10, piece
+
+
+#: Pages in the manner of common site software, written by hand, with their main text.
+KNOWN_PAGES = [
+    (
+        """<!doctype html><html><head><title>x</title></head><body class="single single-post"><div id="page"><header id="masthead" class="site-header"><div class="site-branding"><p class="site-title"><a href="/">My Garden</a></p></div><nav class="main-navigation"><ul class="menu"><li><a href="/about">About</a></li><li><a href="/contact">Contact</a></li></ul></nav></header><div id="content" class="site-content"><main id="main"><article id="post-7" class="post type-post hentry"><h1 class="entry-title">Growing beans</h1><div class="entry-content"><p>Beans need warm soil, so wait until May. Sow them two inches deep.</p><p>Water them well, and put up poles early.</p></div></article><div id="comments" class="comments-area"><h2>2 thoughts</h2><ol class="comment-list"><li class="comment">Great advice, thank you for this post!</li><li class="comment">Mine never come up, sadly.</li></ol></div></main></div><aside id="secondary" class="widget-area"><section class="widget"><h2>Recent posts</h2><ul><li><a href="/a">Peas</a></li><li><a href="/b">Kale</a></li></ul></section></aside><footer id="colophon" class="site-footer">Proudly powered by software</footer></div></body></html>""",
+        ["Growing beans", "Beans need warm soil, so wait until May. Sow them two inches deep.", "Water them well, and put up poles early."],
+    ),
+    (
+        """<html><body><div class="topnav"><a href="/docs">Docs</a> <a href="/api">API</a> <a href="/blog">Blog</a></div><div class="document"><section id="install"><h1>Installation</h1><p>Download the archive and unpack it. Then run the setup program.</p><h2>Requirements</h2><ul><li>A compiler for the language.</li><li>At least two gigabytes of memory.</li></ul></section></div><div class="footer">&copy; 2021 The authors.</div></body></html>""",
+        ["Installation", "Download the archive and unpack it. Then run the setup program.", "Requirements", "A compiler for the language.", "At least two gigabytes of memory."],
+    ),
+    (
+        """<html><body><div class="cookie-banner">We use cookies to improve your visit. <button>Accept</button></div><header><a href="/">The Daily</a></header><main><article><h1>Bridge opens after repairs</h1><p>The old bridge opened again on Monday, after two years of work. Hundreds came to see it.</p><div class="ad-slot">Buy our tyres today, at half the price.</div><p>The mayor said that the cost stayed within limits, which surprised many.</p></article><aside class="related"><h3>Related</h3><ul><li><a href="/1">Road closed</a></li><li><a href="/2">New tram</a></li></ul></aside></main><footer><p>Contact | Privacy | Terms</p></footer></body></html>""",
+        ["Bridge opens after repairs", "The old bridge opened again on Monday, after two years of work. Hundreds came to see it.", "The mayor said that the cost stayed within limits, which surprised many."],
+    ),
+]
+
+
+def test_html_known_pages():
+    got = html_extract.extract_all([s for s, _ in KNOWN_PAGES], html_extract.trained())
+    assert [t.split("\n\n") for t in got] == [want for _, want in KNOWN_PAGES]
+
+
 def test_html_held_out():
     model = html_extract.trained()
     pairs = list(html_extract.training_pages(200, 77))
