@@ -1,37 +1,48 @@
 """Scoring by a Brown class-based bigram model.
 
 p(text) is the product over its tokens of p(class | class before) p(token | class). Training counts every word of every
-training text: the tasks count, Spark sums, and the counts stay a table that grows with the corpus. Frequent words are
-symbols of their own; all other words share the symbol of their last three bytes, or of the last one, so each word
-that ever occurs has a class. Exchange clustering moves symbols between classes while the likelihood of the class
-bigrams grows; its input is the matrix of symbol bigrams, bounded by the number of symbols.
+training text: the tasks count, Spark sums, and the counts and classes stay a table that grows with the corpus.
 
-What is broadcast has proven bounds: words with a share of 1/HEAD of all training tokens are HEAD at most, and symbols
-1/OWN or 1/ENDING likewise. The counts of all other words meet their occurrences in a join by the word. No such word
-has more than 1/HEAD of the tokens, so no key is hot.
+Exchange clustering gives every word of the vocabulary a class, in three steps. All use the exchange criterion, the
+likelihood of the class bigrams, and count words without a class yet as one class of their own:
+ 1. the words with a share of 1/CORE move between the classes, one at a time, until no move raises the likelihood;
+ 2. all others with a share of 1/HEAD move from the words without a class to where the likelihood grows most, by their
+    neighbours in all texts;
+ 3. so do all that remain, a table of any size, by neighbours that now have classes for all words of steps 1 and 2.
+
+Where two words of step 3 stand side by side, how often one class follows the other is estimated from how often each
+stands beside such words; all other class bigrams are counted. A word unseen in training belongs to the class with the
+most distinct words.
+
+What is broadcast has proven bounds: words with a share of 1/HEAD of all training tokens are HEAD at most. The counts and
+classes of all other words meet their occurrences in a join by the word. No such word has more than 1/HEAD of the tokens,
+so no key is hot. Rows are told by two hashes of what they hold, so a lost task can be run again over other row orders.
 
 Cases: null text is empty and has its end only; a null doc_id is not held out and not learned from; rows that share a
-doc_id are scored each; without training rows every word is unknown; other columns are not read.
+doc_id are scored each; equal rows get equal scores; without training rows every word is unknown; a table without rows
+gives none; columns other than those named are not read.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import materialize, utf8
+from ._common import batched, discard, materialize, release, utf8
 
-HEAD, OWN, ENDING, CLASSES = 250_000, 1_500, 1_000, 48
+HEAD, CORE, CLASSES = 250_000, 1_500, 48
 #: Added to each count; weight of the classes' own shares in the transitions.
 ADD, BLEND = 0.1, 5.0
-#: Bytes of text taken at once, distinct words counted before they are handed on.
-BLOCK, FLUSH = 1 << 22, 300_000
+#: Bytes of text taken at once, distinct words counted before they are handed on, rows of a batch of results.
+BLOCK, FLUSH, ROWS = 1 << 21, 200_000, 10_000
 END = b"\n"
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -89,40 +100,51 @@ def count_words(texts: DataFrame) -> DataFrame:
                     yield flush()
         if seen:
             yield flush()
+        release()
+
+    return batched(texts).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-    return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def said(data: np.ndarray, block: list[tuple[int, int, int, bool]]) -> tuple[list[bytes], list[int]]:
+    """The tokens of a block and how many each of its parts has."""
+    words: list[bytes] = []
+    sizes = []
+    for _, start, end, last in block:
+        part = tokens(data[start:end].tobytes())
+        words += part
+        if last:
+            words.append(END)
+        sizes.append(len(part) + last)
+    return words, sizes
 
-class Symbols:
-    """The symbol of every word: its own, that of its ending, or that of its last byte."""
 
-    def __init__(self, own: list[bytes], endings: list[bytes]):
-        self.own = {w: i for i, w in enumerate(own)}
-        self.endings = {w: len(own) + i for i, w in enumerate(endings)}
-        self.last = len(own) + len(endings)
-        self.size = self.last + 256
+def look_up(table: dict[bytes, int], words: list[bytes]) -> np.ndarray:
+    """The numbers of words in table; -1: none."""
+    return np.fromiter(map(table.get, words, repeat(-1)), np.int64, len(words))
 
-    def of(self, word: bytes) -> int:
-        found = self.own.get(word)
-        if found is None:
-            found = self.endings.get(word[-3:])
-        return self.last + word[-1] if found is None else found
 
+def _gain(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-12))
 
-def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 12) -> np.ndarray:
-    """The class of each symbol. pairs: how often one symbol follows another. A symbol moves to the class where the class bigrams' likelihood grows most, until none moves."""
-    n = len(pairs)
+
+def exchange(pairs: np.ndarray, classes: int = CLASSES, fixed: int = 0) -> np.ndarray:
+    """The class of each symbol. pairs: how often one symbol follows another. A symbol moves to the class where the class bigrams' likelihood grows most, until none moves: each move raises the likelihood, so that ends. The last fixed symbols have classes of their own, after all others."""
+    n = len(pairs) - fixed
     k = min(classes, n)
-    order = np.argsort(-(pairs.sum(0) + pairs.sum(1)), kind="stable")
-    of = np.empty(n, np.int64)
-    of[order] = np.arange(n) % k
-    one = np.zeros((n, k))
-    one[np.arange(n), of] = 1
+    total = k + fixed
+    order = np.argsort(-(pairs.sum(0) + pairs.sum(1))[:n], kind="stable")
+    of = np.empty(n + fixed, np.int64)
+    of[order] = np.arange(n) % k if n else 0
+    of[n:] = np.arange(k, total)
+    one = np.zeros((n + fixed, total))
+    one[np.arange(n + fixed), of] = 1
     after, before = pairs @ one, pairs.T @ one
     both = one.T @ after
-    gain = lambda x: x * np.log(np.maximum(x, 1e-12))
-    for _ in range(rounds):
-        moved = 0
+    # far above the rounding of the sums, far below what matters: a gain by rounding could undo itself without end
+    least = 1e-10 * abs(_gain(both).sum()) + 1e-9
+    moved = True
+    while moved:
+        moved = False
         for s in order:
             out, into, self_n, a = after[s].copy(), before[s].copy(), pairs[s, s], of[s]
             if not out.any() and not into.any():
@@ -133,183 +155,347 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 12) -> np.
             both[a, a] += self_n
             out[a] -= self_n
             into[a] -= self_n
-            left, right = both.sum(1), both.sum(0)
+            # what stands before s counts in its classes' rows wherever s goes, what follows it in columns
+            left, right = both.sum(1) + into, both.sum(0) + out
             # as member of class c: row c gains out, column c gains into, (c, c) gains self_n as well
-            rows, columns = gain(both + out) - gain(both), gain(both + into[:, None]) - gain(both)
+            rows, columns = _gain(both + out) - _gain(both), _gain(both + into[:, None]) - _gain(both)
             d = np.diagonal(both)
-            score = rows.sum(1) + columns.sum(0) - np.diagonal(rows) - np.diagonal(columns) + gain(d + out + into + self_n) - gain(d)
-            score -= gain(left + out.sum() + self_n) - gain(left) + gain(right + into.sum() + self_n) - gain(right)
-            c = int(score.argmax())
-            if score[c] <= score[a] + 1e-9:
+            score = rows.sum(1) + columns.sum(0) - np.diagonal(rows) - np.diagonal(columns) + _gain(d + out + into + self_n) - _gain(d)
+            score -= _gain(left + out.sum() + self_n) - _gain(left) + _gain(right + into.sum() + self_n) - _gain(right)
+            c = int(score[:k].argmax())
+            if score[c] <= score[a] + least:
                 c = int(a)
+            out[c] += self_n
+            into[c] += self_n
             both[c] += out
             both[:, c] += into
-            both[c, c] += self_n
+            both[c, c] -= self_n
             if c != a:
-                moved += 1
+                moved = True
                 of[s] = c
                 after[:, a] -= pairs[:, s]
                 after[:, c] += pairs[:, s]
                 before[:, a] -= pairs[s]
                 before[:, c] += pairs[s]
-        if not moved:
-            break
     return of
 
 
+def place(both: np.ndarray, owner: np.ndarray, code: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The classes of words that have none: for each, where the likelihood grows most if it joins.
+
+    both: how often a class follows another; the last one holds the words without a class. Entries (owner, code, n) come
+    by owner: the word with number owner stands n times after class code, or before class code - len(both).
+    """
+    size = len(both)
+    k = size - 1
+    table = np.concatenate((both[:, :k], both[:k].T))
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    score = np.empty((len(first), k))
+    step = max(1, (1 << 21) // k)
+    edges, at = np.r_[first, len(owner)], 0
+    while at < len(first):
+        # whole words of about step entries; one word has 2 * size entries at most
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + step, "right")) - 1)
+        a, b = edges[at], edges[to]
+        t = table[code[a:b]]
+        score[at:to] = np.add.reduceat(_gain(t + n[a:b, None]) - _gain(t), edges[at:to] - a, axis=0)
+        at = to
+    into, out = (np.add.reduceat(np.where(side, n, 0), first)[:, None] for side in (code < size, code >= size))
+    left, right = both.sum(1)[None, :k], both.sum(0)[None, :k]
+    score -= _gain(left + out) - _gain(left) + _gain(right + into) - _gain(right)
+    return score.argmax(1)
+
+
+def _entries(owner: np.ndarray, code: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries by (owner, code), those of one cell summed."""
+    key, at = np.unique(owner * (2 * size) + code, return_inverse=True)
+    return key // (2 * size), key % (2 * size), np.bincount(at, n, len(key))
+
+
 class Model:
-    """The symbols, frequent words' counts and class tables that a task needs; other words' counts stay in the table words."""
-
-    def __init__(self, words: DataFrame, total: int, distinct: int, head: dict[bytes, int], symbols: Symbols):
-        self.words, self.total, self.distinct, self.head, self.symbols = words, total, distinct, head, symbols
-
-    def set_classes(self, pairs: np.ndarray, totals: np.ndarray, types: np.ndarray) -> None:
-        of = exchange(pairs)
-        k = int(of.max()) + 1 if len(of) else 1
-        one = np.zeros((len(of), k))
-        one[np.arange(len(of)), of] = 1
-        follow = one.T @ pairs @ one
-        share = (totals @ one + 1) / (totals.sum() + k)
+    """Frequent words' counts and classes and the class tables that a task needs; other words' are in the table words (word, n, class)."""
+
+    def __init__(self, words: DataFrame, total: int, distinct: int, head: dict[bytes, tuple[int, int]]):
+        self.words, self.total, self.distinct, self.head = words, total, distinct, head
+
+    def set_classes(self, follow: np.ndarray, totals: np.ndarray, types: np.ndarray) -> None:
+        """follow: class bigrams; totals and types: tokens and distinct words by class."""
+        k = len(follow)
+        share = (totals + 1) / (totals.sum() + k)
         self.step = np.log10((follow + BLEND * share) / (follow.sum(1, keepdims=True) + BLEND))
-        self.emit = -np.log10(totals @ one + ADD * (types @ one + 1))
-        self.classes = of
+        self.emit = -np.log10(totals + ADD * (types + 1))
+        self.unseen = int(types.argmax())
 
 
 def fit(texts: DataFrame) -> Model:
     """texts: one string column, nulls as empty."""
+    batched(texts)
     words = materialize(count_words(texts), "words")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    head = {bytes(r["word"]): r["n"] for r in words.where(F.col("n") * HEAD >= total).collect()}
-    own = sorted({w for w, n in head.items() if n * OWN >= total} | {END})
-    rest = words.where((F.col("n") * OWN < total) & (F.col("word") != F.lit(END)))
-    endings = rest.groupBy(F.substring("word", -3, 3).alias("ending")).agg(F.sum("n").alias("n"))
-    symbols = Symbols(own, sorted(bytes(r["ending"]) for r in endings.where(F.col("n") * ENDING >= total).collect()))
-    model = Model(words, total, distinct, head, symbols)
-
-    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, kinds = np.zeros(symbols.size, np.int64), np.zeros(symbols.size, np.int64)
-        for batch in batches:
-            at = np.array([symbols.of(w) for w in batch.column(0).to_pylist()], np.int64)
-            n += np.bincount(at, batch.column(1).to_numpy(), symbols.size).astype(np.int64)
-            kinds += np.bincount(at, minlength=symbols.size)
-        yield pa.RecordBatch.from_pydict({"s": np.arange(symbols.size), "n": n, "kinds": kinds})
+    counts = {bytes(r["word"]): r["n"] for r in words.where((F.col("n") * HEAD >= total) | (F.col("word") == F.lit(END))).collect()}
+    discard(words)
+    core = sorted({w for w, n in counts.items() if n * CORE >= total} | {END})
+    others = sorted(counts.keys() - set(core))
+
+    # 1. the core, by the bigrams of its words and of one symbol for all others
+    symbol, rest = {w: i for i, w in enumerate(core)}, len(core)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, carry = np.zeros(symbols.size**2, np.int64), symbols.own[END]
+        n, carry = np.zeros((rest + 1) ** 2, np.int64), symbol[END]
         for batch in batches:
             data, at = utf8(batch.column(0))
             for block in blocks(data, at):
-                said = np.array([symbols.of(w) for part in block for w in (*tokens(data[part[1] : part[2]].tobytes()), *[END] * part[3])], np.int64)
-                if len(said):
-                    n += np.bincount(np.r_[carry, said[:-1]] * symbols.size + said, minlength=len(n))
-                    carry = said[-1]
+                of = look_up(symbol, said(data, block)[0])
+                if len(of):
+                    of[of < 0] = rest
+                    n += np.bincount(np.r_[carry, of[:-1]] * (rest + 1) + of, minlength=len(n))
+                    carry = of[-1]
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_pydict({"pair": at, "n": n[at]})
+        release()
 
-    sums = words.mapInArrow(tables, "s long, n long, kinds long").groupBy("s").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).toPandas().sort_values("s")
     seen = texts.mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    matrix = np.zeros(symbols.size**2)
+    matrix = np.zeros((rest + 1) ** 2)
     matrix[seen["pair"]] = seen["n"]
-    by_symbol = np.zeros((2, symbols.size))
-    by_symbol[:, sums["s"]] = sums[["n", "kinds"]].to_numpy().T
-    model.set_classes(matrix.reshape(symbols.size, -1), *by_symbol)
+    matrix = matrix.reshape(rest + 1, -1)
+    of = exchange(matrix, fixed=1)
+    size = int(of[-1]) + 1
+    one = np.eye(size)[of]
+    classes = {w: int(of[i]) for w, i in symbol.items()}
+    both = one.T @ matrix @ one
+    none = size - 1
+
+    def codes(table: dict[bytes, int], words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = look_up(table, words)
+        return found, np.where((found < 0) | (found >= size), none, found)
+
+    def with_neighbours(batches: Iterator[pa.RecordBatch], table: dict[bytes, int]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+        """Words, their numbers in table, and the classes before and after. The last token so far waits for the one after it."""
+        waiting, before = [END], classes[END]
+        for batch in batches:
+            data, at = utf8(batch.column(0))
+            for block in blocks(data, at):
+                words = waiting + said(data, block)[0]
+                found, code = codes(table, words)
+                if len(words) > 1:
+                    yield words, found, np.r_[before, code[:-2]], code[1:]
+                    waiting, before = words[-1:], code[-2]
+
+    # 2. other frequent words, by the classes of the core
+    if others:
+        table = classes | {w: size + i for i, w in enumerate(others)}
+
+        def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(len(others) * 2 * size, np.int64)
+            for _, found, before, after in with_neighbours(batches, table):
+                on = np.flatnonzero(found[:-1] >= size)
+                base = (found[on] - size) * (2 * size)
+                at, times = np.unique(np.r_[base + before[on], base + size + after[on]], return_counts=True)
+                n[at] += times
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_pydict({"id": at // (2 * size), "code": at % (2 * size), "n": n[at]})
+            release()
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = [batch.column(i) for i in (1, 2)]
+                owner = np.repeat(np.arange(batch.num_rows), np.diff(lists[0].offsets.to_numpy()))
+                got = place(both, owner, *(x.flatten().to_numpy() for x in lists)) if len(owner) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_pydict({"id": batch.column(0), "class": got})
+
+        # a word has 2 * size codes at most
+        sums = texts.mapInArrow(frequent, "id long, code long, n long").groupBy("id", "code").agg(F.sum("n").alias("n"))
+        lists = sums.groupBy("id").agg(F.collect_list(F.struct("code", "n")).alias("z")).select("id", F.col("z.code").alias("code"), F.col("z.n").alias("n"))
+        classes |= {others[r["id"]]: r["class"] for r in lists.mapInArrow(placed, "id long, class long").collect()}
+
+    # 3. all that remain, by the classes of all frequent words
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size * size, np.int64)
+        for words, found, before, after in with_neighbours(batches, classes):
+            code = np.where(found < 0, none, found)
+            n += np.bincount(code[:-1] * size + code[1:], minlength=len(n))
+            on = np.flatnonzero(found[:-1] < 0)
+            if len(on):
+                yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in on.tolist()], pa.binary()), pa.array(before[on].astype(np.int16)), pa.array(after[on].astype(np.int16)), pa.array(np.ones(len(on), np.int64))], ["word", "before", "after", "n"])
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.binary()), pa.array((at // size).astype(np.int16)), pa.array((at % size).astype(np.int16)), pa.array(n[at])], ["word", "before", "after", "n"])
+        release()
+
+    found = materialize(texts.mapInArrow(occurrences, "word binary, before short, after short, n long"), "occurrences")
+    both = np.zeros((size, size))
+    for r in found.where("word IS NULL").groupBy("before", "after").agg(F.sum("n").alias("n")).collect():
+        both[r["before"], r["after"]] = r["n"]
+
+    def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words with all their occurrences running; the last word of a batch waits for the next one."""
+        gathered = np.zeros((size, 2 * size))
+        held: tuple[bytes, np.ndarray] | None = None
+
+        def decide(words: pa.Array, owner, code, n):
+            of = place(both, owner, code, n)
+            np.add.at(gathered, (of[owner], code), n)
+            count = np.bincount(owner, np.where(code < size, n, 0), len(words)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([words, pa.array(count), pa.array(of.astype(np.int16)), pa.nulls(len(words), pa.int32())], ["word", "n", "class", "code"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            word = batch.column(0)
+            new = np.r_[True, pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)]
+            owner, names = np.cumsum(new) - 1, word.filter(pa.array(new))
+            code = np.r_[batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.int64) + size].astype(np.int64)
+            owner, n = np.r_[owner, owner], np.ones(len(code))
+            if held is not None:
+                other = names[0].as_py() != held[0]
+                if other:
+                    names, owner = pa.concat_arrays([pa.array([held[0]], pa.binary()), names]), owner + 1
+                at = np.flatnonzero(held[1])
+                owner, code, n = np.r_[np.zeros(len(at), np.int64), owner], np.r_[at, code], np.r_[held[1][at], n]
+            owner, code, n = _entries(owner, code, n, size)
+            last = len(names) - 1
+            on = owner == last
+            vector = np.zeros(2 * size)
+            vector[code[on]] = n[on]
+            held = (names[last].as_py(), vector)
+            if last:
+                yield decide(names.slice(0, last), owner[~on], code[~on], n[~on])
+        if held is not None:
+            at = np.flatnonzero(held[1])
+            yield decide(pa.array([held[0]], pa.binary()), np.zeros(len(at), np.int64), at, held[1][at])
+        of, code = np.nonzero(gathered)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(of), pa.binary()), pa.array(gathered[of, code].astype(np.int64)), pa.array(of.astype(np.int16)), pa.array(code.astype(np.int32))], ["word", "n", "class", "code"])
+        release()
+
+    dealt = found.where("word IS NOT NULL").select("word", "before", "after").repartition("word").sortWithinPartitions("word")
+    classed = materialize(dealt.mapInArrow(remaining, "word binary, n long, class short, code int"), "classes")
+    discard(found)
+    follow, totals, types = both[:none, :none].copy(), np.zeros(none), np.zeros(none)
+    beside = np.zeros((2, none))
+    for r in classed.where("word IS NULL").groupBy("class", "code").agg(F.sum("n").alias("n")).collect():
+        side, other = divmod(r["code"], size)
+        if other == none:
+            beside[side, r["class"]] = r["n"]
+        else:
+            follow[(other, r["class"]) if side == 0 else (r["class"], other)] += r["n"]
+    # beside[1]: how often a class stands before such a word, beside[0]: after one
+    follow += np.outer(beside[1], beside[0]) / max(both[none, none], 1.0)
+    for r in classed.where("word IS NOT NULL").groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect():
+        totals[r["class"]], types[r["class"]] = r["n"], r["kinds"]
+    for w, n in counts.items():
+        totals[classes[w]] += n
+        types[classes[w]] += 1
+    model = Model(classed.where("word IS NOT NULL").select("word", "n", "class"), total, distinct, {w: (n, classes[w]) for w, n in counts.items()})
+    model.set_classes(follow, totals, types)
+    model.end = classes[END]
     return model
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """For each row, the columns keep, n_tokens, n_known, train_tokens, base_score, score."""
-    symbols, classes, step, emit = model.symbols, model.classes, model.step, model.emit
-    head = {w: (symbols.of(w), float(np.log10(n + ADD))) for w, n in model.head.items()}
-    unknown_end = None if END in head else float(np.log10(ADD))
+    """For each row, the columns keep, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
+    classes, logs = {w: c for w, (_, c) in model.head.items()}, np.log10(np.array([n for n, _ in model.head.values()] or [0]) + ADD)
+    numbers = {w: i for i, w in enumerate(classes)}
+    of = np.array([*classes.values()] or [0])
+    if END not in numbers:
+        # nothing was learned: the end is a token of no class that counts nothing
+        numbers[END], logs, of = len(numbers), np.r_[logs[: len(numbers)], np.log10(ADD)], np.r_[of[: len(numbers)], model.end]
+    end, end_known = numbers[END], END in model.head
+    step, emit, unseen, later = model.step, model.emit, model.unseen, 255
     lead = len(keep)
 
+    # rows: two hashes of the row, the place of the first or only token; of a block its classes, sums and the columns kept, of another word the word
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    source = docs.select(*keep, text.alias("_tl_text"))
+    source = source.select(*keep, F.xxhash64(*keep, "_tl_text").alias("_tl_r"), F.xxhash64(F.lit(1), *keep, "_tl_text").alias("_tl_s"), "_tl_text")
+    kept = [T.StructField(f"k{i}", source.schema[i].dataType) for i in range(lead)]
+    made = [T.StructField(n, t) for n, t in (("r", T.LongType()), ("s", T.LongType()), ("place", T.LongType()), ("word", T.BinaryType()), ("classes", T.BinaryType()), ("known", T.LongType()), ("logs", T.DoubleType()))]
+    schema = T.StructType([*kept, *made])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, rows = TaskContext.get().partitionId(), 0
-        carry = classes[symbols.own[END]]
-        own = dict(head)
-        if unknown_end is not None:
-            own[END] = (symbols.own[END], unknown_end)
-        known_end = unknown_end is None
         for batch in batches:
-            data, at = utf8(batch.column(lead))
+            data, at = utf8(batch.column(lead + 2))
+            keys = [batch.column(lead + i).to_numpy() for i in (0, 1)]
+            so_far = np.zeros(batch.num_rows, np.int64)
             for block in blocks(data, at):
-                said, logs, known, row_of, later = [], [], [], [], {}
-                for row, start, end, last in block:
-                    words = tokens(data[start:end].tobytes())
-                    if last:
-                        words.append(END)
-                    row_of.append(len(words))
-                    rid = part << 40 | rows + row
-                    for w in words:
-                        found = own.get(w)
-                        if found is None:
-                            said.append(symbols.of(w))
-                            logs.append(0.0)
-                            known.append(0)
-                            if w in later:
-                                later[w].append(rid)
-                            else:
-                                later[w] = [rid]
-                        else:
-                            said.append(found[0])
-                            logs.append(found[1])
-                            known.append(1)
-                of = classes[np.array(said, np.int64)]
-                edges = np.r_[0, np.cumsum(row_of)]
-                model_log = np.zeros(len(of))
-                if len(of):
-                    model_log = step[np.r_[carry, of[:-1]], of] + emit[of]
-                    carry = of[-1]
-                run_sum = lambda x: np.diff(np.r_[0, np.cumsum(x)][edges])
-                own_rows = np.array([b[0] for b in block])
-                n_known = run_sum(known) - (0 if known_end else np.array([b[3] for b in block]))
-                rids = (part << 40 | rows) + own_rows
-                extra = [batch.column(i).take(pa.array(own_rows)) for i in range(lead)]
-                nulls = lambda t: pa.nulls(len(later), t)
-                spread = pa.array(list(later.values()), pa.list_(pa.int64())) if later else pa.array([], pa.list_(pa.int64()))
-                # a row of a text comes under a key of its own that no word equals
-                keys = pa.array([b" %d" % r for r in rids], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([a, nulls(a.type)]) for a in extra]
-                    + [
-                        pa.concat_arrays([keys, pa.array(list(later), pa.binary())]),
-                        pa.concat_arrays([pa.array([[r] for r in rids.tolist()], pa.list_(pa.int64())), spread]),
-                        *(pa.concat_arrays([pa.array(x), nulls(t)]) for x, t in ((run_sum(np.ones(len(of), np.int64)), pa.int64()), (n_known.astype(np.int64), pa.int64()), (run_sum(np.array(logs)), pa.float64()), (run_sum(model_log), pa.float64()))),
-                    ],
-                    [*[f"k{i}" for i in range(lead)], "word", "rids", "tokens", "known", "logs", "model"],
-                )
-            rows += batch.num_rows
-
-    from pyspark.sql import types as T
-
-    source = docs.select(*keep, F.col(text_col).cast("string").alias("_tl_text"))
-    schema = T.StructType([T.StructField(f"k{i}", source.schema[i].dataType) for i in range(lead)])
-    for name, kind in (("word", T.BinaryType()), ("rids", T.ArrayType(T.LongType())), ("tokens", T.LongType()), ("known", T.LongType()), ("logs", T.DoubleType()), ("model", T.DoubleType())):
-        schema.add(name, kind)
-    scored = source.mapInArrow(run, schema)
-    joined = scored.join(model.words, "word", "left")
-    is_word = F.col("tokens").isNull()
-    each = joined.select(
-        *[f"k{i}" for i in range(lead)],
-        "tokens",
-        F.when(is_word, F.col("n").isNotNull().cast("long")).otherwise(F.col("known")).alias("known"),
-        F.when(is_word, F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))).otherwise(F.col("logs")).alias("logs"),
-        "model",
-        F.explode("rids").alias("rid"),
-    )
-    sums = each.groupBy("rid").agg(
-        *[F.max(f"k{i}").alias(c) for i, c in enumerate(keep)],
-        F.sum("tokens").alias("n_tokens"),
-        F.sum("known").alias("n_known"),
-        F.sum("logs").alias("_tl_logs"),
-        F.sum("model").alias("_tl_model"),
-    )
+                words, sizes = said(data, block)
+                rows, edges = np.array([p[0] for p in block]), np.r_[0, np.cumsum(sizes)]
+                found = look_up(numbers, words)
+                known = found >= 0
+                code = np.where(known, of[found], later).astype(np.uint8)
+                run_sum = lambda x, edges=edges: np.diff(np.r_[0, np.cumsum(x)][edges])
+                counted = known if end_known else known & (found != end)
+                packed = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(code)])
+                # a long row has a block for each part: its places go on
+                begin = np.zeros(len(rows), np.int64)
+                for i, (row, size) in enumerate(zip(rows.tolist(), sizes, strict=True)):
+                    begin[i] = so_far[row]
+                    so_far[row] += size
+                none = lambda kind, n=len(rows): pa.nulls(n, kind)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rows)) for i in range(lead)), pa.array(keys[0][rows]), pa.array(keys[1][rows]), pa.array(begin), none(pa.binary()), packed, pa.array(run_sum(counted)), pa.array(run_sum(np.where(known, logs[found], 0.0)))], schema.names)
+                on = np.flatnonzero(~known)
+                part = np.searchsorted(edges, on, "right") - 1
+                none = lambda kind, n=len(on): pa.nulls(n, kind)
+                yield pa.RecordBatch.from_arrays([*(none(batch.column(i).type) for i in range(lead)), pa.array(keys[0][rows[part]]), pa.array(keys[1][rows[part]]), pa.array(on - edges[part] + begin[part]), pa.array([words[i] for i in on.tolist()], pa.binary()), none(pa.binary()), none(pa.int64()), none(pa.float64())], schema.names)
+        release()
+
     norm = float(np.log10(model.total + ADD * (model.distinct + 1)))
-    return sums.select(
-        *keep,
-        "n_tokens",
-        "n_known",
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("_tl_logs") - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
-        (F.col("_tl_logs") + F.col("_tl_model")).alias("score"),
-    ).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    names = [*keep, "n_tokens", "n_known", "base_score", "score"]
+    result = T.StructType([*(T.StructField(c, f.dataType) for c, f in zip(keep, kept, strict=True)), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks and words of one text running, blocks first; the last text of a batch waits for the next one."""
+        done: list[tuple] = []
+        held: list[pa.RecordBatch] = []
+
+        def close():
+            t = pa.Table.from_batches(held)
+            held.clear()
+            is_block = t.column("classes").is_valid().to_numpy()
+            n_blocks = int(is_block.sum())
+            place = t.column("place").to_numpy()
+            # equal rows came together: each block and each word is there as often
+            times = int((place[:n_blocks] == 0).sum())
+            blocks_of = t.slice(0, n_blocks).take(pa.array(np.arange(0, n_blocks, times)))
+            code = np.frombuffer(b"".join(blocks_of.column("classes").to_pylist()), np.uint8).astype(np.int64)
+            others = np.arange(n_blocks, len(place), times)
+            n = t.column("n").to_numpy()[others]
+            code[place[others]] = np.where(n > 0, t.column("class").to_numpy()[others], unseen)
+            total = float(sum(blocks_of.column("logs").to_pylist())) + float(np.log10(n + ADD).sum())
+            model_log = step[np.r_[model_end, code[:-1]], code].sum() + emit[code].sum()
+            known = sum(blocks_of.column("known").to_pylist()) + int((n > 0).sum())
+            row = (*(t.column(i)[0].as_py() for i in range(lead)), len(code), known, total - len(code) * norm, total + float(model_log))
+            done.extend([row] * times)
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names)
+            done.clear()
+            return out
+
+        kinds = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds = kinds or [*(batch.schema.field(i).type for i in range(lead)), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            r, s = batch.column(lead).to_numpy(), batch.column(lead + 1).to_numpy()
+            edges = np.r_[0, 1 + np.flatnonzero((r[1:] != r[:-1]) | (s[1:] != s[:-1])), len(r)]
+            for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                now = (int(r[a]), int(s[a]))
+                if held and (i or now != last):  # noqa: F821
+                    close()
+                held.append(batch.slice(a, b - a))
+                last = now
+            if len(done) >= ROWS:
+                yield flush()
+        if held:
+            close()
+        if done:
+            yield flush()
+        release()
+
+    model_end = model.end
+    said_in = materialize(batched(source).mapInArrow(run, schema), "said")
+    columns = [*(f"k{i}" for i in range(lead)), "r", "s", "place", "classes", "known", "logs", "n", "class"]
+    parts = said_in.where("word IS NULL").withColumns({"n": F.lit(0).cast("long"), "class": F.lit(0).cast("short")}).select(*columns)
+    others = said_in.where("word IS NOT NULL").join(model.words, "word", "left").withColumns({"n": F.coalesce("n", F.lit(0)).cast("long"), "class": F.coalesce("class", F.lit(0)).cast("short")}).select(*columns)
+    dealt = parts.unionAll(others).repartition("r").sortWithinPartitions("r", "s", F.col("classes").isNull(), "place")
+    scored = dealt.mapInArrow(gathered, result)
+    return scored.select(*keep, "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score").withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -255,7 +255,10 @@ def tokens(t):
     return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) + ["\n"]
 
 
-def test_scores(spark, sample):
+@pytest.mark.parametrize("head", [brown_lm.HEAD, 3_000])
+def test_scores(spark, sample, head, monkeypatch):
+    # with a small HEAD most words are placed by the table that grows with the corpus
+    monkeypatch.setattr(brown_lm, "HEAD", head)
     rows = [*sample, (9_001, None), (9_002, ""), (9_003, "İ x\x1cy a b\x0bc"), (9_003, "again"), (9_004, LONG)]
     df = docs(spark, rows)
     out = langid.held_out(df, 10)
@@ -271,20 +274,65 @@ def test_scores(spark, sample):
         assert r["n_known"] == sum(counts[w] > 0 for w in tokens(t)) and r["train_tokens"] == n and r["held_out"] == held[i] and r["base_score"] == pytest.approx(want, rel=1e-9)
     own = [r for r in got.values() if r["held_out"]]
     assert sum(r["score"] for r in own) > sum(r["base_score"] for r in own)
+    # every word has a class, and the score is what the model's tables say of the text
+    classes = {w.decode(): c for w, (_, c) in model.head.items()} | {bytes(r["word"]).decode(): r["class"] for r in model.words.collect()}
+    assert set(classes) == set(counts) and (head > 3_000 or model.words.count() > 0.9 * len(counts))
+    for i, t in rows:
+        before, want = model.end, 0.0
+        for w in tokens(t):
+            c = classes.get(w, model.unseen)
+            want += model.step[before, c] + model.emit[c] + math.log10(counts[w] + 0.1)
+            before = c
+        assert got[i, len(tokens(t))]["score"] == pytest.approx(want, rel=1e-9, abs=1e-6)  # large sums cancel in a long text
     empty = brown_lm.fit(df.limit(0).select("text"))
     assert brown_lm.score(df, empty).agg(F.max("n_known")).first()[0] == 0
+    assert brown_lm.score(df.limit(0), model).count() == 0
+    twice = brown_lm.score(df.unionAll(df).withColumn("score", F.lit("x")), model, ("doc_id", "lang"))
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in twice.collect()) == Counter((i, len(tokens(t))) for i, t in rows * 2)
+
+
+def likelihood(both):
+    g = lambda x: float((x[x > 0] * np.log(x[x > 0])).sum())
+    return g(both) - g(both.sum(0)) - g(both.sum(1))
 
 
-def test_class_model_is_a_distribution():
+def test_exchange_ends_where_no_move_helps():
     rng = np.random.default_rng(3)
     pairs = rng.integers(0, 20, (30, 30)).astype(float)
-    of = brown_lm.exchange(pairs, classes=5)
-    assert set(of) <= set(range(5))
-    m = brown_lm.Model(None, 0, 0, {}, brown_lm.Symbols([b"\n"], []))
-    m.set_classes(pairs, pairs.sum(0), np.ones(30))
+    of = brown_lm.exchange(pairs, classes=5, fixed=1)
+    assert set(of[:-1]) <= set(range(5)) and of[-1] == 5
+    whole = lambda of: np.eye(6)[of].T @ pairs @ np.eye(6)[of]
+    best = likelihood(whole(of))
+    for s in range(29):
+        for c in range(5):
+            other = of.copy()
+            other[s] = c
+            assert likelihood(whole(other)) <= best + 1e-6
+    m = brown_lm.Model(None, 0, 0, {})
+    m.set_classes(whole(of), pairs.sum(0) @ np.eye(6)[of], np.eye(6)[of].sum(0))
     assert np.allclose((10**m.step).sum(1), 1)
 
 
+def test_words_enter_the_likeliest_class():
+    rng = np.random.default_rng(5)
+    both = rng.integers(1, 60, (5, 5)).astype(float)
+    into, out = rng.integers(0, 4, (40, 5)).astype(float), rng.integers(0, 4, (40, 5)).astype(float)
+    into[:, 0] += 1
+    owner, code = np.nonzero(np.hstack((into, out)))
+    got = brown_lm.place(both, owner, code, np.hstack((into, out))[owner, code])
+    for w in range(40):
+        tries = []
+        for c in range(4):
+            now = both.copy()
+            now[:, c] += into[w]
+            now[c] += out[w]
+            g = lambda x: float((x * np.log(x)).sum())
+            # the word's own cells are counted from both sides, as it does not follow itself
+            cells = sum(g(both[[j], c] + into[w, j]) - g(both[[j], c]) for j in range(5)) + sum(g(both[c, [j]] + out[w, j]) - g(both[c, [j]]) for j in range(5))
+            tries.append(cells - g(both.sum(1)[[c]] + out[w].sum()) + g(both.sum(1)[[c]]) - g(both.sum(0)[[c]] + into[w].sum()) + g(both.sum(0)[[c]]))
+        assert got[w] == int(np.argmax(tries))
+
+
 # ------------------------------------------------------------------ personal data
 
 
