@@ -1,6 +1,7 @@
 """Scoring by a Brown class-based bigram model.
 
-p(text) is the product over its tokens of p(class | class before) p(token | class). Training counts every word of every
+p(text) is the product over its tokens of p(class | class before) p(token | class). Words with a share of less than 1/HEAD
+of the training tokens stand as one class where they come before, so the class before is known without a look-up. Training counts every word of every
 training text: the tasks count, Spark sums, and the counts and classes stay a table that grows with the corpus.
 
 Exchange clustering gives every word of the vocabulary a class, in three steps. All use the exchange criterion, the
@@ -10,9 +11,7 @@ likelihood of the class bigrams, and count words without a class yet as one clas
     neighbours in all texts;
  3. so do all that remain, a table of any size, by neighbours that now have classes for all words of steps 1 and 2.
 
-Where two words of step 3 stand side by side, how often one class follows the other is estimated from how often each
-stands beside such words; all other class bigrams are counted. A word unseen in training belongs to the class with the
-most distinct words.
+A word unseen in training belongs to the class with the most distinct words.
 
 What is broadcast has proven bounds: words with a share of 1/HEAD of all training tokens are HEAD at most. The counts and
 classes of all other words meet their occurrences in a join by the word. No such word has more than 1/HEAD of the tokens,
@@ -41,8 +40,8 @@ from ._common import batched, discard, materialize, release, utf8
 HEAD, CORE, CLASSES = 250_000, 1_500, 48
 #: Added to each count; weight of the classes' own shares in the transitions.
 ADD, BLEND = 0.1, 5.0
-#: Bytes of text taken at once, distinct words counted before they are handed on, rows of a batch of results.
-BLOCK, FLUSH, ROWS = 1 << 21, 200_000, 10_000
+#: Bytes of text taken at once, distinct words counted before they are handed on.
+BLOCK, FLUSH = 1 << 21, 200_000
 END = b"\n"
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -219,8 +218,8 @@ class Model:
         self.words, self.total, self.distinct, self.head = words, total, distinct, head
 
     def set_classes(self, follow: np.ndarray, totals: np.ndarray, types: np.ndarray) -> None:
-        """follow: class bigrams; totals and types: tokens and distinct words by class."""
-        k = len(follow)
+        """follow: how often a class comes after another one, or (last row) after a rare word; totals and types: tokens and distinct words by class."""
+        k = follow.shape[1]
         share = (totals + 1) / (totals.sum() + k)
         self.step = np.log10((follow + BLEND * share) / (follow.sum(1, keepdims=True) + BLEND))
         self.emit = -np.log10(totals + ADD * (types + 1))
@@ -369,16 +368,10 @@ def fit(texts: DataFrame) -> Model:
     dealt = found.where("word IS NOT NULL").select("word", "before", "after").repartition("word").sortWithinPartitions("word")
     classed = materialize(dealt.mapInArrow(remaining, "word binary, n long, class short, code int"), "classes")
     discard(found)
-    follow, totals, types = both[:none, :none].copy(), np.zeros(none), np.zeros(none)
-    beside = np.zeros((2, none))
-    for r in classed.where("word IS NULL").groupBy("class", "code").agg(F.sum("n").alias("n")).collect():
-        side, other = divmod(r["code"], size)
-        if other == none:
-            beside[side, r["class"]] = r["n"]
-        else:
-            follow[(other, r["class"]) if side == 0 else (r["class"], other)] += r["n"]
-    # beside[1]: how often a class stands before such a word, beside[0]: after one
-    follow += np.outer(beside[1], beside[0]) / max(both[none, none], 1.0)
+    # what follows each class, the words of step 3 as one: into frequent words, then into those words by their class
+    follow, totals, types = both[:, :none].copy(), np.zeros(none), np.zeros(none)
+    for r in classed.where(f"word IS NULL AND code < {size}").groupBy("class", "code").agg(F.sum("n").alias("n")).collect():
+        follow[r["code"], r["class"]] += r["n"]
     for r in classed.where("word IS NOT NULL").groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect():
         totals[r["class"]], types[r["class"]] = r["n"], r["kinds"]
     for w, n in counts.items():
@@ -396,106 +389,70 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
     numbers = {w: i for i, w in enumerate(classes)}
     of = np.array([*classes.values()] or [0])
     if END not in numbers:
-        # nothing was learned: the end is a token of no class that counts nothing
+        # nothing was learned: the end is a token that counts nothing
         numbers[END], logs, of = len(numbers), np.r_[logs[: len(numbers)], np.log10(ADD)], np.r_[of[: len(numbers)], model.end]
-    end, end_known = numbers[END], END in model.head
-    step, emit, unseen, later = model.step, model.emit, model.unseen, 255
+    end, end_known, first = numbers[END], END in model.head, model.end
+    step, emit, rare = model.step, model.emit, len(model.step) - 1
     lead = len(keep)
 
-    # rows: two hashes of the row, the place of the first or only token; of a block its classes, sums and the columns kept, of another word the word
+    # rows: two hashes of the row; of a block the columns kept and sums over the frequent words; of each rare word the word and the class before
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(*keep, text.alias("_tl_text"))
     source = source.select(*keep, F.xxhash64(*keep, "_tl_text").alias("_tl_r"), F.xxhash64(F.lit(1), *keep, "_tl_text").alias("_tl_s"), "_tl_text")
     kept = [T.StructField(f"k{i}", source.schema[i].dataType) for i in range(lead)]
-    made = [T.StructField(n, t) for n, t in (("r", T.LongType()), ("s", T.LongType()), ("place", T.LongType()), ("word", T.BinaryType()), ("classes", T.BinaryType()), ("known", T.LongType()), ("logs", T.DoubleType()))]
+    made = [T.StructField(n, t) for n, t in (("r", T.LongType()), ("s", T.LongType()), ("word", T.BinaryType()), ("before", T.ShortType()), ("tokens", T.LongType()), ("known", T.LongType()), ("ends", T.LongType()), ("logs", T.DoubleType()), ("model", T.DoubleType()))]
     schema = T.StructType([*kept, *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = first
         for batch in batches:
             data, at = utf8(batch.column(lead + 2))
             keys = [batch.column(lead + i).to_numpy() for i in (0, 1)]
-            so_far = np.zeros(batch.num_rows, np.int64)
             for block in blocks(data, at):
                 words, sizes = said(data, block)
                 rows, edges = np.array([p[0] for p in block]), np.r_[0, np.cumsum(sizes)]
                 found = look_up(numbers, words)
                 known = found >= 0
-                code = np.where(known, of[found], later).astype(np.uint8)
+                own = np.where(known, of[found], rare)
+                before = np.r_[carry, own[:-1]][: len(own)]
+                carry = own[-1] if len(own) else carry
                 run_sum = lambda x, edges=edges: np.diff(np.r_[0, np.cumsum(x)][edges])
                 counted = known if end_known else known & (found != end)
-                packed = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(code)])
-                # a long row has a block for each part: its places go on
-                begin = np.zeros(len(rows), np.int64)
-                for i, (row, size) in enumerate(zip(rows.tolist(), sizes, strict=True)):
-                    begin[i] = so_far[row]
-                    so_far[row] += size
+                steps = np.zeros(len(own))
+                steps[known] = step[before[known], own[known]] + emit[own[known]] + logs[found[known]]
+                # a block comes under a key of its own that no word equals
+                lone = pa.array([b" %d" % k for k in keys[0][rows].tolist()], pa.binary())
                 none = lambda kind, n=len(rows): pa.nulls(n, kind)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rows)) for i in range(lead)), pa.array(keys[0][rows]), pa.array(keys[1][rows]), pa.array(begin), none(pa.binary()), packed, pa.array(run_sum(counted)), pa.array(run_sum(np.where(known, logs[found], 0.0)))], schema.names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rows)) for i in range(lead)), pa.array(keys[0][rows]), pa.array(keys[1][rows]), lone, none(pa.int16()), pa.array(np.diff(edges).astype(np.int64)), pa.array(run_sum(counted).astype(np.int64)), pa.array(np.array([p[3] for p in block], np.int64)), pa.array(run_sum(np.where(known, logs[found], 0.0))), pa.array(run_sum(steps))], schema.names)
                 on = np.flatnonzero(~known)
-                part = np.searchsorted(edges, on, "right") - 1
+                part = rows[np.searchsorted(edges, on, "right") - 1]
                 none = lambda kind, n=len(on): pa.nulls(n, kind)
-                yield pa.RecordBatch.from_arrays([*(none(batch.column(i).type) for i in range(lead)), pa.array(keys[0][rows[part]]), pa.array(keys[1][rows[part]]), pa.array(on - edges[part] + begin[part]), pa.array([words[i] for i in on.tolist()], pa.binary()), none(pa.binary()), none(pa.int64()), none(pa.float64())], schema.names)
+                yield pa.RecordBatch.from_arrays([*(none(batch.column(i).type) for i in range(lead)), pa.array(keys[0][part]), pa.array(keys[1][part]), pa.array([words[i] for i in on.tolist()], pa.binary()), pa.array(before[on].astype(np.int16)), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64())], schema.names)
         release()
 
+    spark = docs.sparkSession
+    # one row for each pair of classes: bounded by CLASSES
+    terms = spark.createDataFrame([(h, c, float(step[h, c] + emit[c])) for h in range(rare + 1) for c in range(step.shape[1])], "before short, class short, term double")
+    joined = batched(source).mapInArrow(run, schema).join(model.words, "word", "left").withColumn("class", F.coalesce("class", F.lit(model.unseen).cast("short")))
+    joined = joined.join(F.broadcast(terms), ["before", "class"], "left")
+    is_word, log = F.col("before").isNotNull(), F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD))
+    each = joined.select(
+        *[f"k{i}" for i in range(lead)],
+        "r",
+        "s",
+        "tokens",
+        F.when(is_word, F.col("n").isNotNull().cast("long")).otherwise(F.col("known")).alias("known"),
+        F.when(is_word, log).otherwise(F.col("logs")).alias("logs"),
+        F.when(is_word, log + F.col("term")).otherwise(F.col("model")).alias("model"),
+        "ends",
+    )
+    sums = each.groupBy("r", "s").agg(*[F.max(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.sum(c).alias(f"_tl_{c}") for c in ("tokens", "known", "logs", "model")], F.sum("ends").alias("_tl_times"))
+    return _finished(sums, keep, model)
+
+
+def _finished(sums: DataFrame, keep: tuple[str, ...], model: Model) -> DataFrame:
+    """The result's rows from the sums by row hashes. Equal rows came together, and each gets its share."""
     norm = float(np.log10(model.total + ADD * (model.distinct + 1)))
-    names = [*keep, "n_tokens", "n_known", "base_score", "score"]
-    result = T.StructType([*(T.StructField(c, f.dataType) for c, f in zip(keep, kept, strict=True)), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks and words of one text running, blocks first; the last text of a batch waits for the next one."""
-        done: list[tuple] = []
-        held: list[pa.RecordBatch] = []
-
-        def close():
-            t = pa.Table.from_batches(held)
-            held.clear()
-            is_block = t.column("classes").is_valid().to_numpy()
-            n_blocks = int(is_block.sum())
-            place = t.column("place").to_numpy()
-            # equal rows came together: each block and each word is there as often
-            times = int((place[:n_blocks] == 0).sum())
-            blocks_of = t.slice(0, n_blocks).take(pa.array(np.arange(0, n_blocks, times)))
-            code = np.frombuffer(b"".join(blocks_of.column("classes").to_pylist()), np.uint8).astype(np.int64)
-            others = np.arange(n_blocks, len(place), times)
-            n = t.column("n").to_numpy()[others]
-            code[place[others]] = np.where(n > 0, t.column("class").to_numpy()[others], unseen)
-            total = float(sum(blocks_of.column("logs").to_pylist())) + float(np.log10(n + ADD).sum())
-            model_log = step[np.r_[model_end, code[:-1]], code].sum() + emit[code].sum()
-            known = sum(blocks_of.column("known").to_pylist()) + int((n > 0).sum())
-            row = (*(t.column(i)[0].as_py() for i in range(lead)), len(code), known, total - len(code) * norm, total + float(model_log))
-            done.extend([row] * times)
-
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names)
-            done.clear()
-            return out
-
-        kinds = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            kinds = kinds or [*(batch.schema.field(i).type for i in range(lead)), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            r, s = batch.column(lead).to_numpy(), batch.column(lead + 1).to_numpy()
-            edges = np.r_[0, 1 + np.flatnonzero((r[1:] != r[:-1]) | (s[1:] != s[:-1])), len(r)]
-            for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-                now = (int(r[a]), int(s[a]))
-                if held and (i or now != last):  # noqa: F821
-                    close()
-                held.append(batch.slice(a, b - a))
-                last = now
-            if len(done) >= ROWS:
-                yield flush()
-        if held:
-            close()
-        if done:
-            yield flush()
-        release()
-
-    model_end = model.end
-    said_in = materialize(batched(source).mapInArrow(run, schema), "said")
-    columns = [*(f"k{i}" for i in range(lead)), "r", "s", "place", "classes", "known", "logs", "n", "class"]
-    parts = said_in.where("word IS NULL").withColumns({"n": F.lit(0).cast("long"), "class": F.lit(0).cast("short")}).select(*columns)
-    others = said_in.where("word IS NOT NULL").join(model.words, "word", "left").withColumns({"n": F.coalesce("n", F.lit(0)).cast("long"), "class": F.coalesce("class", F.lit(0)).cast("short")}).select(*columns)
-    dealt = parts.unionAll(others).repartition("r").sortWithinPartitions("r", "s", F.col("classes").isNull(), "place")
-    scored = dealt.mapInArrow(gathered, result)
-    return scored.select(*keep, "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score").withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    times = F.col("_tl_times")
+    rows = sums.withColumns({"n_tokens": F.expr("_tl_tokens div _tl_times"), "n_known": F.expr("_tl_known div _tl_times"), "_tl_logs": F.col("_tl_logs") / times, "_tl_model": F.col("_tl_model") / times, "_tl_each": F.explode(F.sequence(F.lit(1), times))})
+    return rows.select(*keep, "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), (F.col("_tl_logs") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), F.col("_tl_model").alias("score")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -282,7 +282,7 @@ def test_scores(spark, sample, head, monkeypatch):
         for w in tokens(t):
             c = classes.get(w, model.unseen)
             want += model.step[before, c] + model.emit[c] + math.log10(counts[w] + 0.1)
-            before = c
+            before = c if w.encode() in model.head else len(model.step) - 1
         assert got[i, len(tokens(t))]["score"] == pytest.approx(want, rel=1e-9, abs=1e-6)  # large sums cancel in a long text
     empty = brown_lm.fit(df.limit(0).select("text"))
     assert brown_lm.score(df, empty).agg(F.max("n_known")).first()[0] == 0
@@ -309,7 +309,7 @@ def test_exchange_ends_where_no_move_helps():
             other[s] = c
             assert likelihood(whole(other)) <= best + 1e-6
     m = brown_lm.Model(None, 0, 0, {})
-    m.set_classes(whole(of), pairs.sum(0) @ np.eye(6)[of], np.eye(6)[of].sum(0))
+    m.set_classes(whole(of)[:, :5], pairs.sum(0) @ np.eye(6)[of][:, :5], np.eye(6)[of][:, :5].sum(0))
     assert np.allclose((10**m.step).sum(1), 1)
 
 
