@@ -55,18 +55,47 @@ def queue_panel(df: DataFrame) -> DataFrame:
     return finalize(own, "queue", "UK")
 
 
+# The portal's columns of reception capacity with the voltage level that each stands for, from the highest, and its kinds of installation.
+PORTAL_LEVELS = {
+    "capacidade_de_recepcao_at_mva_ultimo_trimestre": "AT",
+    "capacidade_de_recepcao_mt_30kv_mva_ultimo_trimestre": "30 kV",
+    "capacidade_de_recepcao_mt_15kv_mva_ultimo_trimestre": "15 kV",
+    "capacidade_de_recepcao_mt_10kv_mva_ultimo_trimestre": "10 kV",
+}
+PORTAL_KINDS = {"SE AT": "substation_HV", "PC AT": "cutting_point_HV"}
+
+
 def portal_panel(df: DataFrame) -> DataFrame:
-    """A portal's node export (semicolons, decimal comma, quarter as 2T2026) as a panel of nodes; what is missing is not a constraint."""
-    n = lambda *names: number(_first(df, *names), "", ",")
+    """A portal's node export (semicolons, technical headers, quarter as 2T2026) as a panel of nodes.
+
+    Its capacities are MVA, which are no kW without a power factor: they stay in extension columns, and the panel's own
+    capacities are null. A reception capacity of zero is a constraint; an unknown one is neither yes nor no.
+    """
+    n = lambda name: number(_first(df, name))
+    text = lambda name: F.nullif(strip(_first(df, name)), F.lit(""))
+    capacity = n("capacidade_de_recepcao_mt_at_mva_ultimo_trimestre")
+    kind = text("tipo_de_instalacao")
+    named = F.lit(None).cast("string")
+    for said, meant in PORTAL_KINDS.items():
+        named = F.when(kind == said, meant).otherwise(named)
     own = df.select(
-        _first(df, "Codigo", "Código", "ID").alias("node_id"),
-        _first(df, "Subestacao", "Subestação", "Nome").alias("node_name"),
-        _first(df, "Concelho", "Municipio", "Município").alias("location_text"),
-        voltage(_first(df, "Nivel de tensao", "Nível de tensão")).alias("voltage_level"),
-        (n("Capacidade disponivel (MVA)", "Capacidade disponível (MVA)") * 1000).alias("capacity_available"),
-        (n("Capacidade reservada (MVA)") * 1000).alias("capacity_reserved"),
-        quarter_end(_first(df, "Trimestre")).alias("date_published"),
+        text("codigo").alias("node_id"),
+        text("instalacao").alias("node_name"),
+        text("grupo_de_subestacoes_rari").alias("location_text"),
+        F.nullif(F.concat_ws(", ", *[F.when(n(c) > 0, level) for c, level in PORTAL_LEVELS.items()]), F.lit("")).alias("voltage_level"),
+        (capacity == 0).alias("constraint_flag"),
+        quarter_end(F.upper(text("data_ultimo_trimestre"))).alias("date_published"),
         F.lit("NODE").alias("_entity"),
+        F.lit("MVA").alias("_source_capacity_unit"),
+        capacity.alias("_capacity_available_mva"),
+        n("potencia_de_ligacao_ligado_mva_ultimo_trimestre").alias("_capacity_connected_mva"),
+        n("potencia_de_ligacao_comprometido_mva_ultimo_trimestre").alias("_capacity_contracted_mva"),
+        n("potencia_de_ligacao_em_confirmacao_mva_ultimo_trimestre").alias("_capacity_being_confirmed_mva"),
+        F.coalesce(named, kind).alias("_installation_type"),
+        text("distrito").alias("_district"),
+        text("concelho").alias("_municipality"),
+        text("nut3").alias("_nuts3"),
+        text("ligacao_rnt_barramento_60kv_ultimo_trimestre").alias("_rnt_node"),
         *[F.col(c) for c in ("source_document", "_seq") if c in df.columns],
     )
     return finalize(own, "portal", "PT")
@@ -102,7 +131,7 @@ class Source:
 
 REGISTRY: dict[str, Source] = {
     "queue": Source(r"queue|ecr", lambda spark, path: queue_panel(_csv(spark, path, ","))),
-    "portal": Source(r"portal|capacidade", lambda spark, path: portal_panel(_csv(spark, path, ";"))),
+    "portal": Source(r"portal|capacidade|e.?redes|\brnd\b", lambda spark, path: portal_panel(_csv(spark, path, ";"))),
 }
 
 
@@ -213,12 +242,13 @@ def manifest_check(spark: SparkSession, path: str, manifest: DataFrame) -> DataF
 
 
 def gazetteer_json(spark: SparkSession, path: str) -> DataFrame:
-    """locality, name, lat, lon, length_m from a nested JSON gazetteer; older key names are understood too."""
-    entry = "struct<lat:double,lon:double,length_m:double,dlugosc_m:double>"
+    """locality, name, lat, lon, length_m, axis from a nested JSON gazetteer; older key names are understood too. An axis is a list of [lat, lon]."""
+    entry = "struct<lat:double,lon:double,length_m:double,dlugosc_m:double,axis:array<array<double>>,os:array<array<double>>>"
     place = f"struct<streets:map<string,{entry}>,ulice:map<string,{entry}>>"
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"localities map<string,{place}>, miejscowosci map<string,{place}>").alias("j"))
     each = raw.select(F.explode(F.coalesce("j.localities", "j.miejscowosci")).alias("locality", "p")).select("locality", F.explode(F.coalesce("p.streets", "p.ulice")).alias("name", "e"))
-    return each.select("locality", "name", "e.lat", "e.lon", F.coalesce("e.length_m", "e.dlugosc_m").alias("length_m"))
+    axis = F.transform(F.coalesce("e.axis", "e.os"), lambda p: F.struct(F.get(p, F.lit(0)).alias("lat"), F.get(p, F.lit(1)).alias("lon")))
+    return each.select("locality", "name", "e.lat", "e.lon", F.coalesce("e.length_m", "e.dlugosc_m").alias("length_m"), axis.alias("axis"))
 
 
 def synthetic_panel(spark: SparkSession, n: int = 600, seed: int = 7) -> DataFrame:

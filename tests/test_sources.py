@@ -20,9 +20,19 @@ def test_queue_csv(spark, tmp_path):
 
 def test_portal_csv(spark, tmp_path):
     path = tmp_path / "portal.csv"
-    path.write_bytes("﻿Codigo;Subestacao;Concelho;Capacidade disponivel (MVA);Trimestre\nN1;Alfa;Porto;1,5;2T2026\n".encode())
-    r = registers.read_sources(spark, [str(path)])[0].first()
-    assert (r["node_id"], r["capacity_available"], str(r["date_published"]), r["constraint_flag"], r["_entity"]) == ("N1", 1500.0, "2026-06-30", None, "NODE")
+    head = "codigo;instalacao;tipo_de_instalacao;grupo_de_subestacoes_rari;concelho;capacidade_de_recepcao_mt_at_mva_ultimo_trimestre;capacidade_de_recepcao_at_mva_ultimo_trimestre;capacidade_de_recepcao_mt_15kv_mva_ultimo_trimestre;data_ultimo_trimestre"
+    lines = ["N1;Alfa;SE AT;Alfa, Beta;Porto;11,5;10;1,5;2T2026", "N2; Beta ;PC AT;;Braga;0;0;;4t2025", ";;outro;;;none;;;5T2026"]
+    path.write_bytes("\n".join(["\ufeff" + head, *lines]).encode())
+    rows = registers.read_sources(spark, [str(path)])[0].orderBy("_seq").collect()
+    own = [(r["node_id"], r["node_name"], r["location_text"], r["voltage_level"], r["constraint_flag"], str(r["date_published"]), r["_installation_type"], r["_capacity_available_mva"]) for r in rows]
+    assert own == [
+        ("N1", "Alfa", "Alfa, Beta", "AT, 15 kV", False, "2026-06-30", "substation_HV", 11.5),
+        ("N2", "Beta", None, None, True, "2025-12-31", "cutting_point_HV", 0.0),
+        (None, None, None, None, None, "None", "outro", None),
+    ]
+    # MVA are not kW, and columns that the file lacks are null
+    assert {(r["capacity_available"], r["capacity_reserved"], r["_nuts3"], r["_source_capacity_unit"], r["_entity"]) for r in rows} == {(None, None, None, "MVA", "NODE")}
+    assert registers.detect("data/E-REDES 2026.csv") == "portal"
 
 
 def test_unknown_file_is_named(spark):
@@ -54,7 +64,7 @@ def test_manifest(spark, tmp_path):
 
 def test_gazetteer(spark, tmp_path):
     (tmp_path / "g.json").write_text('{"miejscowosci": {"X": {"ulice": {"Polna": {"lat": 1.0, "lon": 2.0, "dlugosc_m": 30}}}}}')
-    assert tuple(registers.gazetteer_json(spark, str(tmp_path / "g.json")).first()) == ("X", "Polna", 1.0, 2.0, 30.0)
+    assert tuple(registers.gazetteer_json(spark, str(tmp_path / "g.json")).first()) == ("X", "Polna", 1.0, 2.0, 30.0, None)
 
 
 def test_synthetic_is_reproducible(spark, tmp_path):
