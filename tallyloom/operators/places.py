@@ -25,9 +25,9 @@ def words(norm: Column) -> Column:
 
 
 def gazetteer(streets: DataFrame) -> DataFrame:
-    """streets (name, lat, lon, _seq) with norm and set (sorted words); of equal norms the first."""
+    """streets (name, lat, lon, _seq; axis, an array of lat/lon structs, if known) with norm and set (sorted words); of equal norms the first."""
     own = streets.withColumn("norm", normalize(F.col("name")))
-    first = own.groupBy("norm").agg(F.min_by(F.struct("name", "lat", "lon"), "_seq").alias("r"), F.min("_seq").alias("_seq"))
+    first = own.groupBy("norm").agg(F.min_by(F.struct("name", "lat", "lon", *(["axis"] if "axis" in streets.columns else [])), "_seq").alias("r"), F.min("_seq").alias("_seq"))
     return first.select("norm", "r.*", "_seq", F.array_sort(F.array_distinct(words(F.col("norm")))).alias("set"))
 
 
@@ -40,7 +40,8 @@ def resolve(queries: DataFrame, gaz: DataFrame, column: str = "query") -> DataFr
     """query, matched, lat, lon, confidence, reason, accuracy for each distinct description.
 
     The strategies are EXACT, UNIQUE_TOKEN, TOKEN_SUBSET, REVERSED and INTERSECTION, in that order; a description whose
-    words are mostly not those of the street found is verbal, which does not stop the later strategies.
+    words are mostly not those of the street found is verbal, which does not stop the later strategies. An intersection
+    lies where the axes of its first two streets cross, if the gazetteer has both axes; else at the first street's point.
     """
     text = strip(F.coalesce(column, F.lit("")))
     street = F.when(F.contains("query", F.lit(",")), F.expr("substr(query, instr(query, ',') + 1)")).otherwise(F.col("query"))
@@ -67,9 +68,32 @@ def resolve(queries: DataFrame, gaz: DataFrame, column: str = "query") -> DataFr
         pick("lon", F.get("h", F.lit(0))["lon"]),
         pick("confidence", F.lit("INTERSECTION")),
         pick("reason", F.format_string("matched %d of %d parts", F.size("h"), "parts")),
+        F.when(crossing, F.struct(F.get("h", F.lit(0))["matched"].alias("a"), F.get("h", F.lit(1))["matched"].alias("b"))).alias("streets"),
     )
     accuracy = F.when(F.col("matched").isNull(), F.lit(None)).when(F.col("lat").isNotNull(), "STREET_AXIS_POINT").otherwise("NO_GEOMETRY")
-    return out.withColumn("accuracy", accuracy)
+    out = out.withColumn("accuracy", accuracy)
+    return (_at_crossing(out, gaz) if "axis" in gaz.columns else out).drop("streets")
+
+
+def _at_crossing(out: DataFrame, gaz: DataFrame) -> DataFrame:
+    """Intersections moved to where their streets' axes cross; each pair of streets is computed once."""
+    axes = gaz.where("size(axis) > 1").select("name", "axis")
+    pairs = out.where("streets IS NOT NULL").select("streets").distinct().select(F.col("streets").alias("id"), "streets.a", "streets.b")
+    both = pairs.join(axes.select(F.col("name").alias("a"), F.col("axis").alias("axis_a")), "a").join(axes.select(F.col("name").alias("b"), F.col("axis").alias("axis_b")), "b")
+    point = axis_crossing(both).select("id", F.struct("lat", "lon").alias("point"))
+    at = both.select("id").join(point, "id", "left").select(F.col("id").alias("streets"), "point", F.lit(True).alias("axes"))
+    met = F.col("point").isNotNull()
+    apart = F.coalesce("axes", F.lit(False)) & ~met
+    return out.join(at, "streets", "left").select(
+        "streets",
+        "query",
+        "matched",
+        F.when(met, F.col("point.lat")).otherwise(F.col("lat")).alias("lat"),
+        F.when(met, F.col("point.lon")).otherwise(F.col("lon")).alias("lon"),
+        "confidence",
+        F.when(apart, F.concat("reason", F.lit("; the axes do not intersect, point taken from the first part"))).otherwise(F.col("reason")).alias("reason"),
+        F.when(met, "INTERSECTION_POINT").otherwise(F.col("accuracy")).alias("accuracy"),
+    )
 
 
 def _cascade(q: DataFrame, gaz: DataFrame) -> DataFrame:

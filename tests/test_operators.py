@@ -128,6 +128,27 @@ def test_places(spark):
     assert got["działka obok wielkiego starego domu marsa"] == ("NONE", None, "verbal_description_not_street_name")
 
 
+def test_crossing_of_axes(spark):
+    line = lambda *p: [{"lat": a, "lon": b} for a, b in p]
+    streets = [
+        ("Biala Dolna", 1.0, 1.0, 1, line((0.0, 1.0), (2.0, 1.0))),
+        ("Biala Gorna", 1.0, 3.0, 2, line((1.0, 0.0), (1.0, 4.0))),
+        ("Czarna Dolna", 9.0, 9.0, 3, line((9.0, 9.0), (9.5, 9.0))),
+        ("Czarna Gorna", 8.0, 8.0, 4, None),
+    ]
+    gaz = places.gazetteer(spark.createDataFrame(streets, "name string, lat double, lon double, _seq long, axis array<struct<lat:double,lon:double>>"))
+    asked = ["Biala Dolna / Biala Gorna", "Biala Gorna / Czarna Dolna", "Biala Gorna / Czarna Gorna", "Biala Dolna", "nowhere", None]
+    got = {r["query"]: tuple(r)[2:] for r in places.resolve(spark.createDataFrame([(q,) for q in asked], "query string"), gaz).collect()}
+    assert got == {
+        "Biala Dolna / Biala Gorna": (1.0, 1.0, "INTERSECTION", "matched 2 of 2 parts", "INTERSECTION_POINT"),
+        "Biala Gorna / Czarna Dolna": (1.0, 3.0, "INTERSECTION", "matched 2 of 2 parts; the axes do not intersect, point taken from the first part", "STREET_AXIS_POINT"),
+        "Biala Gorna / Czarna Gorna": (1.0, 3.0, "INTERSECTION", "matched 2 of 2 parts", "STREET_AXIS_POINT"),
+        "Biala Dolna": (1.0, 1.0, "EXACT", None, "STREET_AXIS_POINT"),
+        "nowhere": (None, None, "NONE", "no_candidates", None),
+        "": (None, None, "NONE", "empty_description", None),
+    }
+
+
 def test_house_numbers(spark):
     street, number = places.house_number(F.col("v"))
     rows = spark.createDataFrame([("Marsa 12",), ("Marsa 85A",), ("Marsa 12/14",), ("Marsa",)], "v string").select(street, number).collect()
