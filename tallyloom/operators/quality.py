@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import CLASSES, STATUSES, is_nullish
-from .panel import core_complete, filled
+from .panel import CORE, core_complete, entity, filled
 
 ORDER = ("date_application", "date_conditions", "date_agreement", "date_energisation")
 DATES = (*ORDER[:2], "date_refusal", *ORDER[2:])
@@ -97,23 +97,53 @@ ROW_RULES = (
 )
 
 
-def r3_rows(df: DataFrame) -> DataFrame:
-    """df with _tl_r3: 1 where the dates contradict the status. A date is required only of publishers that disclose it at all; without a publisher, of the panel."""
+def _with_shown(df: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """df with what its publisher discloses, and by date column whether it does; rows without a publisher see the panel's."""
     have = [c for c in DATES if c in df.columns]
     shown = [F.max(filled(df, c)).alias(f"_tl_{c}") for c in have]
-    everywhere = df.agg(*[s.alias(f"_tl_all_{c}") for s, c in zip(shown, have, strict=True)])
-    out = df.crossJoin(F.broadcast(everywhere))  # one row
-    if "publisher" in df.columns:
-        # one row a publisher: AQE broadcasts it where it is small
-        out = out.join(df.where("publisher IS NOT NULL").groupBy(F.col("publisher").alias("_tl_publisher")).agg(*shown), F.col("publisher") == F.col("_tl_publisher"), "left")
-        known = {c: F.coalesce(f"_tl_{c}", f"_tl_all_{c}") for c in have}
-    else:
-        known = {c: F.col(f"_tl_all_{c}") for c in have}
-    bad = []
+    known = {c: F.col(f"_tl_{c}") for c in have}
+    if "publisher" not in df.columns:
+        return df.crossJoin(F.broadcast(df.agg(F.lit(1).alias("_tl_one"), *shown))), known  # one row
+    table = df.rollup("publisher").agg(F.grouping_id().alias("_tl_all"), *shown).where("_tl_all = 1 OR publisher IS NOT NULL").withColumnRenamed("publisher", "_tl_publisher")
+    # one row a publisher: AQE broadcasts it where it is small
+    return df.join(table, F.col("publisher").eqNullSafe(F.col("_tl_publisher")), "left"), known
+
+
+def _status_faults(df: DataFrame, known: dict[str, Column]) -> list[tuple[str, str, str, Column]]:
+    """status, fault, date column, and where it holds of rows with that status."""
+    faults = []
     for status, (required, forbidden) in REQUIRES.items():
-        wrong = [known[c] & ~filled(df, c) for c in required if c in have] + [filled(df, c) for c in forbidden if c in have]
-        bad.append((F.col("process_status") == status) & _any(wrong))
-    return out.select(*df.columns, _any(bad).cast("long").alias("_tl_r3"))
+        faults += [(status, "missing", c, known[c] & ~filled(df, c)) for c in required if c in known]
+        faults += [(status, "unexpected", c, filled(df, c)) for c in forbidden if c in known]
+    return faults
+
+
+def r3_rows(df: DataFrame) -> DataFrame:
+    """df with _tl_r3: 1 where the dates contradict the status. A date is required only of publishers that disclose it at all; without a publisher, of the panel."""
+    out, known = _with_shown(df)
+    bad = _any([(F.col("process_status") == status) & wrong for status, _, _, wrong in _status_faults(df, known)])
+    return out.select(*df.columns, bad.cast("long").alias("_tl_r3"))
+
+
+def r3_details(df: DataFrame, most: int = 20) -> DataFrame:
+    """status, fault (missing or unexpected), field, n: the most frequent contradictions of dates and status, ties by name."""
+    out, known = _with_shown(df)
+    faults = _status_faults(df, known)
+    sums = out.agg(*[F.count_if((F.col("process_status") == status) & wrong).alias(f"_tl_{i}") for i, (status, _, _, wrong) in enumerate(faults)], F.lit(0).alias("_tl_none"))
+    rows = [F.struct(F.lit(status).alias("status"), F.lit(fault).alias("fault"), F.lit(c).alias("field"), F.col(f"_tl_{i}").alias("n")) for i, (status, fault, c, _) in enumerate(faults)]
+    empty = F.array().cast("array<struct<status:string,fault:string,field:string,n:bigint>>")
+    return sums.select(F.explode(F.array(*rows) if rows else empty).alias("r")).select("r.*").where("n > 0").orderBy(F.desc("n"), "status", "fault", "field").limit(most)
+
+
+def r7_details(df: DataFrame) -> DataFrame:
+    """entity, field, n: rows of each entity that lack a required field, or all fields of a group of which one is required."""
+    lacks = []
+    for name, (required, alternatives) in CORE.items():
+        lacks += [(name, c, ~filled(df, c)) for c in required]
+        lacks += [(name, "at least one of: " + ", ".join(group), ~_any([filled(df, c) for c in group])) for group in alternatives]
+    sums = df.agg(*[F.count_if((entity(df) == name) & lack).alias(f"_tl_{i}") for i, (name, _, lack) in enumerate(lacks)])
+    rows = [F.struct(F.lit(name).alias("entity"), F.lit(label).alias("field"), F.col(f"_tl_{i}").alias("n")) for i, (name, label, _) in enumerate(lacks)]
+    return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("n > 0")
 
 
 def duplicates(df: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -128,13 +158,17 @@ def duplicates(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def run_quality(df: DataFrame, rules: tuple[Rule, ...] = ROW_RULES) -> DataFrame:
-    """code, violations, share. The row rules and R3 share one scan; R6 groups by the identifier."""
-    status = r3_rows(df) if "process_status" in df.columns else df.withColumn("_tl_r3", F.lit(0))
-    sums = status.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_tl_r3"), F.lit(0)).alias("R3"), *[F.coalesce(F.sum(r.violations(df)), F.lit(0)).alias(r.code) for r in rules])
-    codes = [*(r.code for r in rules), "R3"]
-    long = sums.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("code"), F.col(c).cast("long").alias("violations")) for c in codes])).alias("r")).select("n", "r.code", "r.violations")
-    if "application_id" in df.columns:
+def run_quality(df: DataFrame, rules: tuple[Rule, ...] = ROW_RULES, only: tuple[str, ...] | None = None) -> DataFrame:
+    """code, violations, share of all rules, or of those named by only. The row rules and R3 share one scan; R6 groups by the identifier."""
+    wanted = lambda code: only is None or code in only
+    rules = tuple(r for r in rules if wanted(r.code))
+    status = r3_rows(df) if wanted("R3") and "process_status" in df.columns else df.withColumn("_tl_r3", F.lit(0))
+    counts = {**{r.code: r.violations(df) for r in rules}, **({"R3": F.col("_tl_r3")} if wanted("R3") else {})}
+    sums = status.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(v), F.lit(0)).cast("long").alias(code) for code, v in counts.items()])
+    each = [F.struct(F.lit(c).alias("code"), F.col(c).alias("violations")) for c in counts]
+    empty = F.array().cast("array<struct<code:string,violations:bigint>>")
+    long = sums.select("n", F.explode(F.array(*each) if each else empty).alias("r")).select("n", "r.code", "r.violations")
+    if wanted("R6") and "application_id" in df.columns:
         long = long.unionByName(duplicates(df).crossJoin(sums.select("n")).select("n", F.lit("R6").alias("code"), "violations"))
     return long.select("code", "violations", F.bround(F.try_divide("violations", "n"), 6).alias("share"))
 

@@ -104,7 +104,7 @@ def _rule(code: str) -> None:
     sql = f"{_R3} SELECT 'R3' AS code, CAST(sum(v) AS BIGINT) AS violations FROM r3" if code == "R3" else f" SELECT 'R6' AS code, ({_R6}) AS violations" if code == "R6" else f" SELECT '{code}' AS code, CAST(sum({_RULES[code]}) AS BIGINT) AS violations FROM app"
 
     def run(spark, sf_dir):
-        return quality.run_quality(view(spark, sf_dir, "app")).where(F.col("code") == code).select("code", "violations")
+        return quality.run_quality(view(spark, sf_dir, "app"), only=(code,)).select("code", "violations")
 
     run.__name__ = f"rule_{code.lower()}"
     query(sql, "app")(run)
@@ -113,6 +113,26 @@ def _rule(code: str) -> None:
 for _code in ("R1", "R2", "R3", "R4", "R5", "R6", "R7", "R8"):
     _rule(_code)
 
+_FAULTS = (
+    ("CONDITIONS_ISSUED", "missing", "date_conditions", "s.c = 1 AND date_conditions IS NULL"),
+    ("CONDITIONS_ISSUED", "unexpected", "date_refusal", "date_refusal IS NOT NULL"),
+    ("REFUSED", "missing", "date_refusal", "s.f = 1 AND date_refusal IS NULL"),
+    *((status, "unexpected", c, f"{c} IS NOT NULL") for status in ("REFUSED", "APPLICATION_FILED", "UNDER_REVIEW") for c in ("date_agreement", "date_energisation")),
+)
+
+
+@query(_R3 + ", d AS (" + " UNION ALL ".join(f"SELECT '{status}' AS status, '{fault}' AS fault, '{c}' AS field, count(*) AS n FROM app a JOIN shown s ON a.publisher = s.publisher WHERE process_status = '{status}' AND {wrong}" for status, fault, c, wrong in _FAULTS) + ") SELECT * FROM d WHERE n > 0 ORDER BY n DESC, status, fault, field LIMIT 20", "app")
+def rule_r3_details(spark, sf_dir):
+    return quality.r3_details(view(spark, sf_dir, "app"))
+
+
+_LACKS = (*((c, f"{c} IS NULL") for c in ("application_id", "location_text", "resource_class", "process_status")), ("at least one of: capacity_withdrawn, capacity_injected", "capacity_injected IS NULL AND capacity_withdrawn IS NULL"))
+
+
+@query(", d AS (" + " UNION ALL ".join(f"SELECT 'APPLICATION' AS entity, '{label}' AS field, count(*) AS n FROM app WHERE {lack}" for label, lack in _LACKS) + ") SELECT * FROM d WHERE n > 0", "app")
+def rule_r7_details(spark, sf_dir):
+    return quality.r7_details(view(spark, sf_dir, "app"))
+
 
 @query(_R3 + "".join(f" {'UNION ALL ' if i else ''}SELECT publisher, '{c}' AS code, CAST(sum({s}) AS BIGINT) AS violations FROM app GROUP BY 1" for i, (c, s) in enumerate(_RULES.items())) + " UNION ALL SELECT publisher, 'R3' AS code, CAST(sum(v) AS BIGINT) AS violations FROM r3 GROUP BY 1 UNION ALL SELECT publisher, 'R6' AS code, count(*) - count(DISTINCT application_id) AS violations FROM app GROUP BY 1", "app")
 def quality_by_publisher(spark, sf_dir):

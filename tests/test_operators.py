@@ -32,6 +32,20 @@ def test_rule_three_without_publisher(spark):
     assert sorted(r["_tl_r3"] for r in quality.r3_rows(df).collect()) == [0, 0, 1]
 
 
+def test_details_of_rules(spark):
+    df = spark.createDataFrame([(None, "CONDITIONS_ISSUED", None, None, "a"), ("p", "CONDITIONS_ISSUED", "2020-01-01", "2020-02-01", None), ("q", "CONDITIONS_ISSUED", None, None, "b"), ("q", "REFUSED", None, None, None)], "publisher string, process_status string, date_conditions string, date_refusal string, application_id string")
+    faults = [tuple(r) for r in quality.r3_details(df).collect()]
+    # q discloses neither date; the row without a publisher is held to what the panel discloses
+    assert faults == [("CONDITIONS_ISSUED", "missing", "date_conditions", 1), ("CONDITIONS_ISSUED", "unexpected", "date_refusal", 1)]
+    assert [tuple(r) for r in quality.r3_details(df, most=1).collect()] == faults[:1]
+    lacks = {(r["entity"], r["field"]): r["n"] for r in quality.r7_details(df).collect()}
+    assert lacks[("APPLICATION", "application_id")] == 2 and lacks[("APPLICATION", "location_text")] == 4 and lacks[("APPLICATION", "at least one of: capacity_withdrawn, capacity_injected")] == 4
+    assert not any(e == "NODE" for e, _ in lacks)
+    assert quality.r3_details(df.where("false")).count() == quality.r7_details(df.where("false")).count() == 0
+    assert {r["code"]: r["violations"] for r in quality.run_quality(df, only=("R3", "R6")).collect()} == {"R3": 2, "R6": 0}
+    assert {r["code"]: r["violations"] for r in quality.run_quality(df, only=("R6",)).collect()} == {"R6": 0}
+
+
 def test_messages(spark):
     df = spark.createDataFrame([("a", "l", "XX", "-5", "2020-13-01", "95,10")], "application_id string, location_text string, resource_class string, capacity_injected string, date_application string, coordinates string")
     said = df.select(panel.row_messages(df, strict=True)).first()[0]
