@@ -32,7 +32,7 @@ def location_category(geocoded: DataFrame) -> DataFrame:
     """category, n of a geocoded panel."""
     c, a, r = F.col("_geo_confidence"), F.col("_geo_accuracy"), F.col("_geo_reason")
     category = (
-        F.when(c == "SOURCE", "source coordinates").when(a == "INTERSECTION_POINT", "street crossing").when(a == "STREET_AXIS_POINT", "street point").when(a == "NO_GEOMETRY", "street without geometry")
+        F.when(c == "SOURCE", "source coordinates").when(a == "ADDRESS_POINT", "address point").when(a == "LOCALITY_CENTROID", "locality only").when(a == "INTERSECTION_POINT", "street crossing").when(a == "STREET_AXIS_POINT", "street point").when(a == "NO_GEOMETRY", "street without geometry")
         .when(r == "empty_description", "no description").when(r == "station_code_without_dictionary", "station code").when(r == "verbal_description_not_street_name", "verbal description").otherwise("unresolved")
     )
     return geocoded.groupBy(category.alias("category")).agg(F.count(F.lit(1)).alias("n"))

@@ -359,6 +359,23 @@ def geo_routing(spark, sf_dir):
     return places.route(view(spark, sf_dir, "queries"), known)
 
 
+_PLACES = """, s AS (SELECT name, lat, lon, _seq, CASE _seq % 4 WHEN 0 THEN 'SEKOCIN NOWY' WHEN 1 THEN 'MIASTO' WHEN 2 THEN 'WOLA DOLNA' ELSE 'WOLA GORNA' END AS locality, CAST(floor(_seq / 4) AS BIGINT) % 6 AS form FROM street),
+ a AS (SELECT s.*, CASE form WHEN 0 THEN locality || ', ' || name || ' 12' WHEN 1 THEN CASE WHEN _seq % 4 = 0 THEN 'SEKOCIN' WHEN _seq % 4 = 1 THEN 'MIASTO' ELSE 'WOLA' END || ', ' || name || ' 12'
+   WHEN 2 THEN name WHEN 3 THEN 'ELSEWHERE, ' || name WHEN 4 THEN locality || ', qqq ' || CAST(_seq AS STRING) ELSE locality || ', ' || name END AS query FROM s)"""
+
+
+@query(_PLACES + """, r AS (SELECT *, NOT (form IN (2, 3) OR (form = 1 AND _seq % 4 > 1)) AS routed FROM a), m AS (SELECT *, routed AND form <> 4 AS hit, routed AND form IN (0, 1) AND _seq % 8 < 4 AS address FROM r)
+ SELECT query, CASE WHEN routed THEN locality END AS locality, CASE WHEN hit THEN name END AS matched, CASE WHEN address THEN 60.0 + _seq / 64.0 WHEN hit THEN lat WHEN routed THEN 10.5 END AS lat, CASE WHEN address THEN 30.0 + _seq / 32.0 WHEN hit THEN lon WHEN routed THEN 11.5 END AS lon,
+   CASE WHEN address THEN 'house_number=12' WHEN hit THEN NULL WHEN routed THEN 'no_candidates' WHEN form = 2 THEN 'no_locality_declared' WHEN form = 3 THEN 'locality_not_in_gazetteer' ELSE 'ambiguous_locality:wola dolna|wola gorna' END AS reason,
+   CASE WHEN address THEN 'ADDRESS_POINT' WHEN hit AND lat IS NOT NULL THEN 'STREET_AXIS_POINT' WHEN hit THEN 'NO_GEOMETRY' WHEN routed THEN 'LOCALITY_CENTROID' END AS accuracy FROM m""", "street")
+def geo_addresses(spark, sf_dir):
+    asked = spark.sql(f"WITH{_PLACES[1:]} SELECT * FROM a".replace("FROM street", "FROM {street}"), street=view(spark, sf_dir, "street"))
+    known = asked.select(F.col("locality").alias("name")).distinct().withColumns({"lat": F.lit(10.5), "lon": F.lit(11.5)})
+    points = asked.where("_seq % 8 < 4").select("locality", F.col("name").alias("street"), F.lit("12").alias("number"), (60.0 + F.col("_seq") / 64.0).alias("lat"), (30.0 + F.col("_seq") / 32.0).alias("lon"))
+    done = places.resolve_in(asked, places.gazetteer(asked.drop("query")), known, points, allow_centroid=True)
+    return done.select("query", "locality", "matched", "lat", "lon", "reason", "accuracy")
+
+
 @query(" SELECT _seq AS id, round(50 + (_seq % 7) / 10.0, 6) AS lat, round(20 + (_seq % 5) / 10.0, 6) AS lon FROM street", "street")
 def axis_crossing(spark, sf_dir):
     s = view(spark, sf_dir, "street").select(F.col("_seq").alias("id"), (F.lit(50.0) + F.col("_seq") % 7 / 10).alias("y"), (F.lit(20.0) + F.col("_seq") % 5 / 10).alias("x"))

@@ -163,6 +163,27 @@ def test_crossing_of_axes(spark):
     }
 
 
+def test_places_in_localities(spark):
+    streets = [("Wola Dolna", "Marsa", 1.0, 2.0, 1), ("Wola Gorna", "Marsa", 3.0, 4.0, 2), ("Las Nowy", "11 Listopada", 5.0, 6.0, 3), ("Las Nowy", "TAMKA", None, None, 4)]
+    gaz = places.gazetteer(spark.createDataFrame(streets, "locality string, name string, lat double, lon double, _seq long"))
+    known = spark.createDataFrame([("Wola Dolna", None, None), ("Wola Gorna", None, None), ("Las Nowy", 9.0, 9.5)], "name string, lat double, lon double")
+    points = spark.createDataFrame([("Wola Dolna", "Marsa", "12A", 1.5, 2.5), ("Las Nowy", "Tamka", "3/4", 7.0, 8.0)], "locality string, street string, number string, lat double, lon double")
+    asked = spark.createDataFrame([(q,) for q in ("Wola Dolna, Marsa 12 a", "Wola Gorna, ul. Marsa 12A", "Wola, Marsa", "LAS, TAMKA 3 / 4", "Las, 11 Listopada", "LAS, TAMKA", "Las, nothing 5", "Las,", "Marsa", "Elsewhere, Marsa", "ABC12", "", None)], "query string")
+    of = lambda **more: {r["query"]: tuple(r)[1:] for r in places.resolve_in(asked, gaz, known, points, **more).collect()}
+    got = of()
+    assert got["Wola Dolna, Marsa 12 a"] == ("Wola Dolna", "Marsa", 1.5, 2.5, "UNIQUE_TOKEN", "house_number=12a", "ADDRESS_POINT")
+    assert got["Wola Gorna, ul. Marsa 12A"][:4] == ("Wola Gorna", "Marsa", 3.0, 4.0)
+    assert got["Wola, Marsa"] == (None, None, None, None, "NONE", "ambiguous_locality:wola dolna|wola gorna", None)
+    assert got["LAS, TAMKA 3 / 4"][2:4] == (7.0, 8.0) and got["LAS, TAMKA"][5:] == (None, "NO_GEOMETRY")
+    assert got["Las, 11 Listopada"][1:] == ("11 Listopada", 5.0, 6.0, "EXACT", None, "STREET_AXIS_POINT")
+    assert got["Las, nothing 5"] == ("Las Nowy", None, None, None, "NONE", "no_candidates", None) and got["Las,"][5] == "empty_description"
+    assert [got[q][5] for q in ("Marsa", "Elsewhere, Marsa", "ABC12", "")] == ["no_locality_declared", "locality_not_in_gazetteer", "station_code_without_dictionary", "empty_description"]
+    assert len(got) == 12
+    more = of(default="Wola Dolna", allow_centroid=True)
+    assert more["Marsa"][:4] == ("Wola Dolna", "Marsa", 1.0, 2.0)
+    assert more["Las, nothing 5"][2:] == (9.0, 9.5, "NONE", "no_candidates", "LOCALITY_CENTROID")
+
+
 def test_house_numbers(spark):
     street, number = places.house_number(F.col("v"))
     rows = spark.createDataFrame([("Marsa 12",), ("Marsa 85A",), ("Marsa 12/14",), ("Marsa",)], "v string").select(street, number).collect()
