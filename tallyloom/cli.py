@@ -29,6 +29,7 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--only-schema", action="store_true")
         p.add_argument("--keep-entity", action="store_true")
         p.add_argument("--node-key", action="store_true")
+        p.add_argument("--transitions")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("tallyloom").getOrCreate()
     said: object = None
@@ -47,7 +48,7 @@ def main(argv: list[str] | None = None) -> int:
         said = _show(report)
     elif args.command == "validate":
         df = panel.union_panels([registers.read_table(spark, p) for p in args.inputs])
-        said = {"panel": _show(panel.validate(df)), "rules": _show(quality.run_quality(df)), "shift": _show(quality.column_shift(df))}
+        said = {"panel": _show(panel.validate(df)), "summary": _show(panel.summary(df)), "outside": _show(panel.outside_vocabulary(df)), "rules": _show(quality.run_quality(df)), "shift": _show(quality.column_shift(df))}
     elif args.command == "export":
         df = panel.union_panels([registers.read_table(spark, p) for p in args.inputs])
         registers.write_table(panel.only_schema(df, args.keep_entity) if args.only_schema else df, args.out)
@@ -55,6 +56,8 @@ def main(argv: list[str] | None = None) -> int:
         a, b = (registers.read_table(spark, p) for p in args.inputs)
         key = editions.NODE_KEY if args.node_key else editions.KEY
         said = {"flows": _show(editions.compare(a, b, key)), "audit": _show(editions.linkage_audit(a, b, key)), "recall": _show(editions.linkage_recall(a, b, key))}
+        if args.transitions:
+            registers.write_table(editions.transitions(a, b, key), args.transitions)
     if said is not None:
         print(json.dumps(said, default=str, indent=1))
     return 0

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .editions import STATUS_ORDER
+from .panel import filled
 
 
 def applications(df: DataFrame) -> DataFrame:
@@ -54,3 +55,29 @@ def edition_flows(compared: DataFrame) -> DataFrame:
     s = [("shared", "both", "shared"), ("gone", "a", "gone"), ("new", "b", "new"), ("repeated", "a", "rows_a"), ("repeated", "b", "rows_b")]
     value = {"rows_a": F.col("rows_a") - F.col("unique_a"), "rows_b": F.col("rows_b") - F.col("unique_b")}
     return compared.select(F.explode(F.array(*[F.struct(F.lit(n).alias("segment"), F.lit(e).alias("edition"), value.get(c, F.col(c)).alias("n")) for n, e, c in s])).alias("p")).select("p.*")
+
+
+def chart_inclusion(df: DataFrame, min_n: int = 30, min_coverage: float = 0.8) -> DataFrame:
+    """chart, reason: which charts the panel supports; the reason why not is null for those it does. One scan.
+
+    The curves of processing times need both dates in a share of min_coverage of the applications, and min_n of them
+    with a first date; node loading needs nodes and applications.
+    """
+    app = (F.coalesce(F.upper("_entity"), F.lit("APPLICATION")) != "NODE") if "_entity" in df.columns else F.lit(True)
+    some = {f"any_{c}": F.coalesce(F.bool_or(app & filled(df, c)), F.lit(False)) for c in ("process_status", "resource_class")}
+    dates = {f"n_{c}": F.count_if(app & filled(df, c)) for c in ("date_application", "date_conditions")}
+    one = df.agg(F.count_if(app).alias("n_app"), F.count_if(~app).alias("n_node"), *[v.alias(k) for k, v in {**some, **dates}.items()])
+    coverage = F.coalesce(F.try_divide(F.least("n_date_application", "n_date_conditions"), "n_app"), F.lit(0.0))
+    times = F.when(coverage < min_coverage, F.format_string(f"date coverage %.1f%% is below the {min_coverage * 100:.0f}%% inclusion criterion", coverage * 100)).when(F.col("n_date_application") < min_n, f"no group of {min_n} applications with date_application")
+    capacity = F.lit("capacity_available" in df.columns)
+    reasons = {
+        "field_coverage": F.lit(None).cast("string"),
+        "quality_rules": F.lit(None).cast("string"),
+        "column_shift": F.lit(None).cast("string"),
+        "status_distribution": F.when(~F.col("any_process_status"), "no process status disclosed"),
+        "capacity_by_class": F.when(~F.col("any_resource_class"), "no resource class disclosed"),
+        "processing_time": times,
+        "location_resolution": F.lit(None if "coordinates" in df.columns else "no coordinates").cast("string"),
+        "node_loading": F.when(~capacity | (F.col("n_node") == 0) | (F.col("n_app") == 0), "needs both node rows and application rows"),
+    }
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("chart"), v.alias("reason")) for k, v in reasons.items()])).alias("c")).select("c.*")

@@ -154,3 +154,19 @@ def validate(df: DataFrame) -> DataFrame:
         bad = filled(df, c) & ~F.coalesce(F.col(c).isin(*words), F.lit(False)) if c in df.columns else F.lit(False)
         out.append(F.count_if(bad).alias(f"n_bad_{c}"))
     return df.agg(*out)
+
+
+def outside_vocabulary(df: DataFrame) -> DataFrame:
+    """field, value, n: values of the controlled fields that are not in their vocabulary, a row for each."""
+    checks = [F.when(filled(df, c) & ~F.coalesce(F.col(c).isin(*known), F.lit(False)), F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value"))) for c, known in (("resource_class", CLASSES), ("process_status", STATUSES)) if c in df.columns]
+    empty = F.array().cast("array<struct<field:string,value:string>>")
+    found = df.select(F.explode(F.array_compact(F.array(*checks)) if checks else empty).alias("v"))
+    return found.groupBy("v").agg(F.count(F.lit(1)).alias("n")).select("v.field", "v.value", "n").orderBy("field", "value")
+
+
+def summary(df: DataFrame) -> DataFrame:
+    """One row: rows, columns, publishers, fields of the schema with any value, rows with a complete core."""
+    publishers = F.count_distinct("publisher") if "publisher" in df.columns else F.lit(0)
+    seen = [F.max(filled(df, f.name, "coverage").cast("int")) for f in FIELDS if f.name in df.columns]
+    fields = reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0)) for c in seen], F.lit(0))
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).cast("long").alias("n_columns"), publishers.cast("long").alias("n_publishers"), fields.cast("long").alias("n_fields_filled"), F.count_if(core_complete(df)).alias("n_core"))

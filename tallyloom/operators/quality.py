@@ -223,3 +223,11 @@ def column_shift(df: DataFrame, predicates: dict[str, Callable[[Column], Column]
     sums = df.agg(*[F.count_if(b).alias(c) for c, b in bad.items()], F.count_if(_any(list(bad.values()))).alias("_tl_any"))
     pairs = [F.struct(F.lit(c).alias("field"), F.col(c).alias("rows")) for c in own] + [F.struct(F.lit(None).cast("string").alias("field"), F.col("_tl_any").alias("rows"))]
     return sums.select(F.explode(F.array(*pairs)).alias("p")).select("p.field", "p.rows")
+
+
+def shifted_rows(df: DataFrame, order: str, most: int = 5, predicates: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """order, fields: the first rows by the column order with a value that does not belong, and the fields where."""
+    own = {c: p for c, p in (predicates or PREDICATES).items() if c in df.columns}
+    bad = [F.when(~is_nullish(F.col(c), "shift") & ~F.coalesce(p(F.col(c).cast("string")), F.lit(False)), F.lit(c)) for c, p in own.items()]
+    fields = F.array_compact(F.array(*bad)) if bad else F.array().cast("array<string>")
+    return df.select(order, fields.alias("fields")).where("size(fields) > 0").orderBy(order).limit(most)

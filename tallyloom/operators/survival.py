@@ -42,14 +42,22 @@ def km_table(timed: DataFrame, by: list[str] | None = None, alpha: float = 0.05)
     return steps.select("group", "t", "n_at_risk", "events", "S", F.greatest(F.lit(0.0), F.col("S") - z * se).alias("S_lower"), F.least(F.lit(1.0), F.col("S") + z * se).alias("S_upper"))
 
 
-def km_summary(timed: DataFrame, by: list[str] | None = None, min_n: int = 0, alpha: float = 0.05) -> DataFrame:
-    """group, n, events, censored, censored_share, median and its interval, for groups of at least min_n rows."""
+def km_summary(timed: DataFrame, by: list[str] | None = None, min_n: int = 0, alpha: float = 0.05, max_groups: int | None = None) -> DataFrame:
+    """group, n, events, censored, censored_share, median and its interval, for groups of at least min_n rows, the largest first (ties by name); max_groups keeps the first of them, as a chart does."""
     known = timed.where("time_days >= 0 AND event IS NOT NULL").withColumn("group", group_key(by))
     sizes = known.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("event").alias("events")).where(F.col("n") >= min_n)
     first = lambda c: F.min(F.when(F.col(c) <= 0.5, F.col("t"))).cast("double")
     medians = km_table(timed, by, alpha).groupBy("group").agg(first("S").alias("median"), first("S_lower").alias("median_lower"), first("S_upper").alias("median_upper"))
     censored = F.col("n") - F.col("events")
-    return sizes.join(medians, "group", "left").select("group", "n", "events", censored.alias("censored"), F.round(censored / F.col("n"), 6).alias("censored_share"), "median", "median_lower", "median_upper")
+    ordered = sizes.join(medians, "group", "left").select("group", "n", "events", censored.alias("censored"), F.round(censored / F.col("n"), 6).alias("censored_share"), "median", "median_lower", "median_upper").orderBy(F.desc("n"), "group")
+    return ordered if max_groups is None else ordered.limit(max_groups)
+
+
+def date_coverage(df: DataFrame, start: str = "date_application", end: str = "date_conditions") -> DataFrame:
+    """One row, n and coverage: the share of applications with a date, of the two dates the lesser."""
+    share = lambda c: F.coalesce(F.try_divide(F.count(c), F.count(F.lit(1))), F.lit(0.0)) if c in df.columns else F.lit(0.0)
+    app = df.where(F.coalesce(F.upper("_entity"), F.lit("APPLICATION")) != "NODE") if "_entity" in df.columns else df
+    return app.agg(F.count(F.lit(1)).alias("n"), F.least(share(start), share(end)).alias("coverage"))
 
 
 def complete_case_medians(timed: DataFrame, by: list[str], min_n: int = 30) -> DataFrame:

@@ -204,6 +204,33 @@ def finalize_columns(spark, sf_dir):
     return panel.finalize(view(spark, sf_dir, "app"), "P", "J", "D").select("application_id", "location_text", "capacity_injected", "capacity_reserved", "publisher", "jurisdiction", "source_document", "_seq")
 
 
+@query(" SELECT 'process_status' AS field, process_status AS value, count(*) AS n FROM app WHERE process_status = 'BOGUS' GROUP BY 2", "app")
+def outside_vocabulary(spark, sf_dir):
+    return panel.outside_vocabulary(view(spark, sf_dir, "app"))
+
+
+@query(f" SELECT count(*) AS n_rows, CAST(22 AS BIGINT) AS n_columns, count(DISTINCT publisher) AS n_publishers, CAST(" + " + ".join(f"CASE WHEN count({c}) > 0 THEN 1 ELSE 0 END" for c in _HAVE) + f" AS BIGINT) AS n_fields_filled, count(*) - CAST(sum({_RULES['R7']}) AS BIGINT) AS n_core FROM app", "app")
+def panel_summary(spark, sf_dir):
+    return panel.summary(view(spark, sf_dir, "app"))
+
+
+@query(" SELECT count(*) AS n, least(count(date_application), count(date_conditions)) / CAST(count(*) AS DOUBLE) AS coverage FROM app", "app")
+def date_coverage(spark, sf_dir):
+    return survival.date_coverage(view(spark, sf_dir, "app"))
+
+
+@query(_km_by("resource_class", 30) + " ORDER BY n DESC, 1 LIMIT 3", "app")
+def km_largest(spark, sf_dir):
+    return survival.km_summary(_timed(spark, sf_dir), ["resource_class"], 30, max_groups=3)
+
+
+@query(""", c AS (SELECT count(*) AS n, least(count(date_application), count(date_conditions)) AS d, count(process_status) AS s, count(resource_class) FILTER (WHERE resource_class IS NOT NULL) AS r FROM app)
+ SELECT unnest(['field_coverage', 'quality_rules', 'column_shift', 'status_distribution', 'capacity_by_class', 'processing_time', 'location_resolution', 'node_loading']) AS chart,
+  unnest([NULL, NULL, NULL, CASE WHEN s = 0 THEN 'no process status disclosed' END, CASE WHEN r = 0 THEN 'no resource class disclosed' END, CASE WHEN d < 0.8 * n THEN printf('date coverage %.1f%% is below the 80%% inclusion criterion', 100.0 * d / n) END, 'no coordinates', 'needs both node rows and application rows']) AS reason FROM c""", "app")
+def chart_inclusion(spark, sf_dir):
+    return chartdata.chart_inclusion(view(spark, sf_dir, "app"))
+
+
 # ---------------------------------------------------------------- editions
 
 _PAIRS = """, fa AS (SELECT publisher p, location_text l, voltage_level v, resource_class r, capacity_injected i, capacity_withdrawn w, arg_min(coalesce(process_status, ''), _seq) AS s, arg_min(coalesce(_applicant, ''), _seq) AS ap, arg_min(coalesce(_facility_name, ''), _seq) AS fn, min(_seq) AS q, count(*) AS n FROM ed_a GROUP BY ALL),

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import editions, layout, nodes, panel, places, quality, survival
+from tallyloom.operators import chartdata, editions, layout, nodes, panel, places, quality, survival
 
 
 def test_schema(spark):
@@ -203,3 +203,17 @@ def test_layout(spark):
 def test_shift_audit(spark):
     df = spark.createDataFrame([("UNDER_REVIEW", "12,5"), ("01.02.2024", "abc"), (None, "-")], "process_status string, capacity_withdrawn string")
     assert {r["field"]: r["rows"] for r in quality.column_shift(df).collect()} == {"process_status": 1, "capacity_withdrawn": 1, None: 1}
+
+
+def test_shifted_rows(spark):
+    df = spark.createDataFrame([(3, "2024-01-01", "x"), (1, None, "12"), (2, "PV", None), (4, "12", "5")], "k int, resource_class string, capacity_injected string")
+    assert [tuple(r) for r in quality.shifted_rows(df, "k", 2).collect()] == [(3, ["resource_class", "capacity_injected"]), (4, ["resource_class"])]
+
+
+def test_what_an_empty_panel_supports(spark):
+    empty = spark.createDataFrame([], panel.SCHEMA)
+    reasons = {r["chart"]: r["reason"] for r in chartdata.chart_inclusion(empty).collect()}
+    assert reasons["processing_time"] == "date coverage 0.0% is below the 80% inclusion criterion" and reasons["field_coverage"] is None
+    assert reasons["status_distribution"] == "no process status disclosed" and reasons["node_loading"] == "needs both node rows and application rows"
+    assert panel.outside_vocabulary(empty).count() == 0
+    assert panel.summary(empty).first()["n_fields_filled"] == 0 and survival.date_coverage(empty).first()["coverage"] == 0.0
