@@ -207,7 +207,7 @@ def test_shift_audit(spark):
 
 def test_shifted_rows(spark):
     df = spark.createDataFrame([(3, "2024-01-01", "x"), (1, None, "12"), (2, "PV", None), (4, "12", "5")], "k int, resource_class string, capacity_injected string")
-    assert [tuple(r) for r in quality.shifted_rows(df, "k", 2).collect()] == [(3, ["resource_class", "capacity_injected"]), (4, ["resource_class"])]
+    assert [tuple(r) for r in quality.shifted_rows(df, "k", 2).collect()] == [(3, ["capacity_injected", "resource_class"]), (4, ["resource_class"])]
 
 
 def test_what_an_empty_panel_supports(spark):
