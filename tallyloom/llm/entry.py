@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown_lm, chat_format, dart_minhash, decontaminate, exact_dedup, html_extract, langid, line_dedup, pii
+from . import bpe, brown_lm, chat_format, dart_minhash, decontaminate, exact_dedup, golay_simhash, html_extract, langid, line_dedup, merkle, pii, sort_means
 from ._common import table
 
 
@@ -173,5 +175,97 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = {"op5_html_extract": op5_html_extract, "op2_decontaminate": op2_decontaminate, "op3_line_dedup": op3_line_dedup, "op7_minhash": op7_minhash, "op10_pii": op10_pii, "op9_brown_lm": op9_brown_lm, "op1_chat_format": op1_chat_format, "op6_bpe": op6_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_language_id": op8_language_id}
-ORACLES = {"op1_chat_format": OP1_SQL, "op2_decontaminate": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL}
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clusters, centroids, inertia = sort_means.sort_means(table(spark, sf_dir, "embeddings"), k=16, rounds=3)
+    shas = [hashlib.sha256(",".join(map(str, c.tolist())).encode()).hexdigest() for c in centroids]
+    told = spark.createDataFrame([(i, *x) for i, x in enumerate(zip(inertia, shas, strict=True))], "cluster int, cluster_inertia long, centroid_sha256 string")
+    return clusters.join(F.broadcast(told), "cluster").withColumn("inertia", F.lit(sum(inertia)).cast("long"))  # a row a centroid
+
+
+def _nearest_sql(rows: str, centroids: str) -> str:
+    return f"""SELECT r, vec_id, v, b.d AS distance, b.c AS cluster FROM (SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v,
+   min({{'d': CAST(list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'c': c}}) AS b FROM {rows}, {centroids} GROUP BY r)"""
+
+
+def _moved_sql(rows: str, centroids: str) -> str:
+    return f"""SELECT c.c, coalesce(s.m, c.m) AS m FROM {centroids} c LEFT JOIN (SELECT cluster, list((t - ((t % n) + n) % n) // n ORDER BY i) AS m
+   FROM (SELECT cluster, i, sum(x) AS t, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range(1, 65)) AS i FROM {rows}) GROUP BY cluster, i) GROUP BY cluster) s ON s.cluster = c.c"""
+
+
+OP11_SQL = f"""
+WITH kept AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+ c0 AS (SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS c, v AS m FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept ORDER BY h NULLS LAST, v LIMIT 16)),
+ a1 AS ({_nearest_sql("kept", "c0")}), c1 AS ({_moved_sql("a1", "c0")}),
+ a2 AS ({_nearest_sql("kept", "c1")}), c2 AS ({_moved_sql("a2", "c1")}),
+ a3 AS ({_nearest_sql("kept", "c2")}), c3 AS ({_moved_sql("a3", "c2")}),
+ a4 AS ({_nearest_sql("kept", "c3")})
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+   CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a4 JOIN c3 ON c3.c = a4.cluster
+"""
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    digest = lambda text: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, digest(F.translate("text", upper, upper.lower())))
+    leaves = docs.select(F.col("lang").alias("group"), F.col("doc_id").alias("id"), digest(F.col("text")).alias("node"), tampered.alias("tampered"))
+    proofs = merkle.manifest(leaves, {"tampered": "string"})
+    folded = merkle.fold(F.coalesce("tampered", "node"), F.col("path"))
+    said = proofs.select(F.col("id").alias("doc_id"), F.col("node").alias("leaf"), "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return said.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _tree_sql(name: str, first: str, levels: int) -> str:
+    """Tables {name}0 to {name}{levels} of nodes (g, i, h, n nodes in g) from first, and of their runs {name}r0 to {name}r{levels - 1}: levels enough for the table at hand; a level of one node stays as it is."""
+    out = f" {name}0 AS ({first})"
+    for k in range(levels):
+        out += f""",
+ {name}r{k} AS (SELECT g, i // 8 AS i, list(h ORDER BY i) AS hs, any_value(n) AS n FROM {name}{k} GROUP BY g, i // 8),
+ {name}{k + 1} AS (SELECT g, i, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h, CAST(ceil(n / 8.0) AS BIGINT) AS n FROM {name}r{k})"""
+    return out
+
+
+def _climb_sql(name: str, first: str, tree: str, levels: int) -> str:
+    """Tables {name}0 to {name}{levels}: of each document (r, g, i) the node that it folds to and the siblings so far."""
+    out = f" {name}0 AS ({first})"
+    for k in range(levels):
+        out += f""",
+ {name}{k + 1} AS (SELECT d.* REPLACE (d.i // 8 AS i,
+    CASE WHEN t.n = 1 THEN f ELSE sha256(array_to_string(t.hs[1 : d.i % 8], '') || f || array_to_string(t.hs[d.i % 8 + 2 :], '')) END AS f,
+    CASE WHEN t.n = 1 THEN p ELSE p || array_to_string(t.hs[1 : d.i % 8], '') || array_to_string(t.hs[d.i % 8 + 2 :], '') END AS p)
+    FROM {name}{k} d JOIN {tree}r{k} t ON t.g = d.g AND t.i = d.i // 8)"""
+    return out
+
+
+def _leaf_sql(text: str) -> str:
+    field = lambda x: f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || {x}, '-')"
+    return "sha256(" + " || ".join(field(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: CRC-32 of a document's id: its table from the reversed polynomial, then byte by byte.
+_STEP = "CASE WHEN t % 2 = 1 THEN xor(t // 2, 3988292384) ELSE t // 2 END"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: xor(a // 256, crcs[CAST(xor(a, b) % 256 AS BIGINT) + 1])), 4294967295)"
+OP12_SQL = f"""
+WITH RECURSIVE bits AS (SELECT i, 0 AS k, CAST(i AS BIGINT) AS t FROM range(256) x(i) UNION ALL SELECT i, k + 1, {_STEP} FROM bits WHERE k < 8),
+ crc AS (SELECT list(t ORDER BY i) AS crcs FROM bits WHERE k = 8),
+ d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('.' || lang, '') AS g, {_leaf_sql("text")} AS leaf,
+   CASE WHEN {_CRC} % 3 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS bad FROM documents, crc),
+ o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+{_tree_sql("t", "SELECT g, i, leaf AS h, n FROM o", 8)},
+{_tree_sql("u", "SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, g AS lang, h, count(*) OVER () AS n FROM t8", 4)},
+{_climb_sql("c", "SELECT r, g, i, coalesce(bad, leaf) AS f, '' AS p FROM o", "t", 8)},
+{_climb_sql("e", "SELECT c8.r, '' AS g, u0.i, f, p FROM c8 JOIN u0 ON u0.lang = c8.g", "u", 4)}
+SELECT o.doc_id, o.leaf, t8.h AS subroot, u4.h AS root, sha256(e4.p) AS proof_sha256, e4.f AS folded_root, e4.f = u4.h AS verified
+FROM o JOIN t8 ON t8.g = o.g JOIN u4 ON true JOIN e4 ON e4.r = o.r
+"""
+
+
+def op13_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golay_simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_html_extract": op5_html_extract, "op2_decontaminate": op2_decontaminate, "op3_line_dedup": op3_line_dedup, "op7_minhash": op7_minhash, "op10_pii": op10_pii, "op9_brown_lm": op9_brown_lm, "op1_chat_format": op1_chat_format, "op6_bpe": op6_bpe, "op4_exact_dedup": op4_exact_dedup, "op8_language_id": op8_language_id, "op11_sort_means": op11_sort_means, "op12_merkle": op12_merkle, "op13_golay_simhash": op13_golay_simhash}
+ORACLES = {"op1_chat_format": OP1_SQL, "op2_decontaminate": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op11_sort_means": OP11_SQL, "op12_merkle": OP12_SQL}

@@ -52,7 +52,7 @@ def test_rows_are_dropped_not_ids(spark):
 @pytest.mark.parametrize("name", sorted(entry.ORACLES))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     want = con.execute(entry.ORACLES[name]).df()
     got = entry.QUERIES[name](spark, DATA).toPandas()
