@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import editions, panel, quality
-from .sources import registers
+from .sources import adapters, registers
 
 
 def _show(df: DataFrame) -> list:
@@ -36,11 +36,11 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "schema":
         said = _show(panel.schema_table(spark))
     elif args.command == "sources":
-        said = {k: s.pattern for k, s in registers.REGISTRY.items()}
+        said = _show(adapters.declarations(spark))
     elif args.command == "parse":
         try:
-            df, report = registers.read_sources(spark, args.inputs, args.source)
-        except ValueError as e:
+            df, report = adapters.read_sources(spark, args.inputs, args.source)
+        except (KeyError, ValueError) as e:
             print(e, file=sys.stderr)
             return 2
         if args.out:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import numbered
 from .editions import STATUS_ORDER
 from .panel import filled
 
@@ -41,7 +42,7 @@ def location_category(geocoded: DataFrame) -> DataFrame:
 
 def loading_bars(loaded: DataFrame, label: int = 12) -> DataFrame:
     """rank, node_name, loading, labelled: nodes with a known loading, largest first."""
-    ranked = loaded.where("loading IS NOT NULL").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("loading"), "group")))
+    ranked = numbered(loaded.where("loading IS NOT NULL"), [F.desc("loading"), F.col("group")])
     return ranked.select("rank", "node_name", "loading", (F.col("rank") <= label).alias("labelled"))
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def column_of(x0: Column, x1: Column, bounds: Column) -> Column:
@@ -12,44 +16,92 @@ def column_of(x0: Column, x1: Column, bounds: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.size(F.filter(bounds, lambda b: b <= mid)) - 1, F.size(bounds) - 2))
 
 
-def ruled_columns(edges: DataFrame, min_len: float = 5.0, tol: float = 1.5) -> DataFrame:
-    """page, column, x: vertical edges (page, x0, top, bottom) longer than min_len, chained while the gap is at most tol; the mean of each chain."""
-    long = edges.where(F.col("bottom") - F.col("top") > min_len).select("page", F.col("x0").alias("x"))
-    w = Window.partitionBy("page").orderBy("x")
+def ruled_columns(edges: DataFrame, min_len: float = 5.0, tol: float = 1.5, keys: tuple[str, ...] = ("page",)) -> DataFrame:
+    """keys, column, x: vertical edges (page, x0, top, bottom) longer than min_len, chained while the gap is at most tol; the mean of each chain."""
+    long = edges.where(F.col("bottom") - F.col("top") > min_len).select(*keys, F.col("x0").alias("x"))
+    w = Window.partitionBy(*keys).orderBy("x")
     chained = long.withColumn("_tl_new", F.coalesce((F.col("x") - F.lag("x").over(w) > tol).cast("int"), F.lit(0)))
     chained = chained.withColumn("column", F.sum("_tl_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return chained.groupBy("page", "column").agg(F.avg("x").alias("x"))
+    return chained.groupBy(*keys, "column").agg(F.avg("x").alias("x"))
 
 
-def banded_columns(words: DataFrame, min_gap: float = 4.0, resolution: float = 0.5) -> DataFrame:
-    """page, x: the centres of corridors of at least min_gap that no word of the page covers, on a grid of resolution."""
-    w = Window.partitionBy("page")
+def banded_columns(words: DataFrame, min_gap: float = 4.0, resolution: float = 0.5, keys: tuple[str, ...] = ("page",)) -> DataFrame:
+    """keys, x: the centres of corridors of at least min_gap that no word of the page covers, on a grid of resolution."""
+    w = Window.partitionBy(*keys)
     cells = words.withColumn("_tl_min", F.min("x0").over(w))
-    cells = cells.select("page", "_tl_min", F.floor((F.col("x0") - F.col("_tl_min")) / resolution).alias("a"), F.floor((F.col("x1") - F.col("_tl_min")) / resolution).alias("b")).groupBy("page", "_tl_min", "a").agg(F.max("b").alias("b"))
-    reach = F.max("b").over(Window.partitionBy("page").orderBy("a").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.select(*keys, "_tl_min", F.floor((F.col("x0") - F.col("_tl_min")) / resolution).alias("a"), F.floor((F.col("x1") - F.col("_tl_min")) / resolution).alias("b")).groupBy(*keys, "_tl_min", "a").agg(F.max("b").alias("b"))
+    reach = F.max("b").over(Window.partitionBy(*keys).orderBy("a").rowsBetween(Window.unboundedPreceding, -1))
     gaps = cells.withColumn("_tl_reach", reach).where((F.col("a") - F.col("_tl_reach") - 1) * resolution >= min_gap)
-    return gaps.select("page", (F.col("_tl_min") + (F.col("_tl_reach") + 1 + F.col("a")) / 2 * resolution).alias("x"))
+    return gaps.select(*keys, (F.col("_tl_min") + (F.col("_tl_reach") + 1 + F.col("a")) / 2 * resolution).alias("x"))
+
+
+def ruled_bounds(edges: DataFrame, min_len: float = 5.0, tol: float = 1.5, keys: tuple[str, ...] = ("page",)) -> DataFrame:
+    """keys, bounds: the ruled columns' edges of each page, from left to right."""
+    return ruled_columns(edges, min_len, tol, keys).groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("bounds"))
+
+
+def banded_bounds(words: DataFrame, min_gap: float = 4.0, resolution: float = 0.5, keys: tuple[str, ...] = ("page",)) -> DataFrame:
+    """keys, bounds: the corridors' centres of each page between its outermost words, which lie 1 inside the outer bounds."""
+    inner = banded_columns(words, min_gap, resolution, keys).groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("_tl_inner"))
+    outer = words.groupBy(*keys).agg((F.min("x0") - 1.0).alias("_tl_a"), (F.max("x1") + 1.0).alias("_tl_b"))
+    both = outer.join(inner, list(keys), "left")
+    return both.select(*keys, F.concat(F.array("_tl_a"), F.coalesce("_tl_inner", F.array().cast("array<double>")), F.array("_tl_b")).alias("bounds"))
+
+
+def cell_rows(lined: DataFrame, keys: tuple[str, ...] = ("page",)) -> DataFrame:
+    """keys, line, cells: the lines of words with line and bounds (an array, of which each line has one) as arrays of one text a column."""
+    each = cells(lined.withColumn("_tl_width", F.size("bounds") - 1), F.col("bounds"), (*keys, "_tl_width"))
+    wide = each.groupBy(*keys, "line", "_tl_width").agg(F.map_from_entries(F.collect_list(F.struct("column", "text"))).alias("_tl_at"))
+    return wide.select(*keys, "line", F.transform(F.sequence(F.lit(0), F.col("_tl_width") - 1), lambda i: F.coalesce(F.element_at("_tl_at", i), F.lit(""))).alias("cells"))
+
+
+def table_rows(words: DataFrame, bounds: DataFrame, tol: float = 2.0, keys: tuple[str, ...] = ("page",)) -> DataFrame:
+    """keys, line, cells: the lines of each page that has bounds, as arrays of one text a column."""
+    return cell_rows(lines(words, tol, keys).join(bounds, list(keys)), keys)
+
+
+def merge_cells(rows: DataFrame, is_start: Column, keys: tuple[str, ...], order: tuple[str, ...], joiner: str = " ") -> DataFrame:
+    """keys, record, order columns of its first row, cells: rows (cells: arrays) that do not start a record are appended, cell by cell, to the one before; what stands before the first start is a record of its own."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumn("record", F.coalesce(F.sum(F.coalesce(is_start, F.lit(False)).cast("int")).over(w), F.lit(0)))
+    each = own.select(*keys, "record", *order, F.posexplode("cells").alias("_tl_i", "_tl_t"))
+    texts = F.transform(F.filter(F.array_sort(F.collect_list(F.struct(*order, F.col("_tl_t").alias("t")))), lambda x: x["t"] != ""), lambda x: x["t"])
+    joined = each.groupBy(*keys, "record", "_tl_i").agg(F.array_join(texts, joiner).alias("t"), F.min(F.struct(*order)).alias("_tl_o"))
+    return joined.groupBy(*keys, "record").agg(F.min("_tl_o").alias("_tl_o"), F.transform(F.array_sort(F.collect_list(F.struct("_tl_i", "t"))), lambda x: x["t"]).alias("cells")).select(*keys, "record", "_tl_o.*", "cells")
+
 
+def lines(words: DataFrame, tol: float = 2.0, keys: tuple[str, ...] = ("page",)) -> DataFrame:
+    """words (keys, text, x0, x1, top) with line: a word joins the line whose FIRST word is at most tol above it.
 
-def lines(words: DataFrame, tol: float = 2.0) -> DataFrame:
-    """words (page, text, x0, x1, top) with line: a word joins the line whose FIRST word is at most tol above it. A fold over one page's words."""
-    ordered = words.groupBy("page").agg(F.array_sort(F.collect_list(F.struct(F.round("top", 1).alias("y"), "x0", "x1", "text", "top"))).alias("ws"))
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("line"), F.array().cast("array<int>").alias("out"))
+    Words of a page are sorted by their rounded top, then from left to right; each task runs once over its sorted words
+    and keeps only the page and the first word's top, so a page costs linear time and no page is held. A word without a
+    top comes before the others of its page, and those share a line.
+    """
+    order = [*keys, "_tl_y", "x0", "x1", "text", "top"]
+    own = words.select(*keys, "text", F.col("x0").cast("double"), F.col("x1").cast("double"), F.col("top").cast("double"))
+    dealt = own.withColumn("_tl_y", F.round("top", 1)).repartition(*keys).sortWithinPartitions(*order).drop("_tl_y")
+    n = len(keys)
 
-    def step(acc: Column, w: Column) -> Column:
-        new = acc["anchor"].isNull() | (F.abs(w["top"] - acc["anchor"]) > tol)
-        line = acc["line"] + new.cast("int")
-        return F.struct(F.when(new, w["top"]).otherwise(acc["anchor"]).alias("anchor"), line.alias("line"), F.concat(acc["out"], F.array(line)).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, anchor, line = None, None, -1
+        for batch in batches:
+            out = []
+            for at, top in zip(zip(*(c.to_pylist() for c in batch.columns[:n]), strict=True), batch.column("top").to_pylist(), strict=True):
+                if at != page:
+                    page, anchor, line = at, top, 0
+                elif top is not None and (anchor is None or abs(top - anchor) > tol):
+                    anchor, line = top, line + 1
+                out.append(line)
+            yield batch.append_column("line", pa.array(out, pa.int32()))
 
-    numbered = ordered.withColumn("n", F.aggregate("ws", start, step, lambda a: a["out"]))
-    return numbered.select("page", F.explode(F.arrays_zip("ws", "n")).alias("z")).select("page", "z.ws.text", "z.ws.x0", "z.ws.x1", "z.ws.top", F.col("z.n").alias("line"))
+    return dealt.mapInArrow(run, T.StructType([*dealt.schema.fields, T.StructField("line", T.IntegerType())]))
 
 
-def cells(lined: DataFrame, bounds: Column) -> DataFrame:
-    """page, line, column, text: the words of each cell from left to right."""
+def cells(lined: DataFrame, bounds: Column, keys: tuple[str, ...] = ("page",)) -> DataFrame:
+    """keys, line, column, text: the words of each cell from left to right. bounds: an array, the same for all or one for each page."""
     own = lined.withColumn("column", column_of(F.col("x0"), F.col("x1"), bounds))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ")
-    return own.groupBy("page", "line", "column").agg(joined.alias("text"))
+    return own.groupBy(*keys, "line", "column").agg(joined.alias("text"))
 
 
 def merge_continuation(rows: DataFrame, is_start: Column, columns: list[str], keys: list[str], order: str = "seq", joiner: str = " ") -> DataFrame:

@@ -249,11 +249,35 @@ def summarize(resolved: DataFrame) -> DataFrame:
 
 
 def axis_crossing(pairs: DataFrame) -> DataFrame:
-    """id, lat, lon of the first crossing of two axes. pairs: id, axis_a, axis_b (arrays of lat/lon structs)."""
-    seg = lambda c, i: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-    both = pairs.where("size(axis_a) > 1 AND size(axis_b) > 1").withColumn("scale", F.cos(F.radians((F.aggregate("axis_a", F.lit(0.0), lambda s, p: s + p["lat"]) + F.aggregate("axis_b", F.lit(0.0), lambda s, p: s + p["lat"])) / (F.size("axis_a") + F.size("axis_b")))))
-    a = both.select("id", "scale", "axis_b", F.posexplode(seg("axis_a", 0)).alias("i", "s"))
-    ab = a.select("id", "scale", "i", "s", F.posexplode(seg("axis_b", 0)).alias("j", "t"))
+    """id, lat, lon of the first crossing of two axes. pairs: id, axis_a, axis_b (arrays of lat/lon structs).
+
+    The segments of both axes are laid on a grid of their mean extent, each on the cells that it passes, which are about
+    as many as there are segments; only segments that share a cell are tested.
+    """
+    scale = F.cos(F.radians((F.aggregate("axis_a", F.lit(0.0), lambda s, p: s + p["lat"]) + F.aggregate("axis_b", F.lit(0.0), lambda s, p: s + p["lat"])) / (F.size("axis_a") + F.size("axis_b"))))
+    both = pairs.where("size(axis_a) > 1 AND size(axis_b) > 1").withColumn("scale", scale)
+    # steps along an axis, as how far they go east and north together
+    extent = lambda c: F.aggregate(F.sequence(F.lit(2), F.size(c)), F.lit(0.0), lambda s, i: s + F.abs(F.element_at(c, i)["lat"] - F.element_at(c, i - 1)["lat"]) + F.abs(F.element_at(c, i)["lon"] - F.element_at(c, i - 1)["lon"]) * F.col("scale"))
+    cell = (extent("axis_a") + extent("axis_b")) / (F.size("axis_a") + F.size("axis_b") - 2)
+    both = both.withColumn("cell", F.coalesce(F.nullif(cell, F.lit(0.0)), F.lit(1.0)))
+
+    def laid(axis: str, i: str, s: str) -> DataFrame:
+        steps = F.zip_with(F.slice(axis, 1, F.size(axis) - 1), F.slice(axis, 2, F.size(axis) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+        each = both.select("id", "scale", "cell", F.posexplode(steps).alias(i, s))
+        x = lambda p: F.col(f"{s}.{p}.lon") * F.col("scale")
+        y = lambda p: F.col(f"{s}.{p}.lat")
+        # a little wider than the segment, so that rounding loses no cell
+        pad = F.col("cell") * 1e-6
+        left, right = F.least(x("p"), x("q")), F.greatest(x("p"), x("q"))
+        columns = F.sequence(F.floor((left - pad) / F.col("cell")), F.floor((right + pad) / F.col("cell")))
+        each = each.withColumn("cx", F.explode(columns))
+        slope = F.try_divide(y("q") - y("p"), F.nullif(x("q") - x("p"), F.lit(0.0)))
+        at = lambda edge: F.coalesce(y("p") + (F.greatest(left, F.least(right, edge)) - x("p")) * slope, y("p"))
+        first, last = at(F.col("cx") * F.col("cell") - pad), F.when(slope.isNull(), y("q")).otherwise(at((F.col("cx") + 1) * F.col("cell") + pad))
+        rows = F.sequence(F.floor((F.least(first, last) - pad) / F.col("cell")), F.floor((F.greatest(first, last) + pad) / F.col("cell")))
+        return each.withColumn("cy", F.explode(rows)).drop("cell")
+
+    ab = laid("axis_a", "i", "s").join(laid("axis_b", "j", "t").drop("scale"), ["id", "cx", "cy"])
     x = lambda p: p["lon"] * F.col("scale")
     y = lambda p: p["lat"]
     s, t = F.col("s"), F.col("t")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.canonical import CLASSES, STATUSES, is_nullish
-from .panel import CORE, core_complete, entity, filled
+from .panel import CORE, FIELDS, core_complete, entity, filled
 
 ORDER = ("date_application", "date_conditions", "date_agreement", "date_energisation")
 DATES = (*ORDER[:2], "date_refusal", *ORDER[2:])
@@ -158,19 +160,125 @@ def duplicates(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def run_quality(df: DataFrame, rules: tuple[Rule, ...] = ROW_RULES, only: tuple[str, ...] | None = None) -> DataFrame:
-    """code, violations, share of all rules, or of those named by only. The row rules and R3 share one scan; R6 groups by the identifier."""
+def _unreadable(df: DataFrame) -> dict[str, Column]:
+    """By numeric field that is text in df, the values that are no numbers."""
+    texts = [f.name for f in FIELDS if f.dtype == "number" and f.name in df.columns and isinstance(df.schema[f.name].dataType, T.StringType)]
+    return {c: ~is_nullish(F.col(c)) & F.col(c).try_cast("double").isNull() for c in texts}
+
+
+def _alone(df: DataFrame, rule: Rule, texts: list[str]) -> tuple[Column | None, list[str], str | None]:
+    """The rule's column, which of the text fields it takes for numbers, or what is wrong with it: it is analysed alone, so that it cannot break the plan of the others."""
+    try:
+        column = rule.violations(df)
+        plan = df.select(column)._jdf.queryExecution().analyzed().toString()
+    except Exception as wrong:  # a rule must not break the report
+        return None, [], _said(wrong)
+    return column, [c for c in texts if re.search(rf"cast\({re.escape(c)}#\d+ as (double|float|decimal|big|int)", plan)], None
+
+
+def _said(wrong: Exception) -> str:
+    return f"{type(wrong).__name__}: {str(wrong).splitlines()[0] if str(wrong) else ''}"
+
+
+def _measures(df: DataFrame, rules: tuple[Rule, ...], only: tuple[str, ...] | None) -> tuple[DataFrame, list[Column], dict[str, Column], dict[str, Column]]:
+    """The frame to scan, its aggregates (n, a sum for each rule, unreadable values by field), and by rule its violations and its error over them."""
     wanted = lambda code: only is None or code in only
-    rules = tuple(r for r in rules if wanted(r.code))
-    status = r3_rows(df) if wanted("R3") and "process_status" in df.columns else df.withColumn("_tl_r3", F.lit(0))
-    counts = {**{r.code: r.violations(df) for r in rules}, **({"R3": F.col("_tl_r3")} if wanted("R3") else {})}
-    sums = status.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(v), F.lit(0)).cast("long").alias(code) for code, v in counts.items()])
-    each = [F.struct(F.lit(c).alias("code"), F.col(c).alias("violations")) for c in counts]
-    empty = F.array().cast("array<struct<code:string,violations:bigint>>")
-    long = sums.select("n", F.explode(F.array(*each) if each else empty).alias("r")).select("n", "r.code", "r.violations")
-    if wanted("R6") and "application_id" in df.columns:
-        long = long.unionByName(duplicates(df).crossJoin(sums.select("n")).select("n", F.lit("R6").alias("code"), "violations"))
-    return long.select("code", "violations", F.bround(F.try_divide("violations", "n"), 6).alias("share"))
+    bad = _unreadable(df)
+    checked = {r.code: (r, *_alone(df, r, list(bad))) for r in rules if wanted(r.code)}
+    # rules that take no text for a number see the texts themselves; the others a frame in which what is no number is null
+    frame = df.withColumns({f"_tl_v_{code}": column for code, (_, column, reads, wrong) in checked.items() if not (reads or wrong)} | {f"_tl_bad_{c}": b for c, b in bad.items()})
+    typed = frame.withColumns({c: F.col(c).try_cast("double") for c in bad})
+    late = {f"_tl_v_{code}": r.violations(typed) for code, (r, _, reads, _) in checked.items() if reads}
+    frame, wrong_r3 = typed.withColumns(late), None
+    if wanted("R3") and "process_status" in df.columns:
+        try:
+            frame = r3_rows(frame)
+        except Exception as wrong:  # as for every rule
+            wrong_r3 = _said(wrong)
+    if "_tl_r3" not in frame.columns:
+        frame = frame.withColumn("_tl_r3", F.lit(0))
+    if wanted("R3"):
+        checked["R3"] = (None, F.col("_tl_r3"), [], wrong_r3)
+    sums, violations, errors = [F.count(F.lit(1)).alias("n")] + [F.count_if(f"_tl_bad_{c}").alias(f"_tl_bad_{c}") for c in bad], {}, {}
+    for code, (_, _, reads, wrong) in checked.items():
+        if wrong:
+            violations[code], errors[code] = F.lit(-1).cast("long"), F.lit(wrong)
+            continue
+        sums.append(F.coalesce(F.sum("_tl_r3" if code == "R3" else f"_tl_v_{code}"), F.lit(0)).cast("long").alias(code))
+        said = [F.when(F.col(f"_tl_bad_{c}") > 0, F.concat(F.col(f"_tl_bad_{c}").cast("string"), F.lit(f" values of {c} are no numbers"))) for c in reads]
+        wrong = F.nullif(F.array_join(F.array_compact(F.array(*said)), "; "), F.lit("")) if said else F.lit(None).cast("string")
+        violations[code], errors[code] = F.when(wrong.isNotNull(), F.lit(-1)).otherwise(F.col(code)).cast("long"), wrong
+    return frame, sums, violations, errors
+
+
+def run_quality(df: DataFrame, rules: tuple[Rule, ...] = ROW_RULES, only: tuple[str, ...] | None = None) -> DataFrame:
+    """code, violations, share, error of all rules, or of those named by only. The row rules and R3 share one scan; R6 groups by the identifier.
+
+    Rules are isolated: one that cannot be analysed (a column is missing, types do not fit), or that reads a numeric field
+    with values that are no numbers, has -1 violations, no share and its error; the others have their counts.
+    """
+    frame, sums, violations, errors = _measures(df, rules, only)
+    one = frame.agg(*sums)
+    each = [F.struct(F.lit(c).alias("code"), v.alias("violations"), errors[c].alias("error")) for c, v in violations.items()]
+    empty = F.array().cast("array<struct<code:string,violations:bigint,error:string>>")
+    long = one.select("n", F.explode(F.array(*each) if each else empty).alias("r")).select("n", "r.*")
+    if (only is None or "R6" in only) and "application_id" in df.columns:
+        # rows without an identifier count for the share only
+        ids = df.groupBy("application_id").agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("application_id").isNotNull(), F.col("c") - 1)), F.lit(0)).alias("violations"))
+        long = long.unionByName(ids.select("n", F.lit("R6").alias("code"), "violations", F.lit(None).cast("string").alias("error")))
+    return long.select("code", "violations", F.when(F.col("violations") >= 0, F.bround(F.try_divide("violations", "n"), 6)).alias("share"), "error")
+
+
+def quality_report(df: DataFrame, rules: tuple[Rule, ...] = ROW_RULES) -> dict:
+    """n_rows, rules (as run_quality gives them) and violations_total, at once. If a rule fails while the scan runs, each row rule is run alone, so that only the failing ones have -1.
+
+    The counts of the scan are observed metrics of a job that writes nothing. The total adds violations as they are, so a failed rule takes one away.
+    """
+    names = {r.code: r for r in rules}
+    try:
+        rows = [r.asDict() for r in run_quality(df, rules).collect()]
+        n = _observed(df)
+    except Exception:  # only which rule it was is still to be found
+        n, rows = _observed(df), []
+        for code in (*names, "R3", "R6"):
+            try:
+                rows += [r.asDict() for r in run_quality(df, tuple(r for r in rules if r.code == code), only=(code,)).collect()]
+            except Exception as wrong:
+                rows.append({"code": code, "violations": -1, "share": None, "error": _said(wrong)})
+    return {"n_rows": n, "rules": rows, "violations_total": sum(r["violations"] for r in rows)}
+
+
+def _observed(df: DataFrame) -> int:
+    seen = Observation()
+    df.select(F.lit(1)).observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    return seen.get["n"]
+
+
+def quality_sums(df: DataFrame, rules: tuple[Rule, ...] = ROW_RULES) -> DataFrame:
+    """publisher, is_total, n, code, violations: every rule of each publisher and of the panel, in one grouping-sets plan.
+
+    R6 starts from the counts of (publisher, identifier): those of a publisher are its own, and their sums by identifier
+    are the panel's. Rows without a publisher count for the panel only.
+    """
+    scanned = r3_rows(df)
+    codes = [*(r.code for r in rules), "R3"]
+    sums = scanned.groupingSets([["publisher"], []], "publisher").agg(F.grouping("publisher").alias("g"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_tl_r3"), F.lit(0)).alias("R3"), *[F.coalesce(F.sum(r.violations(df)), F.lit(0)).alias(r.code) for r in rules])
+    sums = sums.where("g = 1 OR publisher IS NOT NULL")
+    parts = df.where("application_id IS NOT NULL").groupBy("publisher", "application_id").agg(F.count(F.lit(1)).alias("c"))
+    # an identifier's counts meet in its own group, whichever publishers they come from
+    merged = parts.groupBy("application_id").agg(F.sum("c").alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("v"))
+    own = parts.where("publisher IS NOT NULL").groupBy("publisher").agg(F.sum(F.col("c") - 1).alias("v"))
+    r6 = own.select(F.col("publisher"), F.lit(0).alias("g"), "v").unionAll(merged.select(F.lit(None).cast("string"), F.lit(1), "v"))
+    both = sums.join(r6.select(F.col("publisher").alias("p6"), F.col("g").alias("g6"), F.col("v").alias("R6")), (F.col("g") == F.col("g6")) & F.col("publisher").eqNullSafe(F.col("p6")), "left")
+    each = F.array(*[F.struct(F.lit(c).alias("code"), F.coalesce(F.col(c), F.lit(0)).cast("long").alias("violations")) for c in (*codes, "R6")])
+    return both.select("publisher", (F.col("g") == 1).alias("is_total"), "n", F.explode(each).alias("r")).select("publisher", "is_total", "n", "r.*")
+
+
+def sum_check(df: DataFrame, rules: tuple[Rule, ...] = ROW_RULES) -> DataFrame:
+    """One row: n_rows, n_publishers, violations_total of the panel, and mismatch: the rules whose sum over publishers is not the panel's, as "code:sum/panel", joined by commas (empty if none)."""
+    by_code = quality_sums(df, rules).groupBy("code").agg(F.max(F.when(F.col("is_total"), F.col("n"))).alias("n"), F.count_if(~F.col("is_total")).alias("p"), F.sum(F.when(F.col("is_total"), F.col("violations"))).alias("panel"), F.coalesce(F.sum(F.when(~F.col("is_total"), F.col("violations"))), F.lit(0)).alias("parts"))
+    said = F.when(F.col("panel") != F.col("parts"), F.format_string("%s:%d/%d", "code", "parts", "panel"))
+    return by_code.agg(F.max("n").alias("n_rows"), F.max("p").alias("n_publishers"), F.sum("panel").alias("violations_total"), F.array_join(F.array_sort(F.collect_list(said)), ",").alias("mismatch"))
 
 
 def quality_by_publisher(df: DataFrame, rules: tuple[Rule, ...] = ROW_RULES) -> DataFrame:

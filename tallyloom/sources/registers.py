@@ -12,7 +12,6 @@ import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
-from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,13 +19,23 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import flag, harmonize_class, harmonize_status, iso_date, known_or, number, power_kw, quarter_end, split_sum_kw, strip, voltage
 from ..operators.panel import finalize, union_panels
+from . import workbook
 
 
-def _csv(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    """All columns as text, names without a byte-order mark, _seq in file order within a file."""
-    df = spark.read.csv(path, header=True, sep=sep, multiLine=True, enforceSchema=False)
-    df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
-    return df.withColumns({"source_document": F.col("_metadata.file_name"), "_seq": F.monotonically_increasing_id()})
+def spans_lines(spark: SparkSession, path: str, quote: str = '"') -> bool:
+    """Whether a quoted field of an export holds a line feed: a record spans lines if and only if some line has an odd number of quotes. One scan, cut like any text."""
+    odd = F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))
+    return not spark.read.text(path).where(odd % 2 == 1).isEmpty()
+
+
+def read_export(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """All columns as text, names without a byte-order mark, _seq in file order within a file. A file is cut into tasks unless a quoted field holds a line feed, which would need the whole file to be read in order."""
+    whole = spans_lines(spark, path)
+    df = spark.read.csv(path, header=True, sep=sep, multiLine=whole, enforceSchema=False, escape='"')
+    df = df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
+    # where in the file a block begins, and the row within the task: the same if a task is run again. A task has fewer rows than bytes, and no more bytes than a block, so blocks keep their order
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return df.withColumns({"source_document": F.col("_metadata.file_name"), "_seq": F.col("_metadata.file_block_start") + row})
 
 
 def _first(df: DataFrame, *names: str) -> Column:
@@ -130,8 +139,8 @@ class Source:
 
 
 REGISTRY: dict[str, Source] = {
-    "queue": Source(r"queue|ecr", lambda spark, path: queue_panel(_csv(spark, path, ","))),
-    "portal": Source(r"portal|capacidade|e.?redes|\brnd\b", lambda spark, path: portal_panel(_csv(spark, path, ";"))),
+    "queue": Source(r"queue|ecr", lambda spark, path: queue_panel(read_export(spark, path, ","))),
+    "portal": Source(r"portal|capacidade|e.?redes|\brnd\b", lambda spark, path: portal_panel(read_export(spark, path, ";"))),
 }
 
 
@@ -169,40 +178,12 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").format(kind).options(**({"header": True} if kind == "csv" else {})).save(path)
 
 
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-
-
 def _cells(data: bytes) -> Iterator[tuple[str, int, int, str, str]]:
     """(sheet, row, column, text, superscript) of a workbook."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        def runs(node) -> tuple[str, str]:
-            if node.find("m:r", _NS) is None:
-                return "".join(t.text or "" for t in node.iterfind(".//m:t", _NS)), ""
-            text, sup = "", ""
-            for r in node.iterfind("m:r", _NS):
-                said = "".join(t.text or "" for t in r.iterfind("m:t", _NS))
-                up = r.find("m:rPr/m:vertAlign", _NS)
-                if up is not None and up.get("val") == "superscript":
-                    sup += said
-                else:
-                    text += said
-            return text, sup
-
-        shared = [runs(n) for n in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
-        names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iterfind("m:sheets/m:sheet", _NS)]
-        for i, sheet in enumerate(names, 1):
-            for c in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{i}.xml")).iterfind(".//m:c", _NS):
-                letters, row = re.match(r"([A-Z]+)(\d+)", c.get("r")).groups()
-                col = reduce(lambda n, x: 26 * n + ord(x) - 64, letters, 0)
-                value = c.find("m:v", _NS)
-                if c.get("t") == "s" and value is not None:
-                    text, sup = shared[int(value.text)]
-                elif c.get("t") == "inlineStr":
-                    text, sup = runs(c.find("m:is", _NS))
-                else:
-                    text, sup = (value.text if value is not None else "") or "", ""
-                if text or sup:
-                    yield sheet, int(row), col, text, sup
+        for name, part in workbook.sheets(z):
+            for cell in workbook.cells(z, part):
+                yield name, *cell
 
 
 def cells_of_xlsx(spark: SparkSession, path: str) -> DataFrame:
