@@ -536,11 +536,6 @@ def word_columns(spark, sf_dir):
     return _words(spark, sf_dir).select("page", "text", layout.column_of(F.col("x0"), F.col("x1"), bounds).cast("long").alias("column"))
 
 
-@query()
-def line_clustering(spark, sf_dir):
-    return layout.lines(_words(spark, sf_dir)).groupBy("page").agg(F.count(F.lit(1)).alias("words"), F.count_distinct("line").alias("lines"))
-
-
 @query(", r AS (SELECT o_orderkey // 100 AS page, o_orderkey AS seq, o_orderkey % 4 = 0 AS st, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE CAST(o_orderkey AS STRING) END AS t FROM orders), c AS (SELECT *, greatest(1, sum(CASE WHEN st THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY seq)) AS rec FROM r) SELECT page, CAST(rec AS BIGINT) AS record, coalesce(string_agg(t, ' ' ORDER BY seq) FILTER (WHERE t <> ''), '') AS t FROM c GROUP BY 1, 2", "base")
 def merge_continuation(spark, sf_dir):
     k = F.col("o_orderkey")

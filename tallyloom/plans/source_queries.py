@@ -9,6 +9,7 @@ from ..functions import legacy
 from ..operators import chartdata, editions, nodes, places
 from ..sources import publishers, registers
 from .queries import _ASSIGN, _assigned, _load, _pick, _read, query
+from . import document_queries  # noqa: F401  adds its queries to the catalogue
 from .views import view
 
 def _k() -> F.Column:

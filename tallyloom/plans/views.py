@@ -6,6 +6,8 @@ samples of the orders become two editions. {name} stands for a base table.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -79,6 +81,8 @@ def with_views(*names: str) -> str:
 def oracle(sql: str, *names: str) -> str:
     """sql over views, as text for the oracle engine. A sql that begins with a comma adds its own steps."""
     head = with_views(*names).format(**{t: t for t in BASE})
+    if re.search(r"\b(\w+)\([\w, ]+\) AS \(SELECT", sql):  # a step that names its columns refers to itself
+        head = head.replace("WITH", "WITH RECURSIVE", 1)
     return f"{head}{sql}" if sql.lstrip().startswith(",") else f"{head} {sql}"
 
 

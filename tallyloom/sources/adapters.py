@@ -140,7 +140,7 @@ STATION_LIST = (
 def station_list(words: DataFrame, edges: DataFrame) -> DataFrame:
     """A ruled list whose places are codes of stations; its legend stands on pages without rules (see layout.legend)."""
     raw = named(ruled_records(words, edges, r"^\d+$").where("record > 0"), STATION_LIST)
-    raw = _stamped(raw, stated_dates(page_texts(words).where("page = 1"), as_at))
+    raw = _stamped(raw, stated_dates(page_texts(words.where("page = 1")), as_at))
     kw = lambda c: power_kw(_filled(F.col(c)), "MW")
     day = lambda c: iso_date(_filled(F.col(c)))
     installed = [kw(c) for c in TEMPLATE_KW.values()]

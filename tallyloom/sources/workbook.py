@@ -177,7 +177,9 @@ class Writer(DataSourceWriter):
         for r in iterator:
             if r["text"] is not None:
                 sup = (r["sup"] if "sup" in r else None) or ""
-                rows.setdefault(r["sheet"], {}).setdefault(r["row"], {})[r["col"]] = (r["text"], sup)
+                own = rows.setdefault(r["sheet"], {}).setdefault(r["row"], {})
+                if own.setdefault(r["col"], (r["text"], sup)) != (r["text"], sup):
+                    raise ValueError(f"two texts for row {r['row']}, column {r['col']} of {r['sheet']!r} in one task")
         if not rows:
             return Made("", "")
         system, at = store(self.path)
