@@ -118,9 +118,9 @@ def _tokens_sql(x: str, key: str, rows: str) -> str:
     return f"""
  w{x} AS (SELECT {key} AS id, list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda w: trim(w, '{_SIGNS}') <> '') AS ws FROM {rows}),
  v{x} AS (SELECT id, ws, list_transform(ws, lambda w: trim(w, '{_SIGNS}')) AS bare FROM w{x}),
- t{x} AS (SELECT id, i, lower(b) AS value, {token("OR i = 1 OR right(ws[i - 1], 1) IN ('.', '!', '?', ':')")} AS token, {token("")} AS loose
+ t{x} AS MATERIALIZED (SELECT id, i, lower(b) AS value, right(ws[i], 1) IN ('.', '!', '?', ':') AS stop, {token("OR i = 1 OR right(ws[i - 1], 1) IN ('.', '!', '?', ':')")} AS token, {token("")} AS loose
     FROM (SELECT id, ws, bare, unnest(range(1, len(bare) + 1)) AS i, unnest(bare) AS b FROM v{x}) x),
- l{x} AS (SELECT id, list(token ORDER BY i) AS ts, list(value ORDER BY i) AS vs, list(loose ORDER BY i) AS ls FROM t{x} GROUP BY id)"""
+ l{x} AS (SELECT id, list(token ORDER BY i) AS ts, list(value ORDER BY i) AS vs, list(loose ORDER BY i) AS ls, list(stop ORDER BY i) AS ss FROM t{x} GROUP BY id)"""
 
 
 _WINDOW = "array_to_string(list_concat([CASE WHEN ts[p] = '<name>' THEN vs[p] ELSE ts[p] END], ts[p + 1 : p + k - 1]), ' ')"
@@ -135,13 +135,15 @@ OP2_SQL = (
 , ip AS (SELECT *, least(len(ts), {decontaminate.WINDOW}) AS k, unnest(range(1, len(ts) - least(len(ts), {decontaminate.WINDOW}) + 2)) AS p FROM li),
   ir AS (SELECT id, k, p, vs, ts, 1 AS no FROM ip UNION ALL SELECT id, k, p, vs, list_transform(ts, lambda t, j: CASE WHEN t = '<name>' THEN vs[j] ELSE t END), 2 FROM ip UNION ALL SELECT id, k, p, vs, ls, 3 FROM ip),
   iz AS (SELECT *, len(list_filter(ts[p : p + k - 1], lambda t: t {_IS_SLOT})) * 2 > k AS heavy FROM ir),
+  lit AS (SELECT id FROM li WHERE len(list_filter(ts, lambda t: NOT (t {_IS_SLOT}))) >= {decontaminate.LITERAL}),
+  an AS (SELECT id, p, k, ts, vs FROM (SELECT *, bool_or(heavy) OVER (PARTITION BY id) AS anyh, row_number() OVER (PARTITION BY id ORDER BY len(list_filter(ts[p : p + k - 1], lambda t: t {_IS_SLOT})), p) AS r FROM iz WHERE no = 1 AND k >= {decontaminate.LEAST} AND id IN (SELECT id FROM lit)) x WHERE anyh AND r = 1),
   iw AS (SELECT DISTINCT id AS item_id, p, k, 0 AS kind, {_WINDOW} AS h FROM iz WHERE k >= {decontaminate.LEAST} AND NOT heavy
          UNION SELECT id, p, k, 1, {_VALUES} FROM iz WHERE k >= {decontaminate.LEAST} AND heavy AND no = 1
          UNION SELECT id, 1, k, 2, array_to_string(vs, ' ') FROM iz WHERE k < {decontaminate.LEAST} AND no = 1),
   n AS (SELECT item_id, count(DISTINCT p) AS n_windows FROM iw GROUP BY 1),
   dp AS (SELECT l.*, s.k, unnest(range(1, len(ts) - s.k + 2)) AS p FROM ld l, (SELECT DISTINCT k FROM iw WHERE kind < 2) s),
-  dw AS (SELECT id AS doc_id, p, k, 0 AS kind, {_WINDOW} AS h FROM dp UNION ALL SELECT id, p, k, 1, {_VALUES} FROM dp
-         UNION ALL SELECT id, 1, len(vs), 2, array_to_string(vs, ' ') FROM ld WHERE len(vs) < {decontaminate.LEAST}),
+  dw AS MATERIALIZED (SELECT id AS doc_id, p, k, 0 AS kind, {_WINDOW} AS h FROM dp UNION ALL SELECT id, p, k, 1, {_VALUES} FROM dp
+         UNION ALL SELECT id, p, k, 2, {_VALUES} FROM (SELECT l.*, s.k, unnest(range(1, len(ts) - s.k + 2)) AS p FROM ld l, (SELECT DISTINCT k FROM iw WHERE kind = 2) s) x WHERE (p = 1 OR ss[p - 1]) AND (p + k - 1 = len(ss) OR ss[p + k - 1])),
   hit AS (SELECT DISTINCT d.doc_id, i.item_id, i.p, i.k, d.p - i.p AS shift FROM dw d JOIN iw i ON d.k = i.k AND d.kind = i.kind AND d.h = i.h),
   a AS (SELECT DISTINCT doc_id, item_id, shift, unnest(range(p, p + k)) AS i FROM hit),
   s AS (SELECT a.doc_id, a.item_id, a.shift, ti.value AS iv, count(DISTINCT td.value) AS c, min(CASE WHEN ti.value = td.value THEN 1 ELSE 0 END) AS same
@@ -149,10 +151,16 @@ OP2_SQL = (
   f AS (SELECT doc_id, item_id, shift, count(*) AS n_slots, avg(CASE WHEN c = 1 THEN 1.0 ELSE 0 END) AS ok, min(same) AS same FROM s GROUP BY ALL),
   g AS (SELECT h.*, f.n_slots, coalesce(f.same, 1) AS same FROM hit h LEFT JOIN f ON f.doc_id = h.doc_id AND f.item_id = h.item_id AND f.shift = h.shift WHERE coalesce(f.ok, 1) >= {decontaminate.CONSISTENT}),
   r AS (SELECT doc_id, item_id, max(c) AS run FROM (SELECT doc_id, item_id, shift, CASE WHEN min(same) = 1 THEN count(DISTINCT p) ELSE 0 END AS c FROM g GROUP BY ALL) GROUP BY ALL),
-  m AS (SELECT doc_id, item_id, count(DISTINCT p) AS n_matched, coalesce(max(n_slots), 0) AS n_slots, min(same) = 1 AS verbatim FROM g GROUP BY ALL)
-SELECT m.doc_id, m.item_id, n_windows, n_matched, n_matched / CAST(n_windows AS DOUBLE) AS coverage, n_slots, verbatim
-FROM m JOIN n ON m.item_id = n.item_id JOIN r ON r.doc_id = m.doc_id AND r.item_id = m.item_id
-WHERE n_matched / CAST(n_windows AS DOUBLE) >= {decontaminate.COVERED} OR run > {decontaminate.VERBATIM - decontaminate.WINDOW}
+  m AS (SELECT doc_id, item_id, count(DISTINCT p) AS n_matched, coalesce(max(n_slots), 0) AS n_slots, min(same) = 1 AS verbatim FROM g GROUP BY ALL),
+  led AS (SELECT DISTINCT d.doc_id, a.id AS item_id, d.p - a.p AS shift FROM dw d JOIN (SELECT id, p, k, {_WINDOW} AS h FROM an) a ON d.kind = 0 AND d.k = a.k AND d.h = a.h),
+  wt AS (SELECT l.doc_id, l.item_id, l.shift, CASE WHEN ti.token {_IS_SLOT} THEN ti.value END AS slot, count(*) FILTER (WHERE ti.token = td.token OR (ti.i = 1 AND ti.value = td.value)) AS fit, count(DISTINCT td.value) AS c, min(CASE WHEN ti.value = td.value THEN 1 ELSE 0 END) AS same
+         FROM led l JOIN ti ON ti.id = l.item_id JOIN td ON td.id = l.doc_id AND td.i = ti.i + l.shift GROUP BY ALL),
+  wh AS (SELECT doc_id, item_id, shift, sum(fit) AS fit, count(slot) AS n_slots, avg(CASE WHEN slot IS NOT NULL THEN CASE WHEN c = 1 THEN 1.0 ELSE 0 END END) AS ok, min(same) AS same FROM wt GROUP BY ALL),
+  wf AS (SELECT doc_id, item_id, max(n_slots) AS n_slots, min(same) = 1 AS verbatim FROM wh JOIN li ON li.id = wh.item_id WHERE fit = len(li.ts) AND coalesce(ok, 1) >= {decontaminate.CONSISTENT} GROUP BY ALL),
+  al AS (SELECT m.doc_id, m.item_id, n_windows, n_matched, n_slots, verbatim FROM m JOIN n ON m.item_id = n.item_id JOIN r ON r.doc_id = m.doc_id AND r.item_id = m.item_id
+         WHERE n_matched / CAST(n_windows AS DOUBLE) >= {decontaminate.COVERED} OR run > {decontaminate.VERBATIM - decontaminate.WINDOW}
+         UNION ALL SELECT wf.doc_id, wf.item_id, n_windows, n_windows, n_slots, verbatim FROM wf JOIN n ON n.item_id = wf.item_id)
+SELECT doc_id, item_id, n_windows, max(n_matched) AS n_matched, max(n_matched) / CAST(n_windows AS DOUBLE) AS coverage, max(n_slots) AS n_slots, bool_and(verbatim) AS verbatim FROM al GROUP BY doc_id, item_id, n_windows
 """
 )
 

@@ -202,7 +202,7 @@ def test_leaks(spark):
     sums = "What is 12 + 7 - 3 * 4 and 17 km + 20 km?"
     long = ". ".join(f"Alpha{i} stands by beta{i} and gamma{i} at delta{i}" for i in range(14)) + "."
     run = " ".join(long.split()[20:45])
-    items = spark.createDataFrame([(1, train), (2, plain), (3, "Too short"), (4, None), (5, "one two three four five"), (6, sums), (7, long), (8, "+ -")], "item_id long, text string")
+    items = spark.createDataFrame([(1, train), (2, plain), (3, "Too short"), (4, None), (5, "one two three four five"), (6, sums), (7, long), (8, "+ -"), (9, "Who wrote Hamlet?"), (10, "What is 12 km plus 45 km minus 7 km times 3 in total?"), (11, "Compute 17 + 20 * 3 - 4 / 2 = 9 or 11 now."), (12, "1 2 3 4 5 6 7 8 1")], "item_id long, text string")
     rows = [
         (1, f"Intro. {train} End."),
         (2, "If a train leaves London at 75 km per hour and runs for five hours, how far will the train of Maria be from London?"),
@@ -211,11 +211,17 @@ def test_leaks(spark):
         (5, None), (6, ""), (7, "nothing of it " * 30), (8, "say one two three four five now"), (None, plain), (9, LONG),
         (10, f"asked: {sums}"), (11, "What is 13 + 8 - 5 * 9 and 4 km + 21 km?"), (12, "too  short."), (13, "it is too short"),
         (14, train.lower()), (15, long.replace(".", "")), (16, f"said {run} and no more"), (17, "said " + " ".join(run.split()[:20])), (18, train.upper()),
+        (19, "So. Too short. And on"), (20, "What is 13 + 8 - 5 * 9 and 4 km + 21 m?"), (21, "What is 17 + 7 - 17 * 4 and 12 km + 20 km?"), (22, "Q: Who wrote Hamlet? A: he"), (23, "He asked who wrote Hamlet? too"),
+        (24, "Then: What is 13 km plus 46 km minus 8 km times 5 in total? Yes."), (25, "Compute 1 + 2 * 9 - 8 / 4 = 3 or 6 now."), (26, "Compute 1 + 2 * 9 - 8 / 4 = 3 or 6 later."), (27, "Compute 5 + 5 * 5 - 5 / 5 = 5 or 5 now."),
+        (28, "9 8 7 6 5 4 3 2 1 " * 300),
     ]
     got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(docs(spark, rows), items).collect()}
-    assert set(got) == {(1, 1), (2, 1), (4, 2), (8, 5), (None, 2), (10, 6), (12, 3), (14, 1), (15, 7), (16, 7), (18, 1)}
+    # 11, 24, 25, 27: other numbers in the whole template (27: one value for all slots); not 20: one unit became two; 21: numbers that the item tells apart or not otherwise; 23: not a sentence of its own
+    want = {(1, 1), (2, 1), (4, 2), (8, 5), (None, 2), (10, 6), (11, 6), (12, 3), (14, 1), (15, 7), (16, 7), (18, 1), (19, 3), (21, 6), (22, 9), (24, 10), (25, 11), (27, 11)}
+    assert set(got) == want
+    assert not got[11, 6]["verbatim"] and got[10, 6]["verbatim"] and got[25, 11]["coverage"] == 1.0
     assert got[1, 1]["verbatim"] and not got[2, 1]["verbatim"] and got[2, 1]["n_slots"] > 0 and got[4, 2]["coverage"] == got[14, 1]["coverage"] == got[18, 1]["coverage"] == got[15, 7]["coverage"] == 1.0
-    assert sorted(r[0] for r in decontaminate.keep_clean(docs(spark, rows), items).collect() if r[0]) == [3, 5, 6, 7, 9, 11, 13, 17]
+    assert sorted(r[0] for r in decontaminate.keep_clean(docs(spark, rows), items).collect() if r[0]) == [3, 5, 6, 7, 9, 13, 17, 20, 23, 26, 28]
     assert decontaminate.leaks(docs(spark, rows).limit(0), items).count() == 0 == decontaminate.leaks(docs(spark, rows), items.limit(0)).count()
 
 
