@@ -1,10 +1,12 @@
 r"""Main text of web pages by gradient-boosted trees over DOM nodes.
 
 A page becomes a tree of block elements. Trees boosted on the nodes' features (densities of the subtree, attribute
-tokens, depth, place among siblings, what encloses them) give each node a probability of holding main text.
+tokens, depth, place among siblings, what encloses them, how they stand to the page's article and to the node with the
+most paragraphs) give each node a probability of holding main text.
 Hierarchical decoding then labels the whole page at once: the most likely labelling in which everything below a dropped
 node is dropped as well, so ancestors and descendants never contradict each other. The trees are trained on pages that
-training_pages() makes up with known labels; nothing of the table is used.
+training_pages() makes up with known labels, in which many names say nothing, are foreign or mislead; nothing of the
+table is used. A heading in an article's own header is main text, a byline or a footer there is not.
 
 Text that stands beside block elements, and text directly in the body, is a node of its own (an anonymous block, as
 browsers lay it out), so it is judged like any other block.
@@ -35,7 +37,9 @@ from pyspark.sql import types as T
 from ._common import pieces
 from .gbt import Boosted
 
-SEED, PAGES, SLICE = 11, 900, 1 << 21
+SEED, PAGES, SLICE = 11, 1_200, 1 << 21
+#: Trees, and levels of each.
+TREES, DEPTH = 80, 5
 
 # Element names of HTML, and words that sites put into class, id and role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,7 +69,7 @@ _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
 _REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+")
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
-FEATURES = len(GROUPS) + 2 * len(WORDS) + len(GROUPS) + 14
+FEATURES = len(GROUPS) + 2 * len(WORDS) + len(GROUPS) + 20
 
 
 def tags(source: str) -> Iterator[tuple[int, int, bool, str, str]]:
@@ -209,9 +213,10 @@ class Page:
     def features(self) -> np.ndarray:
         n = len(self.tag)
         own, link, runs = np.zeros(n), np.zeros(n), np.zeros(n)
-        stops = np.zeros(n)
+        stops, signs = np.zeros(n), np.zeros(n)
         for node, text, linked in self.runs:
             own[node] += len(text)
+            signs[node] += sum(map(text.count, "|\u00b7\u00a9\u00bb"))
             link[node] += linked
             runs[node] += 1
             stops[node] += text.count(". ") + text.count(", ") + text.endswith((".", "!", "?"))
@@ -220,7 +225,7 @@ class Page:
         depth, order, siblings = np.zeros(n), np.zeros(n), np.zeros(n)
         for i in range(n - 1, 0, -1):
             p = parent[i]
-            for a in (size, text, links, paragraphs, marks):
+            for a in (size, text, links, paragraphs, marks, signs):
                 a[p] += a[i]
         kind, words = np.zeros((n, len(GROUPS))), np.zeros((n, len(WORDS)))
         over_kind, over_words = np.zeros((n, len(GROUPS))), np.zeros((n, len(WORDS)))
@@ -241,9 +246,21 @@ class Page:
                 over_kind[i] = np.maximum(over_kind[p], kind[p])
                 over_words[i] = np.maximum(over_words[p], words[p])
         of = siblings[np.maximum(parent, 0)]
+        # the article or main element with the most text, and the node whose own paragraphs hold the most: is a node in it, and how much more does it hold
+        held = np.zeros(n)
+        for i in range(1, n):
+            if self.tag[i] in ("p", ANONYMOUS):
+                held[parent[i]] += own[i] - link[i]
+        told = np.flatnonzero(kind[:, 0])
+        best = [int(told[text[told].argmax()]) if len(told) else -1, int(held.argmax())]
+        inside = np.zeros((n, 2))
+        for i in range(n):
+            inside[i] = [i == b or (i > 0 and inside[parent[i], k]) for k, b in enumerate(best)]
         total = max(text[0], 1.0)
         log = np.log1p
         dense = [log(own), log(text), links / np.maximum(text, 1), text / size, log(size), log(paragraphs), marks / np.maximum(text / 50, 1), depth, order / np.maximum(of, 1), log(of), text / total, text[np.maximum(parent, 0)] / total, (links / np.maximum(text, 1))[np.maximum(parent, 0)], runs]
+        most = [text[b] if b >= 0 else 0.0 for b in best]
+        dense += [inside[:, 0] if best[0] >= 0 else np.full(n, 0.5), np.full(n, most[0] / max(text[0], 1)), inside[:, 1], log(text) - np.log1p(most[1]), signs / np.maximum(text / 20, 1), np.full(n, log(text[0]))]
         return np.hstack([kind, words, over_kind, over_words, np.stack(dense, 1)])
 
     def decode(self, p: np.ndarray) -> np.ndarray:
@@ -281,10 +298,20 @@ def training_pages(n: int, seed: int) -> Iterator[tuple[str, list[str]]]:
     def passage(most=6):
         return " ".join(sentence() for _ in range(draw.randint(1, most)))
 
-    def name(group, loose=0.35):
-        word = draw.choice(WORDS[group])
+    def name(group, loose=0.35, plain=0.3, wrong=0.06):
+        """An attribute of the group; with loose none, with plain one that says nothing, with wrong one of another group."""
+        if draw.random() < loose:
+            return ""
+        kind = draw.random()
+        word = draw.choice(WORDS[draw.randrange(len(WORDS)) if kind < wrong else group])
         word = draw.choice([word, word, f"{word}-{words(1, 1)}", f"site-{word}", f"{word} {words(1, 1)}"])
-        return f' {draw.choice(["class", "class", "id"])}="{word}"' if draw.random() > loose else ""
+        if wrong <= kind < wrong + plain:
+            word = draw.choice([words(1, 1), f"{words(1, 1)[:2]}{draw.randint(1, 99)}", f"{words(1, 1)}-{words(1, 1)}", f"css-{draw.randrange(1 << 24):x}"])
+        return f' {draw.choice(["class", "class", "id"])}="{word}"'
+
+    def outer(group, where):
+        """The attribute of a block without a telling element: beside an article that tells it often says nothing, within one, or beside a text that does not tell itself, it tells."""
+        return name(group, 0.25, 0.4) if where == "page" and tells else name(group, 0.0, 0.05, 0.0)
 
     def links(k):
         kind = draw.choice(["ul", "ul", "div", "p"])
@@ -293,36 +320,40 @@ def training_pages(n: int, seed: int) -> Iterator[tuple[str, list[str]]]:
 
     def bare():
         """Text without an element that is no main text: skip links, a line of links, a copyright line."""
-        return draw.choice([f"<a href='#{words(1, 1)}'>{words(2, 4)}</a>", " | ".join(f"<a href='/{words(1, 1)}'>{words(1, 2)}</a>" for _ in range(draw.randint(2, 6))), " | ".join(words(1, 3) for _ in range(draw.randint(2, 5))), f"&copy; {words(1, 3)} {words(2, 5)}.", f"Copyright {draw.randint(1995, 2030)} {words(1, 4)}", words(1, 4)])
+        return draw.choice([f"<a href='#{words(1, 1)}'>{words(2, 4)}</a>", " | ".join(f"<a href='/{words(1, 1)}'>{words(1, 2)}</a>" for _ in range(draw.randint(2, 6))), " | ".join(words(1, 3) for _ in range(draw.randint(2, 5))), f"&copy; {words(1, 3)} {words(2, 5)}.", f"Copyright {draw.randint(1995, 2030)} {words(1, 4)}", words(1, 4), sentence(2, 5)])
 
     def junk(where):
         """A block that is no main text; where: page or article."""
         kind = draw.choice(["nav", "header", "footer", "aside", "ad", "notice", "comments", "share", "form"] if where == "page" else ["ad", "aside", "share", "notice", "form"])
         if kind == "nav":
-            return f"<nav{name(1)}>{links(draw.randint(2, 12))}</nav>" if draw.random() < 0.6 else f"<div{name(1, 0)}>{links(draw.randint(2, 12))}</div>"
+            return f"<nav{name(1)}>{links(draw.randint(2, 12))}</nav>" if draw.random() < 0.6 else f"<div{outer(1, where)}>{links(draw.randint(2, 12))}</div>"
         if kind == "header":
             inner = f"<h1>{words(1, 5)}</h1>" * draw.randint(0, 1) + f"<p>{passage(2)}</p>" * draw.randint(0, 1) + links(draw.randint(1, 6))
-            return f"<header{name(2)}>{inner}</header>" if draw.random() < 0.6 else f"<div{name(2, 0)}>{inner}</div>"
+            return f"<header{name(2)}>{inner}</header>" if draw.random() < 0.6 else f"<div{outer(2, where)}>{inner}</div>"
         if kind == "footer":
             inner = draw.choice([f"&copy; {words(1, 3)} &middot; {passage(2)}", f"<p>{passage(3)}</p>" + links(draw.randint(1, 6)), f"<p>{bare()}</p>", bare(), f"<p>{bare()}</p><p>{bare()}</p>", f"<p>{passage(1)}</p>"])
-            return f"<footer{name(3)}>{inner}</footer>" if draw.random() < 0.7 else f"<div{name(3, 0)}>{inner}</div>"
+            return f"<footer{name(3)}>{inner}</footer>" if draw.random() < 0.7 else f"<div{outer(3, where)}>{inner}</div>"
         if kind == "aside":
             inner = f"<h3>{words(1, 4)}</h3>" * draw.randint(0, 1) + draw.choice([links(draw.randint(2, 8)), f"<p>{passage(3)}</p>", passage(2)])
-            return f"<aside{name(4)}>{inner}</aside>" if draw.random() < 0.5 else f"<div{name(4, 0)}>{inner}</div>"
+            return f"<aside{name(4)}>{inner}</aside>" if draw.random() < 0.5 else f"<div{outer(4, where)}>{inner}</div>"
         if kind == "ad":
-            return f"<div{name(5, 0)}>{draw.choice([passage(2), f'<p>{passage(2)}</p>', f'<a href=x>{sentence()}</a>'])}</div>"
+            return f"<div{outer(5, where)}>{draw.choice([passage(2), f'<p>{passage(2)}</p>', f'<a href=x>{sentence()}</a>'])}</div>"
         if kind == "notice":
-            return f"<{(t := draw.choice(['div', 'section', 'p', 'dialog']))}{name(6, 0)}>{draw.choice([passage(3), f'<span>{passage(2)}</span> <button>ok</button>'])}</{t}>"
+            return f"<{(t := draw.choice(['div', 'section', 'p', 'dialog']))}{outer(6, where)}>{draw.choice([passage(3), f'<span>{passage(2)}</span> <button>ok</button>'])}</{t}>"
         if kind == "share":
-            return f"<div{name(8, 0)}>{links(draw.randint(2, 5))}</div>"
+            return f"<div{outer(8, where)}>{links(draw.randint(2, 5))}</div>"
         if kind == "form":
             return f"<form{name(9)}><label>{words(1, 3)}</label> <input name=q> <p>{sentence()}</p><button>{words(1, 2)}</button></form>"
         one = lambda: f"<{(t := draw.choice(['div', 'li', 'article']))}{name(7, 0.3)}>{draw.choice([f'<p>{passage(3)}</p>', passage(3), f'<b>{words(1, 2)}</b> <p>{passage(4)}</p>'])}</{t}>"
         head = f"<h3>{words(1, 3)}</h3>" * draw.randint(0, 1)
         return f"<{(t := draw.choice(['section', 'div', 'ol']))}{name(7, 0)}>{head}{''.join(one() for _ in range(draw.randint(1, 6)))}</{t}>"
 
+    tells = True
     for _ in range(n):
         blocks: list[str] = []
+        tag, attr = draw.choice([("article", ""), ("article", ""), ("article", name(0)), ("main", ""), ("div", name(0, 0, 0.1, 0.0)), ("div", name(0, 0, 0.1, 0.0)), ("section", name(0, 0, 0.1, 0.0)), ("div", "")])
+        enclosed = draw.random() < 0.93
+        tells = enclosed and (tag in ("article", "main") or bool(attr))
 
         def block(tag, text, blocks=blocks):
             blocks.append(text)
@@ -355,9 +386,17 @@ def training_pages(n: int, seed: int) -> Iterator[tuple[str, list[str]]]:
                 body.append(junk("article"))
         if draw.random() < 0.25:
             body.insert(draw.choice([0, len(body)]), junk("article"))
-        tag, attr = draw.choice([("article", ""), ("article", ""), ("article", name(0)), ("main", ""), ("div", name(0, 0)), ("div", name(0, 0)), ("section", name(0, 0)), ("div", "")])
+        if tells and draw.random() < 0.25:
+            # the article's own header and footer: its heading belongs to the text, what else stands there does not
+            line = lambda: draw.choice([words(2, 5).capitalize(), f"{words(1, 1).capitalize()} {words(1, 2)}, {draw.randint(1, 28)} {words(1, 1)} {draw.randint(1995, 2030)}", links(draw.randint(1, 3)), sentence(2, 6)])
+            said = lambda: draw.choice([f"<p{name(8, 0.6)}>{line()}</p>", f"<div{name(8, 0.5)}>{line()}</div>", line()])
+            first = body.pop(0) if body and body[0].startswith("<h1>") else ""
+            if first or draw.random() < 0.5:
+                body.insert(0, f"<header{name(2, 0.6)}>{first}{said()}</header>")
+            if draw.random() < 0.6:
+                body.append(f"<footer{name(3, 0.6)}>{said()}</footer>")
         inner = "".join(body)
-        inner = f"<{tag}{attr}>{inner}</{tag}>" if draw.random() < 0.93 else f"<hr>{inner}<hr>"
+        inner = f"<{tag}{attr}>{inner}</{tag}>" if enclosed else f"<hr>{inner}<hr>"
         if draw.random() < 0.3:
             inner = f"<{(t := draw.choice(['main', 'div', 'section']))}{name(0)}>{inner}{junk('page') * (draw.random() < 0.3)}</{t}>"
         before, after = "".join(junk("page") for _ in range(draw.randint(0, 4))), "".join(junk("page") for _ in range(draw.randint(0, 4)))
@@ -388,7 +427,7 @@ def trained(pages: int = PAGES, seed: int = SEED) -> Boosted:
         xs.append(page.features()[on])
         # a node that encloses main text must be kept for it
         ys.append((good[on] > 0).astype(float))
-    return Boosted().fit(np.concatenate(xs), np.concatenate(ys))
+    return Boosted(TREES, DEPTH).fit(np.concatenate(xs), np.concatenate(ys))
 
 
 def extract_all(sources: list[str], model: Boosted) -> list[str]:

@@ -472,6 +472,22 @@ KNOWN_PAGES = [
 ]
 
 
+# names that say nothing or are foreign, headers and footers in the article: (page, main text)
+PLAIN_PAGES = [
+    ('<html><body><div class="zx9">We use cookies to make this site better. <button>OK</button></div><article><h1>Rain</h1><p>It rained all day in the valley, and the river rose by a foot.</p><p>Nobody was hurt, said the mayor on Tuesday evening.</p></article></body></html>', "Rain\n\nIt rained all day in the valley, and the river rose by a foot.\n\nNobody was hurt, said the mayor on Tuesday evening."),
+    ('<html><body><div class="c7">Home News Sport</div><article><p>The team won by two goals to one, after a long game that was stopped twice.</p><p>It plays again on Sunday.</p></article>All rights reserved.</body></html>', "The team won by two goals to one, after a long game that was stopped twice.\n\nIt plays again on Sunday."),
+    ('<html><body><div><p>The old mill was sold last week. Its new owner plans a hotel there, with forty rooms and a garden.</p><p>Work begins in May, if the town agrees to it.</p></div>All rights reserved.</body></html>', "The old mill was sold last week. Its new owner plans a hotel there, with forty rooms and a garden.\n\nWork begins in May, if the town agrees to it."),
+    ('<html><body><article><h1>Wald</h1><p>Der Wald ist alt, und viele Wege sind gesperrt, seit der Sturm im Herbst kam.</p><p>Im Sommer soll alles wieder offen sein.</p></article><div class="fuss">Impressum | Datenschutz</div></body></html>', "Wald\n\nDer Wald ist alt, und viele Wege sind gesperrt, seit der Sturm im Herbst kam.\n\nIm Sommer soll alles wieder offen sein."),
+    ('<html><body><article><header><h1>Bees</h1><p>By Ann</p></header><p>Bees came back to the park this spring, after three years away.</p><p>The hives stand by the pond.</p><footer>Filed under nature</footer></article></body></html>', "Bees\n\nBees came back to the park this spring, after three years away.\n\nThe hives stand by the pond."),
+]
+
+
+@pytest.mark.parametrize("i", range(len(PLAIN_PAGES)))
+def test_html_plain_names(i):
+    page, text = PLAIN_PAGES[i]
+    assert html_extract.extract_all([page], html_extract.trained()) == [text]
+
+
 def test_html_known_pages():
     got = html_extract.extract_all([s for s, _ in KNOWN_PAGES], html_extract.trained())
     assert [t.split("\n\n") for t in got] == [want for _, want in KNOWN_PAGES]
