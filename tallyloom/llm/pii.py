@@ -3,13 +3,20 @@
 Four patterns give the base spans of a text. A conditional random field over its candidate tokens then finds what the
 patterns miss. Candidates hold a digit or `@`, are the name before the `@` of an address found, or are runs of digit
 groups with the digits of a card or phone found (of a phone also its last ones), whatever parts the groups. Neighbours
-share a chain potential. Tokens that are repeated or similar, however far apart, share a skip potential: equal tokens,
-numbers with the same last seven digits or with one digit changed, an address and its name. Each token is linked to the
-one before it under each of its keys, so the edges grow with the tokens. Base spans are evidence, and loopy belief
-propagation carries their labels to the rest. A token is added if the marginal of a kind is SURE or more.
+share a chain potential. Tokens that are repeated or similar, however far apart, share a skip potential: all tokens of a
+key hang on a hub, a variable of its own, which is evidence too if one of them is a base span, so any number of
+repetitions is reached in one step and gets one label; hubs of similar
+keys are linked: numbers with the same last seven digits, card and phone numbers with one digit changed, an address and
+its name. So the edges grow with the tokens. Base spans are evidence, and loopy belief propagation carries their labels
+to the rest until the messages stand still (they are damped the more the longer it takes). A token is added if the
+marginal of a kind reaches that kind's threshold.
 
 The weights are trained by pseudo-likelihood, with base spans as labels and a Gaussian prior that holds linked tokens
 together; a token without a kind that is linked to one with a kind is no example, since the patterns may have missed it.
+Links are taught by mentions whose kind is known but hidden from the patterns: to a text with personal data are added a
+phone's last seven digits, an address's name, a card with a digit changed, and numbers that look alike and belong to
+none. One text in HELD is left out of the training; on these, each kind's threshold is the least that is right in
+RIGHT of its additions.
 Features leave out what the patterns hang on, as a leading plus, so other writings can be told. The training rows are a
 bounded sample: the SAMPLE texts of least hash among those with 1 to MOST candidates.
 
@@ -22,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,15 +42,15 @@ from pyspark.sql import types as T
 
 from ._common import batched, release
 
-#: Order of kinds where spans start together; label 0 is "none".
+#: Order of kinds where spans start together; label 0 is "none". SURE: the threshold of a kind of which no text was held out.
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
-SURE, ROUNDS, DAMP = 0.9, 30, 0.3
+SURE, DAMP, HELD, RIGHT = 0.9, 0.3, 5, 0.95
 #: Texts to train on, the most candidates that such a text has, hashed features.
 SAMPLE, MOST, FEATURES = 4_000, 200, 4096
 CHAIN, EQUAL, SIMILAR = 0, 1, 2
 #: Prior means of the log potentials with which linked tokens hold the same kind; precisions of the priors of the weights, and of the potentials for each text of the sample.
-CONSISTENT, PRECISION, FIRM = (0.0, 5.0, 4.0), 1.0, 0.1
+CONSISTENT, PRECISION, FIRM = (0.0, 6.0, 5.0), 1.0, 0.1
 LEAST_DIGITS = 7
 
 # What the patterns are made of.
@@ -133,10 +141,14 @@ def _written(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
     return out
 
 
+def _locals(text: str, base: list[tuple[int, int, int]]) -> set[str]:
+    """The names before the `@` of addresses among the base spans, of four characters or more."""
+    return {n for n in (text[a:b].partition("@")[0].lower() for a, label, b in base if label == 1) if len(n) >= 4}
+
+
 def _names(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Where the name before the `@` of an address among the base spans stands alone, without digits."""
-    names = {text[a:b].partition("@")[0].lower() for a, label, b in base if label == 1}
-    names = {n for n in names if len(n) >= 4 and not _DIGIT.search(n)}
+    names = {n for n in _locals(text, base) if not _DIGIT.search(n)}
     return [m.span() for m in re.finditer(r"[A-Za-z._%+-]+", text) if m[0].lower().strip(".") in names and text[m.end() : m.end() + 1] != "@"] if names else []
 
 
@@ -157,6 +169,7 @@ def nodes(text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int,
         pieces.append((at, m.end(), ""))
     if names := _names(text, base):
         pieces = sorted([*pieces, *((a, b, "name") for a, b in names)])
+    called = _locals(text, base)
     base = sorted(base, key=lambda s: (s[0], -s[2]))
     for start, end, key in pieces:
         token = text[start:end] if key.isdigit() else text[start:end].strip(".()-_%")
@@ -169,45 +182,53 @@ def nodes(text: str, base: list[tuple[int, int, int]]) -> tuple[list[tuple[int,
         label = base[i][1] if i < len(base) and base[i][0] < end else 0
         digits = "".join(c for c in token if c.isdigit())
         if not key or key == "name":
-            key = token.lower() if key or "@" in token or token.count(".") == 3 else digits if len(digits) >= LEAST_DIGITS and len(digits) >= len(token) - 3 else ""
+            key = token.lower() if key or "@" in token or token.count(".") == 3 or token.lower() in called else digits if len(digits) >= LEAST_DIGITS and len(digits) >= len(token) - 3 else ""
         spans.append((start, end))
         labels.append(label)
         keys.append(key)
     return spans, labels, keys
 
 
-def _near(a: str, b: str) -> bool:
-    """Digits of one length with one place changed."""
-    return len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+def _alike(key: str) -> list[tuple]:
+    """What keys must have in common to be similar: the name of an address, the last digits, all digits but one."""
+    if not key.isdigit():
+        return [("name", key.partition("@")[0])]
+    one = [("but", i, key[:i] + "*" + key[i + 1 :]) for i in range(len(key))] if 10 <= len(key) <= 19 else []  # as long as phones and cards are
+    return [("end", key[-LEAST_DIGITS:]), *one]
 
 
 def _edges(text: str, spans: list, keys: list[str]) -> list[tuple[int, int, int]]:
-    """(earlier, later, kind): close neighbours, and each token with the one before it of the same key or of a similar one."""
-    out, last = [], {}
+    """(a, b, kind): close neighbours, each token of a repeated key and the key's hub (numbered after the tokens), and one token or hub of each key with the first that is similar."""
+    out, of = [], {}
     for i, (span, key) in enumerate(zip(spans, keys, strict=True)):
         if i and _JOIN.fullmatch(text, spans[i - 1][1], span[0]):
             out.append((i - 1, i, CHAIN))
-        if not key:
-            continue
-        also = [("name", key.partition("@")[0])]
-        if key.isdigit():
-            half = len(key) // 2
-            # one changed digit leaves one half as it was
-            also = [("end", key[-LEAST_DIGITS:])] + [("half", len(key), key[:half]), ("other half", len(key), key[half:])] * (len(key) >= 10)
-        seen = set()
-        if key in last:
-            out.append((last[key], i, EQUAL))
-            seen.add(last[key])
-        for k in also:
-            j = last.get(k)
-            if j is not None and j not in seen and keys[j] != key and (k[0] in ("end", "name") or _near(keys[j], key)):
-                out.append((j, i, SIMILAR))
-                seen.add(j)
-            last[k] = i
-        last[key] = i
+        if key:
+            of.setdefault(key, []).append(i)
+    first, hub = {}, len(spans)
+    for key, tokens in of.items():
+        stands = tokens[0]
+        if len(tokens) > 1:
+            stands, hub = hub, hub + 1
+            out += [(i, stands, EQUAL) for i in tokens]
+        linked = set()
+        for a in _alike(key):
+            other = first.setdefault(a, stands)
+            if other != stands and other not in linked:
+                out.append((other, stands, SIMILAR))
+                linked.add(other)
     return out
 
 
+def _hubs(labels: list[int], edges: list[tuple[int, int, int]]) -> list[int]:
+    """The labels of the hubs: the kind that a base span among its tokens shows, else 0."""
+    out: dict[int, int] = {}
+    for i, hub, k in edges:
+        if k == EQUAL:
+            out[hub] = out.get(hub) or labels[i]
+    return [out[h] for h in sorted(out)]
+
+
 def features(text: str, start: int, end: int) -> list[int]:
     """Hashed features of a token: its shape and number of digits, whether check digits or parts fit, the word before. Always as many."""
     token = text[start:end]
@@ -225,8 +246,54 @@ def features(text: str, start: int, end: int) -> list[int]:
     return [zlib.crc32(x.encode()) % FEATURES for x in said]
 
 
+def _variants(text: str, base: list[tuple[int, int, int]], draw: random.Random) -> list[tuple[str, int]]:
+    """Writings that the patterns do not find, with their labels: of what a text has, and of what it has not."""
+    out = []
+    number = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
+    for a, label, b in base:
+        said, digits = text[a:b], "".join(c for c in text[a:b] if c.isdigit())
+        kind = KINDS[label - 1]
+        if kind == "phone":
+            out.append((f"{digits[-7:-4]}-{digits[-4:]}", label))
+        elif kind == "email":
+            out.append((said.partition("@")[0], label))
+        elif kind == "card":
+            i = draw.randrange(len(digits))
+            out.append((digits[:i] + draw.choice([d for d in "0123456789" if d != digits[i]]) + digits[i + 1 :], label))
+    draw.shuffle(out)
+    return out[:4] + [(f"{number(3)}-{number(4)}", 0), (number(draw.randint(13, 17)), 0)]
+
+
+def examples(text: str) -> tuple[list, list, list, list]:
+    """Features, labels, edges of a text's tokens with hidden mentions added at its end, and whether a label is told: 0 no, 1 by the patterns, 2 of a hidden mention."""
+    base = base_spans(text)
+    draw = random.Random(hashlib.sha256(text.encode("utf-8", "replace")).digest())
+    hidden = []
+    if base:
+        said = _WORD.findall(text, 0, 4_000)[:200] or ["and"]
+        text += "\n"
+        for piece, label in _variants(text, base, draw):
+            text += " " + draw.choice(said) + " "
+            hidden.append((len(text), label))
+            text += piece + " " + draw.choice(said)
+        base = base_spans(text)
+    spans, labels, keys = nodes(text, base)
+    edges, at = _edges(text, spans, keys), dict(hidden)
+    shown = _hubs(labels, edges)
+    kind = dict(zip(keys, labels, strict=True))
+    for key, label in zip(keys, labels, strict=True):
+        kind[key] = kind[key] or label
+    told = [1] * len(spans)
+    for i, (start, _) in enumerate(spans):
+        if start in at and not labels[i]:
+            labels[i], told[i] = at[start], 2
+        elif not labels[i] and keys[i] and kind[keys[i]]:
+            told[i] = 0  # missed or not: the patterns do not say
+    return [features(text, a, b) for a, b in spans], labels + shown, edges, told
+
+
 def training_sample(texts: DataFrame, size: int = SAMPLE) -> list[tuple]:
-    """(features, labels, edges) of the size texts of least hash among those with 1 to MOST candidates; repeated texts are one."""
+    """examples() of the size texts of least hash among those with 1 to MOST candidates; repeated texts are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,9 +302,8 @@ def training_sample(texts: DataFrame, size: int = SAMPLE) -> list[tuple]:
                 text = text.as_py()
                 if not text or not ("@" in text or _DIGIT.search(text)):
                     continue
-                spans, labels, keys = nodes(text, base_spans(text))
-                if 0 < len(spans) <= MOST:
-                    rows.append((hashlib.sha256(text.encode()).digest()[:16], json.dumps([[features(text, a, b) for a, b in spans], labels, _edges(text, spans, keys)])))
+                if 0 < len(nodes(text, base_spans(text))[0]) <= MOST:
+                    rows.append((hashlib.sha256(text.encode()).digest()[:16], json.dumps(examples(text))))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())], ["h", "nodes"])
 
     found = batched(texts).mapInArrow(run, "h binary, nodes string").groupBy("h").agg(F.first("nodes").alias("nodes"))
@@ -245,32 +311,43 @@ def training_sample(texts: DataFrame, size: int = SAMPLE) -> list[tuple]:
 
 
 class Field:
-    """Weights of features by label, and matrices of edge potentials (logarithms): chain, equal, similar."""
+    """Weights of features by label, matrices of edge potentials (logarithms): chain, equal, similar; and each kind's threshold."""
 
     def __init__(self, sample: list[tuple], steps: int = 80, rate: float = 0.3):
         self.weights = np.zeros((FEATURES, LABELS))
         self.prior = np.stack([np.eye(LABELS) * c for c in CONSISTENT])
-        # two tokens without a kind say nothing of each other
-        self.prior[:, 0, 0] = 0.0
+        # repetitions of a token are alike without a kind too; similar tokens without one say nothing of each other
+        self.prior[[CHAIN, SIMILAR], 0, 0] = 0.0
         self.links = self.prior.copy()
+        self.sure = np.full(LABELS, SURE)
         if sample:
-            self._train(sample, steps, rate)
+            kept = [x for i, x in enumerate(sample) if i % HELD] or sample
+            self._train(kept, steps, rate)
+            self._settle(sample[::HELD])
 
     def _train(self, sample: list[tuple], steps: int, rate: float) -> None:
-        """Most likely labels of each token, given those of its neighbours (pseudo-likelihood), by Adam."""
-        first = np.cumsum([0] + [len(x[1]) for x in sample])
-        f, y = np.array([v for x in sample for v in x[0]]), np.array([v for x in sample for v in x[1]])
+        """Most likely labels of each token, given those of its neighbours and hubs (pseudo-likelihood), by Adam."""
+        sizes = [len(x[1]) for x in sample]
+        first = np.cumsum([0, *sizes])
+        y = np.array([v for x in sample for v in x[1]])
+        # hubs have no features and teach nothing themselves
+        own = np.concatenate([np.arange(n) < len(x[0]) for n, x in zip(sizes, sample, strict=True)])
+        f = np.array([v for x in sample for v in x[0]])
         e = np.array([(i + a, j + a, k) for a, x in zip(first, sample, strict=False) for i, j, k in x[2]] or np.zeros((0, 3)), np.int64)
         # each end sees the other one's label; chain matrices are read from both sides
         to, of, kind, turned = np.r_[e[:, 0], e[:, 1]], np.r_[e[:, 1], e[:, 0]], np.r_[e[:, 2], e[:, 2]], np.arange(2 * len(e)) < len(e)
-        # whether a token without a kind that is linked to one with a kind was missed is not known: it is no example
-        told = np.ones(len(y), bool)
-        told[to[(kind != CHAIN) & (y[to] == 0) & (y[of] > 0)]] = False
-        on = told[to] & told[of]
+        told = np.zeros(len(y), bool)
+        told[own] = np.array([v for x in sample for v in x[3]]) > 0
+        # a token without a kind that is linked to one with a kind is no example, unless its label is known
+        sure = np.zeros(len(y), bool)
+        sure[own] = np.array([v for x in sample for v in x[3]]) == 2
+        told[to[(kind != CHAIN) & (y[to] == 0) & (y[of] > 0) & ~sure[to]]] = False
+        on = told[to] & (told[of] | ~own[of])
         to, of, kind, turned = to[on], of[on], kind[on], turned[on]
         state = [np.zeros_like(x) for x in (self.weights, self.weights, self.links, self.links)]
         for t in range(1, steps + 1):
-            logit = self.weights[f].sum(1)
+            logit = np.zeros((len(y), LABELS))
+            logit[own] = self.weights[f].sum(1)
             table = np.where(turned[:, None, None], self.links[kind].transpose(0, 2, 1), self.links[kind])
             np.add.at(logit, to, table[np.arange(len(to)), y[of]])
             p = np.exp(logit - logit.max(1, keepdims=True))
@@ -278,7 +355,7 @@ class Field:
             p[np.arange(len(y)), y] -= 1
             p[~told] = 0.0
             g_weights, g_links = PRECISION * self.weights, (1 + len(sample) * FIRM) * (self.links - self.prior)
-            np.add.at(g_weights, f.ravel(), np.repeat(p, f.shape[1], 0))
+            np.add.at(g_weights, f.ravel(), np.repeat(p[own], f.shape[1], 0))
             straight, back = np.zeros_like(self.links), np.zeros_like(self.links)
             np.add.at(straight, (kind[~turned], y[of[~turned]]), p[to[~turned]])
             np.add.at(back, (kind[turned], y[of[turned]]), p[to[turned]])
@@ -288,6 +365,34 @@ class Field:
                 v += 0.01 * (g * g - v)
                 x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
 
+    def _settle(self, held: list[tuple]) -> None:
+        """Each kind's threshold, on texts that were not trained on: hidden mentions are to be found, what the patterns pass over is not, unless it is linked to a kind."""
+        seen = []
+        for f, labels, edges, told in held:
+            own = np.array(labels[: len(f)])
+            asked = np.flatnonzero((np.array(told) == 2) | (np.array(told) == 1) & (own == 0))
+            if not len(asked):
+                continue
+            # what the patterns found is evidence, the others are asked for
+            base = [y if t == 1 else 0 for y, t in zip(labels, told, strict=False)] + labels[len(f) :]
+            p = self._beliefs(f, base, edges)
+            seen += [(labels[i], int(p[i, 1:].argmax()) + 1, p[i, 1:].max()) for i in asked]
+        for k in range(1, LABELS):
+            own = sorted((p, y == k) for y, said, p in seen if said == k)
+            for t in np.arange(0.5, 1.0, 0.05):
+                hit = [right for p, right in own if p >= t]
+                if hit and np.mean(hit) >= RIGHT:
+                    self.sure[k] = t
+                    break
+
+    def _beliefs(self, f: list, labels: list[int], edges: list) -> np.ndarray:
+        """Marginals of tokens and hubs; those with a label are evidence."""
+        unary, known = np.zeros((len(labels), LABELS)), np.flatnonzero(labels)
+        unary[: len(f)] = self.weights[np.array(f)].sum(1)
+        unary[known] = -1e6  # however many others say otherwise
+        unary[known, np.array(labels)[known]] = 0.0
+        return self.marginals(unary, edges)
+
     def marginals(self, unary: np.ndarray, edges: list[tuple[int, int, int]]) -> np.ndarray:
         """Loopy sum-product over the edges; log potentials in, probabilities out. All messages are sent together."""
         if not edges:
@@ -297,17 +402,16 @@ class Field:
         source, target = np.r_[i, j], np.r_[j, i]
         table = np.exp(np.concatenate((self.links[k], self.links[k].transpose(0, 2, 1))))
         back = np.r_[np.arange(len(i)) + len(i), np.arange(len(i))]
-        m = np.zeros((len(source), LABELS))
-        for _ in range(ROUNDS):
+        m, damp, rounds, moved = np.zeros((len(source), LABELS)), DAMP, 0, 1.0
+        while moved >= 1e-4:
             belief = unary.copy()
             np.add.at(belief, target, m)
             out = belief[source] - m[back]
             new = np.log(np.einsum("el,elk->ek", np.exp(out - out.max(1, keepdims=True)), table))
-            new = (1 - DAMP) * (new - new.max(1, keepdims=True)) + DAMP * m
-            done = np.abs(new - m).max() < 1e-4
-            m = new
-            if done:
-                break
+            new = (1 - damp) * (new - new.max(1, keepdims=True)) + damp * m
+            moved, m, rounds = np.abs(new - m).max(), new, rounds + 1
+            if rounds % 50 == 0:  # messages that swing come to rest
+                damp = (1 + damp) / 2
         belief = unary.copy()
         np.add.at(belief, target, m)
         b = np.exp(belief - belief.max(1, keepdims=True))
@@ -318,12 +422,10 @@ class Field:
         spans, labels, keys = nodes(text, base)
         if not spans or all(labels):
             return []
-        unary = self.weights[np.array([features(text, a, b) for a, b in spans])].sum(1)
-        known = np.array(labels) > 0
-        unary[known] = -30.0
-        unary[known, np.array(labels)[known]] = 0.0
-        p = self.marginals(unary, _edges(text, spans, keys))
-        return [(spans[i][0], int(p[i, 1:].argmax()) + 1, spans[i][1]) for i in np.flatnonzero(~known & (p[:, 1:].max(1) >= SURE))]
+        edges = _edges(text, spans, keys)
+        p = self._beliefs([features(text, a, b) for a, b in spans], labels + _hubs(labels, edges), edges)[: len(spans)]
+        kind = p[:, 1:].argmax(1) + 1
+        return [(spans[i][0], int(kind[i]), spans[i][1]) for i in np.flatnonzero((np.array(labels) == 0) & (p[np.arange(len(p)), kind] >= self.sure[kind]))]
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Field:
