@@ -82,3 +82,47 @@ def chart_inclusion(df: DataFrame, min_n: int = 30, min_coverage: float = 0.8) -
         "node_loading": F.when(~capacity | (F.col("n_node") == 0) | (F.col("n_app") == 0), "needs both node rows and application rows"),
     }
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("chart"), v.alias("reason")) for k, v in reasons.items()])).alias("c")).select("c.*")
+
+
+def chart_tables(df: DataFrame, min_n: int = 30, min_coverage: float = 0.8, edition_b: DataFrame | None = None) -> tuple[dict[str, DataFrame], list[tuple[str, str]]]:
+    """The tables of all charts that the panel supports, by chart, and (chart, reason) of the others. With edition_b also those that compare it with df, the earlier edition."""
+    from . import editions, nodes, panel, quality, survival
+
+    # a row for each chart
+    reasons = {r["chart"]: r["reason"] for r in chart_inclusion(df, min_n, min_coverage).collect()}
+
+    def loads() -> DataFrame:
+        own = nodes.node_rows(df).withColumn("_seq", F.col("_seq") if "_seq" in df.columns else F.monotonically_increasing_id())
+        return loading_bars(nodes.loading(nodes.assign(applications(df), nodes.station_map(own)), own))
+
+    made = {
+        "field_coverage": lambda: panel.field_coverage(df),
+        "quality_rules": lambda: quality.quality_sums(df),
+        "column_shift": lambda: quality.column_shift(df),
+        "status_distribution": lambda: status_distribution(df),
+        "capacity_by_class": lambda: capacity_by_class(df),
+        "processing_time": lambda: survival.km_table(survival.processing_time(applications(df)), ["resource_class"]),
+        "location_resolution": lambda: location_category(df),
+        "node_loading": loads,
+    }
+    skipped = [(c, r) for c, r in reasons.items() if r is not None]
+    if "_geo_confidence" not in df.columns and reasons.get("location_resolution") is None:
+        reasons["location_resolution"] = "not geocoded"
+        skipped.append(("location_resolution", "not geocoded"))
+    if "_group_no" not in df.columns and reasons.get("node_loading") is None:
+        reasons["node_loading"] = "nodes have no group"
+        skipped.append(("node_loading", "nodes have no group"))
+    tables = {c: f() for c, f in made.items() if reasons.get(c) is None}
+    if edition_b is not None:
+        tables["edition_flows"] = edition_flows(editions.compare(df, edition_b))
+        tables["edition_transitions"] = editions.transitions(df, edition_b)
+        tables["linkage_recall"] = editions.linkage_recall(df, edition_b)
+    return tables, skipped
+
+
+def save_all(df: DataFrame, path: str, min_n: int = 30, min_coverage: float = 0.8, edition_b: DataFrame | None = None) -> tuple[list[str], list[tuple[str, str]]]:
+    """Write every chart's table as Parquet under path; the charts written, and those skipped with the reason."""
+    tables, skipped = chart_tables(df, min_n, min_coverage, edition_b)
+    for chart, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/{chart}")
+    return sorted(tables), skipped

@@ -11,6 +11,13 @@ ACTIVE = ("APPLICATION_FILED", "APPLICATION_INCOMPLETE", "UNDER_REVIEW", "CONDIT
 LINE = r"(?iU)\b(w\s+lini(i|ach)|relacj(i|a)|odczep\s+z\s+lini)"
 
 
+def node_rows(panel: DataFrame) -> DataFrame:
+    """The panel's nodes: by its entity, or, where it has none, rows that state an available capacity."""
+    if "_entity" in panel.columns:
+        return panel.where(F.upper("_entity") == "NODE")
+    return panel.where("capacity_available IS NOT NULL") if "capacity_available" in panel.columns else panel.limit(0)
+
+
 def station_map(nodes: DataFrame, separator: str | None = ",") -> DataFrame:
     """group, node_name, station, station_norm, _seq: one row for each station of each node. nodes has _group_no, node_name, _seq and station or location_text."""
     own = nodes.withColumn("station", F.explode_outer(F.split("location_text", separator))) if "station" not in nodes.columns else nodes

@@ -102,31 +102,53 @@ def core_complete(df: DataFrame) -> Column:
     return out
 
 
+def _bad_value(df: DataFrame, f: Field) -> Column | None:
+    """Where a field's value is not of its kind; null if any value is."""
+    c, text = F.col(f.name), F.col(f.name).cast("string")
+    bad = None
+    if f.dtype == "number":
+        bad = text.try_cast("double").isNull() | (text.try_cast("double") < 0) if f.name != "queue_position" else text.try_cast("double").isNull()
+    elif f.dtype == "date":
+        bad = ~text.rlike(r"^\d{4}-\d{2}-\d{2}$") | F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).isNull()
+    elif f.dtype == "boolean":
+        bad = ~F.lower(F.trim(text)).isin("true", "false", "tak", "nie", "0", "1")
+    elif f.dtype == "geopoint":
+        lat, lon = (F.get(F.split(text, ","), i).try_cast("double") for i in (0, 1))
+        bad = ~F.coalesce(lat.between(-90, 90) & lon.between(-180, 180), F.lit(False))
+    return None if bad is None else ~is_nullish(c) & F.coalesce(bad, F.lit(True))
+
+
+def outside_columns(df: DataFrame) -> list[str]:
+    """Columns that are neither the schema's nor extensions, by name."""
+    return sorted(c for c in df.columns if c not in SCHEMA.names and not c.startswith("_"))
+
+
 def row_messages(df: DataFrame, strict: bool = False) -> Column:
     """What is wrong in a row, as an array of messages."""
     checks: list[tuple[Column, str]] = [(F.lit(True), f"outside the schema: {c}") for c in df.columns if c not in SCHEMA.names and not c.startswith("_")]
     checks += [(~filled(df, f.name), f"missing core field: {f.name}") for f in FIELDS if f.core]
     for f in FIELDS:
-        if f.name not in df.columns:
-            continue
-        c, text = F.col(f.name), F.col(f.name).cast("string")
-        bad = None
-        if f.dtype == "number":
-            bad = text.try_cast("double").isNull() | (text.try_cast("double") < 0) if f.name != "queue_position" else text.try_cast("double").isNull()
-        elif f.dtype == "date":
-            bad = ~text.rlike(r"^\d{4}-\d{2}-\d{2}$") | F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).isNull()
-        elif f.dtype == "boolean":
-            bad = ~F.lower(F.trim(text)).isin("true", "false", "tak", "nie", "0", "1")
-        elif f.dtype == "geopoint":
-            lat, lon = (F.get(F.split(text, ","), i).try_cast("double") for i in (0, 1))
-            bad = ~F.coalesce(lat.between(-90, 90) & lon.between(-180, 180), F.lit(False))
+        bad = _bad_value(df, f) if f.name in df.columns else None
         if bad is not None:
-            checks.append((~is_nullish(c) & F.coalesce(bad, F.lit(True)), f"bad {f.dtype}: {f.name}"))
+            checks.append((bad, f"bad {f.dtype}: {f.name}"))
     if strict:
         checks += [(filled(df, c) & ~F.col(c).isin(*words), f"outside the vocabulary: {c}") for c, words in (("resource_class", CLASSES), ("process_status", STATUSES)) if c in df.columns]
     return F.filter(F.array(*[F.when(bad, F.lit(said)) for bad, said in checks]), lambda x: x.isNotNull())
 
 
+def validation_report(df: DataFrame) -> DataFrame:
+    """One row from one scan: n_rows, columns_outside, missing_core_columns, completion (share filled by field; 0 for fields that df lacks), violation_type (values not of their field's kind, by field where there are any), rows_with_complete_core. Values outside the vocabularies, of which there may be many, are rows of outside_vocabulary."""
+    have = [f for f in FIELDS if f.name in df.columns]
+    bad = {f.name: b for f in have if (b := _bad_value(df, f)) is not None}
+    one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(core_complete(df)).alias("rows_with_complete_core"), *[F.count_if(filled(df, f.name)).alias(f"f_{f.name}") for f in have], *[F.count_if(b).alias(f"b_{c}") for c, b in bad.items()])
+    share = lambda f: F.coalesce(F.round(F.try_divide(f"f_{f.name}", "n_rows"), 6), F.lit(0.0)) if f in have else F.lit(0.0)
+    completion = F.map_from_arrays(F.array(*[F.lit(f.name) for f in FIELDS]), F.array(*[share(f) for f in FIELDS]))
+    pairs = F.array(*[F.struct(F.lit(c).alias("key"), F.col(f"b_{c}").alias("value")) for c in bad]) if bad else F.array().cast("array<struct<key:string,value:bigint>>")
+    text = lambda names: F.array(*map(F.lit, names)).cast("array<string>")
+    missing = [f.name for f in FIELDS if f.core and f.name not in df.columns]
+    return one.select("n_rows", text(outside_columns(df)).alias("columns_outside"), text(missing).alias("missing_core_columns"), completion.alias("completion"), F.map_from_entries(F.filter(pairs, lambda x: x["value"] > 0)).alias("violation_type"), "rows_with_complete_core")
+
+
 def completion_report(df: DataFrame) -> DataFrame:
     """field, n_filled, share for every field that df has: one scan."""
     names = [f.name for f in FIELDS if f.name in df.columns]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -231,15 +233,47 @@ def resolve_in(queries: DataFrame, gaz: DataFrame, localities: DataFrame, addres
     return out.select("query", "locality", F.col("r.matched").alias("matched"), pick("lat"), pick("lon"), F.coalesce("r.confidence", F.lit("NONE")).alias("confidence"), reason.alias("reason"), accuracy.alias("accuracy"))
 
 
-def geocode(df: DataFrame, resolved: DataFrame, column: str = "location_text", overwrite: bool = False) -> DataFrame:
-    """df with coordinates, _geo_confidence, _geo_accuracy, _geo_reason; the source's own coordinates stay unless overwritten."""
+@dataclass(frozen=True)
+class Gazetteer:
+    """A resolver: what geocode takes in place of resolved descriptions. Any object with resolve_df(df, column) is one."""
+
+    streets: DataFrame
+
+    def resolve_df(self, df: DataFrame, column: str) -> DataFrame:
+        return resolve(df, gazetteer(self.streets), column)
+
+
+@dataclass(frozen=True)
+class Localities:
+    """A resolver over several localities, see resolve_in."""
+
+    streets: DataFrame
+    localities: DataFrame
+    addresses: DataFrame | None = None
+    default: str | None = None
+    allow_centroid: bool = False
+
+    def resolve_df(self, df: DataFrame, column: str) -> DataFrame:
+        return resolve_in(df, gazetteer(self.streets), self.localities, self.addresses, self.default, self.allow_centroid, column)
+
+
+def geocode(df: DataFrame, resolved, column: str = "location_text", overwrite: bool = False, station_code_column: str | None = None) -> DataFrame:
+    """df with coordinates, _geo_confidence, _geo_accuracy, _geo_reason; the source's own coordinates stay unless overwritten.
+
+    resolved: a table as resolve gives it, or a resolver, which then looks up the distinct descriptions. Rows whose
+    station_code_column is true are codes of stations, whatever they look like.
+    """
+    if hasattr(resolved, "resolve_df"):
+        resolved = resolved.resolve_df(df.select(column).distinct(), column)
     own = F.coalesce(F.col("coordinates"), F.lit("")) != "" if "coordinates" in df.columns else F.lit(False)
     keep = own & F.lit(not overwrite)
+    code = F.coalesce(F.col(station_code_column), F.lit(False)) if station_code_column in df.columns else F.lit(False)
     r = resolved.select(F.col("query").alias("_tl_query"), "lat", "lon", "confidence", "accuracy", "reason")
     joined = df.join(r, strip(F.coalesce(F.col(column), F.lit(""))) == F.col("_tl_query"), "left")
-    point = F.when(F.col("lat").isNotNull(), F.format_string("%.6f,%.6f", "lat", "lon"))
+    point = F.when(F.col("lat").isNotNull() & ~code, F.format_string("%.6f,%.6f", "lat", "lon"))
     source = F.col("coordinates") if "coordinates" in df.columns else F.lit(None).cast("string")
-    return joined.withColumns({"coordinates": F.when(keep, source).otherwise(point), "_geo_confidence": F.when(keep, "SOURCE").otherwise(F.col("confidence")), "_geo_accuracy": F.when(keep, "SOURCE").otherwise(F.col("accuracy")), "_geo_reason": F.when(keep, F.lit(None)).otherwise(F.col("reason"))}).drop("_tl_query", "lat", "lon", "confidence", "accuracy", "reason")
+    said = lambda c, coded: F.when(code, coded).otherwise(F.col(c))
+    return joined.withColumns({"coordinates": F.when(keep, source).otherwise(point), "_geo_confidence": F.when(keep, "SOURCE").otherwise(said("confidence", F.lit("NONE"))), "_geo_accuracy": F.when(keep, "SOURCE").otherwise(said("accuracy", F.lit(None))), "_geo_reason": F.when(keep, F.lit(None)).otherwise(said("reason", F.lit("station_code_without_dictionary")))}).drop("_tl_query", "lat", "lon", "confidence", "accuracy", "reason")
 
 
 def summarize(resolved: DataFrame) -> DataFrame:

@@ -64,3 +64,8 @@ def complete_case_medians(timed: DataFrame, by: list[str], min_n: int = 30) -> D
     """by, n and the quartiles of the closed cases."""
     q = F.percentile("time_days", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     return timed.where("event = 1").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), q.alias("q")).where(F.col("n") >= min_n).select(*by, "n", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"))
+
+
+def sorted_medians(timed: DataFrame, by: tuple[str, ...] = ("publisher", "resource_class"), min_n: int = 30) -> DataFrame:
+    """The table of complete_case_medians, by the first column, then from the shortest median to the longest, ties by name."""
+    return complete_case_medians(timed, list(by), min_n).orderBy(by[0], "median", *by[1:])

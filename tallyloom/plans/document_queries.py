@@ -265,3 +265,15 @@ def rules_isolated(spark, sf_dir):
     keep = {r.code: r for r in quality.ROW_RULES}
     rules = (keep["R1"], keep["R4"], keep["R8"], quality.Rule("X1", "a column that is not there", lambda df: F.col("nowhere").isNull().cast("long")))
     return quality.run_quality(broken, rules, only=("R1", "R4", "R8", "X1")).withColumn("error", F.when(F.col("code") == "X1", F.substring_index("error", ":", 1)).otherwise(F.col("error")))
+
+
+@query(""" SELECT count(*) AS n_rows, 'extra,other' AS columns_outside, 'location_text' AS missing_core_columns, 'capacity_injected:' || count(*) FILTER (WHERE _seq % 100 = 0) || ',date_refusal:' || count(*) FILTER (WHERE _seq % 50 = 0) AS violations, CAST(0 AS BIGINT) AS rows_with_complete_core,
+   round(count(date_conditions) / CAST(count(*) AS DOUBLE), 6) AS share_conditions, 0.0 AS share_location FROM app""", "app")
+def validation_report(spark, sf_dir):
+    """A panel with columns of its own, without a core column, with texts among its numbers and impossible dates."""
+    from ..operators import panel
+
+    k = F.col("_seq")
+    df = view(spark, sf_dir, "app").drop("location_text").withColumns({"capacity_injected": F.when(k % 100 == 0, "many").otherwise(F.col("capacity_injected").cast("string")), "date_refusal": F.when(k % 50 == 0, "2020-13-01").otherwise(F.col("date_refusal").cast("string")), "other": F.lit(1), "extra": F.lit(2)})
+    said = F.array_join(F.array_sort(F.transform(F.map_entries("violation_type"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))), ",")
+    return panel.validation_report(df).select("n_rows", F.array_join("columns_outside", ",").alias("columns_outside"), F.array_join("missing_core_columns", ",").alias("missing_core_columns"), said.alias("violations"), "rows_with_complete_core", F.col("completion")["date_conditions"].alias("share_conditions"), F.col("completion")["location_text"].alias("share_location"))

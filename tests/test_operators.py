@@ -217,3 +217,78 @@ def test_what_an_empty_panel_supports(spark):
     assert reasons["status_distribution"] == "no process status disclosed" and reasons["node_loading"] == "needs both node rows and application rows"
     assert panel.outside_vocabulary(empty).count() == 0
     assert panel.summary(empty).first()["n_fields_filled"] == 0 and survival.date_coverage(empty).first()["coverage"] == 0.0
+
+
+def test_isolated_rules(spark):
+    df = spark.createDataFrame([("a", "CONDITIONS_ISSUED", "5", "x"), ("a", "REFUSED", "abc", "y"), (None, "BOGUS", "-7", "z")], "application_id string, process_status string, capacity_injected string, publisher string")
+    late = quality.Rule("X4", "fails while it runs", lambda d: F.col("process_status").cast("int"))
+    rules = (*quality.ROW_RULES, quality.Rule("X1", "no column", lambda d: F.col("nowhere").isNull().cast("long")), quality.Rule("X2", "fails at once", lambda d: 1 / 0), quality.Rule("X3", "types", lambda d: F.col("process_status") + F.array(F.lit(1))))
+    got = {r["code"]: r for r in quality.run_quality(df, rules).collect()}
+    assert {c: r["violations"] for c, r in got.items()} == {"R1": 0, "R2": 0, "R3": 0, "R4": -1, "R5": -1, "R6": 1, "R7": 3, "R8": 1, "X1": -1, "X2": -1, "X3": -1}
+    assert got["R4"]["error"] == "1 values of capacity_injected are no numbers" and got["R4"]["share"] is None and got["X2"]["error"].startswith("ZeroDivisionError") and got["R8"]["error"] is None
+    report = quality.quality_report(df, (*rules, late))
+    assert {r["code"]: r["violations"] for r in report["rules"]} == {c: r["violations"] for c, r in got.items()} | {"X4": -1} and report["n_rows"] == 3 and report["violations_total"] == -1
+
+
+def test_sums_of_publishers(spark):
+    df = spark.createDataFrame([("p", "a"), ("q", "a"), ("q", "b"), ("q", "b"), (None, "b"), (None, None)], "publisher string, application_id string")
+    got = {(r["publisher"], r["is_total"]): r["violations"] for r in quality.quality_sums(df).where("code = 'R6'").collect()}
+    assert got == {("p", False): 0, ("q", False): 1, (None, True): 3}
+    row = quality.sum_check(df).first()
+    assert (row["n_rows"], row["n_publishers"]) == (6, 2) and "R6:1/3" in row["mismatch"] and "R7:4/6" in row["mismatch"]
+    assert quality.sum_check(df.limit(0)).first()["mismatch"] == ""
+
+
+def test_numbered(spark):
+    from pyspark.sql import functions as F
+
+    from tallyloom.functions.tables import numbered
+
+    df = spark.range(1000).select((F.col("id") % 7).alias("a"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("id")).repartition(9)
+    rows = numbered(df, [F.desc("a"), F.col("id")]).collect()
+    assert sorted(r["rank"] for r in rows) == list(range(1, 1001))
+    order = [(-r["a"], r["id"] is not None, r["id"] or 0) for r in sorted(rows, key=lambda r: r["rank"])]
+    assert order == sorted(order) and numbered(df.limit(0), [F.col("a")]).collect() == []
+    same = numbered(spark.range(50).select(F.lit(1).alias("x")), [F.col("x")])
+    assert sorted(r["rank"] for r in same.collect()) == list(range(1, 51)) and same.collect() == same.collect()
+
+
+def test_lines_of_a_large_page(spark):
+    words = spark.range(100_000).select(F.lit(1).alias("page"), F.col("id").cast("string").alias("text"), (F.col("id") % 50).cast("double").alias("x0"), (F.col("id") % 50 + 1).cast("double").alias("x1"), (F.floor(F.col("id") / 50) * 5 + F.col("id") % 3 * 0.9).cast("double").alias("top"))
+    got = layout.lines(words.unionByName(words.limit(1).withColumn("top", F.lit(None).cast("double")).withColumn("page", F.lit(2))))
+    assert got.where("page = 1").agg(F.max("line")).first()[0] == 1999 and got.where("page = 1 AND line <> floor(cast(text as long) / 50)").isEmpty()
+    assert got.where("page = 2").first()["line"] == 0
+
+
+def test_long_axes_cross(spark):
+    n = 10_000
+    a = [(50 + i / n, 20 + (i % 2) * 1e-5) for i in range(n)]
+    b = [(50.25 + (i % 2) * 1e-5, 19.5 + i / n) for i in range(n)]
+    axis = "array<struct<lat:double,lon:double>>"
+    got = places.axis_crossing(spark.createDataFrame([(1, a, b), (2, a[:2], b[:2]), (3, [(1.0, 1.0)], b), (4, [(50.0, 20.0), (50.5, 20.0)], [(50.25, 19.0), (50.25, 21.0)])], f"id long, axis_a {axis}, axis_b {axis}")).collect()
+    assert sorted((r["id"], r["lat"], r["lon"]) for r in got) == [(1, 50.25, 20.0), (4, 50.25, 20.0)]
+
+
+def test_nodes_without_entity(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", None)], "node_id string, capacity_available double")
+    assert [r["node_id"] for r in nodes.node_rows(df).collect()] == ["a"] and nodes.node_rows(df.drop("capacity_available")).count() == 0
+    assert nodes.node_rows(df.withColumn("_entity", F.lit("node"))).count() == 2
+
+
+def test_resolvers(spark):
+    streets = spark.createDataFrame([("Polna", 50.0, 20.0, 1), ("Leśna Dolna", None, None, 2)], "name string, lat double, lon double, _seq long")
+    df = spark.createDataFrame([("Polna", False, None), ("polna", True, None), ("Lesna Dolna", None, "1,2"), (None, None, None)], "location_text string, code boolean, coordinates string")
+    got = sorted((str(r["location_text"]), r["coordinates"], r["_geo_confidence"], r["_geo_reason"]) for r in places.geocode(df, places.Gazetteer(streets), station_code_column="code").collect())
+    assert got == [("Lesna Dolna", "1,2", "SOURCE", None), ("None", None, "NONE", "empty_description"), ("Polna", "50.000000,20.000000", "EXACT", None), ("polna", None, "NONE", "station_code_without_dictionary")]
+    towns = spark.createDataFrame([("Toruń",)], "name string")
+    many = places.Localities(streets.withColumn("locality", F.lit("Toruń")), towns)
+    assert places.geocode(spark.createDataFrame([("Torun, Polna",)], "location_text string"), many).first()["coordinates"] == "50.000000,20.000000"
+
+
+def test_all_charts(spark, tmp_path):
+    from tallyloom.sources import registers
+
+    df = registers.synthetic_panel(spark, 200)
+    saved, skipped = chartdata.save_all(df, str(tmp_path / "charts"), edition_b=df)
+    assert {"field_coverage", "quality_rules", "column_shift", "status_distribution", "capacity_by_class", "edition_flows"} <= set(saved) and {"node_loading", "location_resolution"} <= {c for c, _ in skipped}
+    assert all(spark.read.parquet(f"{tmp_path}/charts/{c}").columns for c in saved) and set(saved).isdisjoint(c for c, _ in skipped)
