@@ -375,7 +375,25 @@ def geo_cascade(spark, sf_dir):
     return done.where("confidence IN ('EXACT', 'UNIQUE_TOKEN', 'TOKEN_SUBSET')").select("query", "confidence", "matched")
 
 
-@query()
+# all confidences and reasons of whole streets, of words in another order, and of crossings
+_RESOLVED = _CASCADE + """, st AS (SELECT name, lat, lon, list_sort(list_distinct(string_split(name, ' '))) AS ws FROM street),
+ rv AS (SELECT w.query, min(st.name) AS name FROM w JOIN st ON st.ws = list_sort(list_distinct(w.ts)) GROUP BY 1 HAVING count(DISTINCT st.name) = 1),
+ ix AS (SELECT query, count(*) AS parts, count(s.name) AS hit, string_agg(s.name, ' / ') AS name, min(s.lat) AS lat, min(s.lon) AS lon FROM (SELECT query, trim(unnest(string_split(street, '/'))) AS part FROM w WHERE contains(street, '/')) x LEFT JOIN street s ON s.name = lower(part) GROUP BY 1 HAVING count(s.name) >= 2),
+ kn AS (SELECT DISTINCT query FROM (SELECT query, unnest(ts) AS t FROM w) x JOIN tk ON tk.t = x.t),
+ na AS (SELECT w.query, w.ts, coalesce(ex.name, un.name, su.name, rv.name) AS name, CASE WHEN ex.name IS NOT NULL THEN 'EXACT' WHEN un.name IS NOT NULL THEN 'UNIQUE_TOKEN' WHEN su.name IS NOT NULL THEN 'TOKEN_SUBSET' WHEN rv.name IS NOT NULL THEN 'REVERSED' END AS how
+        FROM w LEFT JOIN ex ON w.query = ex.query LEFT JOIN un ON w.query = un.query LEFT JOIN su ON w.query = su.query LEFT JOIN rv ON w.query = rv.query),
+ res AS (SELECT na.query, coalesce(na.name, ix.name) AS matched, CASE WHEN na.name IS NOT NULL THEN st.lat ELSE ix.lat END AS lat, CASE WHEN na.name IS NOT NULL THEN st.lon ELSE ix.lon END AS lon, coalesce(how, CASE WHEN ix.name IS NOT NULL THEN 'INTERSECTION' ELSE 'NONE' END) AS confidence,
+        CASE WHEN na.name IS NOT NULL THEN NULL WHEN ix.name IS NOT NULL THEN 'matched ' || hit || ' of ' || parts || ' parts' WHEN len(ts) = 0 THEN 'no_distinguishing_tokens' WHEN kn.query IS NULL THEN 'no_candidates' ELSE 'multiple_candidates' END AS reason
+        FROM na LEFT JOIN st ON st.name = na.name LEFT JOIN ix ON ix.query = na.query LEFT JOIN kn ON kn.query = na.query),
+ rs AS (SELECT *, CASE WHEN matched IS NULL THEN NULL WHEN lat IS NOT NULL THEN 'STREET_AXIS_POINT' ELSE 'NO_GEOMETRY' END AS accuracy FROM res)"""
+
+
+@query(_RESOLVED + " SELECT query, matched, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, confidence, reason, accuracy FROM rs", "queries", "street")
+def geo_resolved(spark, sf_dir):
+    return places.resolve(view(spark, sf_dir, "queries"), places.gazetteer(view(spark, sf_dir, "street"))).select("query", "matched", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), "confidence", "reason", "accuracy")
+
+
+@query(_RESOLVED + " SELECT level, value, count(*) AS n FROM (SELECT 'confidence' AS level, confidence AS value FROM rs UNION ALL SELECT 'accuracy', accuracy FROM rs UNION ALL SELECT 'reason', reason FROM rs) x WHERE value IS NOT NULL GROUP BY 1, 2", "queries", "street")
 def geo_summary(spark, sf_dir):
     return places.summarize(places.resolve(view(spark, sf_dir, "queries"), places.gazetteer(view(spark, sf_dir, "street"))))
 
@@ -502,7 +520,7 @@ def status_distribution(spark, sf_dir):
     return chartdata.status_distribution(view(spark, sf_dir, "app")).withColumn("order", F.col("order").cast("long"))
 
 
-@query()
+@query(_RESOLVED + " SELECT CASE WHEN accuracy = 'STREET_AXIS_POINT' THEN 'street point' WHEN accuracy = 'NO_GEOMETRY' THEN 'street without geometry' ELSE 'unresolved' END AS category, count(*) AS n FROM queries q JOIN rs ON rs.query = q.query GROUP BY 1", "queries", "street")
 def location_category(spark, sf_dir):
     done = places.resolve(view(spark, sf_dir, "queries"), places.gazetteer(view(spark, sf_dir, "street")))
     return chartdata.location_category(places.geocode(view(spark, sf_dir, "queries"), done, "query"))
