@@ -388,7 +388,7 @@ _RESOLVED = _CASCADE + """, st AS (SELECT name, lat, lon, list_sort(list_distinc
  rs AS (SELECT *, CASE WHEN matched IS NULL THEN NULL WHEN lat IS NOT NULL THEN 'STREET_AXIS_POINT' ELSE 'NO_GEOMETRY' END AS accuracy FROM res)"""
 
 
-@query(_RESOLVED + " SELECT query, matched, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, confidence, reason, accuracy FROM rs", "queries", "street")
+@query(_RESOLVED + " SELECT DISTINCT trim(query) AS query, matched, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, confidence, reason, accuracy FROM rs", "queries", "street")
 def geo_resolved(spark, sf_dir):
     return places.resolve(view(spark, sf_dir, "queries"), places.gazetteer(view(spark, sf_dir, "street"))).select("query", "matched", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), "confidence", "reason", "accuracy")
 
