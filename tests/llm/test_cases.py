@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyloom.llm import bpe, components, decontaminate, entry, langid, line_dedup
@@ -79,6 +80,15 @@ def test_lines_with_clashing_columns(spark):
     assert line_dedup.remove_boilerplate(df.limit(0)).collect() == []
 
 
+def test_lines_that_share_a_hash(spark, monkeypatch):
+    # a hash of the length alone: only the text that is on many sites goes
+    monkeypatch.setattr(line_dedup, "_key", lambda line: F.length(F.btrim(line, F.lit(" \t\r"))).cast("long"))
+    rows = [(i, f"often\nonce{'abcdefghijkl'[i]}", f"s{i}") for i in range(12)] + [(20, "never", "s1"), (21, " often", "s2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_boilerplate(df).collect()}
+    assert got == {i: t.split("\n")[1] for i, t, _ in rows[:12]} | {20: "never", 21: ""}
+
+
 def test_leaks_with_clashing_columns(spark):
     df = table(spark, [(1, "Plain words without any slot stand here in a row for all of us.", None), (2, "nothing", None)])
     items = spark.createDataFrame([(7, "Plain words without any slot stand here in a row for all of us.", "x", "y")], "item_id long, text string, value string, doc_id string")
