@@ -111,7 +111,8 @@ def sort_means(vectors: DataFrame, k: int = 16, rounds: int = 3, seed: str = "1"
     """(vec_id, cluster, distance), the final centroids, and the inertia of each. The k kept vectors with the smallest sha256 of seed:vec_id are the first centroids."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).where(counts(F.col("embedding"), dim))
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
-    seeds = rows.orderBy(key.asc_nulls_last(), F.col("embedding")).limit(k).select("embedding").collect()
+    numbers = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))  # vectors that share an id by what they become
+    seeds = rows.orderBy(key.asc_nulls_last(), numbers).limit(k).select("embedding").collect()
     if not seeds:
         return rows.select("vec_id", F.lit(0).alias("cluster"), F.lit(0).cast("long").alias("distance")), np.zeros((0, dim), np.int64), []
     centroids = whole(pa.array([r[0] for r in seeds], pa.list_(pa.float64())), dim, scale)

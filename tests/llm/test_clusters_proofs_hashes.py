@@ -21,8 +21,7 @@ VECTORS = "vec_id long, embedding array<double>, cluster string, v int, n int"
 
 def brute_lloyd(rows, k, rounds, dim):
     kept = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v)]
-    raw = [(i, v) for i, v in rows if v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v)]
-    order = sorted(range(len(kept)), key=lambda r: (kept[r][0] is None, hashlib.sha256(f"1:{kept[r][0]}".encode()).hexdigest() if kept[r][0] is not None else "", raw[r][1]))
+    order = sorted(range(len(kept)), key=lambda r: (kept[r][0] is None, hashlib.sha256(f"1:{kept[r][0]}".encode()).hexdigest() if kept[r][0] is not None else "", kept[r][1]))
     cents = [kept[r][1] for r in order[:k]]
 
     def near(v):
@@ -41,7 +40,7 @@ def test_lloyd(spark):
     rng = random.Random(5)
     # few distinct values: many ties and equal vectors
     rows = [(i, [rng.choice([-0.5, -0.01, 0.0, 0.25, 1.0]) for _ in range(4)]) for i in range(300)]
-    rows += [(7, [0.0] * 4), (7, [0.0] * 4), (None, [1.0] * 4), (None, None), (1, []), (2, [0.0] * 3), (3, [0.0, None, 0.0, 0.0]), (4, [float("nan")] * 4), (5, [0.0, float("inf"), 0.0, 0.0]), (6, [-1e5, 1e5, 0.0, 0.0])]
+    rows += [(7, [0.0] * 4), (7, [0.0] * 4), (0, [0.001, 1.0, 0.0, 0.0]), (0, [0.002, 0.0, 0.0, 0.0]), (None, [1.0] * 4), (None, None), (1, []), (2, [0.0] * 3), (3, [0.0, None, 0.0, 0.0]), (4, [float("nan")] * 4), (5, [0.0, float("inf"), 0.0, 0.0]), (6, [-1e5, 1e5, 0.0, 0.0])]
     df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], VECTORS)
     for k, rounds in ((5, 0), (7, 3), (1, 2), (400, 2)):
         got, cents, inertia = sort_means.sort_means(df.repartition(5), k=k, rounds=rounds, dim=4)
