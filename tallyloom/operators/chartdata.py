@@ -46,6 +46,14 @@ def loading_bars(loaded: DataFrame, label: int = 12) -> DataFrame:
     return ranked.select("rank", "node_name", "loading", (F.col("rank") <= label).alias("labelled"))
 
 
+def quality_chart(by_publisher: DataFrame) -> DataFrame:
+    """code, group, violations, total, place of rules by publisher (see quality_by_publisher): a rule that failed counts as none, rules with the most violations come first, ties by code."""
+    own = by_publisher.select("code", F.coalesce("publisher", F.lit("(publisher not set)")).alias("group"), F.greatest("violations", F.lit(0)).cast("long").alias("violations"))
+    total = own.groupBy("code").agg(F.sum("violations").alias("total"))
+    placed = total.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), "code")).cast("long"))  # a row for each rule
+    return own.join(F.broadcast(placed), "code")
+
+
 def loading_title(loaded: DataFrame) -> DataFrame:
     """n nodes, of which without capacity, the median loading, and how many above one."""
     return loaded.agg(F.count(F.lit(1)).alias("nodes"), F.count_if("zero_capacity").alias("zero"), F.median("loading").alias("median"), F.count_if(F.col("loading") > 1).alias("above_one"))

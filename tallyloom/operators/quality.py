@@ -148,6 +148,11 @@ def r7_details(df: DataFrame) -> DataFrame:
     return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("n > 0")
 
 
+def entity_rows(df: DataFrame) -> DataFrame:
+    """entity, n, incomplete: rows of each entity, and of them those that lack what R7 asks of it."""
+    return df.groupBy(entity(df).alias("entity")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~core_complete(df)).alias("incomplete"))
+
+
 def duplicates(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Rule R6: surplus rows of identifiers that repeat; a dash is an identifier, null is none."""
     by = by or []

@@ -277,3 +277,15 @@ def validation_report(spark, sf_dir):
     df = view(spark, sf_dir, "app").drop("location_text").withColumns({"capacity_injected": F.when(k % 100 == 0, "many").otherwise(F.col("capacity_injected").cast("string")), "date_refusal": F.when(k % 50 == 0, "2020-13-01").otherwise(F.col("date_refusal").cast("string")), "other": F.lit(1), "extra": F.lit(2)})
     said = F.array_join(F.array_sort(F.transform(F.map_entries("violation_type"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))), ",")
     return panel.validation_report(df).select("n_rows", F.array_join("columns_outside", ",").alias("columns_outside"), F.array_join("missing_core_columns", ",").alias("missing_core_columns"), said.alias("violations"), "rows_with_complete_core", F.col("completion")["date_conditions"].alias("share_conditions"), F.col("completion")["location_text"].alias("share_location"))
+
+
+@query(f" SELECT 'APPLICATION' AS entity, count(*) AS n, CAST(sum({_RULES['R7']}) AS BIGINT) AS incomplete FROM app", "app")
+def entity_rows(spark, sf_dir):
+    return quality.entity_rows(view(spark, sf_dir, "app"))
+
+
+@query(_TOTALS + ", o AS (SELECT publisher AS \"group\", code, CAST(v AS BIGINT) AS violations FROM (" + " UNION ALL ".join(f"SELECT publisher, '{c}' AS code, {c} AS v FROM {'t3' if c == 'R3' else 'by_pub'}" for c in (*_RULES, "R3", "R6")) + ") x), t AS (SELECT code, CAST(sum(violations) AS BIGINT) AS total FROM o GROUP BY 1) SELECT o.code, \"group\", violations, total, p.place FROM o JOIN (SELECT code, total, row_number() OVER (ORDER BY total DESC, code) AS place FROM t) p ON p.code = o.code", "app")
+def chart_quality(spark, sf_dir):
+    from ..operators import chartdata
+
+    return chartdata.quality_chart(quality.quality_by_publisher(view(spark, sf_dir, "app")))

@@ -222,6 +222,20 @@ def manifest_check(spark: SparkSession, path: str, manifest: DataFrame) -> DataF
     return both.select("name", state.alias("state"))
 
 
+# The first bytes of documents, by the ending of their names.
+SIGNATURES = {"pdf": "25504446", "xlsx": "504B0304", "zip": "504B0304"}
+
+
+def document_signatures(spark: SparkSession, path: str) -> DataFrame:
+    """name, ending, sound: whether a file begins as its ending says; an error page under a document's name does not. Files of other endings are sound if they are not markup. Spark's reader leaves empty files out, so they have no row; manifest_check then names them missing."""
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.substring("content", 1, 512).alias("head"))
+    ending = F.lower(F.regexp_extract("name", r"\.([A-Za-z0-9]+)$", 1))
+    first = F.create_map(*[F.lit(x) for kv in SIGNATURES.items() for x in kv])
+    markup = F.lower(F.ltrim(F.decode("head", "ISO-8859-1"))).rlike("^(<!doctype|<html)")
+    signed = F.hex(F.substring("head", 1, 4)) == F.element_at(first, ending)
+    return files.select("name", ending.alias("ending"), F.coalesce(signed, ~markup).alias("sound"))
+
+
 def gazetteer_json(spark: SparkSession, path: str) -> DataFrame:
     """locality, name, lat, lon, length_m, axis from a nested JSON gazetteer; older key names are understood too. An axis is a list of [lat, lon]."""
     entry = "struct<lat:double,lon:double,length_m:double,dlugosc_m:double,axis:array<array<double>>,os:array<array<double>>>"

@@ -62,6 +62,12 @@ def test_manifest(spark, tmp_path):
     assert {r["name"]: r["state"] for r in registers.manifest_check(spark, str(tmp_path / "*.bin"), listed).collect()} == {"a.bin": "matching", "b.bin": "different", "c.bin": "missing"}
 
 
+def test_signatures(spark, tmp_path):
+    for name, data in {"a.pdf": b"%PDF-1.7 x", "b.pdf": b"<!DOCTYPE html><p>not found", "c.xlsx": b"PK\x03\x04...", "d.csv": b"a;b", "e.csv": b"  <html>", "f.pdf": b""}.items():
+        (tmp_path / name).write_bytes(data)
+    assert {r["name"]: r["sound"] for r in registers.document_signatures(spark, str(tmp_path)).collect()} == {"a.pdf": True, "b.pdf": False, "c.xlsx": True, "d.csv": True, "e.csv": False}
+
+
 def test_gazetteer(spark, tmp_path):
     (tmp_path / "g.json").write_text('{"miejscowosci": {"X": {"ulice": {"Polna": {"lat": 1.0, "lon": 2.0, "dlugosc_m": 30}}}}}')
     assert tuple(registers.gazetteer_json(spark, str(tmp_path / "g.json")).first()) == ("X", "Polna", 1.0, 2.0, 30.0, None)
