@@ -235,7 +235,9 @@ def significant_digits(spark, sf_dir):
     """Numbers of sixteen magnitudes with six significant digits, and the parts of cells that list two capacities."""
     k = F.col(_K)
     cell = F.concat(k.cast("string"), F.when(k % 3 > 0, F.concat(F.lit("\n"), (k % 1000).cast("string"), F.lit(",25"))).otherwise(""))
-    return _read(spark, sf_dir, "orders").select(k.alias("k"), C.significant(k * F.pow(F.lit(10.0), k % 16 - 8)).alias("text"), C.components_mw(cell).alias("components"))
+    # powers as they are written: Spark's pow gives 9.999999999999999e-06 for 1e-05
+    power = F.element_at(F.array(*[F.lit(float(f"1e{n}")) for n in range(-8, 8)]), (k % 16 + 1).cast("int"))
+    return _read(spark, sf_dir, "orders").select(k.alias("k"), C.significant(k * power).alias("text"), C.components_mw(cell).alias("components"))
 
 
 # ---------------------------------------------------------------- rules
