@@ -111,7 +111,9 @@ def document_detection(spark, sf_dir):
     k = F.col("c_custkey")
     far = F.repeat(F.lit("word "), 900)
     text = F.when(k % 4 == 0, "nothing").when(k % 4 == 1, F.concat(F.lit("Wykaz STOEN "), k.cast("string"))).when(k % 4 == 2, F.concat(F.substring(far, 1, 3000), F.lit("Polskie Sieci Elektroenergetyczne"))).otherwise(F.concat(far, F.lit("stoen")))
-    own = _read(spark, sf_dir, "customer").select(F.concat(F.lit("doc"), k.cast("string"), F.when(k % 4 == 0, "_Tauron").otherwise("")).alias("document"), F.lit(1).alias("page"), F.lit(10.0).alias("top"), text.alias("t"))
+    # dealt before the words are made of them: a short table is one file, which one task would read
+    dealt = _read(spark, sf_dir, "customer").select("c_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = dealt.select(F.concat(F.lit("doc"), k.cast("string"), F.when(k % 4 == 0, "_Tauron").otherwise("")).alias("document"), F.lit(1).alias("page"), F.lit(10.0).alias("top"), text.alias("t"))
     return adapters.detect_documents(_cell_words(own, {0: F.col("t")}, 40.0))
 
 

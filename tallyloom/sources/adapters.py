@@ -525,8 +525,10 @@ def detect(path: str) -> str | None:
 
 def detect_documents(words: DataFrame, most: int = 4_000) -> DataFrame:
     """document, publisher of staged documents: by the document's name, else by the first so many characters of its first page; null if neither tells."""
-    first = page_texts(words.where("page = 1")).select("document", F.substring("text", 1, most).alias("text"))
-    return words.select("document").distinct().join(first, "document", "left").select("document", F.coalesce(matching(F.col("document")), matching(F.col("text"))).alias("publisher"))
+    told = page_texts(words.where("page = 1")).select("document", matching(F.substring("text", 1, most)).alias("told"))
+    # documents may be as many as words: they meet by an aggregate of short keys, and no text goes with them
+    every = words.select("document").distinct().withColumn("told", F.lit(None).cast("string")).unionAll(told)
+    return every.groupBy("document").agg(F.max("told").alias("told")).select("document", F.coalesce(matching(F.col("document")), "told").alias("publisher"))
 
 
 def read(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:

@@ -179,3 +179,10 @@ def test_documents_are_routed(spark):
     made = [printed(spark, d, [[text]])[0] for d, text in (("a.pdf", "Stoen Operator"), ("b.pdf", long + " Stoen"), ("boryszew.pdf", "x"), ("c.pdf", "Polskie Sieci Elektroenergetyczne"))]
     words = made[0].unionAll(made[1]).unionAll(made[2]).unionAll(made[3])
     assert {r["document"]: r["publisher"] for r in adapters.detect_documents(words).collect()} == {"a.pdf": "pl_stoen", "b.pdf": None, "boryszew.pdf": "pl_boryszew", "c.pdf": "pl_pse"}
+
+
+def test_documents_are_detected_without_a_broadcast(spark, tmp_path):
+    printed(spark, "a.pdf", [["Stoen Operator"]])[0].write.parquet(f"{tmp_path}/words.parquet")
+    got = adapters.detect_documents(spark.read.parquet(f"{tmp_path}/words.parquet"))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in got.collect()] == [("a.pdf", "pl_stoen")]
