@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.canonical import _with
+
 
 def column_of(x0: Column, x1: Column, bounds: Column) -> Column:
     """The column of a word by its centre: [b_i, b_i+1), the outer ones are clamped."""
@@ -44,30 +46,32 @@ def banded_bounds(words: DataFrame, min_gap: float = 4.0, resolution: float = 0.
     """keys, bounds: the corridors' centres of each page between its outermost words, which lie 1 inside the outer bounds."""
     inner = banded_columns(words, min_gap, resolution, keys).groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("_tl_inner"))
     outer = words.groupBy(*keys).agg((F.min("x0") - 1.0).alias("_tl_a"), (F.max("x1") + 1.0).alias("_tl_b"))
-    both = outer.join(inner, list(keys), "left")
+    both = outer.join(inner.hint("merge"), list(keys), "left")
     return both.select(*keys, F.concat(F.array("_tl_a"), F.coalesce("_tl_inner", F.array().cast("array<double>")), F.array("_tl_b")).alias("bounds"))
 
 
 def cell_rows(lined: DataFrame, keys: tuple[str, ...] = ("page",)) -> DataFrame:
-    """keys, line, cells: the lines of words with line and bounds (an array, of which each line has one) as arrays of one text a column."""
-    each = cells(lined.withColumn("_tl_width", F.size("bounds") - 1), F.col("bounds"), (*keys, "_tl_width"))
-    wide = each.groupBy(*keys, "line", "_tl_width").agg(F.map_from_entries(F.collect_list(F.struct("column", "text"))).alias("_tl_at"))
-    return wide.select(*keys, "line", F.transform(F.sequence(F.lit(0), F.col("_tl_width") - 1), lambda i: F.coalesce(F.element_at("_tl_at", i), F.lit(""))).alias("cells"))
+    """keys, line, cells: lines with words (see line_words) and bounds as arrays of one text a column."""
+    bounds = F.col("bounds")
+    placed = F.transform("words", lambda w: F.struct(column_of(w["x0"], w["x1"], bounds).alias("column"), w["text"].alias("text")))
+    text = lambda own, i: F.array_join(F.transform(F.filter(own, lambda w: w["column"] == i), lambda w: w["text"]), " ")
+    return lined.select(*keys, "line", _with(placed, lambda own: F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), lambda i: text(own, i))).alias("cells"))
 
 
 def table_rows(words: DataFrame, bounds: DataFrame, tol: float = 2.0, keys: tuple[str, ...] = ("page",)) -> DataFrame:
-    """keys, line, cells: the lines of each page that has bounds, as arrays of one text a column."""
-    return cell_rows(lines(words, tol, keys).join(bounds, list(keys)), keys)
+    """keys, line, cells: the lines of each page that has bounds, as arrays of one text a column. Pages are as many as the input has, so they are joined by a shuffle, never broadcast."""
+    return cell_rows(line_words(words, tol, keys).join(bounds.hint("merge"), list(keys)), keys)
 
 
 def merge_cells(rows: DataFrame, is_start: Column, keys: tuple[str, ...], order: tuple[str, ...], joiner: str = " ") -> DataFrame:
     """keys, record, order columns of its first row, cells: rows (cells: arrays) that do not start a record are appended, cell by cell, to the one before; what stands before the first start is a record of its own."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     own = rows.withColumn("record", F.coalesce(F.sum(F.coalesce(is_start, F.lit(False)).cast("int")).over(w), F.lit(0)))
-    each = own.select(*keys, "record", *order, F.posexplode("cells").alias("_tl_i", "_tl_t"))
-    texts = F.transform(F.filter(F.array_sort(F.collect_list(F.struct(*order, F.col("_tl_t").alias("t")))), lambda x: x["t"] != ""), lambda x: x["t"])
-    joined = each.groupBy(*keys, "record", "_tl_i").agg(F.array_join(texts, joiner).alias("t"), F.min(F.struct(*order)).alias("_tl_o"))
-    return joined.groupBy(*keys, "record").agg(F.min("_tl_o").alias("_tl_o"), F.transform(F.array_sort(F.collect_list(F.struct("_tl_i", "t"))), lambda x: x["t"]).alias("cells")).select(*keys, "record", "_tl_o.*", "cells")
+    # the window's partitions hold whole records: nothing is shuffled again
+    held = own.groupBy(*keys, "record").agg(F.array_sort(F.collect_list(F.struct(*order, "cells"))).alias("_tl_rows"))
+    width = F.array_max(F.transform("_tl_rows", lambda r: F.size(r["cells"])))
+    text = lambda i: F.array_join(F.filter(F.transform("_tl_rows", lambda r: F.get(r["cells"], i)), lambda t: t != ""), joiner)
+    return held.select(*keys, "record", *[F.col("_tl_rows")[0][c].alias(c) for c in order], F.transform(F.sequence(F.lit(0), width - 1), text).alias("cells"))
 
 
 def lines(words: DataFrame, tol: float = 2.0, keys: tuple[str, ...] = ("page",)) -> DataFrame:
@@ -77,26 +81,73 @@ def lines(words: DataFrame, tol: float = 2.0, keys: tuple[str, ...] = ("page",))
     and keeps only the page and the first word's top, so a page costs linear time and no page is held. A word without a
     top comes before the others of its page, and those share a line.
     """
-    order = [*keys, "_tl_y", "x0", "x1", "text", "top"]
-    own = words.select(*keys, "text", F.col("x0").cast("double"), F.col("x1").cast("double"), F.col("top").cast("double"))
-    dealt = own.withColumn("_tl_y", F.round("top", 1)).repartition(*keys).sortWithinPartitions(*order).drop("_tl_y")
-    n = len(keys)
+    dealt, n = _dealt(words, keys), len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page, anchor, line = None, None, -1
-        for batch in batches:
-            out = []
-            for at, top in zip(zip(*(c.to_pylist() for c in batch.columns[:n]), strict=True), batch.column("top").to_pylist(), strict=True):
-                if at != page:
-                    page, anchor, line = at, top, 0
-                elif top is not None and (anchor is None or abs(top - anchor) > tol):
-                    anchor, line = top, line + 1
-                out.append(line)
-            yield batch.append_column("line", pa.array(out, pa.int32()))
+        for batch, line, _ in _walk(batches, n, tol):
+            yield batch.append_column("line", pa.array(line, pa.int32()))
 
     return dealt.mapInArrow(run, T.StructType([*dealt.schema.fields, T.StructField("line", T.IntegerType())]))
 
 
+def line_words(words: DataFrame, tol: float = 2.0, keys: tuple[str, ...] = ("page",)) -> DataFrame:
+    """keys, line, words: the lines of lines(), each with an array of its words (x0, text, x1) from left to right.
+
+    The words of a line follow one another in the sorted pass, so it gathers them as it goes and holds one line: what is
+    shuffled afterwards are lines, not words.
+    """
+    dealt, n = _dealt(words, keys), len(keys)
+    own = ("x0", "text", "x1")
+    word = T.StructType([dealt.schema[c] for c in own])
+    schema = T.StructType([*dealt.schema.fields[:n], T.StructField("line", T.IntegerType()), T.StructField("words", T.ArrayType(word))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def gathered(rows: pa.RecordBatch, starts: list[int]) -> pa.RecordBatch:
+            first = rows.take(pa.array(starts, pa.int32()))
+            each = pa.StructArray.from_arrays([rows.column(c) for c in own], list(own))
+            lists = pa.ListArray.from_arrays(pa.array([*starts, rows.num_rows], pa.int32()), each)
+            return pa.RecordBatch.from_arrays([*first.columns[:n], first.column("line"), lists], schema.names)
+
+        held = None  # the last line: it may go on in the next batch
+        for batch, line, starts in _walk(batches, n, tol):
+            rows = batch.append_column("line", pa.array(line, pa.int32()))
+            if held is not None:
+                starts = [0, *(held.num_rows + i for i in starts)]
+                rows = pa.concat_batches([held, rows])
+            if len(starts) > 1:
+                yield gathered(rows.slice(0, starts[-1]), starts[:-1])
+            held = rows.slice(starts[-1])
+        if held is not None:
+            yield gathered(held, [0])
+
+    return dealt.mapInArrow(run, schema).withColumn("words", F.array_sort("words"))
+
+
+def _dealt(words: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, text, x0, x1, top: pages as a whole, sorted by their rounded top, then from left to right."""
+    order = [*keys, "_tl_y", "x0", "x1", "text", "top"]
+    own = words.select(*keys, "text", F.col("x0").cast("double"), F.col("x1").cast("double"), F.col("top").cast("double"))
+    return own.withColumn("_tl_y", F.round("top", 1)).repartition(*keys).sortWithinPartitions(*order).drop("_tl_y")
+
+
+def _walk(batches: Iterator[pa.RecordBatch], n: int, tol: float) -> Iterator[tuple[pa.RecordBatch, list[int], list[int]]]:
+    """Each batch that has rows, with the line of each of them and the rows that begin one. The first n columns name the page."""
+    page, anchor, line = None, None, -1
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        out, starts = [], []
+        for at, top in zip(zip(*(c.to_pylist() for c in batch.columns[:n]), strict=True), batch.column("top").to_pylist(), strict=True):
+            if at != page:
+                page, anchor, line = at, top, 0
+                starts.append(len(out))
+            elif top is not None and (anchor is None or abs(top - anchor) > tol):
+                anchor, line = top, line + 1
+                starts.append(len(out))
+            out.append(line)
+        yield batch, out, starts
+
+
 def cells(lined: DataFrame, bounds: Column, keys: tuple[str, ...] = ("page",)) -> DataFrame:
     """keys, line, column, text: the words of each cell from left to right. bounds: an array, the same for all or one for each page."""
     own = lined.withColumn("column", column_of(F.col("x0"), F.col("x1"), bounds))

@@ -86,9 +86,12 @@ def staged(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def page_lines(words: DataFrame, tol: float = 2.0) -> DataFrame:
     """document, page, line, text of the staged words, from top to bottom."""
-    lined = layout.lines(words, tol, PAGE)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ")
-    return lined.groupBy(*PAGE, "line").agg(text.alias("text"))
+    return layout.line_words(words, tol, PAGE).select(*PAGE, "line", said(F.col("words")).alias("text"))
+
+
+def said(words: Column) -> Column:
+    """The text of a line's words."""
+    return F.array_join(F.transform(words, lambda w: w["text"]), " ")
 
 
 def page_texts(words: DataFrame, tol: float = 2.0) -> DataFrame:
@@ -120,7 +123,7 @@ NUMBERED = r"^\d+\.?$"
 
 
 def _stamped(df: DataFrame, dates: DataFrame) -> DataFrame:
-    return df.join(dates, "document", "left")
+    return df.join(dates.hint("merge"), "document", "left")  # documents are as many as the input has: never broadcast
 
 
 def _out(raw: DataFrame, columns: list[Column], key: str) -> DataFrame:
@@ -279,25 +282,24 @@ SECTION_COLUMNS = {
 
 
 def sectioned(words: DataFrame, tol: float = 2.5) -> DataFrame:
-    """The words with their line and the section whose heading came last, over all pages of a document; the headings' own words are left out."""
-    lined = layout.lines(words, tol, PAGE)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ")
+    """The lines (document, page, line, words, said, first) with the section whose heading came last, over all pages of a document; the headings themselves are left out."""
+    heads = layout.line_words(words, tol, PAGE).withColumns({"said": said(F.col("words")), "first": F.get("words", F.lit(0))["text"]})
     opened = F.lit(None).cast("int")
     for no, rx in SECTIONS.items():
         opened = F.when(F.trim("said").rlike(rx), no).otherwise(opened)
-    heads = lined.groupBy(*PAGE, "line").agg(text.alias("said"), F.min_by("text", "x0").alias("first")).withColumn("opened", opened)
-    at = layout.carry_forward(heads.withColumn("seq", F.struct("page", "line")), F.col("opened"), ["document"], "seq", "section")
-    return lined.join(at.where("opened IS NULL AND section IS NOT NULL").select(*PAGE, "line", "section", "first", "said"), [*PAGE, "line"])
+    at = layout.carry_forward(heads.withColumns({"opened": opened, "seq": F.struct("page", "line")}), F.col("opened"), ["document"], "seq", "section")
+    return at.where("opened IS NULL AND section IS NOT NULL").drop("opened", "seq")
 
 
 def printed_sections(words: DataFrame) -> DataFrame:
     """Sections of unruled lists: columns are the corridors that no word of a section covers, rows begin with a numbered line, rows of nothing but placeholders are left out."""
     keys = ("document", "section")
     own = sectioned(words).where(F.col("section").isin(*SECTION_COLUMNS))
-    start = own.where(F.col("first").rlike(r"^\d+\.$")).groupBy(*keys).agg(F.min(F.struct("page", "line")).alias("_tl_from"))
-    own = own.join(start, list(keys)).where(F.struct("page", "line") >= F.col("_tl_from"))
-    bounds = layout.banded_bounds(own, 6.0, keys=keys)
-    rows = layout.cell_rows(own.join(bounds, list(keys)), (*keys, "page"))
+    at = F.struct("page", "line")
+    start = F.min(F.when(F.col("first").rlike(r"^\d+\.$"), at)).over(Window.partitionBy(*keys))
+    own = own.withColumn("_tl_from", start).where(at >= F.col("_tl_from"))
+    bounds = layout.banded_bounds(own.select(*keys, F.inline("words")), 6.0, keys=keys)
+    rows = layout.cell_rows(own.join(bounds.hint("merge"), list(keys)), (*keys, "page"))
     records = layout.merge_cells(rows, F.col("cells")[0].rlike(r"^\d+\.$"), keys, ("page", "line"))
     fitted = F.lit(None).cast("array<string>")
     for no, columns in SECTION_COLUMNS.items():
@@ -330,8 +332,7 @@ def printed_sections(words: DataFrame) -> DataFrame:
 def section_nodes(words: DataFrame, left: float = 260.0) -> DataFrame:
     """document, node_name, year, kw of section 2: lines that begin with STACJA, numbers to the right of left as values, under the last line of years; a value without a year is named by its column."""
     own = sectioned(words).where("section = 2")
-    at = F.array_sort(F.collect_list(F.struct("x0", "text")))
-    each = own.groupBy(*PAGE, "line").agg(at.alias("ws"))
+    each = own.select(*PAGE, "line", F.col("words").alias("ws"))
     texts = F.transform("ws", lambda w: w["text"])
     years = F.when((F.size("ws") >= 4) & F.forall("ws", lambda w: w["text"].rlike(r"^20\d{2}$")), texts)
     each = layout.carry_forward(each.withColumn("seq", F.struct("page", "line")), years, ["document"], "seq", "years")

@@ -186,3 +186,24 @@ def test_documents_are_detected_without_a_broadcast(spark, tmp_path):
     got = adapters.detect_documents(spark.read.parquet(f"{tmp_path}/words.parquet"))
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in got.collect()] == [("a.pdf", "pl_stoen")]
+
+
+def test_lines_and_bounds_are_never_broadcast(spark, tmp_path):
+    cells = {0: "1", 1: "O-1", 8: "1,5"}
+    made = printed(spark, "t.pdf", [["Stan na 30.06.2026", row(27, {0: "Lp."}), row(27, cells)]])
+    for df, name in zip(made, ("words", "edges"), strict=True):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    words, edges = adapters.staged(spark, str(tmp_path))
+    for got in (adapters.printed_sections(words), adapters.station_list(words, edges)):
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [r["capacity_injected"] for r in adapters.station_list(words, edges).collect()] == [1500.0]
+
+
+def test_lines_go_on_in_the_next_batch(spark):
+    words = spark.createDataFrame([("d", p, f"w{i}", float(i % 7), float(i % 7) + 1, float(i // 7 * 5)) for p in (1, 2) for i in range(70)], WORDS)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = layout.line_words(words, keys=adapters.PAGE).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["page"], r["line"], [w["text"] for w in r["words"]]) for r in got) == [(p, n, [f"w{7 * n + i}" for i in range(7)]) for p in (1, 2) for n in range(10)]
