@@ -37,11 +37,14 @@ def first_per_key(df: DataFrame, order: str = "_seq") -> DataFrame:
     return df.groupBy("key").agg(F.min_by(F.struct(*own), F.col(order)).alias("r"), F.count(F.lit(1)).alias("n_rows")).select("key", "n_rows", "r.*")
 
 
-def pairs(a: DataFrame, b: DataFrame, fields: tuple[str, ...] = KEY, order: str = "_seq") -> DataFrame:
-    """Both editions by key: a and b are the first rows (null where the key is missing), n_a and n_b their row counts."""
+def pairs(a: DataFrame, b: DataFrame, fields: tuple[str, ...] = KEY, order: str = "_seq", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Both editions by key: a and b are the first rows (null where the key is missing), n_a and n_b their row counts. Of the columns only those to keep go along, if they are named: Spark does not prune the fields of an aggregated struct."""
     sides = []
     for df, s in ((a, "a"), (b, "b")):
-        first = first_per_key(with_key(df, fields), order)
+        keyed = with_key(df, fields)
+        if keep is not None:
+            keyed = keyed.select("key", order, *[c for c in keep if c in df.columns and c != order])
+        first = first_per_key(keyed, order)
         sides.append(first.select("key", F.col("n_rows").alias(f"n_{s}"), F.struct(*[c for c in first.columns if c not in ("key", "n_rows")]).alias(s)))
     return sides[0].join(sides[1], "key", "full_outer")
 
@@ -52,7 +55,7 @@ def _order(c: Column) -> Column:
 
 def compare(a: DataFrame, b: DataFrame, fields: tuple[str, ...] = KEY) -> DataFrame:
     """One row of flows between two editions."""
-    p = pairs(a, b, fields)
+    p = pairs(a, b, fields, keep=("process_status",))
     sa, sb = F.col("a.process_status"), F.col("b.process_status")
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
     changed = both & sa.isNotNull() & sb.isNotNull() & (sa != sb)
@@ -82,7 +85,7 @@ def compare(a: DataFrame, b: DataFrame, fields: tuple[str, ...] = KEY) -> DataFr
 
 def transitions(a: DataFrame, b: DataFrame, fields: tuple[str, ...] = KEY) -> DataFrame:
     """status_a, status_b, n, and the direction of the step."""
-    p = pairs(a, b, fields).select(F.col("a.process_status").alias("status_a"), F.col("b.process_status").alias("status_b")).where("status_a IS NOT NULL AND status_b IS NOT NULL")
+    p = pairs(a, b, fields, keep=("process_status",)).select(F.col("a.process_status").alias("status_a"), F.col("b.process_status").alias("status_b")).where("status_a IS NOT NULL AND status_b IS NOT NULL")
     oa, ob = _order(F.col("status_a")), _order(F.col("status_b"))
     kind = F.when(F.col("status_a") == F.col("status_b"), "same").when(oa.isNotNull() & ((ob > oa) | F.col("status_b").isin(*TERMINAL)), "forward").when(oa.isNotNull() & (ob < oa), "backward").otherwise("unordered")
     return p.groupBy("status_a", "status_b").agg(F.count(F.lit(1)).alias("n")).withColumn("direction", kind)
@@ -92,13 +95,13 @@ def _apart(x: Column, y: Column) -> Column:
     return (x != "") & (y != "") & ~F.contains(y, x) & ~F.contains(x, y)
 
 
-def _shared(a: DataFrame, b: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    return pairs(a, b, fields).where("a IS NOT NULL AND b IS NOT NULL")
+def _shared(a: DataFrame, b: DataFrame, fields: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
+    return pairs(a, b, fields, keep=keep).where("a IS NOT NULL AND b IS NOT NULL")
 
 
 def linkage_audit(a: DataFrame, b: DataFrame, fields: tuple[str, ...] = KEY) -> DataFrame:
     """One row: pairs, confirmed, uncertain, false, and the bounds of the precision."""
-    p = _shared(a, b, fields)
+    p = _shared(a, b, fields, IDENTITY)
     wrong = [_apart(core_name(F.col(f"a.{c}")), core_name(F.col(f"b.{c}"))) if c in a.columns and c in b.columns else F.lit(False) for c in IDENTITY]
     n = wrong[0].cast("int") + wrong[1].cast("int")
     one = p.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(n == 0).alias("confirmed"), F.count_if(n == 1).alias("uncertain"), F.count_if(n == 2).alias("false_matches"))
@@ -109,7 +112,7 @@ def linkage_discrepancies(a: DataFrame, b: DataFrame, fields: tuple[str, ...] =
     """field, category, n over the pairs, for fields outside the key."""
     own = [c for c in held_out if c in a.columns and c in b.columns]
     norm = lambda c: F.upper(strip(F.regexp_replace(_text(F.col(c)), r"(?U)\s+", " ")))
-    each = _shared(a, b, fields).select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), norm(f"a.{c}").alias("x"), norm(f"b.{c}").alias("y")) for c in own])).alias("d")).select("d.*").where("x <> y")
+    each = _shared(a, b, fields, tuple(own)).select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), norm(f"a.{c}").alias("x"), norm(f"b.{c}").alias("y")) for c in own])).alias("d")).select("d.*").where("x <> y")
     cx, cy = core_name(F.col("x")), core_name(F.col("y"))
     category = F.when((F.col("x") == "") | (F.col("y") == ""), "one_sided_supplement").when(cx == cy, "alternate_spelling_same_name").when(F.contains(cy, cx) | F.contains(cx, cy), "name_extended_or_short").otherwise("content_conflict")
     return each.groupBy("field", category.alias("category")).agg(F.count(F.lit(1)).alias("n"))
@@ -121,21 +124,22 @@ def recovered(a: DataFrame, b: DataFrame, fields: tuple[str, ...] = KEY, identit
     ka, kb = with_key(a, fields), with_key(b, fields)
     name = F.concat_ws("|", *[F.upper(strip(_text(F.col(c)))) for c in have])
     blank = "|" * (len(have) - 1) if exclude_blank else "||"
+    used = [c for c in fields if c in a.columns and c in b.columns]
+    keep = list(dict.fromkeys([*used, "process_status"]))
 
     def rest(df: DataFrame, other: DataFrame, s: str) -> DataFrame:
-        left = df.join(other.select("key").distinct(), "key", "left_anti").withColumn("identity", name)
-        single = left.groupBy("identity").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct(*[c for c in df.columns if c != "key"])).alias(s))
+        left = df.select("key", name.alias("identity"), *keep).join(other.select("key").distinct(), "key", "left_anti")
+        single = left.groupBy("identity").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct(*keep)).alias(s))
         return single.where((F.col("n") == 1) & (F.col("identity") != blank)).drop("n")
 
     both = rest(ka, kb, "a").join(rest(kb, ka, "b"), "identity")
-    used = [c for c in fields if c in a.columns and c in b.columns]
     differ = F.concat_ws(";", *[F.when(_text(F.col(f"a.{c}")) != _text(F.col(f"b.{c}")), F.lit(c)) for c in used])
     return both.select("identity", F.col("a.process_status").alias("status_a"), F.col("b.process_status").alias("status_b"), differ.alias("different_key_fields"))
 
 
 def linkage_recall(a: DataFrame, b: DataFrame, fields: tuple[str, ...] = KEY, identity: tuple[str, ...] = IDENTITY, exclude_blank: bool = False) -> DataFrame:
     """One row: unique keys of both, matched, recovered and the sensitivity of the key."""
-    keys = pairs(a, b, fields).agg(F.count("a").alias("unique_a"), F.count("b").alias("unique_b"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("matched"))
+    keys = pairs(a, b, fields, keep=()).agg(F.count("a").alias("unique_a"), F.count("b").alias("unique_b"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("matched"))
     n = recovered(a, b, fields, identity, exclude_blank).agg(F.count(F.lit(1)).alias("recovered"))
     return keys.crossJoin(n).withColumn("sensitivity", F.try_divide(F.col("matched"), F.col("matched") + F.col("recovered")))
 

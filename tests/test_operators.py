@@ -292,3 +292,13 @@ def test_all_charts(spark, tmp_path):
     saved, skipped = chartdata.save_all(df, str(tmp_path / "charts"), edition_b=df)
     assert {"field_coverage", "quality_rules", "column_shift", "status_distribution", "capacity_by_class", "edition_flows"} <= set(saved) and {"node_loading", "location_resolution"} <= {c for c, _ in skipped}
     assert all(spark.read.parquet(f"{tmp_path}/charts/{c}").columns for c in saved) and set(saved).isdisjoint(c for c, _ in skipped)
+
+
+def test_editions_carry_only_what_they_compare(spark):
+    rows = [(1, "p", "here", "SN", "PV", 1.0, None, "UNDER_REVIEW", "A", "F", "long remarks"), (2, "p", "there", "SN", "PV", 2.0, None, "REFUSED", "B", "G", "longer remarks")]
+    a = spark.createDataFrame(rows, "_seq long, publisher string, location_text string, voltage_level string, resource_class string, capacity_injected double, capacity_withdrawn double, process_status string, _applicant string, _facility_name string, _remarks string")
+    b = a.withColumn("capacity_injected", F.when(F.col("_seq") == 2, 3.0).otherwise(F.col("capacity_injected")))
+    for f in (editions.compare, editions.transitions, editions.linkage_audit, editions.linkage_discrepancies, editions.recovered, editions.linkage_recall):
+        assert "_remarks" not in f(a, b)._jdf.queryExecution().executedPlan().toString().split("Scan ExistingRDD")[0], f
+    assert [tuple(r) for r in editions.recovered(a, b).collect()] == [("B|G", "REFUSED", "REFUSED", "capacity_injected")]
+    assert editions.linkage_recall(a, b).first()["recovered"] == 1 and editions.compare(a, b).first()["shared"] == 1
