@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import both_known_or, components_mw, harmonize_class, harmonize_status, is_nullish, iso_date, norm_text, number, power_kw, split_sum_kw, strip, voltage_levels
 from ..functions.documents import as_at, date_in_name, stated_kva, voltage_tag, written_date
+from ..functions.tables import written
 from ..operators import layout
 from ..operators.panel import FIELDS, finalize, union_panels
 from . import registers, workbook
@@ -377,8 +378,9 @@ def node_table(words: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
+    """The cells of workbooks, read once: readers take dates, headers and rows from them in several passes, each of which would parse every sheet again."""
     workbook.register(spark)
-    return spark.read.format("workbook").load(path)
+    return written(spark.read.format("workbook").load(path), "cells")
 
 
 def _headed(cells: DataFrame, hit: Column, within: int = 12) -> DataFrame:

@@ -207,3 +207,12 @@ def test_lines_go_on_in_the_next_batch(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted((r["page"], r["line"], [w["text"] for w in r["words"]]) for r in got) == [(p, n, [f"w{7 * n + i}" for i in range(7)]) for p in (1, 2) for n in range(10)]
+
+
+def test_workbooks_are_parsed_once(spark, tmp_path):
+    workbook.register(spark)
+    rows = sheet("Wykaz wspólny", {1: {1: "Wykaz, stan na 30.06.2026"}, 3: {1: "ID obiektu"}, 4: {1: "A", 3: "PSE", 9: "1.5"}})
+    spark.createDataFrame(rows, "sheet string, row int, col int, text string, sup string").coalesce(1).write.format("workbook").mode("overwrite").save(f"{tmp_path}/pse")
+    got = adapters.read(spark, f"{tmp_path}/pse")
+    assert "workbook" not in got._jdf.queryExecution().executedPlan().toString().lower().replace("/pse", "")
+    assert [(r["application_id"], r["capacity_injected"]) for r in got.collect()] == [("A", 1500.0)]
