@@ -55,12 +55,17 @@ def cell_rows(lined: DataFrame, keys: tuple[str, ...] = ("page",)) -> DataFrame:
     bounds = F.col("bounds")
     placed = F.transform("words", lambda w: F.struct(column_of(w["x0"], w["x1"], bounds).alias("column"), w["text"].alias("text")))
     text = lambda own, i: F.array_join(F.transform(F.filter(own, lambda w: w["column"] == i), lambda w: w["text"]), " ")
-    return lined.select(*keys, "line", _with(placed, lambda own: F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), lambda i: text(own, i))).alias("cells"))
+    # most columns of a line are empty: its words are gone through only for the others
+    each = lambda own, taken: F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), lambda i: F.when(F.array_contains(taken, i), text(own, i)).otherwise(F.lit("")))
+    return lined.select(*keys, "line", _with(placed, lambda own: _with(own["column"], lambda taken: each(own, taken))).alias("cells"))
 
 
-def table_rows(words: DataFrame, bounds: DataFrame, tol: float = 2.0, keys: tuple[str, ...] = ("page",)) -> DataFrame:
-    """keys, line, cells: the lines of each page that has bounds, as arrays of one text a column. Pages are as many as the input has, so they are joined by a shuffle, never broadcast."""
-    return cell_rows(line_words(words, tol, keys).join(bounds.hint("merge"), list(keys)), keys)
+def table_rows(words: DataFrame, bounds: DataFrame, tol: float = 2.0, keys: tuple[str, ...] = ("page",), tasks: int | None = None) -> DataFrame:
+    """keys, line, cells, and what else bounds has: the lines of each page that has bounds (two at least), as arrays of one text a column. Pages are as many as the input has: their bounds are dealt and sorted with the words, neither joined to the lines nor broadcast. A page's lines follow one another in one task."""
+    more = [c for c in bounds.columns if c not in (*keys, "bounds")]
+    pages = bounds.where(F.size("bounds") > 1).dropna(subset=list(keys)).select(*keys, F.struct("bounds", *more).alias("_tl_own"))
+    lined = line_words(words, tol, keys, pages, tasks).select(*keys, "line", "words", "_tl_own.*")
+    return cell_rows(lined, (*keys, *more))
 
 
 def merge_cells(rows: DataFrame, is_start: Column, keys: tuple[str, ...], order: tuple[str, ...], joiner: str = " ") -> DataFrame:
@@ -69,9 +74,42 @@ def merge_cells(rows: DataFrame, is_start: Column, keys: tuple[str, ...], order:
     own = rows.withColumn("record", F.coalesce(F.sum(F.coalesce(is_start, F.lit(False)).cast("int")).over(w), F.lit(0)))
     # the window's partitions hold whole records: nothing is shuffled again
     held = own.groupBy(*keys, "record").agg(F.array_sort(F.collect_list(F.struct(*order, "cells"))).alias("_tl_rows"))
-    width = F.array_max(F.transform("_tl_rows", lambda r: F.size(r["cells"])))
-    text = lambda i: F.array_join(F.filter(F.transform("_tl_rows", lambda r: F.get(r["cells"], i)), lambda t: t != ""), joiner)
-    return held.select(*keys, "record", *[F.col("_tl_rows")[0][c].alias(c) for c in order], F.transform(F.sequence(F.lit(0), width - 1), text).alias("cells"))
+    return held.select(*keys, "record", *[F.col("_tl_rows")[0][c].alias(c) for c in order], _joined(F.col("_tl_rows"), joiner).alias("cells"))
+
+
+def _joined(rows: Column, joiner: str) -> Column:
+    """The cells of a record's rows, one below the other; empty ones leave no trace."""
+    width = F.array_max(F.transform(rows, lambda r: F.size(r["cells"])))
+    text = lambda i: F.array_join(F.filter(F.transform(rows, lambda r: F.get(r["cells"], i)), lambda t: t != ""), joiner)
+    return F.transform(F.sequence(F.lit(0), width - 1), text)
+
+
+def table_records(words: DataFrame, bounds: DataFrame, is_start: Column, tol: float = 2.0, keys: tuple[str, ...] = ("page",), joiner: str = " ", tasks: int | None = None) -> DataFrame:
+    """keys, record, line (its first), cells, and what else bounds has: merge_cells of table_rows, page by page. The rows of a page come in order in one task, so records are gathered as they pass: of all that, only words are shuffled and sorted, once."""
+    rows = table_rows(words, bounds, tol, keys, tasks).withColumn("_tl_start", F.coalesce(is_start, F.lit(False)))
+    n, more = len(keys), [c for c in rows.columns if c not in (*keys, "line", "cells", "_tl_start")]
+    rows, first = rows.select(*keys, *more, "line", "cells", "_tl_start"), len(keys) + len(more)
+    own = ("line", "cells")
+    row = T.StructType([rows.schema[c] for c in own])
+    schema = T.StructType([*rows.schema.fields[:first], T.StructField("record", T.LongType()), T.StructField("_tl_rows", T.ArrayType(row))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+            page, record = None, 0
+            for batch in batches:
+                out, starts = [], []
+                for at, begins in zip(zip(*(c.to_pylist() for c in batch.columns[:n]), strict=True), batch.column("_tl_start").to_pylist(), strict=True):
+                    if at != page or begins:
+                        record = int(begins) + (record if at == page else 0)
+                        page = at
+                        starts.append(len(out))
+                    out.append(record)
+                yield batch.append_column("record", pa.array(out, pa.int64())), starts
+
+        return _gathered(told(), [*range(first), "record"], own, schema)
+
+    held = rows.mapInArrow(run, schema)
+    return held.select(*keys, "record", F.col("_tl_rows")[0]["line"].alias("line"), _joined(F.col("_tl_rows"), joiner).alias("cells"), *more)
 
 
 def lines(words: DataFrame, tol: float = 2.0, keys: tuple[str, ...] = ("page",)) -> DataFrame:
@@ -90,44 +128,83 @@ def lines(words: DataFrame, tol: float = 2.0, keys: tuple[str, ...] = ("page",))
     return dealt.mapInArrow(run, T.StructType([*dealt.schema.fields, T.StructField("line", T.IntegerType())]))
 
 
-def line_words(words: DataFrame, tol: float = 2.0, keys: tuple[str, ...] = ("page",)) -> DataFrame:
+def line_words(words: DataFrame, tol: float = 2.0, keys: tuple[str, ...] = ("page",), pages: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """keys, line, words: the lines of lines(), each with an array of its words (x0, text, x1) from left to right.
 
     The words of a line follow one another in the sorted pass, so it gathers them as it goes and holds one line: what is
-    shuffled afterwards are lines, not words.
+    shuffled afterwards are lines, not words. With pages (keys, _tl_own: a struct, one row a page) only their lines are
+    kept, each with its page's _tl_own. tasks: see sorted_tasks.
     """
-    dealt, n = _dealt(words, keys), len(keys)
+    dealt, n = _dealt(words, keys, pages, tasks), len(keys)
     own = ("x0", "text", "x1")
     word = T.StructType([dealt.schema[c] for c in own])
-    schema = T.StructType([*dealt.schema.fields[:n], T.StructField("line", T.IntegerType()), T.StructField("words", T.ArrayType(word))])
+    more = [] if pages is None else [dealt.schema["_tl_own"]]
+    schema = T.StructType([*dealt.schema.fields[:n], T.StructField("line", T.IntegerType()), *more, T.StructField("words", T.ArrayType(word))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def gathered(rows: pa.RecordBatch, starts: list[int]) -> pa.RecordBatch:
-            first = rows.take(pa.array(starts, pa.int32()))
-            each = pa.StructArray.from_arrays([rows.column(c) for c in own], list(own))
-            lists = pa.ListArray.from_arrays(pa.array([*starts, rows.num_rows], pa.int32()), each)
-            return pa.RecordBatch.from_arrays([*first.columns[:n], first.column("line"), lists], schema.names)
-
-        held = None  # the last line: it may go on in the next batch
-        for batch, line, starts in _walk(batches, n, tol):
-            rows = batch.append_column("line", pa.array(line, pa.int32()))
-            if held is not None:
-                starts = [0, *(held.num_rows + i for i in starts)]
-                rows = pa.concat_batches([held, rows])
-            if len(starts) > 1:
-                yield gathered(rows.slice(0, starts[-1]), starts[:-1])
-            held = rows.slice(starts[-1])
-        if held is not None:
-            yield gathered(held, [0])
+        known = _owned(batches, n) if more else batches
+        numbered = ((batch.append_column("line", pa.array(line, pa.int32())), starts) for batch, line, starts in _walk(known, n, tol))
+        return _gathered(numbered, [*range(n), "line", *(f.name for f in more)], own, schema)
 
     return dealt.mapInArrow(run, schema).withColumn("words", F.array_sort("words"))
 
 
-def _dealt(words: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """keys, text, x0, x1, top: pages as a whole, sorted by their rounded top, then from left to right."""
-    order = [*keys, "_tl_y", "x0", "x1", "text", "top"]
-    own = words.select(*keys, "text", F.col("x0").cast("double"), F.col("x1").cast("double"), F.col("top").cast("double"))
-    return own.withColumn("_tl_y", F.round("top", 1)).repartition(*keys).sortWithinPartitions(*order).drop("_tl_y")
+def _gathered(batches: Iterator[tuple[pa.RecordBatch, list[int]]], first: list[int | str], own: tuple[str, ...], schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    """One row for each run of rows, of which those given in starts are the first: its columns named in first as they stand there, and a list of its columns own. Runs go on over batches; one is held."""
+
+    def rows_of(rows: pa.RecordBatch, starts: list[int]) -> pa.RecordBatch:
+        heads = rows.select(first).take(pa.array(starts, pa.int32()))
+        each = pa.StructArray.from_arrays([rows.column(c) for c in own], list(own))
+        lists = pa.ListArray.from_arrays(pa.array([*starts, rows.num_rows], pa.int32()), each)
+        return pa.RecordBatch.from_arrays([*heads.columns, lists], schema.names)
+
+    held = None  # the last run: it may go on in the next batch
+    for rows, starts in batches:
+        if held is not None:
+            starts = [0, *(held.num_rows + i for i in starts)]
+            rows = pa.concat_batches([held, rows])
+        if len(starts) > 1:
+            yield rows_of(rows.slice(0, starts[-1]), starts[:-1])
+        held = rows.slice(starts[-1]) if starts else None
+    if held is not None:
+        yield rows_of(held, [0])
+
+
+def sorted_tasks(words: DataFrame) -> int:
+    """Tasks for the sorted pass over so many words that each sorts them in some 40 MB of memory, however the session deals its shuffles: words pack so well that by their packed size too many would come together, and be spilled. Counts the words, which costs nothing where they are a table."""
+    return words.count() // 250_000 + 1
+
+
+def _dealt(words: DataFrame, keys: tuple[str, ...], pages: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+    """keys, text, x0, x1, top: pages as a whole, sorted by their rounded top, then from left to right. With pages, their rows (keys, _tl_own) stand before their words."""
+    own = words.select(*keys, "text", F.col("x0").cast("double"), F.col("x1").cast("double"), F.col("top").cast("double")).withColumn("_tl_y", F.round("top", 1))
+    order = ["_tl_y", "x0", "x1", "text", "top"]
+    if pages is not None:
+        own = own.unionByName(pages, allowMissingColumns=True)
+        order = [F.col("_tl_own").isNull(), *order]
+    dealt = own.repartition(*keys) if tasks is None else own.repartition(tasks, *keys)
+    return dealt.sortWithinPartitions(*keys, *order).drop("_tl_y")
+
+
+def _owned(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The words of those pages that have a row with _tl_own before them, each with it."""
+    page, last = None, None
+    for batch in batches:
+        mine = batch.column("_tl_own")
+        known = mine.is_valid()
+        pool = mine.filter(known) if last is None else pa.concat_arrays([last, mine.filter(known)])
+        of, kept, at = (0 if last is not None else -1), [], []
+        for i, (p, new) in enumerate(zip(zip(*(c.to_pylist() for c in batch.columns[:n]), strict=True), known.to_pylist(), strict=True)):
+            if new:
+                page, of = p, of + 1
+            elif p == page:
+                kept.append(i)
+                at.append(of)
+        if len(pool):
+            last = pool.slice(len(pool) - 1)
+        if kept:
+            own = batch.take(pa.array(kept, pa.int32()))
+            yield own.set_column(own.schema.get_field_index("_tl_own"), "_tl_own", pool.take(pa.array(at, pa.int32())))
 
 
 def _walk(batches: Iterator[pa.RecordBatch], n: int, tol: float) -> Iterator[tuple[pa.RecordBatch, list[int], list[int]]]:

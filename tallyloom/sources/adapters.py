@@ -107,17 +107,17 @@ def stated_dates(texts: DataFrame, date: Callable[[Column], Column]) -> DataFram
     return texts.groupBy("document").agg(F.min_by(day, F.when(day.isNotNull(), F.col("page"))).alias("date_published"))
 
 
-def ruled_records(words: DataFrame, edges: DataFrame, start: str, least: int = 2, joiner: str = "\n") -> DataFrame:
-    """document, page, record, line, cells: the records of ruled pages with at least so many columns. A record begins with a line whose first cell matches start; record 0 is what stands above the first."""
+def ruled_records(words: DataFrame, edges: DataFrame, start: str, least: int = 2, joiner: str = "\n", dates: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+    """document, page, record, line, cells: the records of ruled pages with at least so many columns. A record begins with a line whose first cell matches start; record 0 is what stands above the first. With dates (document, date_published), each record has its document's; they are joined to the pages, which are far fewer. tasks: layout.sorted_tasks of the words, if known."""
     bounds = layout.ruled_bounds(edges, keys=PAGE).where(F.size("bounds") > least)
-    rows = layout.table_rows(words, bounds, keys=PAGE)
-    return layout.merge_cells(rows, F.trim(F.col("cells")[0]).rlike(start), PAGE, ("line",), joiner)
+    return layout.table_records(words, bounds if dates is None else _stamped(bounds, dates), F.trim(F.col("cells")[0]).rlike(start), keys=PAGE, joiner=joiner, tasks=tasks or layout.sorted_tasks(words))
 
 
 def named(records: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Records with their cells as columns: missing ones are empty, surplus ones are left out. _seq is their order in the document."""
     cells = [F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(columns)]
-    return records.select("document", (F.col("page").cast("long") * 1_000_000 + F.col("record")).alias("_seq"), *cells)
+    dates = [c for c in records.columns if c == "date_published"]
+    return records.select("document", (F.col("page").cast("long") * 1_000_000 + F.col("record")).alias("_seq"), *cells, *dates)
 
 
 NUMBERED = r"^\d+\.?$"
@@ -143,8 +143,8 @@ STATION_LIST = (
 
 def station_list(words: DataFrame, edges: DataFrame) -> DataFrame:
     """A ruled list whose places are codes of stations; its legend stands on pages without rules (see layout.legend)."""
-    raw = named(ruled_records(words, edges, r"^\d+$").where("record > 0"), STATION_LIST)
-    raw = _stamped(raw, stated_dates(page_texts(words.where("page = 1")), as_at))
+    dates = stated_dates(page_texts(words.where("page = 1")), as_at)
+    raw = named(ruled_records(words, edges, r"^\d+$", dates=dates).where("record > 0"), STATION_LIST)
     kw = lambda c: power_kw(_filled(F.col(c)), "MW")
     day = lambda c: iso_date(_filled(F.col(c)))
     installed = [kw(c) for c in TEMPLATE_KW.values()]
@@ -160,10 +160,10 @@ def station_list(words: DataFrame, edges: DataFrame) -> DataFrame:
     return _out(raw, columns, "pl_tauron")
 
 
-def printed_template(words: DataFrame, edges: DataFrame, key: str = "pl_energa") -> DataFrame:
+def printed_template(words: DataFrame, edges: DataFrame, key: str = "pl_energa", tasks: int | None = None) -> DataFrame:
     """The common template as a ruled list of 28 columns."""
-    raw = named(ruled_records(words, edges, NUMBERED, 10).where("record > 0"), PRINTED_COLUMNS)
-    raw = _stamped(raw, stated_dates(page_texts(words), as_at))
+    dates = stated_dates(page_texts(words), as_at)
+    raw = named(ruled_records(words, edges, NUMBERED, 10, dates=dates, tasks=tasks).where("record > 0"), PRINTED_COLUMNS)
     return _out(raw, template_columns(raw, key.split("_")[1], ["_seq"]), key)
 
 
@@ -171,7 +171,7 @@ def printed_template(words: DataFrame, edges: DataFrame, key: str = "pl_energa")
 HORIZON = ("2026", "2027", "2028", "2029", "2030", "2031", "2035")
 
 
-def group_capacities(words: DataFrame, edges: DataFrame, base_year: str = HORIZON[0]) -> DataFrame:
+def group_capacities(words: DataFrame, edges: DataFrame, base_year: str = HORIZON[0], tasks: int | None = None) -> DataFrame:
     """Groups of nodes from three tables, told by the captions of their pages: 2.1 (composition; a row that names a branch holds for those below, also on later pages), 2.3 and 2.4 (values by year; a row of three years or more names a page's columns)."""
     texts = page_texts(words)
     caption = F.array_join(F.filter(F.slice(F.split("text", "\n"), 1, 6), lambda x: F.startswith(F.trim(x), F.lit("Tabela"))), " ")
@@ -179,11 +179,10 @@ def group_capacities(words: DataFrame, edges: DataFrame, base_year: str = HORIZO
     direction = pages.groupBy("document").agg(F.min_by("plain", "page").alias("first")).select("document", F.when(F.contains("first", F.lit("dostepnej odbiorczej mocy")), "demand").otherwise("generation").alias("direction"))
     # any row begins a record that has a number, a branch or years in it
     bounds = layout.ruled_bounds(edges, keys=PAGE).where(F.size("bounds") > 2)
-    rows = layout.table_rows(words, bounds, keys=PAGE)
     years = lambda cells: F.filter(F.slice(cells, 3, F.greatest(F.size(cells) - 2, F.lit(0))), lambda x: F.trim(x).rlike(r"^(19|20)\d{2}$"))
     numbered = F.trim(F.col("cells")[0]).rlike(r"^\d+$")
     branch = F.nullif(F.regexp_extract(F.array_join("cells", " "), r"Oddział\s+([\p{L}\w-]+)", 1), F.lit(""))
-    records = layout.merge_cells(rows, numbered | branch.isNotNull() | (F.size(years(F.col("cells"))) >= 3), PAGE, ("line",)).join(pages.select(*PAGE, "table"), list(PAGE)).where("record > 0")
+    records = layout.table_records(words, bounds, numbered | branch.isNotNull() | (F.size(years(F.col("cells"))) >= 3), keys=PAGE, tasks=tasks or layout.sorted_tasks(words)).join(pages.select(*PAGE, "table"), list(PAGE)).where("record > 0")
     text = lambda i: _filled(F.get("cells", F.lit(i)))
     composition = layout.carry_forward(records.where("table = '2.1'").withColumn("seq", F.struct("page", "record")), F.when(~numbered, branch), ["document"], "seq", "branch").where(numbered)
     groups = composition.groupBy("document", F.trim(F.col("cells")[0]).alias("no")).agg(F.max_by(F.struct(text(2).alias("stations"), text(3).alias("changes"), "branch"), "seq").alias("g"))
@@ -210,7 +209,8 @@ def printed_energa(words: DataFrame, edges: DataFrame) -> DataFrame:
     first = page_texts(words).groupBy("document").agg(F.min_by("text", "page").alias("text"))
     nodes = first.where(norm_text(F.col("text")).rlike("dostepnej (odbiorczej|wytworczej) mocy")).select("document")
     of = lambda df, how: df.join(nodes, "document", how)
-    return union_panels([printed_template(of(words, "left_anti"), of(edges, "left_anti")), group_capacities(of(words, "left_semi"), of(edges, "left_semi"))])
+    tasks = layout.sorted_tasks(words)
+    return union_panels([printed_template(of(words, "left_anti"), of(edges, "left_anti"), tasks=tasks), group_capacities(of(words, "left_semi"), of(edges, "left_semi"), tasks=tasks)])
 
 
 # The columns of the three ruled listings, which share their first seven; what their headings say, most telling first.

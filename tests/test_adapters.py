@@ -209,6 +209,34 @@ def test_lines_go_on_in_the_next_batch(spark):
     assert sorted((r["page"], r["line"], [w["text"] for w in r["words"]]) for r in got) == [(p, n, [f"w{7 * n + i}" for i in range(7)]) for p in (1, 2) for n in range(10)]
 
 
+def test_only_words_of_ruled_pages_are_dealt(spark, tmp_path):
+    cells = {0: "1", 1: "O-1", 16: "warunki\nprzylaczenia"}
+    made = printed(spark, "t.pdf", [["Stan na 30.06.2026", row(27, {0: "Lp."}), row(27, cells)], ["no rules here"], [row(27, {0: "2", 1: "O-2"})]])
+    for df, name in zip(made, ("words", "edges"), strict=True):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = adapters.station_list(*adapters.staged(spark, str(tmp_path)))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # after the sorted pass over the words, lines and records are neither shuffled nor sorted again: nothing there is left to spill
+    assert plan.index("MapInArrow") < plan.index("Exchange") and "Exchange" in plan
+    assert sorted((r["application_id"], r["process_status"], r["_seq"], r["date_published"]) for r in got.collect()) == [("O-1", "CONDITIONS_ISSUED", 1_000_001, dt.date(2026, 6, 30)), ("O-2", "UNSPECIFIED", 3_000_001, dt.date(2026, 6, 30))]
+    # the sorted pass has as many tasks as its words ask for, also where the session has few
+    many = spark.range(600_000).select(F.lit("d").alias("document"), (F.col("id") % 5000).cast("int").alias("page"), F.lit("w").alias("text"), F.lit(1.0).alias("x0"), F.lit(2.0).alias("x1"), F.lit(3.0).alias("top"))
+    assert layout.sorted_tasks(many) == 3
+
+
+def test_records_go_on_in_the_next_batch(spark):
+    words = spark.createDataFrame([("d", p, f"{i}-{x}", 10.0 * x + 1, 10.0 * x + 2, 10.0 * i) for p in (1, 2, 3) for i in range(7) for x in range(3)], WORDS)
+    bounds = spark.createDataFrame([("d", p, [0.0, 10.0, 20.0, 30.0], f"of {p}") for p in (1, 3)], "document string, page int, bounds array<double>, also string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        got = layout.table_records(words, bounds, F.col("cells")[0].isin("2-0", "5-0"), keys=adapters.PAGE, tasks=2).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    parts = {0: (0, 1), 1: (2, 3, 4), 2: (5, 6)}
+    want = [(p, n, own[0], [" ".join(f"{i}-{x}" for i in own) for x in range(3)], f"of {p}") for p in (1, 3) for n, own in parts.items()]
+    assert sorted((r["page"], r["record"], r["line"], r["cells"], r["also"]) for r in got) == want
+
+
 def test_workbooks_are_parsed_once(spark, tmp_path):
     workbook.register(spark)
     rows = sheet("Wykaz wspólny", {1: {1: "Wykaz, stan na 30.06.2026"}, 3: {1: "ID obiektu"}, 4: {1: "A", 3: "PSE", 9: "1.5"}})
