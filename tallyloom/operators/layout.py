@@ -171,8 +171,9 @@ def _gathered(batches: Iterator[tuple[pa.RecordBatch, list[int]]], first: list[i
 
 
 def sorted_tasks(words: DataFrame) -> int:
-    """Tasks for the sorted pass over so many words that each sorts them in some 40 MB of memory, however the session deals its shuffles: words pack so well that by their packed size too many would come together, and be spilled. Counts the words, which costs nothing where they are a table."""
-    return words.count() // 250_000 + 1
+    """Tasks for the sorted pass over so many words, however the session deals its shuffles: words pack so well that by their packed size too many would come together, and be spilled. One for every 250,000 words (40 MB of memory to sort), up to 200, to which Spark writes without sorting; more only where one would have over 4,000,000 words. Counts the words, which costs nothing where they are a table."""
+    n = words.count()
+    return max(min(n // 250_000 + 1, 200), n // 4_000_000 + 1)
 
 
 def _dealt(words: DataFrame, keys: tuple[str, ...], pages: DataFrame | None = None, tasks: int | None = None) -> DataFrame:

@@ -109,8 +109,9 @@ def stated_dates(texts: DataFrame, date: Callable[[Column], Column]) -> DataFram
 
 def ruled_records(words: DataFrame, edges: DataFrame, start: str, least: int = 2, joiner: str = "\n", dates: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """document, page, record, line, cells: the records of ruled pages with at least so many columns. A record begins with a line whose first cell matches start; record 0 is what stands above the first. With dates (document, date_published), each record has its document's; they are joined to the pages, which are far fewer. tasks: layout.sorted_tasks of the words, if known."""
-    bounds = layout.ruled_bounds(edges, keys=PAGE).where(F.size("bounds") > least)
-    return layout.table_records(words, bounds if dates is None else _stamped(bounds, dates), F.trim(F.col("cells")[0]).rlike(start), keys=PAGE, joiner=joiner, tasks=tasks or layout.sorted_tasks(words))
+    tasks = tasks or layout.sorted_tasks(words)
+    bounds = layout.ruled_bounds(edges.repartition(tasks, *PAGE), keys=PAGE).where(F.size("bounds") > least)
+    return layout.table_records(words, bounds if dates is None else _stamped(bounds, dates), F.trim(F.col("cells")[0]).rlike(start), keys=PAGE, joiner=joiner, tasks=tasks)
 
 
 def named(records: DataFrame, columns: tuple[str, ...]) -> DataFrame:

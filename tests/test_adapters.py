@@ -222,6 +222,7 @@ def test_only_words_of_ruled_pages_are_dealt(spark, tmp_path):
     # the sorted pass has as many tasks as its words ask for, also where the session has few
     many = spark.range(600_000).select(F.lit("d").alias("document"), (F.col("id") % 5000).cast("int").alias("page"), F.lit("w").alias("text"), F.lit(1.0).alias("x0"), F.lit(2.0).alias("x1"), F.lit(3.0).alias("top"))
     assert layout.sorted_tasks(many) == 3
+    assert [layout.sorted_tasks(spark.range(n)) for n in (0, 128_000_000, 4_000_000_000)] == [1, 200, 1001]
 
 
 def test_records_go_on_in_the_next_batch(spark):
